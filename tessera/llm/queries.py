@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.mixing import mix
 from tessera.llm.packing import pack
+from tessera.llm.pii import find_personal_data
+from tessera.llm.secrets import find_secrets
 from tessera.session import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,8 +30,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op7_packing": op7_packing,
+    "op9_personal_data": op9_personal_data,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {}
