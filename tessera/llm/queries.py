@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.langid import identify
 from tessera.llm.mixing import mix
 from tessera.llm.packing import pack
 from tessera.llm.pii import find_personal_data
 from tessera.llm.secrets import find_secrets
+from tessera.llm.toxicity import score_toxicity
 from tessera.session import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,10 +24,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,7 +49,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_mixing": op4_mixing,
+    "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op9_personal_data": op9_personal_data,
     "op10_secrets": op10_secrets,
