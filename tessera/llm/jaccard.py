@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.graph.components import connected_components
 from tessera.llm.common import small_batches
-from tessera.session import keep
+from tessera.session import discard, keep
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -56,8 +56,8 @@ def shingles(text: str | None, k: int = 4) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A signature of at least 4 bits per shingle; a shingle sets the bit of its low bits."""
-    bits = max(128, 1 << (4 * len(s) - 1).bit_length())
+    """A signature of at least 2 bits per shingle; a shingle sets the bit of its low bits."""
+    bits = max(128, 1 << (2 * len(s) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -81,46 +81,50 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
-    """The runs of equal keys of a sorted stream, each as one frame."""
-    held: list[pd.DataFrame] = []
+def _groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The runs of equal keys of a sorted stream, each as columns; a run may span batches."""
+    held: dict[str, np.ndarray] | None = None
     for batch in batches:
         if not len(batch):
             continue
-        change = np.flatnonzero((batch[key].to_numpy()[1:] != batch[key].to_numpy()[:-1]).any(axis=1)) + 1
-        cuts = [0, *change, len(batch)]
-        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            part = batch.iloc[a:b]
-            if held and (i or (held[-1][key].to_numpy()[-1] != part[key].to_numpy()[0]).any()):
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
-
-
-def _frequent(docs: DataFrame, k: int, least: int, most: int) -> np.ndarray:
-    """Counts per hash bucket of shingles that many documents hold: how rare a shingle is, for ordering only.
-
-    Every text counts; each task adds up its own, and at most ``most`` buckets come to the driver.
+        cols = {c: batch[c].to_numpy() for c in batch.columns}
+        if held is not None:
+            cols = {c: np.concatenate([held[c], cols[c]]) for c in cols}
+        change = np.zeros(len(cols[key[0]]) - 1, bool)
+        for c in key:
+            change |= cols[c][1:] != cols[c][:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1)]
+        for x, y in zip(cuts, cuts[1:]):
+            yield {c: v[x:y] for c, v in cols.items()}
+        held = {c: v[cuts[-1] :] for c, v in cols.items()}
+    if held is not None:
+        yield held
+
+
+def _frequent(docs: DataFrame, k: int, most: int) -> np.ndarray:
+    """Counts per hash bucket of shingles that stand out as frequent: how rare a shingle is, for ordering only.
+
+    Every text counts. Each task adds up its own in a table of fixed size and sends the buckets far above their mean;
+    at most ``most`` come to the driver. A bucket that is missed costs time, never a link.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(1 << HEAVY_BITS, np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                np.add.at(seen, (shingles(text, k) >> np.uint64(64 - HEAVY_BITS)).astype(np.int64), 1)
-        at = np.flatnonzero(seen >= 3)
+            if len(batch):
+                seen += np.bincount(np.concatenate([shingles(t, k) >> np.uint64(64 - HEAVY_BITS) for t in batch["text"]]).astype(np.int64), minlength=len(seen))
+        mean = seen.mean()
+        at = np.flatnonzero(seen >= mean + 6 * math.sqrt(mean) + 4)
         yield pd.DataFrame({"bucket": at, "n": seen[at]})
 
-    top = docs.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "bucket").limit(most).toPandas()
+    top = docs.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bucket").limit(most).toPandas()
     out = np.zeros(1 << HEAVY_BITS, np.int64)
     out[top["bucket"].to_numpy(np.int64)] = top["n"].to_numpy()
     return out
 
 
 def _described(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """Per row: set size, a 128-bit name of the set, and its prefix, rarest shingles first."""
+    """Per row: set size, a 128-bit name of the set, its prefix, rarest shingles first, and its signature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -130,103 +134,108 @@ def _described(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> Data
                 a, b = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                 length = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 order = np.lexsort((s, heavy[(s >> np.uint64(64 - HEAVY_BITS)).astype(np.int64)]))[:length]
-                rows.append((doc_id, tie, len(s), a, b, s[order].view(np.int64)))
-            out = pd.DataFrame(rows, columns=["doc_id", "tie", "n", "k1", "k2", "prefix"])
+                rows.append((doc_id, tie, len(s), a, b, s[order].view(np.int64), bitmap(s) if len(s) else b""))
+            out = pd.DataFrame(rows, columns=["doc_id", "tie", "n", "k1", "k2", "prefix", "bits"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.mapInPandas(run, "doc_id long, tie long, n int, k1 long, k2 long, prefix array<long>")
+    return docs.mapInPandas(run, "doc_id long, tie long, n int, k1 long, k2 long, prefix array<long>, bits binary")
 
 
-def _with_sets(rows: DataFrame, k: int) -> DataFrame:
-    """vid, n, set and bitmap from vid and text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(t, k) for t in batch["text"]]
-            yield pd.DataFrame({"vid": batch["vid"], "n": [len(s) for s in sets], "items": [s.tobytes() for s in sets], "bits": [bitmap(s) for s in sets]})
-
-    return rows.mapInPandas(run, "vid long, n int, items binary, bits binary")
+def _may_link(a: int, b: int, apart: int, percent: int) -> bool:
+    """Whether sizes and the number of differing signature bits leave a link possible: each differing bit is a shingle of one side only."""
+    return is_link(a, b, min(a, b, (a + b - apart) // 2), percent)
 
 
-def _leader_links(grouped: DataFrame, percent: int, leaders: int = 24) -> DataFrame:
-    """Exact links of a group's members to a few leaders; what stays unlinked is for the tiles."""
+def _leader_pairs(grouped: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a group's members with a leader they may link to; a member is paired once, so pairs are fewer than rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(batches, ["tile", "salt"]):
-            if len(group) < 2:
+        for g in _groups(batches, ["tile", "salt"]):
+            if len(g["vid"]) < 2:
                 continue
-            vid, n = group["vid"].to_numpy(), group["n"].to_numpy(np.int64)
-            every = np.concatenate([np.frombuffer(x, np.uint64) for x in group["items"]])
-            at = np.cumsum(n) - n
-            left = np.argsort(n, kind="stable")[::-1]
-            links = []
-            for _ in range(leaders):
-                if len(left) < 2:
-                    break
-                lead, rest = left[len(left) // 2], np.delete(left, len(left) // 2)
-                rest_ok = rest[100 * np.minimum(n[rest], n[lead]) >= percent * np.maximum(n[rest], n[lead])]
-                mine = every[at[lead] : at[lead] + n[lead]]
-                near = np.array([is_link(n[i], n[lead], overlap(mine, every[at[i] : at[i] + n[i]]), percent) for i in rest_ok], bool)
-                linked = rest_ok[near] if len(rest_ok) else rest_ok
-                links += [(vid[i], vid[lead]) for i in linked]
-                left = rest[~np.isin(rest, linked)]
-            if links:
-                yield pd.DataFrame(links, columns=["src", "dst"])
+            vid, n = g["vid"], g["n"].astype(np.int64)
+            width = min(map(len, g["bits"]))
+            bits = np.stack([folded(x, width) for x in g["bits"]])
+            left = np.argsort(n, kind="stable")
+            pairs = []
+            while len(left) > 1:
+                lead, rest = left[0], left[1:]
+                apart = np.bitwise_count(bits[rest] ^ bits[lead]).sum(axis=1, dtype=np.int64)
+                both = np.minimum(n[lead], (n[rest] + n[lead] - apart) // 2)
+                near = 100 * both >= percent * (n[rest] + n[lead] - both)
+                pairs += [(vid[i], vid[lead]) for i in rest[near]]
+                left = rest[~near]
+            if pairs:
+                yield pd.DataFrame(pairs, columns=["src", "dst"])
 
     return grouped.mapInPandas(run, "src long, dst long")
 
 
-def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a tile, of different components, whose sizes and bitmaps leave a link possible."""
+def _tile_pairs(tiles: DataFrame, percent: int, small: int = 24) -> DataFrame:
+    """Pairs of a tile, of different components, that may link. A home row meets the guests, and each other home row once."""
+
+    def few(g: dict, out: list) -> None:
+        vid, n, comp, home = (g[c].tolist() for c in ("vid", "n", "component", "home"))
+        width = min(map(len, g["bits"]))
+        bits = [int.from_bytes(x if len(x) == width else folded(x, width).tobytes(), "little") for x in g["bits"]]
+        for i in range(len(vid)):
+            if home[i]:
+                for j in range(len(vid)):
+                    if comp[i] != comp[j] and (vid[j] > vid[i] or not home[j]) and _may_link(n[i], n[j], (bits[i] ^ bits[j]).bit_count(), percent):
+                        out.append((min(vid[i], vid[j]), max(vid[i], vid[j])))
+
+    def many(g: dict, out: list) -> None:
+        vid, n, comp, home, chunk = g["vid"], g["n"].astype(np.int64), g["component"], g["home"].astype(bool), g["chunk"]
+        width = min(map(len, g["bits"]))
+        bits = np.stack([folded(x, width) for x in g["bits"]])
+        ci, cj = g["ci"][0], g["cj"][0]
+        for i in np.flatnonzero(home):
+            other = chunk == (cj if chunk[i] == ci else ci)
+            j = np.flatnonzero(other & (comp != comp[i]) & (~home | (vid > vid[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            if len(j):
+                both = np.minimum(np.minimum(n[j], n[i]), (n[j] + n[i] - np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)) // 2)
+                j = j[100 * both >= percent * (n[j] + n[i] - both)]
+                out += [(min(vid[i], vid[x]), max(vid[i], vid[x])) for x in j]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list = []
         for g in _groups(batches, ["tile", "band", "ci", "cj"]):
-            comp = g["component"].to_numpy()
-            if len(g) < 2 or comp.min() == comp.max():
-                continue
-            vid, n, home, chunk = g["vid"].to_numpy(), g["n"].to_numpy(np.int64), g["home"].to_numpy(bool), g["chunk"].to_numpy()
-            width = min(len(x) for x in g["bits"])
-            bits = np.stack([folded(x, width) for x in g["bits"]])
-            ci, cj = int(g["ci"].iloc[0]), int(g["cj"].iloc[0])
-            found = []
-            for i in np.flatnonzero(home & (chunk == ci)):
-                # a home row meets the guests, and each home row once
-                ok = (comp != comp[i]) & (chunk == cj) & (~home | (vid > vid[i]) | (ci != cj))
-                ok &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
-                j = np.flatnonzero(ok)
-                if not len(j):
-                    continue
-                most = (n[j] + n[i] - np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)) // 2
-                j = j[100 * most >= percent * (n[j] + n[i] - most)]
-                found += [(min(vid[i], vid[x]), max(vid[i], vid[x])) for x in j]
-            if ci != cj:
-                for i in np.flatnonzero(home & (chunk == cj)):
-                    j = np.flatnonzero((comp != comp[i]) & (chunk == ci) & ~home & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-                    if len(j):
-                        most = (n[j] + n[i] - np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)) // 2
-                        j = j[100 * most >= percent * (n[j] + n[i] - most)]
-                        found += [(min(vid[i], vid[x]), max(vid[i], vid[x])) for x in j]
-            if found:
-                yield pd.DataFrame(sorted(set(found)), columns=["src", "dst"])
+            if len(g["vid"]) > 1:
+                (few if len(g["vid"]) <= small and g["ci"][0] == g["cj"][0] else many)(g, out)
+            if len(out) > 50_000:
+                yield pd.DataFrame(sorted(set(out)), columns=["src", "dst"])
+                out = []
+        if out:
+            yield pd.DataFrame(sorted(set(out)), columns=["src", "dst"])
 
     return tiles.mapInPandas(run, "src long, dst long")
 
 
-def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets really link."""
-    a = sets.select(F.col("vid").alias("src"), F.col("items").alias("a"))
-    b = sets.select(F.col("vid").alias("dst"), F.col("items").alias("b"))
+def _exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that really link: the shingles of the classes named by a pair are made again and intersected."""
+    named = pairs.select(F.col("src").alias("vid")).union(pairs.select(F.col("dst").alias("vid"))).distinct()
+    wanted = classes.select("vid", "doc_id", "tie").join(named, "vid")
+    texts = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"]).select("vid", "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"vid": batch["vid"], "items": [shingles(t, k).tobytes() for t in batch["text"]]})
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep_row = []
+            linked = []
             for x, y in zip(batch["a"], batch["b"]):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep_row.append(is_link(len(x), len(y), overlap(x, y), percent))
-            yield batch.loc[keep_row, ["src", "dst"]]
+                linked.append(is_link(len(x), len(y), overlap(x, y), percent))
+            yield batch.loc[np.array(linked, bool), ["src", "dst"]]
 
-    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInPandas(run, "src long, dst long")
+    small_batches(docs.sparkSession)
+    sets = keep(texts.mapInPandas(make, "vid long, items binary"), "items")
+    a, b = sets.select(F.col("vid").alias("src"), F.col("items").alias("a")), sets.select(F.col("vid").alias("dst"), F.col("items").alias("b"))
+    links = keep(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInPandas(check, "src long, dst long"), "links")
+    discard(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: int = 1024) -> DataFrame:
@@ -238,11 +247,11 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: in
     1. Rows with the same set are one class.
     2. A class emits its prefix, the rarest of its shingles in an order that puts frequent ones last. Two sets that
        link share a shingle of both prefixes, so tiles of one shingle hold every link.
-    3. Each class goes once to the largest of its tiles, dealt in groups of at most ``chunk``, and is checked exactly
-       against a few leaders. The components so far collapse groups of near copies.
+    3. Each class goes once to the largest of its tiles, dealt in groups of at most about ``chunk``, and is paired with the first
+       leader its bitmap lets it link to. The links among these pairs give components that collapse groups of near copies.
     4. Tiles that span more than one component are split into size bands (each row is at home in one and a guest in
-       the next) and into pairs of chunks where large; bitmap signatures bound the overlap of the pairs left from above.
-    5. Pairs that pass are checked by intersecting their sorted hash arrays.
+       the next) and into pairs of chunks where large; bitmaps bound the overlap of all pairs left from above.
+    5. Pairs of either step are checked by intersecting the sorted hash arrays of their whole sets.
 
     Texts without words have an empty set and link with nothing, themselves included; rows with a null doc_id get a
     null component and link nothing; repeated rows are one class; extra columns are ignored.
@@ -250,40 +259,42 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: in
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
-    heavy = _frequent(docs, k, least=64, most=1 << 16)
+    heavy = _frequent(docs, k, most=1 << 16)
     rows = keep(_described(docs, k, percent, heavy), "sets")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
-    named = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tie", "prefix")).alias("first"), F.first("n").alias("n"))
-    classes = keep(named.select(F.monotonically_increasing_id().alias("vid"), "k1", "k2", "n", "first.doc_id", "first.tie", "first.prefix"), "classes")
+    named = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first(F.struct("n", "prefix", "bits")).alias("first"))
+    classes = keep(named.select(F.monotonically_increasing_id().alias("vid"), "k1", "k2", "least.*", "first.*"), "classes")
     posted = classes.select("vid", F.explode("prefix").alias("tile"))
     tiles = keep(posted.withColumn("size", F.count("*").over(W.partitionBy("tile"))).where("size > 1"), "tiles")
+    signs = classes.select("vid", "n", "bits")
 
-    chosen = tiles.groupBy("vid").agg(F.max(F.struct("size", F.col("tile"))).alias("t")).select("vid", "t.tile", "t.size")
-    wanted = classes.select("vid", "doc_id", "tie").join(chosen.select("vid"), "vid")
-    texts = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "tie"]).select("vid", "text").dropDuplicates(["vid"])
-    small_batches(spark)
-    sets = keep(_with_sets(texts, k), "items")
-
-    salted = chosen.select("vid", "tile", F.pmod(F.xxhash64("vid"), F.ceil(F.col("size") / chunk)).alias("salt"))
-    grouped = sets.select("vid", "n", "items").join(salted, "vid").repartition("tile", "salt").sortWithinPartitions("tile", "salt")
-    links = keep(_leader_links(grouped, percent), "links")
+    chosen = tiles.groupBy("vid").agg(F.max(F.struct("size", "tile")).alias("t")).select("vid", "t.tile", F.pmod(F.xxhash64("vid"), F.ceil(F.col("t.size") / chunk)).alias("salt"))
+    grouped = chosen.join(signs, "vid").repartition("tile", "salt").sortWithinPartitions("tile", "salt")
+    pairs = keep(_leader_pairs(grouped, percent), "pairs")
+    links = _exact(pairs, classes, docs, k, percent)
+    discard(pairs)
 
     label = connected_components(links)
-    spread = tiles.join(label.withColumnRenamed("node", "vid"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
+    spread = tiles.select("tile", "vid").join(label.withColumnRenamed("node", "vid"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
     whole = W.partitionBy("tile")
-    open_tiles = spread.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).where("lo <> hi").select("tile", "vid", "component")
+    mixed = spread.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).where("lo <> hi")
     ratio = math.log(100 / percent) * (1 + 1e-9)
     band = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
-    placed = open_tiles.join(sets.select("vid", "n", "bits"), "vid").withColumn("visit", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band + F.col("visit")).withColumn("home", F.col("visit") == 0)
+    sized = mixed.select("tile", "vid", "component").join(signs.select("vid", "n"), "vid")
+    placed = sized.withColumn("visit", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band + F.col("visit")).withColumn("home", F.col("visit") == 0)
     cell = W.partitionBy("tile", "band")
-    counted = placed.withColumn("size", F.count("*").over(cell)).withColumn("homes", F.max("home").over(cell)).where("size > 1 AND homes")
-    cut = counted.withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int"))
+    counted = placed.select("tile", "band", "vid", "component", "home", F.count("*").over(cell).alias("size"), F.max("home").over(cell).alias("homes"), F.min("component").over(cell).alias("lo"), F.max("component").over(cell).alias("hi"))
+    cut = counted.where("homes AND lo <> hi").withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("ci", F.least("chunk", "other")).withColumn("cj", F.greatest("chunk", "other"))
     keys = ["tile", "band", "ci", "cj"]
-    ordered = dealt.select(*keys, "vid", "component", "n", "home", "chunk", "bits").repartition(*keys).sortWithinPartitions(*keys)
+    signed = dealt.select(*keys, "vid", "component", "home", "chunk").join(signs, "vid")
+    ordered = signed.repartition(*keys).sortWithinPartitions(*keys)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     pairs = keep(_tile_pairs(ordered, percent).distinct(), "pairs")
-    more = keep(_exact(pairs, sets, percent), "links")
+    discard(tiles)
+    more = _exact(pairs, classes, docs, k, percent)
+    discard(pairs)
 
     final = connected_components(links.unionByName(more))
     names = classes.select("vid", "k1", "k2", "doc_id").join(final.withColumnRenamed("node", "vid"), "vid")

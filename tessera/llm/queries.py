@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.additive import nearest_neighbours
 from tessera.llm.jaccard import near_duplicates
 from tessera.llm.langid import identify
 from tessera.llm.mixing import mix
+from tessera.llm.mtree import top_products
 from tessera.llm.packing import pack
 from tessera.llm.pii import find_personal_data
 from tessera.llm.secrets import find_secrets
@@ -29,6 +31,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -45,6 +51,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -55,10 +65,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_mtree": op3_mtree,
     "op4_mixing": op4_mixing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
+    "op8_additive": op8_additive,
     "op9_personal_data": op9_personal_data,
     "op10_secrets": op10_secrets,
 }
