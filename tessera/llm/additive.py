@@ -41,7 +41,7 @@ class Codebooks:
         return sum(self.words[m][codes[:, m]] for m in range(len(self.words)))
 
 
-def train(x: np.ndarray, *, books: int = 8, words: int = 64, rounds: int = 3, seed: int = 5) -> Codebooks:
+def train(x: np.ndarray, *, books: int = 24, words: int = 64, rounds: int = 3, seed: int = 5) -> Codebooks:
     """Residual k-means, then rounds of encoding and a least-squares fit of all books at once."""
     rng, rest, out = np.random.default_rng(seed), x.copy(), np.zeros((books, words, x.shape[1]))
     for m in range(books):
@@ -73,7 +73,7 @@ def shortlist(q: np.ndarray, model: Codebooks, codes: np.ndarray, norms: np.ndar
     return np.argpartition(score, most - 1, axis=1)[:, :most] if most < len(norms) else np.tile(np.arange(len(norms)), (len(q), 1))
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, *, k: int = 10, page_rows: int = 2048, block_rows: int = 512, sample_rows: int = 4096, rerank: int = 96) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: Column, *, k: int = 10, page_rows: int = 2048, block_rows: int = 512, sample_rows: int = 4096, rerank: int = 128) -> DataFrame:
     """Each query's k nearest found by Euclidean distance, of every row but those of its own id.
 
     The codebooks are fitted on ``sample_rows`` rows picked by hash; every row is encoded. Rows lie in pages by
