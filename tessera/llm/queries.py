@@ -16,6 +16,7 @@ from tessera.llm.packing import pack
 from tessera.llm.pii import find_personal_data
 from tessera.llm.secrets import find_secrets
 from tessera.llm.toxicity import score_toxicity
+from tessera.llm.warc import CAPTURES_SQL, captures, resolve_revisits, shown_headers
 from tessera.session import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -31,6 +32,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve_revisits(captures(table(spark, sf_dir, "pages"))).withColumn("headers", shown_headers(F.col("headers")))
+
+
 def op3_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -65,6 +70,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_revisits": op2_revisits,
     "op3_mtree": op3_mtree,
     "op4_mixing": op4_mixing,
     "op5_ngram_jaccard": op5_ngram_jaccard,
@@ -74,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_revisits": CAPTURES_SQL}
