@@ -147,111 +147,110 @@ def _may_link(a: int, b: int, apart: int, percent: int) -> bool:
     return is_link(a, b, min(a, b, (a + b - apart) // 2), percent)
 
 
-def _leader_pairs(grouped: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a group's members with a leader they may link to; a member is paired once, so pairs are fewer than rows."""
+def _may_link_row(bits: np.ndarray, n: np.ndarray, i: int, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Those of ``rest`` that may link to row i."""
+    apart = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+    both = np.minimum(np.minimum(n[rest], n[i]), (n[rest] + n[i] - apart) // 2)
+    return rest[100 * both >= percent * (n[rest] + n[i] - both)]
+
+
+def _forest(count: int, near) -> list[tuple[int, int]]:
+    """Edges that connect what ``near(i, rest)`` connects: a search over rows that were not reached before."""
+    left, out = np.arange(count), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            hit = near(i, left)
+            if len(hit):
+                out += [(i, j) for j in hit]
+                queue += hit.tolist()
+                left = np.setdiff1d(left, hit, assume_unique=True)
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["tile", "salt"]):
-            if len(g["vid"]) < 2:
-                continue
-            vid, n = g["vid"], g["n"].astype(np.int64)
-            width = min(map(len, g["bits"]))
-            bits = np.stack([folded(x, width) for x in g["bits"]])
-            left = np.argsort(n, kind="stable")
-            pairs = []
-            while len(left) > 1:
-                lead, rest = left[0], left[1:]
-                apart = np.bitwise_count(bits[rest] ^ bits[lead]).sum(axis=1, dtype=np.int64)
-                both = np.minimum(n[lead], (n[rest] + n[lead] - apart) // 2)
-                near = 100 * both >= percent * (n[rest] + n[lead] - both)
-                pairs += [(vid[i], vid[lead]) for i in rest[near]]
-                left = rest[~near]
-            if pairs:
-                yield pd.DataFrame(pairs, columns=["src", "dst"])
-
-    return grouped.mapInPandas(run, "src long, dst long")
-
-
-def _tile_pairs(tiles: DataFrame, percent: int, small: int = 24) -> DataFrame:
-    """Pairs of a tile, of different components, that may link. A home row meets the guests, and each other home row once."""
-
-    def few(g: dict, out: list) -> None:
-        vid, n, comp, home = (g[c].tolist() for c in ("vid", "n", "component", "home"))
-        width = min(map(len, g["bits"]))
-        bits = [int.from_bytes(x if len(x) == width else folded(x, width).tobytes(), "little") for x in g["bits"]]
-        for i in range(len(vid)):
-            if home[i]:
-                for j in range(len(vid)):
-                    if comp[i] != comp[j] and (vid[j] > vid[i] or not home[j]) and _may_link(n[i], n[j], (bits[i] ^ bits[j]).bit_count(), percent):
-                        out.append((min(vid[i], vid[j]), max(vid[i], vid[j])))
-
-    def many(g: dict, out: list) -> None:
-        vid, n, comp, home, chunk = g["vid"], g["n"].astype(np.int64), g["component"], g["home"].astype(bool), g["chunk"]
-        width = min(map(len, g["bits"]))
-        bits = np.stack([folded(x, width) for x in g["bits"]])
-        ci, cj = g["ci"][0], g["cj"][0]
-        for i in np.flatnonzero(home):
-            other = chunk == (cj if chunk[i] == ci else ci)
-            j = np.flatnonzero(other & (comp != comp[i]) & (~home | (vid > vid[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            if len(j):
-                both = np.minimum(np.minimum(n[j], n[i]), (n[j] + n[i] - np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)) // 2)
-                j = j[100 * both >= percent * (n[j] + n[i] - both)]
-                out += [(min(vid[i], vid[x]), max(vid[i], vid[x])) for x in j]
+
+def _weak_edges(tiles: DataFrame, percent: int) -> DataFrame:
+    """Per tile, a forest over the pairs that sizes and bitmaps let link: never more edges than rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list = []
         for g in _groups(batches, ["tile", "band", "ci", "cj"]):
-            if len(g["vid"]) > 1:
-                (few if len(g["vid"]) <= small and g["ci"][0] == g["cj"][0] else many)(g, out)
+            m = len(g["vid"])
+            if m < 2:
+                continue
+            width = min(map(len, g["bits"]))
+            if m == 2:
+                a, b = (int.from_bytes(folded(x, width).tobytes(), "little") for x in g["bits"])
+                edges = [(0, 1)] if _may_link(int(g["n"][0]), int(g["n"][1]), (a ^ b).bit_count(), percent) else []
+            else:
+                bits, n = np.stack([folded(x, width) for x in g["bits"]]), g["n"].astype(np.int64)
+                edges = _forest(m, lambda i, rest: _may_link_row(bits, n, i, rest, percent))
+            out += [(g["vid"][i], g["vid"][j]) for i, j in edges]
             if len(out) > 50_000:
-                yield pd.DataFrame(sorted(set(out)), columns=["src", "dst"])
+                yield pd.DataFrame(list(dict.fromkeys(out)), columns=["src", "dst"])
                 out = []
         if out:
-            yield pd.DataFrame(sorted(set(out)), columns=["src", "dst"])
+            yield pd.DataFrame(list(dict.fromkeys(out)), columns=["src", "dst"])
 
     return tiles.mapInPandas(run, "src long, dst long")
 
 
-def _exact(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that really link: the shingles of the classes named by a pair are made again and intersected."""
-    named = pairs.select(F.col("src").alias("vid")).union(pairs.select(F.col("dst").alias("vid"))).distinct()
-    wanted = classes.select("vid", "doc_id", "tie").join(named, "vid")
-    texts = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"]).select("vid", "text")
+def _exact_links(blocks: DataFrame, percent: int) -> DataFrame:
+    """Per block of a family, a forest over its true links: bitmaps wide enough to leave few candidates, then sorted arrays."""
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"vid": batch["vid"], "items": [shingles(t, k).tobytes() for t in batch["text"]]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(batches, ["family", "band", "ci", "cj"]):
+            if len(g["vid"]) < 2:
+                continue
+            items = [np.frombuffer(x, np.uint64) for x in g["items"]]
+            n = np.array([len(x) for x in items])
+            wide = 1 << max(7, int(8 * n.max() - 1).bit_length())
+            bits = np.zeros((len(items), wide // 64), np.uint64)
+            for i, x in enumerate(items):
+                at = (x & np.uint64(wide - 1)).astype(np.int64)
+                np.bitwise_or.at(bits[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch["a"], batch["b"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                linked.append(is_link(len(x), len(y), overlap(x, y), percent))
-            yield batch.loc[np.array(linked, bool), ["src", "dst"]]
+            def near(i: int, rest: np.ndarray) -> np.ndarray:
+                found = _may_link_row(bits, n, i, rest, percent)
+                return np.array([j for j in found if is_link(n[i], n[j], overlap(items[i], items[j]), percent)], dtype=np.int64)
+
+            edges = _forest(len(items), near)
+            if edges:
+                yield pd.DataFrame([(g["vid"][i], g["vid"][j]) for i, j in edges], columns=["src", "dst"])
+
+    return blocks.mapInPandas(run, "src long, dst long")
 
-    small_batches(docs.sparkSession)
-    sets = keep(texts.mapInPandas(make, "vid long, items binary"), "items")
-    a, b = sets.select(F.col("vid").alias("src"), F.col("items").alias("a")), sets.select(F.col("vid").alias("dst"), F.col("items").alias("b"))
-    links = keep(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInPandas(check, "src long, dst long"), "links")
-    discard(sets)
-    return links
+
+def _banded(rows: DataFrame, group: str, percent: int, chunk: int) -> DataFrame:
+    """Rows (group, vid, n) dealt to size bands and, where a band is populous, to pairs of its chunks: group, band, ci, cj, vid.
+
+    Sizes that can link are in the same band or neighbouring ones: a row is at home in its band and a guest in the next.
+    """
+    ratio = math.log(100 / percent) * (1 + 1e-9)
+    band = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
+    placed = rows.select(group, "vid", F.explode(F.array(band, band + 1)).alias("band"), band.alias("own"))
+    cell = W.partitionBy(group, "band")
+    counted = placed.select(group, "band", "vid", F.count("*").over(cell).alias("size"), F.max(F.col("own") == F.col("band")).over(cell).alias("homes")).where("homes AND size > 1")
+    cut = counted.withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int"))
+    # a chunk meets every other one; it is alone with itself only where it is the only one
+    other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: o != F.col("chunk")))
+    return cut.withColumn("other", F.explode(other)).select(group, "band", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "vid")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id (and tie, a hash of the text) of every row.
 
     Rows link when their shingle sets have a Jaccard similarity of at least ``percent`` / 100; the component is the
-    smallest doc_id that links reach. No link is lost and no group's pairs are all listed:
+    smallest doc_id that links reach. No link is lost and no group's pairs are listed:
 
     1. Rows with the same set are one class.
     2. A class emits its prefix, the rarest of its shingles in an order that puts frequent ones last. Two sets that
        link share a shingle of both prefixes, so tiles of one shingle hold every link.
-    3. Each class goes once to the largest of its tiles, dealt in groups of at most about ``chunk``, and is paired with the first
-       leader its bitmap lets it link to. The links among these pairs give components that collapse groups of near copies.
-    4. Tiles that span more than one component are split into size bands (each row is at home in one and a guest in
-       the next) and into pairs of chunks where large; bitmaps bound the overlap of all pairs left from above.
-    5. Pairs of either step are checked by intersecting the sorted hash arrays of their whole sets.
+    3. A tile is split into size bands, and where large into pairs of chunks. In it, bitmap signatures bound overlaps from
+       above; a forest that connects what may link goes on, of fewer edges than rows.
+    4. The components of these edges are families; all links lie within one. Families are split into bands and chunk pairs
+       again, and their sets intersected as sorted arrays where wider bitmaps still allow a link; a forest of the true links goes on.
+    5. The components of those are the result.
 
     Texts without words have an empty set and link with nothing, themselves included; rows with a null doc_id get a
     null component and link nothing; repeated rows are one class; extra columns are ignored.
@@ -260,43 +259,40 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: in
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
     heavy = _frequent(docs, k, most=1 << 16)
-    rows = keep(_described(docs, k, percent, heavy), "sets")
+    described = keep(_described(docs, k, percent, heavy), "sets")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
-    named = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first(F.struct("n", "prefix", "bits")).alias("first"))
+    named = described.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first(F.struct("n", "prefix", "bits")).alias("first"))
     classes = keep(named.select(F.monotonically_increasing_id().alias("vid"), "k1", "k2", "least.*", "first.*"), "classes")
-    posted = classes.select("vid", F.explode("prefix").alias("tile"))
-    tiles = keep(posted.withColumn("size", F.count("*").over(W.partitionBy("tile"))).where("size > 1"), "tiles")
-    signs = classes.select("vid", "n", "bits")
-
-    chosen = tiles.groupBy("vid").agg(F.max(F.struct("size", "tile")).alias("t")).select("vid", "t.tile", F.pmod(F.xxhash64("vid"), F.ceil(F.col("t.size") / chunk)).alias("salt"))
-    grouped = chosen.join(signs, "vid").repartition("tile", "salt").sortWithinPartitions("tile", "salt")
-    pairs = keep(_leader_pairs(grouped, percent), "pairs")
-    links = _exact(pairs, classes, docs, k, percent)
-    discard(pairs)
-
-    label = connected_components(links)
-    spread = tiles.select("tile", "vid").join(label.withColumnRenamed("node", "vid"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
-    whole = W.partitionBy("tile")
-    mixed = spread.withColumn("lo", F.min("component").over(whole)).withColumn("hi", F.max("component").over(whole)).where("lo <> hi")
-    ratio = math.log(100 / percent) * (1 + 1e-9)
-    band = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
-    sized = mixed.select("tile", "vid", "component").join(signs.select("vid", "n"), "vid")
-    placed = sized.withColumn("visit", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band + F.col("visit")).withColumn("home", F.col("visit") == 0)
-    cell = W.partitionBy("tile", "band")
-    counted = placed.select("tile", "band", "vid", "component", "home", F.count("*").over(cell).alias("size"), F.max("home").over(cell).alias("homes"), F.min("component").over(cell).alias("lo"), F.max("component").over(cell).alias("hi"))
-    cut = counted.where("homes AND lo <> hi").withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("ci", F.least("chunk", "other")).withColumn("cj", F.greatest("chunk", "other"))
+    rows = keep(described.select("doc_id", "tie", "n", "k1", "k2"), "rows")
+    discard(described)
+
+    posted = classes.select("vid", "n", F.explode("prefix").alias("tile"))
+    shared = posted.withColumn("size", F.count("*").over(W.partitionBy("tile"))).where("size > 1").select("tile", "vid", "n")
+    tiles = keep(_banded(shared, "tile", percent, chunk), "tiles")
     keys = ["tile", "band", "ci", "cj"]
-    signed = dealt.select(*keys, "vid", "component", "home", "chunk").join(signs, "vid")
-    ordered = signed.repartition(*keys).sortWithinPartitions(*keys)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    pairs = keep(_tile_pairs(ordered, percent).distinct(), "pairs")
+    signed = tiles.join(classes.select("vid", "n", "bits"), "vid").repartition(*keys).sortWithinPartitions(*keys)
+    weak = keep(_weak_edges(signed, percent), "weak")
     discard(tiles)
-    more = _exact(pairs, classes, docs, k, percent)
-    discard(pairs)
 
-    final = connected_components(links.unionByName(more))
+    families = keep(connected_components(weak).select(F.col("node").alias("vid"), F.col("component").alias("family")), "families")
+    discard(weak)
+    wanted = classes.select("vid", "doc_id", "tie").join(families.select("vid"), "vid")
+    texts = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"]).select("vid", "text")
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"vid": batch["vid"], "items": [shingles(t, k).tobytes() for t in batch["text"]]})
+
+    small_batches(spark)
+    sets = keep(texts.mapInPandas(make, "vid long, items binary"), "items")
+    dealt = _banded(families.join(classes.select("vid", "n"), "vid"), "family", percent, chunk // 2)
+    keys = ["family", "band", "ci", "cj"]
+    blocks = dealt.join(sets, "vid").repartition(*keys).sortWithinPartitions(*keys)
+    links = keep(_exact_links(blocks, percent), "links")
+    discard(sets, families)
+
+    final = connected_components(links)
     names = classes.select("vid", "k1", "k2", "doc_id").join(final.withColumnRenamed("node", "vid"), "vid")
     least = names.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = names.join(least, "component").select("k1", "k2", "component_id")
