@@ -34,10 +34,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
 
 
-def wanted_postings(terms: DataFrame, asked: list[str]) -> DataFrame:
-    """Postings of the asked terms only, filtered inside each document before anything is shuffled."""
-    hit = F.filter("terms", lambda t: t.isin(asked))
-    return postings(terms.select("node_id", "doc_len", hit.alias("terms")).where(F.size("terms") > 0))
+def wanted_postings(terms: DataFrame, asked: DataFrame) -> DataFrame:
+    """Postings of the asked terms only: a question's few terms are broadcast, so that nothing else is shuffled."""
+    wanted = F.broadcast(asked.select("term").distinct())
+    hit = terms.select("node_id", "doc_len", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+    return hit.groupBy("term", "node_id", "doc_len").agg(F.count("*").cast("int").alias("tf")).select("term", "node_id", "tf", "doc_len")
 
 
 def bm25(post: DataFrame, stats: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
