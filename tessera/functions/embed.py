@@ -35,7 +35,7 @@ def hash_embedding(docs: DataFrame, dims: int = 384, id_col: str = "id", text_co
 
     One shuffle counts terms per document, the next adds up buckets; a text without terms has no vector.
     """
-    terms = docs.select(F.col(id_col).alias("id"), F.explode(tokenize(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
+    terms = docs.select(F.col(id_col).alias("id"), F.explode_outer(tokenize(F.col(text_col))).alias("term")).where("term IS NOT NULL").groupBy("id", "term").agg(F.count("*").alias("n"))
     digest = F.sha1("term")
     bucket = lambda i: F.conv(F.substring(digest, i, 8), 16, 10).cast("long") % dims
     sign = lambda i: F.when(F.conv(F.substring(digest, i, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)

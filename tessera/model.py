@@ -20,7 +20,13 @@ OTHER_CONFIDENCE = 0.5
 TYPE_KINDS = ("class", "interface", "struct", "trait", "enum", "type", "protocol", "record", "module", "object")
 
 
-_table = T.StructType.fromDDL
+_TYPES = {"STRING": T.StringType(), "DOUBLE": T.DoubleType(), "BIGINT": T.LongType(), "INT": T.IntegerType(), "ARRAY<FLOAT>": T.ArrayType(T.FloatType()), "ARRAY<STRING>": T.ArrayType(T.StringType())}
+
+
+def _table(spec: str) -> T.StructType:
+    """A schema from "name TYPE, ..."; unlike the session's own parser this needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.strip().split(" ") for c in spec.split(","))])
+
 
 MEMORY = _table(
     "id STRING, layer STRING, title STRING, body STRING, source_ref STRING, file_path STRING, importance DOUBLE, confidence DOUBLE, created_at BIGINT, last_seen_at BIGINT, "
@@ -38,7 +44,9 @@ POSTINGS = _table("term STRING, node_id STRING, tf INT, doc_len INT")
 FILE_STAMP = _table("path STRING, stamp STRING")
 HUNK = _table("file STRING, status STRING, old_start INT, old_lines INT, new_start INT, new_lines INT")
 LINE = _table("file_path STRING, line INT, text STRING")
-JOURNAL = _table("kind STRING, at BIGINT, node STRUCT<id: STRING, layer: STRING, title: STRING, body: STRING, source_ref: STRING, importance: DOUBLE, created_at: BIGINT>, edge STRUCT<src: STRING, dst: STRING, type: STRING, weight: DOUBLE>")
+_NODE = _table("id STRING, layer STRING, title STRING, body STRING, source_ref STRING, importance DOUBLE, created_at BIGINT")
+_LINK = _table("src STRING, dst STRING, type STRING, weight DOUBLE")
+JOURNAL = T.StructType([*_table("kind STRING, at BIGINT").fields, T.StructField("node", _NODE), T.StructField("edge", _LINK)])
 
 #: Recorded tables are what people wrote; derived ones can be rebuilt from files and may be dropped.
 RECORDED = ("memory", "memory_edge", "about")

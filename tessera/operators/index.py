@@ -15,9 +15,14 @@ def terms_of(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Dat
     return docs.select(F.col(id_col).alias("node_id"), tokenize(F.col(text_col)).alias("terms")).withColumn("doc_len", F.size("terms"))
 
 
+def exploded(terms: DataFrame) -> DataFrame:
+    """node_id, doc_len, term. The outer form, because the plain one has the terms made again to see whether there are any."""
+    return terms.select("node_id", "doc_len", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
+
+
 def postings(terms: DataFrame) -> DataFrame:
     """term, node_id, tf, doc_len: one shuffle, on the term and document, with counts combined before it."""
-    return terms.select("node_id", "doc_len", F.explode("terms").alias("term")).groupBy("term", "node_id", "doc_len").agg(F.count("*").cast("int").alias("tf")).select("term", "node_id", "tf", "doc_len")
+    return exploded(terms).groupBy("term", "node_id", "doc_len").agg(F.count("*").cast("int").alias("tf")).select("term", "node_id", "tf", "doc_len")
 
 
 def corpus_stats(terms: DataFrame) -> DataFrame:
@@ -37,7 +42,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def wanted_postings(terms: DataFrame, asked: DataFrame) -> DataFrame:
     """Postings of the asked terms only: a question's few terms are broadcast, so that nothing else is shuffled."""
     wanted = F.broadcast(asked.select("term").distinct())
-    hit = terms.select("node_id", "doc_len", F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+    hit = exploded(terms).join(wanted, "term", "left_semi")
     return hit.groupBy("term", "node_id", "doc_len").agg(F.count("*").cast("int").alias("tf")).select("term", "node_id", "tf", "doc_len")
 
 

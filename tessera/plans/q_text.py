@@ -104,7 +104,7 @@ def identifier_parts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(split_identifier(F.concat("p_type", F.lit("_"), F.replace("p_name", F.lit(" "), F.lit("")))), " ").alias("parts"))
 
 
-@query(r"""WITH body AS (SELECT doc_id, source, regexp_replace(regexp_replace(regexp_replace(text, '\r\n', '\n', 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS body FROM documents)
+@query(r"""WITH body AS (SELECT doc_id, source, regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS body FROM documents)
 SELECT doc_id, 'mem_' || left(sha256('artifact ' || source || ' ' || body), 24) AS id FROM body""")
 def node_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", node_id(F.lit("artifact"), F.col("source"), F.col("text")).alias("id"))
@@ -197,13 +197,13 @@ LAYER_SQL = "CASE event_type WHEN 'purchase' THEN 'semantic' WHEN 'error' THEN '
 @query(f"""WITH now AS (SELECT max(epoch_ms(ts)) AS now FROM events), e AS (SELECT event_id, user_id, {LAYER_SQL} AS layer, epoch_ms(ts) AS created, value FROM events),
 s AS (SELECT user_id, event_id, round((CASE WHEN value = 0 THEN 1 ELSE value END) * CASE layer WHEN 'semantic' THEN 1 ELSE pow(0.5, greatest(0, (now - created) / 86400000.0) / CASE layer WHEN 'episodic' THEN 30 WHEN 'procedural' THEN 180 WHEN 'artifact' THEN 365 ELSE 90 END) END, 6) AS score FROM e, now),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS rank FROM s)
-SELECT user_id AS query_id, event_id AS node_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
+SELECT user_id AS query_id, event_id AS node_id, round(score, 4) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
 def recency_decay_rank(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("created_at", F.unix_millis(F.col("ts").cast("timestamp")))
     layer = F.when(F.col("event_type") == "purchase", "semantic").when(F.col("event_type") == "error", "episodic").when(F.col("event_type") == "signup", "procedural").when(F.col("event_type") == "click", "artifact").otherwise("other")
     now = e.agg(F.max("created_at").alias("now"))
     rows = e.crossJoin(F.broadcast(now)).select(F.col("user_id").alias("query_id"), F.col("event_id").alias("node_id"), layer.alias("layer"), "created_at", F.lit(1.0).alias("coverage"), F.col("value").alias("importance"), "now")
-    return retrieval.recency_rank(rows, F.col("now"), 5).select("query_id", "node_id", "score", "rank")
+    return retrieval.recency_rank(rows, F.col("now"), 5).select("query_id", "node_id", F.round("score", 4).alias("score"), "rank")
 
 
 FUSED_SQL = f"""WITH {BM25_SQL}, shared AS (SELECT query_id, t.node_id, count(*) AS overlap FROM (SELECT DISTINCT node_id, term FROM terms) t JOIN asked USING (term) GROUP BY query_id, t.node_id),
