@@ -64,7 +64,7 @@ def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     return out
 
 
-def communities(edges: DataFrame, rounds: int = 12, sweeps: int = 2) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 6, sweeps: int = 2) -> DataFrame:
     """node, community: weighted modularity moves in the manner of Louvain, on all nodes at once.
 
     In each round every node weighs the communities of its neighbours by the modularity gained by moving there; only

@@ -40,25 +40,27 @@ def resolve_targets(asked: DataFrame, symbol: DataFrame, calls: DataFrame, inher
     A uid wins; then file:qualified; a dotted suffix; the exact name; the name in any case. ``file`` keeps what ends in it. More than one
     match is answered with all of them, outside tests and best connected first; none with names that contain it.
     """
-    s = symbol.select("id", "name", "file_path", qualified_name(F.col("id")).alias("qualified"))
+    s = symbol.select("id", F.col("name").alias("s_name"), "file_path", qualified_name(F.col("id")).alias("qualified"))
     a = asked.select("query_id", "name", "uid", "file")
-    pairs = F.broadcast(a).join(s, (F.lower(a["name"]) == F.lower(s["name"])) | (a["uid"] == s["id"]) | F.lower(a["name"]).endswith(F.concat(F.lit("."), F.lower(s["name"]))) | F.lower(a["name"]).endswith(F.concat(F.lit(":"), F.lower(s["name"]))))
-    sn, an = F.coalesce(s["qualified"], F.lit("")), F.coalesce(a["name"], F.lit(""))
+    low, tail = F.lower("name"), F.lower("s_name")
+    pairs = s.join(F.broadcast(a), (low == tail) | (F.col("uid") == F.col("id")) | low.endswith(F.concat(F.lit("."), tail)) | low.endswith(F.concat(F.lit(":"), tail)))
+    given = F.coalesce("name", F.lit(""))
     way = (
-        F.when(a["uid"] == s["id"], 0)
-        .when(an == F.concat(s["file_path"], F.lit(":"), sn), 1)
-        .when(an.contains(".") & ((sn == an) | sn.endswith(F.concat(F.lit("."), an))), 2)
-        .when(an == s["name"], 3)
-        .when(F.lower(an) == F.lower(s["name"]), 4)
+        F.when(F.col("uid") == F.col("id"), 0)
+        .when(given == F.concat_ws(":", "file_path", "qualified"), 1)
+        .when(given.contains(".") & ((F.col("qualified") == given) | F.col("qualified").endswith(F.concat(F.lit("."), given))), 2)
+        .when(given == F.col("s_name"), 3)
+        .when(low == tail, 4)
     )
-    fits = pairs.withColumn("way", way).where("way IS NOT NULL").where(a["file"].isNull() | s["file_path"].endswith(a["file"]))
+    fits = pairs.withColumn("way", way).where("way IS NOT NULL").where(F.col("file").isNull() | F.col("file_path").endswith(F.col("file")))
     first = fits.withColumn("least", F.min("way").over(W.partitionBy("query_id"))).where("way = least").select("query_id", "id", "file_path")
     linked = first.join(degrees(calls, inherits), "id", "left")
     order = W.partitionBy("query_id").orderBy(is_test_path(F.col("file_path")).cast("int"), F.desc(F.coalesce("degree", F.lit(0))), "file_path", "id")
     found = linked.withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy("query_id"))).select("query_id", F.when(F.col("n") == 1, "ok").otherwise("ambiguous").alias("status"), "id", "rank")
     missing = a.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    like = F.broadcast(missing).join(s, F.lower(s["name"]).contains(F.lower(missing["name"])), "left").select("query_id", F.lit("not_found").alias("status"), "id", s["name"].alias("hit"))
-    hints = like.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("hit", "id"))).where(F.col("rank") <= suggestions).drop("hit")
+    hit = s.join(F.broadcast(missing), tail.contains(low)).select("query_id", "id", F.col("s_name").alias("hit"))
+    like = missing.select("query_id").join(hit, "query_id", "left").withColumn("status", F.lit("not_found"))
+    hints = like.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("hit", "id"))).where(F.col("rank") <= suggestions).select("query_id", "status", "id", "rank")
     return found.unionByName(hints)
 
 
