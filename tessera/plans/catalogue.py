@@ -78,7 +78,7 @@ def levels_sql(edges: str, seeds: str, depth: int) -> str:
         seen = " UNION ALL ".join(f"SELECT source, node FROM l{i}" for i in range(d))
         parts.append(
             f"""l{d} AS (SELECT source, dst AS node, {d} AS depth, max(conf) AS confidence, arg_min(up, (-conf, up)) AS parent FROM
-  (SELECT l.source, e.dst, l.confidence * e.confidence AS conf, l.node AS up FROM l{d - 1} l JOIN {edges} e ON e.src = l.node) x
+  (SELECT l.source, e.dst, round(l.confidence * e.confidence, 9) AS conf, l.node AS up FROM l{d - 1} l JOIN {edges} e ON e.src = l.node) x
   WHERE (source, dst) NOT IN ({seen}) GROUP BY source, dst)"""
         )
     return ",\n".join(parts) + ",\nfound AS (" + " UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(depth + 1)) + ")"
@@ -94,7 +94,7 @@ def code_graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     is_class = F.col("p") % 4 == 0
     tail = F.when(is_class, F.concat(F.lit("C"), g.cast("string"))).otherwise(F.concat(F.lit("C"), g.cast("string"), F.lit(".fn"), F.col("p").cast("string")))
     symbol = part.select(
-        "p", F.concat(F.lit("Symbol:"), where, F.lit(":"), tail).alias("id"), F.when(is_class, F.concat(F.lit("C"), (g % 50).cast("string"))).otherwise(F.concat(F.lit("fn"), (F.col("p") % 97).cast("string"))).alias("name"),
+        "p", "size", F.concat(F.lit("Symbol:"), where, F.lit(":"), tail).alias("id"), F.when(is_class, F.concat(F.lit("C"), (g % 50).cast("string"))).otherwise(F.concat(F.lit("fn"), (F.col("p") % 97).cast("string"))).alias("name"),
         where.alias("file_path"), F.when(is_class, "class").otherwise("method").alias("kind"), ((F.col("p") % 4) * 10 + 1).cast("int").alias("start_line"), F.when(is_class, 40).otherwise((F.col("p") % 4) * 10 + 9).cast("int").alias("end_line"),
     )
     ids = symbol.select(F.col("p").alias("q"), F.col("id").alias("dst"))
@@ -110,9 +110,9 @@ def code_graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 CODE_SQL = """
-parts AS (SELECT p_partkey AS p, p_partkey - p_partkey % 4 AS g FROM part),
+parts AS (SELECT p_partkey AS p, p_size AS size, p_partkey - p_partkey % 4 AS g FROM part),
 placed AS (SELECT *, (CASE WHEN g % 40 = 0 THEN 'tests/m' ELSE 'src/m' END) || (g % 20) || '/f' || (g % 28) || '.ts' AS file_path FROM parts),
-symbol AS (SELECT p, 'Symbol:' || file_path || ':C' || g || CASE WHEN p % 4 = 0 THEN '' ELSE '.fn' || p END AS id,
+symbol AS (SELECT p, size, 'Symbol:' || file_path || ':C' || g || CASE WHEN p % 4 = 0 THEN '' ELSE '.fn' || p END AS id,
   CASE WHEN p % 4 = 0 THEN 'C' || (g % 50) ELSE 'fn' || (p % 97) END AS name, file_path, CASE WHEN p % 4 = 0 THEN 'class' ELSE 'method' END AS kind,
   (p % 4) * 10 + 1 AS start_line, CASE WHEN p % 4 = 0 THEN 40 ELSE (p % 4) * 10 + 9 END AS end_line, file_path LIKE 'tests/%' AS is_test FROM placed),
 calls AS (

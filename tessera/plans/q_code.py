@@ -14,11 +14,11 @@ up AS (SELECT * FROM up_all WHERE dst NOT IN (SELECT id FROM symbol WHERE is_tes
 DOWN_SQL = f"""{STRONG_SQL}, down_all AS (SELECT * FROM strong UNION ALL SELECT m.parent, b.dst, b.confidence FROM strong b JOIN member m ON m.child = b.src WHERE m.parent <> b.dst),
 down AS (SELECT * FROM down_all WHERE dst NOT IN (SELECT id FROM symbol WHERE is_test))"""
 LABEL_SQL = "CASE depth WHEN 1 THEN 'WILL BREAK' WHEN 2 THEN 'LIKELY AFFECTED' WHEN 3 THEN 'MAY NEED TESTING' ELSE 'TRANSITIVE' END"
-TARGETS_SQL = "targets AS (SELECT id AS source, id AS node FROM symbol WHERE p % 37 = 1)"
+TARGETS_SQL = "targets AS (SELECT id AS source, id AS node FROM symbol WHERE kind = 'class')"
 
 
 def _targets(g):
-    return g["symbol"].where("p % 37 = 1").select("id")
+    return g["symbol"].where("kind = 'class'").select("id")
 
 
 @query(f"WITH {CODE_SQL}, {UP_SQL}, {TARGETS_SQL}, {levels_sql('up', 'targets', 3)} SELECT source, node, CAST(depth AS INT) AS depth, round(confidence, 4) AS confidence, parent, {LABEL_SQL} AS label FROM found WHERE depth > 0")
@@ -34,7 +34,7 @@ def impact_downstream(spark, sf_dir):
 
 
 @query(f"""WITH {CODE_SQL}, {UP_SQL}, {TARGETS_SQL}, {levels_sql('up', 'targets', 2)}, c AS (SELECT source, count(*) AS symbols, count_if(depth = 1) AS direct FROM found WHERE depth > 0 GROUP BY 1),
-own AS (SELECT s.id AS source, file_path FROM symbol s WHERE p % 37 = 1),
+own AS (SELECT s.id AS source, file_path FROM symbol s WHERE kind = 'class'),
 g AS (SELECT source, bool_or(regexp_matches(lower(t), {CRITICAL_SQL})) AS critical FROM (SELECT source, regexp_replace(node, '^.*:', '') || ' ' || file_path AS t FROM found JOIN symbol ON id = node WHERE depth = 1 UNION ALL SELECT source, regexp_replace(source, '^.*:', '') || ' ' || file_path FROM own) x GROUP BY 1),
 f AS (SELECT source, string_agg(DISTINCT src, ' ' ORDER BY src) AS files FROM own JOIN imports ON dst = file_path WHERE src NOT LIKE 'tests/%' GROUP BY 1),
 t AS (SELECT b.dst AS source, count(DISTINCT b.src) AS tests FROM (SELECT src, dst FROM calls UNION ALL SELECT src, dst FROM inherits) b JOIN symbol s ON s.id = b.src WHERE s.is_test GROUP BY 1)
@@ -47,7 +47,7 @@ def impact_risk(spark, sf_dir):
     return code.impact_summary(t, found, g["symbol"], g["calls"], g["inherits"], g["imports"]).withColumn("importing_files", F.array_join("importing_files", " ")).withColumn("dropped", F.col("dropped").cast("long"))
 
 
-@query(f"""WITH {CODE_SQL}, t AS (SELECT id AS source, file_path FROM symbol WHERE p % 37 = 1)
+@query(f"""WITH {CODE_SQL}, t AS (SELECT id AS source, file_path FROM symbol WHERE kind = 'class')
 SELECT DISTINCT * FROM (SELECT source, 'container' AS relation, parent AS other FROM t JOIN member ON child = source UNION ALL SELECT source, 'member', child FROM t JOIN member ON parent = source
 UNION ALL SELECT source, 'caller', src FROM t JOIN calls ON dst = source UNION ALL SELECT source, 'callee', dst FROM t JOIN calls ON src = source UNION ALL SELECT source, 'base', dst FROM t JOIN inherits ON src = source
 UNION ALL SELECT source, 'derived', src FROM t JOIN inherits ON dst = source UNION ALL SELECT source, 'imports', dst FROM t JOIN imports ON src = file_path UNION ALL SELECT source, 'imported_by', src FROM t JOIN imports ON dst = file_path) x""")
@@ -57,13 +57,13 @@ def symbol_context(spark, sf_dir):
 
 
 TRACE_SQL = f"""{CODE_SQL}, walk AS (SELECT src, dst, confidence FROM calls WHERE src NOT IN (SELECT id FROM symbol WHERE is_test) UNION ALL SELECT parent, child, 1.0 FROM member WHERE parent NOT IN (SELECT id FROM symbol WHERE is_test)),
-targets AS (SELECT id AS source, id AS node FROM symbol WHERE p % 41 = 2), goal AS (SELECT a.id AS source, b.id AS target FROM symbol a JOIN symbol b ON b.p = a.p // 8 WHERE a.p % 41 = 2), {levels_sql('walk', 'targets', 10)}"""
+targets AS (SELECT id AS source, id AS node FROM symbol WHERE kind = 'class'), goal AS (SELECT a.id AS source, b.id AS target FROM symbol a JOIN symbol b ON b.p = a.p // 8 WHERE a.kind = 'class'), {levels_sql('walk', 'targets', 10)}"""
 
 
 @query(f"WITH {TRACE_SQL} SELECT g.source, g.target, CASE WHEN depth IS NULL THEN 'no_path' ELSE 'ok' END AS status, CAST(depth AS INT) AS hops FROM goal g LEFT JOIN found f ON f.source = g.source AND f.node = g.target")
 def shortest_path(spark, sf_dir):
     g = code_graph(spark, sf_dir)
-    a = g["symbol"].where("p % 41 = 2").select(F.col("id").alias("source"), F.floor(F.col("p") / 8).alias("q"))
+    a = g["symbol"].where("kind = 'class'").select(F.col("id").alias("source"), F.floor(F.col("p") / 8).alias("q"))
     pairs = a.join(g["symbol"].select(F.col("p").alias("q"), F.col("id").alias("target")), "q").select("source", "target")
     return code.trace(pairs, g["symbol"], g["calls"]).select("source", "target", "status", "hops")
 
@@ -89,7 +89,7 @@ def flows(spark, sf_dir):
     return code.flows(g["symbol"], g["calls"]).drop("via")
 
 
-@query(f"WITH {FLOW_SQL} SELECT process_id, min(depth) AS depth FROM flow JOIN symbol s ON s.id = symbol_id WHERE s.p % 37 = 1 GROUP BY 1")
+@query(f"WITH {FLOW_SQL} SELECT process_id, min(depth) AS depth FROM flow JOIN symbol s ON s.id = symbol_id WHERE s.kind = 'class' GROUP BY 1")
 def flows_of_symbols(spark, sf_dir):
     g = code_graph(spark, sf_dir)
     return code.flows_of(code.flows(g["symbol"], g["calls"]), _targets(g))
@@ -130,7 +130,7 @@ def _cascade():
 r AS (SELECT call_id, {_cascade()}, count(id) AS n FROM c GROUP BY call_id) SELECT call_id, id, confidence, CASE WHEN n = 0 THEN 'external' WHEN id IS NULL THEN 'ambiguous' END AS reason FROM r""")
 def name_resolution(spark, sf_dir):
     g = code_graph(spark, sf_dir)
-    return code.choose(_sites(g), g["symbol"].drop("p"), g["imports"])
+    return code.choose(_sites(g), g["symbol"].drop("p", "size"), g["imports"])
 
 
 @query(f"""WITH {CODE_SQL}, {SITES_SQL}, named AS (SELECT t.call_id, s.id, s.file_path, s.is_test FROM (SELECT DISTINCT call_id, name FROM sites) t JOIN symbol s ON s.name = t.name),
@@ -139,7 +139,7 @@ SELECT call_id AS query_id, CASE WHEN count(*) OVER (PARTITION BY call_id) = 1 T
 def resolve_targets(spark, sf_dir):
     g = code_graph(spark, sf_dir)
     asked = _sites(g).select(F.col("call_id").alias("query_id"), "name", F.lit(None).cast("string").alias("uid"), F.lit(None).cast("string").alias("file")).distinct()
-    return code.resolve_targets(asked, g["symbol"].drop("p"), g["calls"], g["inherits"])
+    return code.resolve_targets(asked, g["symbol"].drop("p", "size"), g["calls"], g["inherits"])
 
 
 # Hunks by part: one in four files changes, at lines that move with the part.
@@ -235,7 +235,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 def code_query(spark, sf_dir):
     g = code_graph(spark, sf_dir)
     none = spark.createDataFrame([], "process_id string, symbol_id string, depth int")
-    return code.query(values(spark, ASK, "query_id string, text string"), g["symbol"].drop("p"), none).select("query_id", "id", "score", "rank")
+    return code.query(values(spark, ASK, "query_id string, text string"), g["symbol"].drop("p", "size"), none).select("query_id", "id", "score", "rank")
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_custkey, epoch(o_orderdate) AS t0 FROM orders), s AS (SELECT o_orderkey AS id, o_custkey, t0 AS a, t0 + 86400 * (10 + o_orderkey % 90) AS b FROM o),
@@ -270,15 +270,15 @@ def contracts_match(spark, sf_dir):
     return surface.contracts(routes, calls)[0].select(F.col("line").alias("call"), F.col("handler").cast("long").alias("route"), "confidence")
 
 
-MARK_SQL = """marked AS (SELECT id AS symbol_id, CASE WHEN p % 11 = 0 THEN 'source' WHEN p % 13 = 0 THEN 'sink' ELSE 'sanitizer' END AS role, p AS line FROM symbol WHERE NOT is_test AND (p % 11 = 0 OR p % 13 = 0 OR p % 17 = 0))"""
+MARK_SQL = """marked AS (SELECT id AS symbol_id, CASE WHEN size <= 5 THEN 'source' WHEN size >= 46 THEN 'sink' ELSE 'sanitizer' END AS role, p AS line FROM symbol WHERE NOT is_test AND (size <= 5 OR size >= 46 OR size = 25))"""
 
 
 @query(f"""WITH {CODE_SQL}, {MARK_SQL}, hop AS (SELECT DISTINCT src, dst, 1.0::DOUBLE AS confidence FROM calls), starts AS (SELECT symbol_id AS source, symbol_id AS node FROM marked WHERE role = 'source'), {levels_sql('hop', 'starts', 3)}
 SELECT f.source AS source_id, a.line AS source_line, f.node AS sink_id, b.line AS sink_line, CAST(depth AS INT) AS depth FROM found f JOIN marked a ON a.symbol_id = f.source AND a.role = 'source' JOIN marked b ON b.symbol_id = f.node AND b.role = 'sink'""")
 def taint_paths(spark, sf_dir):
     g = code_graph(spark, sf_dir)
-    s = g["symbol"].where("file_path NOT LIKE 'tests/%' AND (p % 11 = 0 OR p % 13 = 0 OR p % 17 = 0)")
-    role = F.when(F.col("p") % 11 == 0, "source").when(F.col("p") % 13 == 0, "sink").otherwise("sanitizer")
+    s = g["symbol"].where("file_path NOT LIKE 'tests/%' AND (size <= 5 OR size >= 46 OR size = 25)")
+    role = F.when(F.col("size") <= 5, "source").when(F.col("size") >= 46, "sink").otherwise("sanitizer")
     marked = s.select(F.col("id").alias("symbol_id"), role.alias("role"), role.alias("marker"), F.col("p").alias("line"))
     return surface.taint_of(marked, g["calls"]).select("source_id", "source_line", "sink_id", "sink_line", "depth")
 

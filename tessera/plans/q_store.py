@@ -25,24 +25,24 @@ def _nodes(df, layer):
     return df.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in MEMORY.fields])
 
 
-@query("""SELECT 'd' || doc_id AS id, CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END AS access_count, CASE WHEN doc_id % 6 = 0 THEN 99 ELSE 1 END AS last_seen_at, CASE WHEN doc_id % 6 = 0 THEN greatest(doc_id % 7, 5) ELSE doc_id % 7 END::DOUBLE AS importance FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""")
+@query("""SELECT 'd' || doc_id AS id, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS access_count, CASE WHEN lang = 'en' THEN 99 ELSE 1 END AS last_seen_at, CASE WHEN lang = 'en' THEN greatest(doc_id % 7, 5) ELSE doc_id % 7 END::DOUBLE AS importance FROM documents WHERE lang IN ('en', 'fr', 'de')""")
 def upsert_merge(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    known, delta = _nodes(docs.where("doc_id % 2 = 0"), "artifact"), _nodes(docs.where("doc_id % 3 = 0"), "artifact")
-    raised = delta.withColumn("importance", F.when(F.expr("CAST(substr(id, 2) AS BIGINT) % 2 = 0"), F.greatest("importance", F.lit(5.0))).otherwise(F.col("importance")))
-    out = upsert(known, raised, 99)
+    known, delta = _nodes(docs.where("lang IN ('en', 'fr')"), "artifact"), docs.where("lang IN ('en', 'de')")
+    raised = _nodes(delta.where("lang = 'en'"), "artifact").withColumn("importance", F.greatest("importance", F.lit(5.0)))
+    out = upsert(known, raised.unionByName(_nodes(delta.where("lang = 'de'"), "artifact")), 99)
     return out.select("id", F.col("access_count").cast("int").alias("access_count"), F.col("last_seen_at").cast("int").alias("last_seen_at"), "importance")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'changed' ELSE 'new' END AS state FROM documents WHERE doc_id % 4 IN (1, 2) UNION ALL SELECT -1 - doc_id, 'gone' FROM documents WHERE doc_id % 9 = 0")
+@query("SELECT doc_id, CASE lang WHEN 'es' THEN 'changed' ELSE 'new' END AS state FROM documents WHERE lang IN ('es', 'fr') UNION ALL SELECT -1 - doc_id, 'gone' FROM documents WHERE lang = 'de'")
 def incremental_stamps(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f"), "doc_id").alias("path"), F.col("text").alias("content"))
-    old = docs.where("doc_id % 4 <> 2").withColumn("content", F.when(F.col("doc_id") % 4 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
-    lost = docs.where("doc_id % 9 = 0").select(F.concat(F.lit("f"), (-1 - F.col("doc_id")).cast("string")).alias("path"), "content")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(F.lit("f"), "doc_id").alias("path"), F.col("text").alias("content"))
+    old = docs.where("lang <> 'fr'").withColumn("content", F.when(F.col("lang") == "es", F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    lost = docs.where("lang = 'de'").select(F.concat(F.lit("f"), (-1 - F.col("doc_id")).cast("string")).alias("path"), "content")
     known = stamps(old).unionByName(stamps(lost))
-    todo = changed_files(docs.select("path", "content"), known).select(F.regexp_replace("path", "^f", "").cast("long").alias("doc_id"))
+    todo = changed_files(docs, known).select("doc_id", F.when(F.col("lang") == "es", "changed").otherwise("new").alias("state"))
     gone = vanished(known, docs, "f").select(F.regexp_replace("path", "^f", "").cast("long").alias("doc_id"), F.lit("gone").alias("state"))
-    return todo.select("doc_id", F.when(F.col("doc_id") % 4 == 1, "changed").otherwise("new").alias("state")).unionByName(gone)
+    return todo.unionByName(gone)
 
 
 def _journal(spark, sf_dir):
@@ -102,13 +102,13 @@ def guarded_sql(spark, sf_dir):
     return read_only_sql(spark, "SELECT o_orderpriority, count(*) AS n FROM orders_view GROUP BY 1 ORDER BY 1;", orders_view=table(spark, sf_dir, "orders"))
 
 
-@query("""WITH a AS (SELECT url AS path, md5(html) AS h FROM pages WHERE page_id % 5 <> 0), b AS (SELECT url AS path, md5(html || CASE WHEN page_id % 7 = 0 THEN 'x' ELSE '' END) AS h FROM pages WHERE page_id % 3 <> 0), x AS (SELECT path, min(h) AS h FROM a GROUP BY 1), y AS (SELECT path, min(h) AS h FROM b GROUP BY 1)
+@query("""WITH a AS (SELECT url AS path, md5(html) AS h FROM pages WHERE url NOT LIKE '%?%'), b AS (SELECT url AS path, md5(html || CASE WHEN url LIKE '%/fr/%' THEN 'x' ELSE '' END) AS h FROM pages WHERE url NOT LIKE '%#%'), x AS (SELECT path, min(h) AS h FROM a GROUP BY 1), y AS (SELECT path, min(h) AS h FROM b GROUP BY 1)
 SELECT coalesce(x.path, y.path) AS path, CASE WHEN y.h IS NULL THEN 'missing' WHEN x.h IS NULL THEN 'extra' WHEN x.h <> y.h THEN 'changed' ELSE 'current' END AS state FROM x FULL JOIN y ON x.path = y.path""")
 def wiki_drift(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     hash_of = lambda c: F.md5(c.cast("binary"))
-    a = p.where("page_id % 5 <> 0").select(F.col("url").alias("path"), hash_of(F.col("html")).alias("h"))
-    b = p.where("page_id % 3 <> 0").select(F.col("url").alias("path"), hash_of(F.concat("html", F.when(F.col("page_id") % 7 == 0, "x").otherwise(""))).alias("h"))
+    a = p.where("url NOT LIKE '%?%'").select(F.col("url").alias("path"), hash_of(F.col("html")).alias("h"))
+    b = p.where("url NOT LIKE '%#%'").select(F.col("url").alias("path"), hash_of(F.concat("html", F.when(F.col("url").contains("/fr/"), "x").otherwise(""))).alias("h"))
     least = lambda df, foot: df.groupBy("path").agg(F.concat(F.min("h"), F.lit(foot)).alias("body"))
     return reports.wiki_drift(least(a, "\n<!-- provenance: today -->"), least(b, ""))
 
@@ -120,14 +120,14 @@ def budgeted_json(spark, sf_dir):
     return reports.budgeted_json(rows, "conv_id", ["turn"], 60).select("conv_id", "turn", "bytes", "omitted")
 
 
-@query("""WITH d AS (SELECT 'd' || doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'artifact' ELSE 'semantic' END AS layer, (doc_id % 7)::DOUBLE AS importance, doc_id FROM documents), e AS (SELECT 'd' || doc_id AS src, 'd' || (doc_id // 2) AS dst FROM documents WHERE doc_id % 5 = 0),
+@query("""WITH d AS (SELECT 'd' || doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'artifact' ELSE 'semantic' END AS layer, (doc_id % 7)::DOUBLE AS importance, doc_id FROM documents), e AS (SELECT 'd' || doc_id AS src, 'd' || (doc_id // 2) AS dst FROM documents WHERE lang = 'en'),
 g AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) x GROUP BY 1), t AS (SELECT d.*, coalesce(degree, 0) AS degree, CASE WHEN layer <> 'artifact' AND degree > 0 THEN 0 WHEN layer <> 'artifact' THEN 1 WHEN degree > 0 THEN 2 ELSE 3 END AS tier FROM d LEFT JOIN g USING (id)),
 r AS (SELECT *, row_number() OVER (ORDER BY tier, degree DESC, importance DESC, id) AS rn FROM t), o AS (SELECT *, sum(CASE WHEN rn > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY tier) AS omitted FROM r) SELECT id, CAST(tier AS INT) AS tier, degree, CAST(omitted AS BIGINT) AS omitted FROM o WHERE rn <= 100""")
 def viewer_nodes(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     layer = F.when(F.col("doc_id") % 3 == 0, "artifact").otherwise("semantic")
     rows = d.select(F.concat(F.lit("d"), "doc_id").alias("id"), layer.alias("layer"), F.col("source").alias("title"), F.col("text").alias("body"), (F.col("doc_id") % 7).cast("double").alias("importance"), F.lit(None).cast("long").alias("superseded_at"))
-    edges = d.where("doc_id % 5 = 0").select(F.concat(F.lit("d"), "doc_id").alias("src"), F.concat(F.lit("d"), F.floor(F.col("doc_id") / 2).cast("string")).alias("dst"))
+    edges = d.where("lang = 'en'").select(F.concat(F.lit("d"), "doc_id").alias("src"), F.concat(F.lit("d"), F.floor(F.col("doc_id") / 2).cast("string")).alias("dst"))
     return reports.viewer_nodes(rows, edges, 100).select("id", "tier", "degree", "omitted")
 
 
