@@ -182,7 +182,7 @@ REDACTIONS = (
     ("google-api-key", _B + "AIza[0-9A-Za-z_-]{35}" + _E, "[REDACTED:google-api-key]"),
     ("private-key-block", r"-----BEGIN[A-Z ]*PRIVATE KEY-----[\s\S]*?-----END[A-Z ]*PRIVATE KEY-----", "[REDACTED:private-key-block]"),
     ("jwt", _B + r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}" + _E, "[REDACTED:jwt]"),
-    ("url-credentials", "(?i)" + _B + r"([a-z][a-z0-9+.-]*://)[^\s/:@]+:[^\s/@]+@", "$1[REDACTED:url-credentials]@"),
+    ("url-credentials", "(?i)" + _B + r"([a-z][a-z0-9+.-]*://)(?!\[REDACTED)[^\s/:@]+:[^\s/@]+@", "$1[REDACTED:url-credentials]@"),
     (
         "assigned-secret",
         "(?i)" + _B + r"""((?:api[_-]?key|secret|password|passwd|token|access[_-]?key|private[_-]?key|client[_-]?secret)\s*[:=]\s*)(['"]?)(?!\[REDACTED)([^\s'";,]{8,})\2""",

@@ -396,7 +396,8 @@ def apply_rename(edits: DataFrame, symbol: DataFrame, line: DataFrame, to: str)
     one = per.join(line, ["file_path", "line"])
     held = F.forall("columns", lambda c: F.substring(F.col("text"), c, F.length("name")) == F.col("name"))
     new = F.aggregate("columns", F.col("text"), lambda t, c: F.concat(F.substring(t, F.lit(1), c - 1), F.lit(to), F.substring(t, c + F.length("name"), F.length(t))))
-    return one.select("file_path", "line", F.when(held, new).otherwise(F.col("text")).alias("text"), held.alias("applied"))
+    told = one.select("file_path", "line", F.col("text").alias("old"), new.alias("new"), held.alias("applied"))
+    return told.select("file_path", "line", F.when(F.col("applied"), F.col("new")).otherwise(F.col("old")).alias("text"), "applied")
 
 
 # --- checks ------------------------------------------------------------------------------------

@@ -21,13 +21,13 @@ def _targets(g):
     return g["symbol"].where("kind = 'class'").select("id")
 
 
-@query(f"WITH {CODE_SQL}, {UP_SQL}, {TARGETS_SQL}, {levels_sql('up', 'targets', 3)} SELECT source, node, CAST(depth AS INT) AS depth, round(confidence, 4) AS confidence, parent, {LABEL_SQL} AS label FROM found WHERE depth > 0")
+@query(f"WITH {CODE_SQL}, {UP_SQL}, {TARGETS_SQL}, {levels_sql('up', 'targets', 3)} SELECT source, node, CAST(depth AS INT) AS depth, round(confidence + 1e-9, 4) AS confidence, parent, {LABEL_SQL} AS label FROM found WHERE depth > 0")
 def impact_upstream(spark, sf_dir):
     g = code_graph(spark, sf_dir)
     return code.impact(_targets(g), g["symbol"], g["calls"], g["inherits"]).drop("via")
 
 
-@query(f"WITH {CODE_SQL}, {DOWN_SQL}, {TARGETS_SQL}, {levels_sql('down', 'targets', 5)} SELECT source, node, CAST(depth AS INT) AS depth, round(confidence, 4) AS confidence, parent, {LABEL_SQL} AS label FROM found WHERE depth > 0")
+@query(f"WITH {CODE_SQL}, {DOWN_SQL}, {TARGETS_SQL}, {levels_sql('down', 'targets', 5)} SELECT source, node, CAST(depth AS INT) AS depth, round(confidence + 1e-9, 4) AS confidence, parent, {LABEL_SQL} AS label FROM found WHERE depth > 0")
 def impact_downstream(spark, sf_dir):
     g = code_graph(spark, sf_dir)
     return code.impact(_targets(g), g["symbol"], g["calls"], g["inherits"], direction="downstream", max_depth=5).drop("via")
