@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokenize
+from tessera.functions.text import term_counts
 
 
 @dataclass(frozen=True)
@@ -31,20 +33,36 @@ class Provider(Protocol):
 
 
 def hash_embedding(docs: DataFrame, dims: int = 384, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id, embedding: each term adds its weight, signed, to two buckets that its SHA-1 picks; then the vector is normalised.
+    """id, embedding: each term adds 1 + ln(count), signed, to two buckets that its SHA-1 picks; then the vector is normalised.
 
-    One shuffle counts terms per document, the next adds up buckets; a text without terms has no vector.
+    Terms are counted and placed inside the document, so nothing is shuffled; a text without terms has no vector.
     """
-    terms = docs.select(F.col(id_col).alias("id"), F.explode_outer(tokenize(F.col(text_col))).alias("term")).where("term IS NOT NULL").groupBy("id", "term").agg(F.count("*").alias("n"))
-    digest = F.sha1("term")
-    bucket = lambda i: F.conv(F.substring(digest, i, 8), 16, 10).cast("long") % dims
-    sign = lambda i: F.when(F.conv(F.substring(digest, i, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    weight = 1 + F.log("n")
-    parts = F.array(F.struct(bucket(1).alias("b"), (sign(17) * weight).alias("v")), F.struct(bucket(9).alias("b"), (sign(19) * weight).alias("v")))
-    sums = terms.select("id", F.explode(parts).alias("p")).groupBy("id", F.col("p.b").alias("bucket")).agg(F.sum("p.v").alias("value"))
-    return sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")).select(
-        "id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(F.col("norm") == 0, 0.0).otherwise(F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0)) / F.col("norm")).cast("float")).alias("embedding")
-    )
+
+    @F.pandas_udf("array<float>")
+    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[str, tuple[int, int, float, float]] = {}
+        for names, tfs in batches:
+            out = []
+            for terms, counts in zip(names, tfs):
+                if len(terms) == 0:
+                    out.append(None)
+                    continue
+                spots = []
+                for t in terms:
+                    if t not in known:
+                        d = hashlib.sha1(t.encode()).digest()
+                        known[t] = (int.from_bytes(d[:4], "big") % dims, int.from_bytes(d[4:8], "big") % dims, 1.0 - 2.0 * (d[8] & 1), 1.0 - 2.0 * (d[9] & 1))
+                    spots.append(known[t])
+                s, w = np.array(spots), 1 + np.log(np.asarray(counts, dtype=np.float64))
+                v = np.bincount(s[:, 0].astype(np.int64), s[:, 2] * w, dims) + np.bincount(s[:, 1].astype(np.int64), s[:, 3] * w, dims)
+                norm = np.sqrt(v @ v)
+                out.append((v / norm if norm else v).astype(np.float32))
+                if len(known) > 500_000:
+                    known.clear()
+            yield pd.Series(out, dtype=object)
+
+    counted = docs.select(F.col(id_col).alias("id"), term_counts(F.col(text_col)).alias("t"))
+    return counted.select("id", place("t.terms", "t.tfs").alias("embedding")).where("embedding IS NOT NULL")
 
 
 def with_provider(text: Column, provider: Provider) -> Column:

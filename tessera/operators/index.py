@@ -7,22 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.scores import bm25_weight, idf
-from tessera.functions.text import tokenize
+from tessera.functions.text import term_counts, tokenize
+from tessera.session import keep
 
 
-def terms_of(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """node_id, terms and doc_len: the one place where texts are tokenised."""
-    return docs.select(F.col(id_col).alias("node_id"), tokenize(F.col(text_col)).alias("terms")).withColumn("doc_len", F.size("terms"))
+def terms_of(docs: DataFrame, id_col: str = "id", text_col: str = "text", only: list[str] | None = None) -> DataFrame:
+    """node_id, doc_len, terms and tfs: the one place where texts are tokenised, one row per document.
 
-
-def exploded(terms: DataFrame) -> DataFrame:
-    """node_id, doc_len, term. The outer form, because the plain one has the terms made again to see whether there are any."""
-    return terms.select("node_id", "doc_len", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
+    With ``only``, terms but not the length are limited to those asked for.
+    """
+    return docs.select(F.col(id_col).alias("node_id"), term_counts(F.col(text_col), only).alias("t")).select("node_id", "t.*")
 
 
 def postings(terms: DataFrame) -> DataFrame:
-    """term, node_id, tf, doc_len: one shuffle, on the term and document, with counts combined before it."""
-    return exploded(terms).groupBy("term", "node_id", "doc_len").agg(F.count("*").cast("int").alias("tf")).select("term", "node_id", "tf", "doc_len")
+    """term, node_id, tf, doc_len: each document's own, so nothing is shuffled."""
+    pairs = terms.select("node_id", "doc_len", F.explode_outer(F.arrays_zip("terms", "tfs")).alias("p")).where("p IS NOT NULL")
+    return pairs.select(F.col("p.terms").alias("term"), "node_id", F.col("p.tfs").alias("tf"), "doc_len")
 
 
 def corpus_stats(terms: DataFrame) -> DataFrame:
@@ -30,6 +30,17 @@ def corpus_stats(terms: DataFrame) -> DataFrame:
     return terms.agg(F.count("*").alias("doc_count"), F.coalesce(F.sum("doc_len"), F.lit(0)).cast("long").alias("total_length"))
 
 
+def for_questions(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Postings of the questions' terms and the corpus statistics, from one reading of the texts.
+
+    The distinct terms of a batch of questions go to the workers; what comes back is a few numbers per document, kept as a
+    table so that frequencies and scores don't read the texts again.
+    """
+    asked = [r.term for r in query_terms(queries).select("term").distinct().collect()]
+    terms = keep(terms_of(docs, id_col, text_col, asked), "terms")
+    return postings(terms), corpus_stats(terms)
+
+
 def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -39,13 +50,6 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
 
 
-def wanted_postings(terms: DataFrame, asked: DataFrame) -> DataFrame:
-    """Postings of the asked terms only: a question's few terms are broadcast, so that nothing else is shuffled."""
-    wanted = F.broadcast(asked.select("term").distinct())
-    hit = exploded(terms).join(wanted, "term", "left_semi")
-    return hit.groupBy("term", "node_id", "doc_len").agg(F.count("*").cast("int").alias("tf")).select("term", "node_id", "tf", "doc_len")
-
-
 def bm25(post: DataFrame, stats: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """query_id, node_id, score, matched, rank: the best documents of each query, ties to the smaller id.
 

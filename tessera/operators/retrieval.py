@@ -5,6 +5,10 @@ Every frame carries ``query_id``, so a batch of questions is one program.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +17,7 @@ from tessera.functions.paths import canonical_path, is_path
 from tessera.functions.scores import clamp_distance, cosine, decay, wilson
 from tessera.functions.text import snippet, tokenize
 from tessera.model import DAY_MS
-from tessera.operators.index import bm25, corpus_stats, postings, query_terms, term_overlap, terms_of, top
+from tessera.operators.index import bm25, for_questions, query_terms, term_overlap, top
 from tessera.result import Result, report
 
 RRF_K = 60
@@ -30,17 +34,45 @@ def same_space(memory: DataFrame, model: str, dims: int, provider: str) -> DataF
     return memory.where((F.col("embedding_model") == model) & (F.col("embedding_dims") == dims) & (F.col("embedding_provider") == provider))
 
 
-def semantic_top(vectors: DataFrame, queries: DataFrame, limit: int = 20, max_distance: float | None = None, id_col: str = "id") -> DataFrame:
+def semantic_top(vectors: DataFrame, queries: DataFrame, limit: int = 20, max_distance: float | None = None, id_col: str = "id", most_queries: int = 4096) -> DataFrame:
     """query_id, node_id, similarity, distance, rank by exact cosine, within a distance, ties to the smaller id.
 
-    The queries are broadcast (a batch of questions), the vectors scanned once where they lie.
+    A batch of at most ``most_queries`` questions goes to the workers as a matrix; each batch of vectors is one product with it and sends its
+    ``limit`` best per question. A larger batch, or one of mixed widths, is joined to the vectors instead. Vectors of another width never match.
     """
-    asked = F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))
-    near = vectors.select(F.col(id_col).alias("node_id"), "embedding").join(asked, F.size("embedding") == F.size("q")).withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("q")), 5))
-    near = near.withColumn("distance", F.round(1 - F.col("similarity"), 5)).where(F.col("distance") <= clamp_distance(max_distance))
+    bound = clamp_distance(max_distance)
+    node_type, query_type = dict(vectors.dtypes)[id_col], dict(queries.dtypes)["query_id"]
+    asked = queries.select("query_id", "embedding").where("embedding IS NOT NULL").limit(most_queries + 1).collect()
+    widths = {len(r.embedding) for r in asked}
+    if len(asked) > most_queries or len(widths) != 1:
+        q = queries.select("query_id", F.col("embedding").alias("q"))
+        near = vectors.select(F.col(id_col).alias("node_id"), "embedding").join(q, F.size("embedding") == F.size("q")).withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("q")), 5)).drop("embedding", "q")
+    else:
+        names, width = [r.query_id for r in asked], widths.pop()
+        matrix = _unit(np.array([r.embedding for r in asked], dtype=np.float64))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x, ids = _unit(np.array(batch["embedding"].tolist(), dtype=np.float64)), batch["node_id"].to_numpy()
+                s = np.round(x @ matrix.T, 5)
+                order = np.lexsort((np.broadcast_to(ids[:, None], s.shape), -s), axis=0)[:limit]
+                k = np.broadcast_to(np.arange(len(names)), order.shape)
+                yield pd.DataFrame({"query_id": [names[j] for j in k.ravel()], "node_id": ids[order.ravel()], "similarity": s[order, k].ravel()})
+
+        sized = vectors.select(F.col(id_col).alias("node_id"), "embedding").where(F.size("embedding") == width)
+        near = sized.mapInPandas(run, f"query_id {query_type}, node_id {node_type}, similarity double")
+    near = near.withColumn("distance", F.round(1 - F.col("similarity"), 5)).where(F.col("distance") <= bound)
     return top(near.select("query_id", "node_id", "similarity", "distance"), "query_id", limit, F.asc("distance"), F.asc("node_id"))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; a zero row stays, so that its similarity is 0."""
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
 def recency_rank(candidates: DataFrame, now_ms: Column, limit: int = 20) -> DataFrame:
     """Rank by coverage * importance * decay; needs query_id, node_id, coverage, importance, layer, created_at."""
     score = F.round(F.col("coverage") * F.coalesce(F.nullif("importance", F.lit(0.0)), F.lit(1.0)) * decay(F.col("layer"), F.col("created_at"), now_ms), 6)
@@ -113,8 +145,7 @@ def search(
     spark = memory.sparkSession
     now = F.lit(0) if now_ms is None else now_ms
     rows = live(memory, layers)
-    terms = terms_of(rows.select("id", F.concat_ws("\n", "title", "body").alias("text")))
-    post, stats = postings(terms), corpus_stats(terms)
+    post, stats = for_questions(rows.select("id", F.concat_ws("\n", "title", "body").alias("text")), queries)
     unavailable: dict[str, str] = {b: "disabled" for b in disable}
     branches: dict[str, DataFrame] = {}
 

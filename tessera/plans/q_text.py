@@ -34,7 +34,7 @@ def _questions(spark):
 @query(f"WITH {DOC_TERMS} SELECT node_id, count(*) AS n_terms, count(DISTINCT term) AS n_distinct, min(term) AS first_term, max(term) AS last_term FROM terms GROUP BY node_id")
 def tokenize_terms(spark, sf_dir):
     t = _terms(spark, sf_dir).where("doc_len > 0")
-    return t.select("node_id", F.col("doc_len").cast("long").alias("n_terms"), F.size(F.array_distinct("terms")).cast("long").alias("n_distinct"), F.array_min("terms").alias("first_term"), F.array_max("terms").alias("last_term"))
+    return t.select("node_id", F.col("doc_len").cast("long").alias("n_terms"), F.size("terms").cast("long").alias("n_distinct"), F.array_min("terms").alias("first_term"), F.array_max("terms").alias("last_term"))
 
 
 @query(f"WITH {POSTINGS_SQL} SELECT * FROM post")
@@ -63,9 +63,9 @@ def postings_round_trip(spark, sf_dir):
 
 
 def _bm25(spark, sf_dir, limit):
-    terms, questions = _terms(spark, sf_dir), _questions(spark)
-    post = index.wanted_postings(terms, index.query_terms(questions))
-    return index.bm25(post, index.corpus_stats(terms), questions, limit)
+    questions = _questions(spark)
+    post, stats = index.for_questions(table(spark, sf_dir, "documents"), questions, "doc_id")
+    return index.bm25(post, stats, questions, limit)
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, node_id, score, CAST(rank AS INT) AS rank, array_to_string(matched, ' ') AS matched FROM ranked WHERE rank <= 10")
@@ -91,7 +91,7 @@ overlapped AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overl
 @query(f"WITH {OVERLAP_SQL} SELECT query_id, node_id, overlap, CAST(rank AS INT) AS rank FROM overlapped WHERE rank <= 60")
 def term_overlap_rank(spark, sf_dir):
     questions = _questions(spark)
-    return index.term_overlap(index.wanted_postings(_terms(spark, sf_dir), index.query_terms(questions)), questions, 60)
+    return index.term_overlap(index.for_questions(table(spark, sf_dir, "documents"), questions, "doc_id")[0], questions, 60)
 
 
 @query(r"""SELECT doc_id, strip_accents(replace(replace(replace(replace(replace(text, 'ß', 'ss'), 'œ', 'oe'), 'Œ', 'OE'), 'æ', 'ae'), 'ø', 'o')) AS folded FROM documents""")
@@ -215,12 +215,12 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 
 def _branches(spark, sf_dir):
-    terms, questions = _terms(spark, sf_dir), _questions(spark)
-    post = index.wanted_postings(terms, index.query_terms(questions))
+    questions = _questions(spark)
+    post, stats = index.for_questions(table(spark, sf_dir, "documents"), questions, "doc_id")
     named = lambda df, b: df.select("query_id", F.lit(b).alias("branch"), "node_id", "rank")
     shared = index.term_overlap(post, questions, 1 << 30)
     fresh = index.top(shared.drop("rank"), "query_id", 30, F.desc("node_id"))
-    return named(index.bm25(post, index.corpus_stats(terms), questions, 30), "bm25").unionByName(named(shared.where("rank <= 30"), "overlap")).unionByName(named(fresh, "recency"))
+    return named(index.bm25(post, stats, questions, 30), "bm25").unionByName(named(shared.where("rank <= 30"), "overlap")).unionByName(named(fresh, "recency"))
 
 
 def _shown(df):
