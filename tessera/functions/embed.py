@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import term_counts
+from tessera.functions.text import count_terms
+from tessera.session import spread
 
 
 @dataclass(frozen=True)
@@ -39,30 +40,36 @@ def hash_embedding(docs: DataFrame, dims: int = 384, id_col: str = "id", text_co
     """
 
     @F.pandas_udf("array<float>")
-    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[str, tuple[int, int, float, float]] = {}
-        for names, tfs in batches:
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        runs: dict[str, list[str]] = {}
+        spots: dict[str, tuple[int, int]] = {}
+        for batch in batches:
             out = []
-            for terms, counts in zip(names, tfs):
-                if len(terms) == 0:
+            for text in batch:
+                _, counts = count_terms(text, runs)
+                if not counts:
                     out.append(None)
                     continue
-                spots = []
-                for t in terms:
-                    if t not in known:
+                at = []
+                for t in counts:
+                    found = spots.get(t)
+                    if found is None:
                         d = hashlib.sha1(t.encode()).digest()
-                        known[t] = (int.from_bytes(d[:4], "big") % dims, int.from_bytes(d[4:8], "big") % dims, 1.0 - 2.0 * (d[8] & 1), 1.0 - 2.0 * (d[9] & 1))
-                    spots.append(known[t])
-                s, w = np.array(spots), 1 + np.log(np.asarray(counts, dtype=np.float64))
-                v = np.bincount(s[:, 0].astype(np.int64), s[:, 2] * w, dims) + np.bincount(s[:, 1].astype(np.int64), s[:, 3] * w, dims)
+                        # a bucket with the sign minus lies in the second half
+                        a, b = int.from_bytes(d[:4], "big") % dims, int.from_bytes(d[4:8], "big") % dims
+                        found = spots[t] = (a if d[8] % 2 == 0 else a + dims, b if d[9] % 2 == 0 else b + dims)
+                    at += found
+                w = np.repeat(1 + np.log(np.fromiter(counts.values(), np.float64, len(counts))), 2)
+                both = np.bincount(np.array(at), w, 2 * dims)
+                v = both[:dims] - both[dims:]
                 norm = np.sqrt(v @ v)
                 out.append((v / norm if norm else v).astype(np.float32))
-                if len(known) > 500_000:
-                    known.clear()
+                if len(spots) > 500_000:
+                    spots.clear()
             yield pd.Series(out, dtype=object)
 
-    counted = docs.select(F.col(id_col).alias("id"), term_counts(F.col(text_col)).alias("t"))
-    return counted.select("id", place("t.terms", "t.tfs").alias("embedding")).where("embedding IS NOT NULL")
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+    return rows.select("id", place("text").alias("embedding")).where("embedding IS NOT NULL")
 
 
 def with_provider(text: Column, provider: Provider) -> Column:

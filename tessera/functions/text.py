@@ -93,6 +93,9 @@ def stem_word(w: str) -> str:
 
 def run_terms(run: str) -> list[str]:
     """The terms of one run of letters, digits and underscores."""
+    if run.isascii() and run.isalpha() and (run.islower() or run[1:].islower()):
+        word = run.lower()
+        return [] if len(word) < 2 or word in _STOPS else [stem_word(word)]
     if _HAS_CJK.search(run):
         return [run[i : i + 2] for i in range(len(run) - 1)] or [run]
     folded = fold_word(run)
@@ -157,28 +160,29 @@ def term_counts(text: Column, only: list[str] | None = None) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, list[str]] = {}
         for batch in batches:
-            sizes, names, tfs = [], [], []
-            for value in batch:
-                seen: dict[str, int] = {}
-                n = 0
-                for r, times in Counter(_RUN.findall(value) if value else ()).items():
-                    found = known.get(r)
-                    if found is None:
-                        found = known[r] = run_terms(r)
-                    n += times * len(found)
-                    for t in found:
-                        if wanted is None or t in wanted:
-                            seen[t] = seen.get(t, 0) + times
-                sizes.append(n)
-                names.append(list(seen))
-                tfs.append(list(seen.values()))
-                if len(known) > 200_000:
-                    known.clear()
-            yield pd.DataFrame({"doc_len": sizes, "terms": names, "tfs": tfs})
+            found = [count_terms(value, known, wanted) for value in batch]
+            yield pd.DataFrame({"doc_len": [n for n, _ in found], "terms": [list(seen) for _, seen in found], "tfs": [list(seen.values()) for _, seen in found]})
 
     return run(text.cast("string"))
 
 
+def count_terms(value: str | None, known: dict[str, list[str]], wanted: frozenset | None = None) -> tuple[int, dict[str, int]]:
+    """How many terms a text has, and how often each (of ``wanted``) occurs; ``known`` keeps the terms of runs met before."""
+    seen: dict[str, int] = {}
+    n = 0
+    if len(known) > 500_000:
+        known.clear()
+    for r, times in Counter(_RUN.findall(value) if value else ()).items():
+        found = known.get(r)
+        if found is None:
+            found = known[r] = run_terms(r)
+        n += times * len(found)
+        for t in found:
+            if wanted is None or t in wanted:
+                seen[t] = seen.get(t, 0) + times
+    return n, seen
+
+
 def tokenize_native(text: Column) -> Column:
     """``tokenize`` as expressions alone."""
 

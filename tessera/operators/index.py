@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scores import bm25_weight, idf
 from tessera.functions.text import term_counts, tokenize
-from tessera.session import keep
+from tessera.session import keep, spread
 
 
 def terms_of(docs: DataFrame, id_col: str = "id", text_col: str = "text", only: list[str] | None = None) -> DataFrame:
@@ -16,7 +16,8 @@ def terms_of(docs: DataFrame, id_col: str = "id", text_col: str = "text", only:
 
     With ``only``, terms but not the length are limited to those asked for.
     """
-    return docs.select(F.col(id_col).alias("node_id"), term_counts(F.col(text_col), only).alias("t")).select("node_id", "t.*")
+    rows = spread(docs.select(F.col(id_col).alias("node_id"), F.col(text_col).alias("text")))
+    return rows.select("node_id", term_counts(F.col("text"), only).alias("t")).select("node_id", "t.*")
 
 
 def postings(terms: DataFrame) -> DataFrame:

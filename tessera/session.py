@@ -53,6 +53,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return kept
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files alone would occupy less than half of them.
+
+    For work that costs far more than moving its rows. An input that fills the cluster by itself is left as it lies.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if size < cores * split // 2 else df
+
+
 def discard(*kept: DataFrame) -> None:
     """Delete kept tables that nothing reads any more, and let the JVM drop the shuffle files behind them.
 
