@@ -1,8 +1,6 @@
 """Queries: the store, the journal stream, incremental reading, sinks and ad-hoc SQL."""
 
 import json
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -159,8 +157,8 @@ def ingest_calls(spark, sf_dir):
 
 @query("SELECT count(*) AS rows, 2 AS write_seq, true AS same FROM documents")
 def snapshot_store(spark, sf_dir):
-    """Two commits; the second names the unchanged table again. The store is a local folder here, as on one machine."""
-    store = Store(spark, os.path.join(tempfile.gettempdir(), f"tessera-store-{uuid.uuid4().hex}"))
+    """Two commits; the second names the unchanged table again."""
+    store = Store(spark, f"{shared_dir(spark)}/tessera/store-{uuid.uuid4().hex}")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     store.commit({"memory": docs})
     before = store.meta()["tables"]["memory"]

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from tessera.model import DERIVED, SCHEMA_VERSION, TOKENIZER_VERSION
 from tessera.operators.memory import without_links
+from tessera.session import read_text, replace_text
 
 
 class Store:
-    """A folder of numbered snapshots. CURRENT names the one that counts; it is replaced in one step after all tables are written,
+    """A folder, on any file system Spark writes to, of numbered snapshots. CURRENT names the one that counts; it is replaced in one step after all tables are written,
     and only then does write_seq move. Readers look it up once per question, so they see one snapshot whole.
 
     Tables that did not change are named again rather than copied.
@@ -22,14 +23,10 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        os.makedirs(self.root, exist_ok=True)
 
     def meta(self) -> dict:
-        try:
-            with open(f"{self.root}/CURRENT", encoding="utf-8") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {"schema_version": SCHEMA_VERSION, "tokenizer_version": TOKENIZER_VERSION, "write_seq": 0, "tables": {}}
+        text = read_text(self.spark, f"{self.root}/CURRENT")
+        return json.loads(text) if text else {"schema_version": SCHEMA_VERSION, "tokenizer_version": TOKENIZER_VERSION, "write_seq": 0, "tables": {}}
 
     def has(self, name: str) -> bool:
         return name in self.meta()["tables"]
@@ -46,7 +43,7 @@ class Store:
             df.write.parquet(f"{self.root}/{at[name]}")
         for name in drop:
             at.pop(name, None)
-        write_json(f"{self.root}/CURRENT", {**meta, **facts, "tables": at, "write_seq": seq})
+        replace_text(self.spark, f"{self.root}/CURRENT", json.dumps({**meta, **facts, "tables": at, "write_seq": seq}, indent=1))
         return seq
 
     def rebuild(self) -> int:

@@ -80,5 +80,37 @@ def discard(*kept: DataFrame) -> None:
         kept[0].sparkSession.sparkContext._jvm.System.gc()
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of any file system Spark can read, or None if there is none."""
+    where, files = _file_system(spark, path)
+    if not files.exists(where):
+        return None
+    stream = files.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write beside and rename over, so that a reader sees the old or the new file, never half."""
+    jvm = spark.sparkContext._jvm
+    beside, files = _file_system(spark, f"{path}.{uuid.uuid4().hex[:8]}")
+    stream = files.create(beside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    where = files.makeQualified(jvm.org.apache.hadoop.fs.Path(path))
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(files.makeQualified(beside), where, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
