@@ -56,6 +56,12 @@ class Layer:
             return start, end
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
+    def key(self) -> tuple[str, bytes]:
+        """The text and where it came from: the same text elsewhere in the document is another layer."""
+        if self.starts is None:
+            return self.text, b""
+        return self.text, hashlib.blake2b(self.starts.tobytes() + self.ends.tobytes(), digest_size=16).digest()
+
     def derive(self, text: str, starts: np.ndarray, ends: np.ndarray) -> Layer:
         """A child whose character i came from characters starts[i]:ends[i] of this layer."""
         if self.starts is None:
@@ -157,11 +163,12 @@ def _from_base64(layer: Layer) -> Iterator[Layer]:
 def scan(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of a text: base ones plus those of every layer reached by decoding.
 
-    Layers are worked off a list until none is new; a layer whose text was seen before in the same
-    document is not entered again, so self-reproducing encodings end.
+    Layers are worked off a list until none is new; a layer whose text was seen before from the same
+    place of the document is not entered again, so self-reproducing encodings end.
     """
     base = matches(text)
-    found, work, seen = dict.fromkeys(base), [Layer(text)], {text}
+    found, work = dict.fromkeys(base), [Layer(text)]
+    seen = {work[0].key()}
     while work:
         layer = work.pop()
         children = list(_from_base64(layer))
@@ -170,9 +177,9 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
         if "\\" in layer.text and (child := _rewritten(layer, UNICODE, _unicode)):
             children.append(child)
         for child in children:
-            if child.text in seen:
+            if (key := child.key()) in seen:
                 continue
-            seen.add(child.text)
+            seen.add(key)
             for kind, start, end in matches(child.text):
                 found[(kind, *child.span(start, end))] = None
             work.append(child)

@@ -105,6 +105,18 @@ def test_wrapped_secrets_are_found_in_place(wrapped):
     assert scan(redact_text(text))[1] == []
 
 
+@pytest.mark.parametrize("wrapped", WRAPPED)
+def test_repeated_wrapped_secrets_are_found_in_every_place(wrapped):
+    outer = base64.b64encode(f"first {wrapped} and then {wrapped} last".encode()).decode()
+    text = f"a {wrapped} z {wrapped} y {outer} x {outer}"
+    spans = [(a, b) for k, a, b in scan(text)[1] if k == 0]
+    at = -1
+    for part in (wrapped, wrapped, outer, outer):
+        at = text.index(part, at + 1)
+        assert sum(at <= a < b <= at + len(part) for a, b in spans) >= (2 if part is outer else 1)
+    assert scan(redact_text(text))[1] == []
+
+
 def test_secret_layers_end():
     """An encoding that decodes to what was seen is not entered again; plain text has no layers."""
     assert scan("%2525252541KIA") == ([], [])
