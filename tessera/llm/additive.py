@@ -66,11 +66,17 @@ def train(x: np.ndarray, *, books: int = 24, words: int = 64, rounds: int = 3, s
 
 
 def shortlist(q: np.ndarray, model: Codebooks, codes: np.ndarray, norms: np.ndarray, most: int) -> np.ndarray:
-    """Per query, the rows of least |decoded|^2 - 2 q.decoded, by table lookups only."""
-    score = np.tile(norms, (len(q), 1))
+    """Per query, which rows have one of the ``most`` distinct codes of least |decoded|^2 - 2 q.decoded, by table lookups only.
+
+    Copies share their code and come in or stay out together, as do codes that tie with the last one.
+    """
+    kinds, first, kind = np.unique(codes, axis=0, return_index=True, return_inverse=True)
+    score = np.tile(norms[first], (len(q), 1))
     for m, w in enumerate(model.words):
-        score -= 2 * (q @ w.T)[:, codes[:, m]]
-    return np.argpartition(score, most - 1, axis=1)[:, :most] if most < len(norms) else np.tile(np.arange(len(norms)), (len(q), 1))
+        score -= 2 * (q @ w.T)[:, kinds[:, m]]
+    if most >= len(kinds):
+        return np.ones((len(q), len(codes)), bool)
+    return (score <= np.partition(score, most - 1, axis=1)[:, most - 1 : most])[:, kind.reshape(-1)]
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, *, k: int = 10, page_rows: int = 2048, block_rows: int = 512, sample_rows: int = 4096, rerank: int = 128) -> DataFrame:
@@ -78,8 +84,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, *, k: int = 10, pag
 
     The codebooks are fitted on ``sample_rows`` rows picked by hash; every row is encoded. Rows lie in pages by
     hash, a page being one row with its codes, norms and vectors; a block of queries scores a page by
-    lookups and reranks the best ``rerank`` of it exactly, so the share of a page that is looked at again does not
-    depend on the size of the table.
+    lookups and reranks all rows of its best ``rerank`` distinct codes exactly, so the share of a page that is looked at
+    again does not depend on the size of the table, and no copy is lost to another.
 
     Rows with a null id, a null or zero vector or a null or non-finite component take no part; of a repeated query id
     the smallest vector asks; shorter vectors count as filled with zeros. An empty table, or one without
@@ -108,9 +114,9 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, *, k: int = 10, pag
                 ids, data = from_block(row.ids, row.data, row.dim)
                 q_ids, q = from_block(row.q_ids, row.q_data, row.q_dim)
                 codes, norms = np.frombuffer(row.codes, np.uint8).reshape(len(ids), -1), np.frombuffer(row.norms, "<f8")
-                near = shortlist(q, model, codes, norms, min(len(ids), max(rerank, 2 * k)))
+                near = shortlist(q, model, codes, norms, max(rerank, 2 * k))
                 out = []
-                for i, at in enumerate(near):
+                for i, at in enumerate(map(np.flatnonzero, near)):
                     d = np.sqrt(((data[at] - q[i]) ** 2).sum(axis=1))
                     d[ids[at] == q_ids[i]] = np.inf
                     pick = np.lexsort((ids[at], d))[:k]

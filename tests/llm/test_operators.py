@@ -276,6 +276,23 @@ def test_additive_recall_and_measure(spark):
     assert additive.nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_additive_recall_among_copies(spark):
+    """A third of all rows is one vector, in ids from end to end; the smallest ids of it count, and the rest is found beside it."""
+    rng = np.random.default_rng(11)
+    copied, near = rng.normal(size=16), rng.normal(size=(4, 16))
+    rows = [(i, (copied if i % 3 == 1 else copied + near[i % 4] * 0.3 + rng.normal(size=16) * 0.2).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = additive.nearest_neighbours(df, F.col("vec_id") % 25 == 0, page_rows=300, sample_rows=500, rerank=40).collect()
+    data, hits = np.array([v for _, v in rows]), 0
+    for q in range(0, 900, 25):
+        d = np.sqrt(((data - data[q]) ** 2).sum(axis=1))
+        want = [i for i in np.lexsort((np.arange(900), d)) if i != q][:10]
+        own = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])]
+        assert q % 3 != 1 or own == want
+        hits += len(set(own) & set(want))
+    assert hits >= 0.95 * 360
+
+
 # --- web archives --------------------------------------------------------------------------------
 
 RECORDS = [
