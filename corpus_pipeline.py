@@ -46,7 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows with a null id can't be told to be copies and stay. Of rows that share the id but not the text,
     the one with the smaller hash of the text stays for a component.
     """
-    found = near_duplicates(docs).where("doc_id IS NOT NULL")
+    found = near_duplicates(docs, k=5, percent=80).where("doc_id IS NOT NULL")
     chosen = found.groupBy("component_id").agg(F.min(F.struct((F.col("doc_id") != F.col("component_id")).alias("other"), "doc_id", "tie")).alias("first")).select(F.col("first.doc_id").alias("k_id"), F.col("first.tie").alias("k_tie"))
     tie = _free(docs, "tie")
     marked = docs.withColumn(tie, F.xxhash64(F.col("text")))

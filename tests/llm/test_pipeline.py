@@ -1,5 +1,6 @@
 """The pipeline against its stages done plainly, one after the other."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -65,3 +66,21 @@ def test_run_repeats_and_takes_an_empty_table(spark, sf, tmp_path):
     assert a and corpus_pipeline.ORACLE_SQL is None
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_are_told_by_five_words_at_80_percent(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+    more = [f"x{rng.randrange(10**6)}" for _ in range(300)]
+    texts = {1: words, 2: words + more[:200], 3: words + more[:270], 4: more, 5: words[:500] + ["other"] + words[500:], 6: more[:28] + ["y"] + more[29:], 7: more[:60] + ["y"] + more[61:150] + ["z"] + more[151:220] + ["v"] + more[221:], 8: [], 9: ["a", "b"], 10: ["a", "b"]}
+    sets = {i: {tuple(t[j : j + 5]) for j in range(max(1, len(t) - 4))} if t else set() for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    assert root[2] == 1 and root[10] == 9 and root[4] == 4
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(root.values()))
