@@ -24,7 +24,12 @@ ASSIGN_KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\x([0-9A-Fa-f]{2})")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run, or the runs of lines that follow each other; only the last of these may be short.
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:\r\n?|\n)[\x20\t]*[A-Za-z0-9+/_-]{16,}+)*+(?:(?:\r\n?|\n)[\x20\t]*[A-Za-z0-9+/_-]++)?={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+URL_SAFE = str.maketrans("-_", "+/")
+#: How gzip and zlib streams (without a preset dictionary) begin.
+PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 #: A compressed layer larger than this is not unpacked: it is an archive, not a wrapped credential.
 MAX_UNPACKED = 1 << 26
 
@@ -115,18 +120,28 @@ def _unicode(m: re.Match) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    """The content of a gzip or zlib stream."""
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0):
+def _unpacked(raw: bytes) -> tuple[bytes, int] | None:
+    """The content of the gzip or zlib stream that ``raw`` begins with, and the stream's length."""
+    if PACKED.match(raw):
         try:
             stream = zlib.decompressobj(47)
             out = stream.decompress(raw, MAX_UNPACKED)
-            return out if stream.eof else None
+            return (out, len(raw) - len(stream.unused_data)) if stream.eof else None
         except zlib.error:
             return None
     return None
 
 
+def _opened(raw: bytes) -> tuple[bytes, int] | None:
+    """The same with streams in the stream opened too."""
+    if (got := _unpacked(raw)) is None:
+        return None
+    whole, used = got
+    while (more := _unpacked(whole)) is not None and more[0] != whole:
+        whole = more[0]
+    return whole, used
+
+
 def _readable(raw: bytes) -> str | None:
     try:
         text = raw.decode("utf-8")
@@ -136,28 +151,67 @@ def _readable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
+def _base64_bytes(body: str) -> bytes:
+    if len(body) % 4 == 1:
+        body = body[:-1]
+    return base64.b64decode(body.translate(URL_SAFE) + "=" * (-len(body) % 4))
+
+
+def _base64_runs(text: str) -> Iterator[tuple[str, np.ndarray, int]]:
+    """The characters of each run, where each of them is, and where the run ends; lines that follow each other also as one run."""
+    for m in BASE64.finditer(text):
+        lines = [(m.start() + n.start(), n.group()) for n in LINE.finditer(m.group())]
+        for i, (at, body) in enumerate(lines):
+            if len(body) >= 16:
+                yield body, np.arange(at, at + len(body)), m.end() if i == len(lines) - 1 else at + len(body)
+        if len(lines) > 1:
+            yield "".join(body for _, body in lines), np.concatenate([np.arange(at, at + len(body)) for at, body in lines]), m.end()
+
+
+def _tells(text: str) -> bool:
+    """Whether a layer of this text has findings or further layers."""
+    return bool(matches(text) or BASE64.search(text) or PERCENT.search(text) or UNICODE.search(text))
+
+
+def _spread(layer: Layer, text: str, width: np.ndarray | int, places: np.ndarray) -> Layer:
+    """The child whose characters are ``width`` bytes each, decoded from the base64 characters at ``places``."""
+    stop = np.cumsum(np.broadcast_to(width, len(text)))
+    return layer.derive(text, places[(stop - width) * 4 // 3], places[-(-stop * 4 // 3) - 1] + 1)
+
+
+def _packed_at(layer: Layer, text: str, start: int, end: int) -> Layer:
+    """A compressed stream has no places inside: every character came from all of it."""
+    return layer.derive(text, np.full(len(text), start), np.full(len(text), end))
+
+
 def _from_base64(layer: Layer) -> Iterator[Layer]:
-    for m in BASE64.finditer(layer.text):
-        body = m.group().rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        whole, opened = raw, False
-        while (more := _unpacked(whole)) is not None and more != whole:
-            whole, opened = more, True
-        text = _readable(whole)
-        if text is None:
+    """What the runs of a layer decode to.
+
+    A run that isn't readable from its start may have a path, an id or other words before the encoded part or
+    after it, so it is read at each of the four alignments, byte by byte, and streams are opened wherever one begins.
+    """
+    for body, places, end in _base64_runs(layer.text):
+        raw = _base64_bytes(body)
+        opened = _opened(raw) if len(body) % 4 != 1 else None
+        text = _readable(opened[0] if opened else raw) if len(body) % 4 != 1 else None
+        if text is not None:
+            if opened:
+                yield _packed_at(layer, text, int(places[0]), end)
+            else:
+                yield _spread(layer, text, np.array([1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in text], dtype=np.int64), places)
             continue
-        if opened:  # a compressed stream has no places inside: every character came from all of it
-            starts, ends = np.full(len(text), m.start()), np.full(len(text), m.end())
-        else:
-            width = np.array([1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in text], dtype=np.int64)
-            stop = np.cumsum(width)
-            starts, ends = m.start() + (stop - width) * 4 // 3, np.minimum(m.start() - (-stop * 4 // 3), m.end())
-        yield layer.derive(text, starts.astype(np.int64), ends.astype(np.int64))
+        for shift in range(4):
+            raw = _base64_bytes(body[shift:])
+            if _tells(text := raw.decode("latin-1")):
+                yield _spread(layer, text, 1, places[shift:])
+            at = 0
+            while head := PACKED.search(raw, at):
+                at = head.start() + 1
+                if (opened := _opened(raw[head.start() :])) is None:
+                    continue
+                at = head.start() + opened[1]
+                if (text := _readable(opened[0])) is not None:
+                    yield _packed_at(layer, text, int(places[shift + head.start() * 4 // 3]), int(places[shift - (-at * 4 // 3) - 1]) + 1)
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:

@@ -117,6 +117,32 @@ def test_repeated_wrapped_secrets_are_found_in_every_place(wrapped):
     assert scan(redact_text(text))[1] == []
 
 
+BLOBS = [w for w in WRAPPED if re.fullmatch(r"[A-Za-z0-9+/_=-]+", w)]
+LONG = "".join(f"line {i} of {i * i} \U0001f600\n" for i in range(40)) + INNER + "".join(f" {i ** 3}" for i in range(40))
+
+
+@pytest.mark.parametrize("blob", BLOBS)
+@pytest.mark.parametrize("before", ["https://h.example/cb/", "key-", "user_", "k/", "id12345-", "a/b/c_d-e/", "xy"])
+@pytest.mark.parametrize("after", ["", "/edit", "_v2"])
+def test_wrapped_secrets_are_found_beside_other_words(blob, before, after):
+    text = f"see {before}{blob.rstrip('=')}{after} there"
+    at = text.index(blob.rstrip("="))
+    assert any(k == 0 and at - 1 <= a < b <= at + len(blob) + len(after) for k, a, b in scan(text)[1])
+    assert scan(redact_text(text))[1] == []
+
+
+@pytest.mark.parametrize("data", [LONG.encode(), gzip.compress(LONG.encode()), zlib.compress(base64.b64encode(LONG.encode()))])
+@pytest.mark.parametrize("width,newline", [(76, "\n"), (64, "\r\n"), (76, "\n    ")])
+def test_secrets_in_wrapped_lines_are_found(data, width, newline):
+    blob = base64.b64encode(data).decode()
+    lines = newline.join(blob[i : i + width] for i in range(0, len(blob), width))
+    for before in ("first\n", "body: ", "file/"):
+        text = f"{before}{lines}\nafter"
+        found = [(a, b) for k, a, b in scan(text)[1] if k == 0]
+        assert found and all(len(before) - 1 <= a < b <= len(before) + len(lines) for a, b in found)
+        assert scan(redact_text(text))[1] == []
+
+
 def test_secret_layers_end():
     """An encoding that decodes to what was seen is not entered again; plain text has no layers."""
     assert scan("%2525252541KIA") == ([], [])
