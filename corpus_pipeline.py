@@ -47,7 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     the one with the smaller hash of the text stays for a component.
     """
     found = near_duplicates(docs, k=5, percent=80).where("doc_id IS NOT NULL")
-    chosen = found.groupBy("component_id").agg(F.min(F.struct((F.col("doc_id") != F.col("component_id")).alias("other"), "doc_id", "tie")).alias("first")).select(F.col("first.doc_id").alias("k_id"), F.col("first.tie").alias("k_tie"))
+    chosen = found.groupBy("component_id", "group", F.when(F.col("group").isNull(), F.col("tie")).alias("wordless")).agg(F.min(F.struct((F.col("doc_id") != F.col("component_id")).alias("other"), "doc_id", "tie")).alias("first")).select(F.col("first.doc_id").alias("k_id"), F.col("first.tie").alias("k_tie"))
     tie = _free(docs, "tie")
     marked = docs.withColumn(tie, F.xxhash64(F.col("text")))
     kept = marked.join(chosen.distinct().hint("shuffle_hash"), (marked["doc_id"].cast("long") == chosen["k_id"]) & (marked[tie] == chosen["k_tie"]), "left_semi")

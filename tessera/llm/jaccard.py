@@ -238,7 +238,7 @@ def _banded(rows: DataFrame, group: str, percent: int, chunk: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: int = 1024) -> DataFrame:
-    """doc_id, n_shingles, component_id (and tie, a hash of the text) of every row.
+    """doc_id, n_shingles, component_id (and tie, a hash of the text, and group) of every row.
 
     Rows link when their shingle sets have a Jaccard similarity of at least ``percent`` / 100; the component is the
     smallest doc_id that links reach. No link is lost and no group's pairs are listed:
@@ -252,6 +252,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: in
        again, and their sets intersected as sorted arrays where wider bitmaps still allow a link; a forest of the true links goes on.
     5. The components of those are the result.
 
+    Where a doc_id has several texts, two components can have the same smallest doc_id; ``group`` tells them apart, and is
+    null where nothing links.
+
     Texts without words have an empty set and link with nothing, themselves included; rows with a null doc_id get a
     null component and link nothing; repeated rows are one class; extra columns are ignored.
     """
@@ -294,9 +297,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: in
 
     final = connected_components(links)
     names = classes.select("vid", "k1", "k2", "doc_id").join(final.withColumnRenamed("node", "vid"), "vid")
-    least = names.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = names.join(least, "component").select("k1", "k2", "component_id")
-    alone = classes.select("k1", "k2", F.col("doc_id").alias("own"))
+    least = names.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("vid").alias("group"))
+    by_set = names.join(least, "component").select("k1", "k2", "component_id", "group")
+    alone = classes.select("k1", "k2", F.col("doc_id").alias("own"), F.col("vid").alias("own_group"))
     out = rows.select("doc_id", "tie", F.col("n").cast("long").alias("n_shingles"), "k1", "k2").join(alone, ["k1", "k2"], "left").join(by_set, ["k1", "k2"], "left")
     named_by = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "own"))
-    return out.select("doc_id", "n_shingles", named_by.cast("long").alias("component_id"), "tie")
+    group = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("group", "own_group"))
+    return out.select("doc_id", "n_shingles", named_by.cast("long").alias("component_id"), "tie", group.alias("group"))

@@ -84,3 +84,12 @@ def test_near_copies_are_told_by_five_words_at_80_percent(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
     out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(root.values()))
+
+
+def test_components_of_one_repeated_id_each_keep_a_row(spark):
+    rng = random.Random(6)
+    one, two, three = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, one), (2, one), (1, two), (3, two), (1, two), (4, three), (5, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text or "") for r in out) == sorted([(1, one), (1, two), (4, three), (5, ""), (5, "")])
