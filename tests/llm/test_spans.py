@@ -3,11 +3,16 @@
 import base64
 import gzip
 import hashlib
+import os
+import random
 import re
+import subprocess
+import sys
 import urllib.parse
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm.pii import KINDS, expectation_maximisation, find_personal_data
 from tessera.llm.secrets import find_secrets, redact_text, scan
@@ -161,3 +166,123 @@ def test_secrets_base_spans(spark, sf):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(w[0] == k for w in want) for k in SECRETS]
         assert {f"{k}:{s}:{e}" for k, s, e in want} <= set(filter(None, r.spans.split(","))) or not want
+
+
+# --- places of escapes, against a decoder that works character by character ------------------------
+
+
+def plain_step(chars):
+    """One round of decoding of (character, start, end) triples, or None if nothing decodes."""
+    text, out, i, changed = "".join(c for c, _, _ in chars), [], 0, False
+    while i < len(chars):
+        run, j = [], i
+        while m := re.compile(r"%([0-9A-Fa-f]{2})").match(text, j):
+            run.append((int(m[1], 16), chars[j][1], chars[j + 2][2]))
+            j += 3
+        if run:
+            k = 0
+            while k < len(run):
+                for n in (1, 2, 3, 4):
+                    try:
+                        c = bytes(b for b, _, _ in run[k : k + n]).decode()
+                        break
+                    except UnicodeDecodeError:
+                        c = None
+                if c is None or k + n > len(run):
+                    c, n = chr(run[k][0]), 1
+                out.append((c, run[k][1], run[k + n - 1][2]))
+                k += n
+            i, changed = j, True
+        elif (m := re.compile(r"\\u([0-9A-Fa-f]{4})").match(text, i)) and not 0xD800 <= int(m[1], 16) < 0xE000:
+            out.append((chr(int(m[1], 16)), chars[i][1], chars[i + 5][2]))
+            i, changed = i + 6, True
+        else:
+            out.append(chars[i])
+            i += 1
+    return out if changed else None
+
+
+def plain_cover(text):
+    """The places of the document that a finding of any layer covers."""
+    layer, covered = [(c, i, i + 1) for i, c in enumerate(text)], set()
+    while layer is not None:
+        for _, a, b in plain_secrets("".join(c for c, _, _ in layer)):
+            covered |= {p for _, s, e in layer[a:b] for p in range(s, e)}
+        layer = plain_step(layer)
+    return covered
+
+
+def percent(text, every=True):
+    return "".join("".join(f"%{b:02X}" for b in c.encode()) if every or c in "%\\=" or ord(c) > 127 else c for c in text)
+
+
+def unicode_escapes(text):
+    return "".join(f"\\u{ord(c):04x}" if ord(c) < 0x10000 else c for c in text)
+
+
+LEAKS = [percent("€" * 8 + "token=hunter22") + " " * 40, percent("token=hunter22€€") + "x", percent("😀é") + percent("secret: abcdef99"), "%E9t%E9" + percent("token=abcdefg") + "%FF%C3 z"]
+
+
+@pytest.mark.parametrize("text", LEAKS)
+def test_characters_of_many_bytes_move_no_span(text):
+    assert {p for _, a, b in scan(text)[1] for p in range(a, b)} == plain_cover(text)
+    left = redact_text(text)
+    while (more := urllib.parse.unquote(left, errors="replace")) != left:
+        left = more
+    assert not re.search("unter|bcdef", left)
+
+
+def test_generated_nestings_equal_the_plain_decoder():
+    rng = random.Random(12)
+    for _ in range(1000):
+        inner = rng.choice(["token=", "api_key: ", 'passwd="', "AKIA", ""]) + "".join(rng.choice("abcdef0123456789") for _ in range(rng.choice([7, 20, 30])))
+        text = rng.choice(["", "é ", "€", "a😀 "]) + (inner.upper() if inner.startswith("AKIA") else inner) + rng.choice(["", " ", "€", "ß x"])
+        for _ in range(rng.randrange(4)):
+            text = rng.choice([percent, lambda t: percent(t, every=False), unicode_escapes])(text)
+            text = rng.choice(["", "see ", "Ω "]) + text + rng.choice(["", " end", "!"])
+        assert {p for _, a, b in scan(text)[1] for p in range(a, b)} == plain_cover(text), text
+
+
+@pytest.mark.parametrize("wrap", [lambda b: b, gzip.compress, lambda b: gzip.compress(gzip.compress(b)), lambda b: gzip.compress(b[:20]) + gzip.compress(b[20:]), lambda b: b"\x00\xff\xfe" + zlib.compress(b) + b"\xff"])
+@pytest.mark.parametrize("data", [INNER.encode("utf-16"), INNER.encode("utf-16-be"), b"\x00\xff\x81" * 9 + INNER.encode() + b"\xfe\x00", INNER.encode() * 3])
+def test_binary_layers_are_read(wrap, data):
+    blob = base64.b64encode(wrap(data)).decode()
+    assert any(k == 0 and 4 <= a < b <= 4 + len(blob) for k, a, b in scan(f"see {blob} end")[1])
+    assert scan(redact_text(f"see {blob} end"))[1] == []
+
+
+MEMORY = """
+import base64, resource, sys, time, zlib
+from tessera.llm.secrets import scan
+line, pack = b"2026-01-01 an ordinary line of a log, with words.\\n" * 20, zlib.compressobj()
+data = b"".join(pack.compress(line) for _ in range((1 << 26) // len(line))) + pack.compress(b"password=hunter2222\\n") + pack.compress(line) + pack.flush()
+blob = base64.b64encode(data).decode()
+assert scan("x " + blob + " y")[1] == [(0, 2, 2 + len(blob))] or scan("x " + blob + " y")[1][0][:2] == (0, 2)
+began = time.time()
+for text in ("%" + "25" * 100_000, "%" + "5Cu0025" * 30_000 + "41", "\\\\" + "u005c" * 40_000 + "u0041", "\\\\u{5c}" + "x5cu00255C" * 20_000):
+    scan(text)
+assert time.time() - began < 20
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+def test_deep_and_large_layers_are_bounded():
+    out = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 300
+
+
+def test_self_reproducing_streams_end():
+    data = gzip.compress(INNER.encode())
+    for _ in range(40):
+        data = gzip.compress(data)
+    assert [s[0] for s in scan("x " + base64.b64encode(data).decode())[1]] == [0]
+    assert scan(base64.b64encode(b"\x1f\x8b\x08" + b"\x00" * 40).decode())[1] == []
+
+
+def test_secrets_of_odd_tables(spark):
+    rows = [(1, None), (1, None), (None, ""), (2, "word " * 200_000 + INNER + " word" * 200_000), (2, "token=abcdefg")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("f", F.lit("clash")).withColumn("spans", F.lit(1)).withColumn("base", F.lit(2))
+    got = sorted(((r.doc_id or 0, r.n_assign, r.spans) for r in find_secrets(df).collect()))
+    assert got == [(0, 0, ""), (1, 0, ""), (1, 0, ""), (2, 1, "assign:0:13"), (2, 1, f"assign:1000000:{1_000_000 + len(INNER)}")]
+    assert find_secrets(df.limit(0)).columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"] and find_secrets(df.limit(0)).count() == 0
