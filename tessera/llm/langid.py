@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import is_held_out, small_batches
+from tessera.llm.common import is_held_out
 
 BITS = 16
 BINS = 1 << BITS
@@ -83,7 +83,7 @@ class LanguageModel:
 def train_ftrl(model: LanguageModel, rows: list[tuple[np.ndarray, np.ndarray, int]], *, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002, seed: int = 11) -> None:
     """Follow-the-regularised-leader with elastic-net penalties; weights that l1 holds at zero stay zero."""
     k = len(model.langs)
-    z, n = np.zeros((BINS + 1, k)), np.zeros((BINS + 1, k))
+    z, n = np.zeros((BINS + 1, k), np.float32), np.zeros((BINS + 1, k), np.float32)
     order = np.random.default_rng(seed)
     vectors = [(np.append(at, BINS), np.append(model.vector(at, c), 1.0), y) for at, c, y in rows]
 
@@ -125,15 +125,14 @@ def calibrate(model: LanguageModel, rows: list[tuple[np.ndarray, np.ndarray, int
     model.temperature = math.exp((a + b) / 2)
 
 
-def fit(docs: DataFrame, *, sample_docs: int = 6000, max_langs: int = 400) -> LanguageModel:
+def fit(docs: DataFrame, *, sample_docs: int = 6000, least_docs: int = 20) -> LanguageModel:
     """Learn from the text and non-null lang of rows that are not held out.
 
     Document frequencies cover every such row: each task adds up its own and sends at most one row per
     bin. The classifier is fitted on about ``sample_docs`` rows, picked by hash in equal shares per
-    language; a fifth of the sample is kept for the temperature. The ``max_langs`` most frequent
-    languages are learned.
+    language, of which each gets at least ``least_docs``; a fifth of the sample is kept for the temperature. Every
+    language that occurs is learned, and counts in training are those of prediction, whatever their size.
     """
-    small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), "doc_id")
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,7 +145,7 @@ def fit(docs: DataFrame, *, sample_docs: int = 6000, max_langs: int = 400) -> La
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"bin": np.append(at, -1), "n": np.append(seen[at], total)})
 
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counted = rows.groupBy("lang").count().collect()
     langs = sorted(r.lang for r in counted)
     df = rows.select("text").mapInPandas(frequencies, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros(BINS + 1)
@@ -155,7 +154,7 @@ def fit(docs: DataFrame, *, sample_docs: int = 6000, max_langs: int = 400) -> La
     if not langs:
         return model
 
-    share = {r.lang: min(1.0, sample_docs / len(langs) / r["count"]) for r in counted}
+    share = {r.lang: min(1.0, max(least_docs, sample_docs / len(langs)) / r["count"]) for r in counted}
     lookup = docs.sparkSession.createDataFrame(sorted(share.items()), "lang string, share double")
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.join(F.broadcast(lookup), "lang").where(place < F.col("share")).select("lang", "text", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(5)).alias("fold"))
@@ -165,13 +164,13 @@ def fit(docs: DataFrame, *, sample_docs: int = 6000, max_langs: int = 400) -> La
             out = []
             for lang, text, fold in zip(batch["lang"], batch["text"], batch["fold"]):
                 if (found := grams(text)) is not None:
-                    out.append((lang, int(fold), found[0].astype("<u2").tobytes(), np.minimum(found[1], 65535).astype("<u2").tobytes()))
+                    out.append((lang, int(fold), found[0].astype("<u2").tobytes(), found[1].astype("<u4").tobytes()))
             yield pd.DataFrame(out, columns=["lang", "fold", "bins", "counts"])
 
     got = picked.mapInPandas(sparse, "lang string, fold int, bins binary, counts binary").toPandas()
     got = got.sort_values(["lang", "fold", "bins", "counts"], ignore_index=True)
     number = {name: i for i, name in enumerate(langs)}
-    data = [(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(c, "<u2").astype(np.float64), number[lang], fold) for lang, fold, b, c in zip(got["lang"], got["fold"], got["bins"], got["counts"])]
+    data = [(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(c, "<u4").astype(np.float64), number[lang], fold) for lang, fold, b, c in zip(got["lang"], got["fold"], got["bins"], got["counts"])]
     train_ftrl(model, [d[:3] for d in data if d[3]] or [d[:3] for d in data])
     calibrate(model, [d[:3] for d in data if not d[3]])
     return model
@@ -195,5 +194,4 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, **options: int
     learn from. A null id counts as held out; repeated rows are scored alike; extra columns are ignored.
     """
     model = model or fit(docs, **options)
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), predicted(F.col("text"), model).alias("p")).select("doc_id", "held_out", "p.*")
