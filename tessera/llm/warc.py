@@ -29,7 +29,18 @@ def _plain(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, *, rows_per_bucket: int = 50_000, max_buckets: int = 512) -> DataFrame:
+def _bucket(ts: Column, begins: list[int], most: int, parts: int) -> Column:
+    """The number of the span that a time is in: spans begin at ``begins``, each is cut into ``parts`` of equal length."""
+    starts = F.lit(begins).cast("array<long>")
+    span = F.size(F.filter(starts, lambda b: b <= ts))
+    if parts == 1:
+        return span.cast("long")
+    ends = F.lit([*begins[1:], most + 1]).cast("array<long>")
+    low, high = F.element_at(starts, span), F.element_at(ends, span)
+    return F.when(ts.isNull(), F.lit(0)).otherwise(span.cast("long") * parts + F.floor((ts - low) * parts / (high - low)))
+
+
+def resolve_revisits(records: DataFrame, *, rows_per_bucket: int = 50_000, quantiles: int = 512) -> DataFrame:
     """Each revisit with the latest full response of its canonical URL that is strictly earlier.
 
     ``records`` has record_id, url, ts, kind (response or revisit), etag, last_modified and headers
@@ -41,16 +52,19 @@ def resolve_revisits(records: DataFrame, *, rows_per_bucket: int = 50_000, max_b
     missing (no earlier response, or a null url or time).
 
     The as-of join is a running last value over (URL, time bucket), with what earlier buckets left carried in
-    from one summary row each: a URL that holds a third of all records is spread over all buckets, which are
-    quantiles of time whose number follows the table. Of responses at one time the highest record_id counts;
+    from one summary row each: a URL that holds a third of all records is spread over all buckets. Their number follows the
+    table: up to ``quantiles`` are quantiles of time, and beyond that each of these is cut into equal spans. Of responses at one time the highest record_id counts;
     repeated rows each give a row; extra columns are ignored; an empty table gives no rows.
     """
     fields = ["record_id", "etag", "last_modified", "headers"]
     rows = records.select(canonical_url(F.col("url")).alias("url_key"), "ts", "kind", *fields)
-    facts = rows.agg(F.count("*").alias("n"), F.percentile_approx("ts", [i / 512 for i in range(1, 512)], 2000).alias("edges")).first()
-    wanted = max(1, min(max_buckets, -(-facts.n // rows_per_bucket)))
-    edges = sorted({facts.edges[int(i * 512 / wanted) - 1] for i in range(1, wanted)}) if facts.edges else []
-    bucket = F.size(F.filter(F.lit(edges).cast("array<long>"), lambda e: e <= F.col("ts").cast("long"))) if edges else F.lit(0)
+    share = [i / quantiles for i in range(1, quantiles)]
+    at = F.col("ts").cast("long")
+    facts = rows.agg(F.count("*").alias("n"), F.min(at).alias("least"), F.max(at).alias("most"), F.percentile_approx(at, share, 4 * quantiles).alias("edges")).first()
+    wanted = max(1, -(-facts.n // rows_per_bucket))
+    coarse = min(wanted, quantiles)
+    edges = sorted({facts.edges[int(i * quantiles / coarse) - 1] for i in range(1, coarse)} - {facts.least}) if facts.edges else []
+    bucket = _bucket(at, [facts.least, *edges], facts.most, -(-wanted // coarse)) if facts.edges else F.lit(0).cast("long")
     full = (F.col("kind") == "response") & F.col("ts").isNotNull() & F.col("url_key").isNotNull()
     rows = rows.withColumn("bucket", bucket).withColumn("own", F.when(full, F.struct("ts", *fields)))
 
@@ -59,7 +73,7 @@ def resolve_revisits(records: DataFrame, *, rows_per_bucket: int = 50_000, max_b
     ends = rows.groupBy("url_key", "bucket").agg(F.max_by("own", F.struct("own.ts", "own.record_id")).alias("left"))
     before = W.partitionBy("url_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.select("url_key", "bucket", F.last("left", ignorenulls=True).over(before).alias("far")).where("far IS NOT NULL")
-    found = near.join(carried, ["url_key", "bucket"], "left").withColumn("hit", F.when(F.col("ts").isNotNull(), F.coalesce("near", "far")))
+    found = near.join(carried.hint("merge"), ["url_key", "bucket"], "left").withColumn("hit", F.when(F.col("ts").isNotNull(), F.coalesce("near", "far")))
 
     tags = F.col("etag").isNotNull() & F.col("hit.etag").isNotNull()
     dates = F.col("last_modified").isNotNull() & F.col("hit.last_modified").isNotNull()
