@@ -14,8 +14,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
-
 TIERS = (256, 512, 1024, 2048)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -25,32 +23,33 @@ class Encoder:
 
     Where the file is a plain byte-level BPE with the usual split, its vocabulary is given to the
     faster BPE library, whose ids are the same (tests compare them); any other file is run as it is.
-    Strings that look like special tokens are ordinary text.
+    Added tokens of the file are found in a text as the file has it: each is one id.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         self.fast = None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        if spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer"):
+        added = spec.get("added_tokens", [])
+        plain = not any(t.get(how) for t in added for how in ("lstrip", "rstrip", "single_word"))
+        if plain and spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer"):
             import tiktoken
 
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
             hidden = [b for b in range(256) if b not in shown]
             byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-            special = {t["content"] for t in spec.get("added_tokens", [])}
+            special = {t["content"]: t["id"] for t in added}
             ranks = {bytes(byte_of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
             split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-            self.fast = tiktoken.Encoding("own", pat_str=split, mergeable_ranks=ranks, special_tokens={})
+            self.fast = tiktoken.Encoding("own", pat_str=split, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is not None:
-            return self.fast.encode_to_numpy(text)
+            return self.fast.encode_to_numpy(text, allowed_special="all")
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
@@ -187,8 +186,6 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, tiers: tuple[int,
     A null or empty text is the end id alone; null ids and repeated rows are packed like any others; extra
     columns are ignored; an empty table gives no rows. ``tiers`` are ascending powers of two.
     """
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = Encoder(tokenizer)
         end = np.array([end_id], dtype=np.uint32)
