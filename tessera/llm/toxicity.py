@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import is_held_out, small_batches
+from tessera.llm.common import is_held_out
 from tessera.session import keep
 
 # A small seed lexicon of insults and the second-person words, in four languages.
@@ -177,13 +177,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000, lexico
     """Learn from at most ``sample_rows`` labelled documents that are not held out, picked by hash.
 
     Word counts by label are added up on the executors and ranked there; only the ``lexicon_words`` most
-    telling words come to the driver, then the sample's features. Rows with crc32 mod 5 of 4 only calibrate.
+    telling words come to the driver, then the sample's features: one row for each id, so repeated ids don't enlarge it.
+    Rows with crc32 mod 5 of 4 only calibrate.
     """
-    small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(sample_rows)
     fold = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5).cast("int")
-    rows = keep(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic", fold.alias("fold")), "toxicity")
+    # of a repeated id one row: the sample is bounded by rows, whatever an id's copies
+    own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "toxic")).alias("one"))
+    rows = keep(own.select("one.text", "one.toxic", fold.alias("fold")), "toxicity")
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = Counter(), Counter()
@@ -238,6 +240,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | No
     held out; repeated rows are scored alike; conflicting labels of an id count as toxic; extra columns are ignored.
     """
     model = model or fit(docs, labels, **options)
-    small_batches(docs.sparkSession)
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), toxicity(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
