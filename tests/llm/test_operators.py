@@ -1,6 +1,7 @@
 """Each operator against a plain version on small tables, and on nulls, empty and long texts, ties, repeats, no rows and clashing columns."""
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -60,6 +61,81 @@ def test_mix_keeps_to_targets(spark, sf):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(docs.repartition(7), rows_per_shard=16).collect()))
 
 
+def plain_mix(docs, shard_of, order_of, rows_per_shard, max_block=1024, seed=17):
+    """What a mix takes, seat by seat and word by word; hashes are given."""
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", d[2] or "")) for i, d in enumerate(docs)}
+    names = sorted({d[1] for d in docs}, key=lambda s: (s is None, s or ""))
+    size = [sum(words[i] for i, d in enumerate(docs) if d[1] == s) for s in names]
+    target, done = [0.0] * len(names), set()
+    while len(done) < len(names):
+        left = sum(size) - sum(target[i] for i in done)
+        level = left / sum(j % 3 + 1 for j in range(len(names)) if j not in done)
+        share = {i: level * (i % 3 + 1) for i in range(len(names)) if i not in done}
+        full = [i for i in share if share[i] > 3 * size[i]]
+        for i in full or share:
+            target[i] = float(3 * size[i]) if full else share[i]
+        done |= set(full or share)
+    block = max(1, min(max_block, sum(size) // 4096))
+    unit = [block if t >= 64 * block else 1 for t in target]
+    rings = {}
+    for i, d in enumerate(docs):
+        if words[i]:
+            rings.setdefault((names.index(d[1]), shard_of[i]), []).append(i)
+    length = {k: sum(words[i] for i in v) for k, v in rings.items()}
+    cap = {k: 3 * n // unit[k[0]] for k, n in length.items()}
+    full_cap = [sum(c for k, c in cap.items() if k[0] == s) for s in range(len(names))]
+    large = [s for s in range(len(names)) if unit[s] == block]
+    won = dict(zip(large, plain_seats([target[s] for s in large], round(sum(target[s] for s in large) / block), [full_cap[s] for s in large])))
+    taken = [0] * len(docs)
+    for s in range(len(names)):
+        seats = won.get(s, min(full_cap[s], round(target[s])))
+        n = sum(d[1] == names[s] for d in docs)
+        shards = max(1, min(-(-n // rows_per_shard), size[s] // (64 * unit[s])))
+        lots = {}
+        for k in sorted(k for k in rings if k[0] == s):
+            lots.setdefault(k[1] % math.ceil(math.sqrt(shards)), []).append(k)
+        lots = [lots[x] for x in sorted(lots)]
+        for own, q in zip(lots, plain_seats([float(sum(length[k] for k in o)) for o in lots], seats, [sum(cap[k] for k in o) for o in lots])):
+            for k, w in zip(own, plain_seats([float(length[k]) for k in own], q, [cap[k] for k in own])):
+                ring = [i for i in sorted(rings[k], key=lambda i: (order_of[i], docs[i][0])) for _ in range(words[i])]
+                at = START(seed + 2, *k) % -(-len(ring) // unit[s]) * unit[s]
+                for step in range(w * unit[s]):
+                    taken[ring[(at + step) % len(ring)]] += 1
+    return taken
+
+
+@pytest.mark.parametrize("max_block", [4, 1024])
+def test_mix_equals_blocks_taken_one_by_one(spark, max_block):
+    rng = np.random.default_rng(3)
+    docs = [(i, [None, "a", "a", "a", "b", "tiny", "z"][int(rng.integers(0, 7)) if i > 3 else 5 if i == 3 else 1], " ".join(["w"] * int(rng.integers(0, 60)))) for i in range(400)]
+    docs = [(i, "c" if s == "tiny" and i != 3 else s, "three words only" if s == "tiny" and i == 3 else t) for i, s, t in docs]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in mixing.mix(df, rows_per_shard=8, max_block=max_block).collect()}
+    order = {r.doc_id: r.o for r in df.select("doc_id", F.xxhash64(F.lit(17), "doc_id", F.xxhash64("text")).alias("o")).collect()}
+    global START
+    names = sorted({s for _, s, _ in docs}, key=lambda s: (s is None, s or ""))
+    pairs = sorted({(names.index(s), got[i].shard) for i, s, _ in docs})
+    told = spark.createDataFrame(pairs, "src int, shard long").select("src", "shard", F.xxhash64(F.lit(19), "src", "shard").alias("h")).collect()
+    hashes = {(r.src, r.shard): r.h for r in told}
+    START = lambda seed, src, shard: hashes[(src, shard)]
+    want = plain_mix(docs, {i: got[i].shard for i in got}, order, 8, max_block)
+    assert [got[i].taken for i in range(len(docs))] == want
+    for s in names:
+        own = [got[i] for i, src, _ in docs if src == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(1, 0.02 * own[0].target)
+
+
+def test_a_tiny_source_leaves_the_blocks_whole(spark):
+    rows = [(i, "big" if i % 2 else "other", "w " * 3000) for i in range(1500)] + [(9000, "tiny", "just three words")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert sum(r.taken for r in got if r.doc_id == 9000) == 9
+    by = {}
+    for r in got:
+        by.setdefault((r.source_size, r.shard), []).append(r.taken)
+    assert all(sum(v) % 1024 == 0 for (size, _), v in by.items() if size > 3)
+    assert sum(r.taken for r in got) == pytest.approx(sum(r["size"] for r in got), rel=0.01)
+
+
 def test_mix_odd_rows(odd):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r.taken <= 3 * r["size"] for r in rows)
@@ -76,9 +152,8 @@ def test_fast_ids_are_the_tokenizers_ids(spark, sf):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(tokenizer_path())
-    slow.encode_special_tokens = True
     fast = packing.Encoder(tokenizer_path())
-    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + ["a<|endoftext|>b", "  x\n\n y\t", "é😀字", "don't WE'LL", "\x00\x7f"]
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + ["a<|endoftext|>b", "hello <|endoftext|> world", "<|endoftext|><|endoftext|>", " <|endoftext|>\n", "<|endoftext|", "  x\n\n y\t", "é😀字", "don't WE'LL", "\x00\x7f"]
     for text in texts:
         assert fast(text).tolist() == slow.encode(text, add_special_tokens=False).ids
 
@@ -199,6 +274,42 @@ def test_language_odd_rows(odd):
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """More languages than any limit there was; each has an alphabet of its own."""
+    rows = [(10 * n + i, "".join(chr(0x4E00 + 3 * n + (i + j) % 3) for j in range(30)), f"l{n:03d}") for n in range(401) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.langs) == 401
+    right = sum(model.predict(t)[0] == lang for _, t, lang in rows[::7])
+    assert right >= 0.9 * len(rows[::7])
+
+
+def test_long_texts_are_described_alike_in_training():
+    at, counts = langid.grams("ab" * 100_000)
+    assert counts.max() > 65_535
+
+
+def plain_probabilities(model, text):
+    """The model's formula, n-gram by n-gram."""
+    counts = {}
+    at, n = langid.grams(text)
+    for a, c in zip(at.tolist(), n.tolist()):
+        counts[a] = counts.get(a, 0) + c
+    tfidf = {a: (1 + math.log(c)) * float(model.idf[a]) for a, c in counts.items()}
+    norm = math.sqrt(sum(v * v for v in tfidf.values()))
+    z = [(sum(v / norm * float(model.weights[a, k]) for a, v in tfidf.items()) + float(model.bias[k])) / model.temperature for k in range(len(model.langs))]
+    return [math.exp(v - max(z)) / sum(math.exp(u - max(z)) for u in z) for v in z]
+
+
+def test_language_scores_equal_the_formula(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(80)
+    model = langid.fit(docs)
+    for r, s in zip(sorted(docs.collect(), key=lambda r: r.doc_id), sorted(langid.identify(docs, model).collect(), key=lambda r: r.doc_id)):
+        if s.lang_pred != "und":
+            p = plain_probabilities(model, r.text)
+            assert s.lang_pred == model.langs[int(np.argmax(p))] and s.score == pytest.approx(max(p), rel=1e-4)
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -321,6 +432,18 @@ def test_revisits(spark, per):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("quantiles", [2, 512])
+def test_one_hot_url_over_many_buckets(spark, quantiles):
+    """More buckets than quantiles, ties, and gaps longer than a bucket; every revisit against a plain search. A clashing column is ignored."""
+    rng = np.random.default_rng(8)
+    times = np.concatenate([rng.integers(0, 50, 60), rng.integers(10**6, 10**6 + 9, 60), [5] * 20]).tolist()
+    rows = [(i, "http://hot.org/" if i % 10 else f"http://u{i % 7}.org", int(t), "response" if rng.random() < 0.3 else "revisit", f"e{i % 3}", None, {"n": str(i)}) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, RECORD).withColumn("url_key", F.lit("clash")).withColumn("near", F.lit("clash"))
+    got = {r.record_id: r.response_id for r in warc.resolve_revisits(df, rows_per_bucket=1, quantiles=quantiles).collect()}
+    want = {i: max(((t2, j) for j, u2, t2, k2, *_ in rows if k2 == "response" and u2 == u and t2 < t), default=(0, None))[1] for i, u, t, k, *_ in rows if k == "revisit"}
+    assert got == want
+
+
 # --- queries -------------------------------------------------------------------------------------
 
 
