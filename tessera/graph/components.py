@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from tessera.session import discard, keep
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node, component`` for every node of an edge; a component is named by its smallest node.
 
     Each round joins edges to a per-node minimum, so no node's neighbours are gathered in one place,
-    and writes its edges to the shared folder. Rounds grow with the logarithm of the longest chain.
+    and writes its edges to the shared folder. It ends when a round changes nothing; rounds grow with the logarithm of the longest chain.
     Null ends and self-loops are ignored; repeated edges count once.
     """
     pairs = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
     now = keep(pairs.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
