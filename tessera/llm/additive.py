@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.vectors import as_block, best, blocks, from_block, matrix, meet, one_per_id, usable
+from tessera.llm.vectors import best, blocks, distinct_vectors, expand, first_of_each, in_cells, lots_of, matrix, matrix_of, one_per_id, pages, usable
 from tessera.session import keep
 
-SCHEMA = "ids binary, data binary, dim int, codes binary, norms binary"
+SCHEMA = "ids binary, begin binary, data binary, codes binary, norms binary"
+#: A code's place: page * PLACES + number of the code in its page.
+PLACES = 1 << 20
 
 
 @dataclass
@@ -22,107 +24,165 @@ class Codebooks:
 
     words: np.ndarray
 
-    def encode(self, x: np.ndarray, beam: int = 8) -> np.ndarray:
+    def encode(self, x: np.ndarray, beam: int = 4) -> np.ndarray:
         """Codes by beam search: after each book the ``beam`` partial sums of least error are kept."""
+        x = x.astype(np.float32)
         n, books = len(x), len(self.words)
-        rest, codes = x[:, None, :], np.zeros((n, 1, 0), np.int64)
-        for m in range(books):
-            w = self.words[m]
-            err = (rest * rest).sum(axis=2)[:, :, None] - 2 * rest @ w.T + (w * w).sum(axis=1)
-            flat = err.reshape(n, -1)
-            width = min(beam, flat.shape[1]) if m < books - 1 else 1
-            pick = np.argpartition(flat, width - 1, axis=1)[:, :width] if width < flat.shape[1] else np.tile(np.arange(flat.shape[1]), (n, 1))
-            parent, word = np.divmod(pick, len(w))
-            rest = np.take_along_axis(rest, parent[:, :, None], 1) - w[word]
-            codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None]], axis=2)
-        return codes[:, 0, :].astype(np.uint8)
+        rest, error, codes = x[:, None, :], (x * x).sum(axis=1)[:, None], np.zeros((n, 1, books), np.uint8)
+        row = np.arange(n)[:, None]
+        for m, w in enumerate(self.words):
+            width, k = rest.shape[1], len(w)
+            flat = ((error[:, :, None] + (w * w).sum(axis=1)) - 2 * (rest.reshape(n * width, -1) @ w.T).reshape(n, width, k)).reshape(n, -1)
+            most = min(beam, flat.shape[1]) if m < books - 1 else 1
+            pick = np.argpartition(flat, most - 1, axis=1)[:, :most] if most < flat.shape[1] else np.tile(np.arange(most), (n, 1))
+            parent, word = np.divmod(pick, k)
+            error, rest, codes = np.take_along_axis(flat, pick, 1), rest[row, parent] - w[word], codes[row, parent]
+            codes[:, :, m] = word
+        return codes[:, 0, :]
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
-        return sum(self.words[m][codes[:, m]] for m in range(len(self.words)))
+        return sum(w[codes[:, m]] for m, w in enumerate(self.words))
 
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """Lookup tables of queries: books x words x queries, -2 q.word."""
+        return np.stack([-2 * (w @ q.astype(np.float32).T) for w in self.words])
 
-def train(x: np.ndarray, *, books: int = 24, words: int = 64, rounds: int = 3, seed: int = 5) -> Codebooks:
+    def scores(self, tables: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """codes x queries: |decoded|^2 - 2 q.decoded, by lookups and the stored norms only."""
+        out = np.repeat(norms.astype(np.float32)[:, None], tables.shape[2], axis=1)
+        for m in range(len(tables)):
+            out += tables[m][codes[:, m]]
+        return out
+
+
+def train(x: np.ndarray, *, books: int = 64, words: int = 16, rounds: int = 3, beam: int = 2, seed: int = 5) -> Codebooks:
     """Residual k-means, then rounds of encoding and a least-squares fit of all books at once."""
-    rng, rest, out = np.random.default_rng(seed), x.copy(), np.zeros((books, words, x.shape[1]))
+    x = x.astype(np.float32)
+    rng, rest, out = np.random.default_rng(seed), x.copy(), np.zeros((books, words, x.shape[1]), np.float32)
+    nearest = lambda c: ((c * c).sum(axis=1) - 2 * rest @ c.T).argmin(axis=1)
+    one = np.eye(words, dtype=np.float32)
     for m in range(books):
         centre = rest[rng.choice(len(rest), words, replace=len(rest) < words)].copy()
-        for _ in range(8):
-            near = ((centre * centre).sum(axis=1) - 2 * rest @ centre.T).argmin(axis=1)
-            count = np.bincount(near, minlength=words)
-            total = np.zeros_like(centre)
-            np.add.at(total, near, rest)
-            centre[count > 0] = total[count > 0] / count[count > 0, None]
+        for _ in range(6):
+            hot = one[nearest(centre)]
+            count = hot.sum(axis=0)
+            centre[count > 0] = (hot.T @ rest)[count > 0] / count[count > 0, None]
         out[m] = centre
-        rest = rest - centre[((centre * centre).sum(axis=1) - 2 * rest @ centre.T).argmin(axis=1)]
+        rest = rest - centre[nearest(centre)]
     model = Codebooks(out)
     for _ in range(rounds):
-        codes = model.encode(x)
-        hot = np.zeros((len(x), books * words))
-        for m in range(books):
-            hot[np.arange(len(x)), m * words + codes[:, m].astype(np.int64)] = 1
-        fit = np.linalg.solve(hot.T @ hot + 1e-2 * np.eye(books * words), hot.T @ x + 1e-2 * model.words.reshape(books * words, -1))
-        model = Codebooks(fit.reshape(out.shape))
+        hot = one[model.encode(x, beam)].reshape(len(x), -1)
+        still = 0.1 * np.eye(books * words)
+        fit = np.linalg.solve(hot.T @ hot + still, hot.T @ x + 0.1 * model.words.reshape(books * words, -1))
+        model = Codebooks(fit.astype(np.float32).reshape(out.shape))
     return model
 
 
-def shortlist(q: np.ndarray, model: Codebooks, codes: np.ndarray, norms: np.ndarray, most: int) -> np.ndarray:
-    """Per query, which rows have one of the ``most`` distinct codes of least |decoded|^2 - 2 q.decoded, by table lookups only.
+class Shortlist:
+    """The best codes of each query of a block, over the pages seen."""
 
-    Copies share their code and come in or stay out together, as do codes that tie with the last one.
-    """
-    kinds, first, kind = np.unique(codes, axis=0, return_index=True, return_inverse=True)
-    score = np.tile(norms[first], (len(q), 1))
-    for m, w in enumerate(model.words):
-        score -= 2 * (q @ w.T)[:, kinds[:, m]]
-    if most >= len(kinds):
-        return np.ones((len(q), len(codes)), bool)
-    return (score <= np.partition(score, most - 1, axis=1)[:, most - 1 : most])[:, kind.reshape(-1)]
+    def __init__(self, model: Codebooks, q: np.ndarray, most: int):
+        self.model, self.tables, self.most = model, model.tables(q), most
+        self.score, self.place = np.full((len(q), 0), np.inf, np.float32), np.zeros((len(q), 0), np.int64)
 
+    def add(self, score: np.ndarray, place: np.ndarray) -> None:
+        score, place = np.concatenate([self.score, score], axis=1), np.concatenate([self.place, np.broadcast_to(place, score.shape[:1] + place.shape[-1:])], axis=1)
+        if score.shape[1] > self.most:
+            pick = np.argpartition(score, self.most - 1, axis=1)[:, : self.most]
+            score, place = np.take_along_axis(score, pick, 1), np.take_along_axis(place, pick, 1)
+        self.score, self.place = score, place
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, *, k: int = 10, page_rows: int = 2048, block_rows: int = 512, sample_rows: int = 4096, rerank: int = 128) -> DataFrame:
+    def page(self, number: int, codes: np.ndarray, norms: np.ndarray) -> None:
+        kinds, first = np.unique(codes, axis=0, return_index=True)
+        self.add(self.model.scores(self.tables, kinds, norms[first]).T, number * PLACES + np.arange(len(kinds)))
+
+
+def nearest_neighbours(vectors: DataFrame, is_query: Column, *, k: int = 10, page_rows: int = 2048, block_rows: int = 4096, sample_rows: int = 8192, rerank: int = 128) -> DataFrame:
     """Each query's k nearest found by Euclidean distance, of every row but those of its own id.
 
-    The codebooks are fitted on ``sample_rows`` rows picked by hash; every row is encoded. Rows lie in pages by
-    hash, a page being one row with its codes, norms and vectors; a block of queries scores a page by
-    lookups and reranks all rows of its best ``rerank`` distinct codes exactly, so the share of a page that is looked at
-    again does not depend on the size of the table, and no copy is lost to another.
+    The codebooks are fitted on ``sample_rows`` rows picked by hash; every row is encoded. Copies of a vector are one entry with the
+    ids that can matter, so no copy is lost to another and none pushes other rows out. Entries lie in pages by hash, a page being
+    one row. Three steps, each moving what it needs: blocks of queries meet the pages' codes and norms, score them by lookups and keep
+    the best ``rerank`` distinct codes of every lot of pages; a query's lists are merged to its best ``rerank`` of all pages; only the pages
+    named there, with the queries that name them, are joined to the original vectors, and all entries of these codes ranked exactly.
 
     Rows with a null id, a null or zero vector or a null or non-finite component take no part; of a repeated query id
     the smallest vector asks; shorter vectors count as filled with zeros. An empty table, or one without
     queries, gives no rows.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, zero=False)
+    rows = keep(usable(vectors, zero=False), "whole")
     facts = rows.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim"), F.count(F.when(is_query, 1)).alias("asked")).first()
     if not facts.n or not facts.asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n_pages, n_blocks = facts.dim, -(-facts.n // page_rows), -(-facts.asked // block_rows)
+    dim, n_pages, n_blocks, most = facts.dim, -(-facts.n // page_rows), -(-facts.asked // block_rows), max(rerank, 2 * k)
     model = train(matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample_rows).toPandas()["vec"], dim))
+    books = len(model.words)
 
-    def page(ids: np.ndarray, data: np.ndarray) -> dict:
+    def page(number: int, data: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> dict:
         codes = model.encode(data)
         decoded = model.decode(codes)
-        return {**as_block(ids, data), "codes": codes.tobytes(), "norms": (decoded * decoded).sum(axis=1).tobytes()}
+        return {"ids": ids.tobytes(), "begin": begin.astype("<i8").tobytes(), "data": data.tobytes(), "codes": codes.tobytes(), "norms": (decoded * decoded).sum(axis=1).astype("<f4").tobytes()}
 
-    pages = keep(blocks(rows.withColumn("page", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n_pages))), "page", dim, page, SCHEMA), "pages")
+    entries = distinct_vectors(rows, dim, k).withColumn("page", F.pmod(F.xxhash64("data", F.lit(7)), F.lit(n_pages)))
+    index = keep(pages(entries, dim, k, page, SCHEMA), "pages")
     asked = one_per_id(rows.where(is_query)).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(n_blocks)))
-    queries = keep(blocks(asked, "block", dim), "queries")
+    queries = keep(blocks(asked, dim), "queries")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, ids, state = 0, b"", None
+
+        def told() -> pd.DataFrame:
+            return pd.DataFrame([{"cell": cell, "width": state.score.shape[1], "scores": state.score.tobytes(), "places": state.place.tobytes()}])
+
+        for batch in batches:
+            for row in batch.itertuples():
+                if row.q_ids is not None:
+                    if state is not None:
+                        yield told()
+                    cell, state = row.cell, Shortlist(model, matrix_of(row.q_data, dim), most)
+                else:
+                    state.page(int(row.page), np.frombuffer(row.codes, np.uint8).reshape(-1, books), np.frombuffer(row.norms, "<f4"))
+        if state is not None:
+            yield told()
+
+    lots = lots_of(n_pages)
+    every = index.select("page", "codes", "norms").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("turn", F.lit(0.0))
+    lists = in_cells(queries, every, ["codes", "norms"], lots).mapInPandas(search, "cell long, width int, scores binary, places binary")
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                ids, q = np.frombuffer(row.ids, "<i8"), matrix_of(row.data, dim)
+                state = Shortlist(model, q, most)
+                for part in sorted(row.lists, key=lambda p: p["cell"]):
+                    state.add(np.frombuffer(part["scores"], "<f4").reshape(len(ids), -1), np.frombuffer(part["places"], "<i8").reshape(len(ids), -1))
+                who, place = np.repeat(np.arange(len(ids)), state.place.shape[1]), state.place.reshape(-1)
+                order = np.argsort(place, kind="stable")
+                who, place = who[order], place[order]
+                cuts = np.flatnonzero(np.diff(place // PLACES)) + 1
+                for w, p in zip(np.split(who, cuts), np.split(place, cuts)):
+                    named, number = np.unique(w, return_inverse=True)
+                    yield pd.DataFrame([{"page": int(p[0] // PLACES), "q_ids": ids[named].tobytes(), "q_data": q[named].tobytes(), "who": number.reshape(-1).astype("<i4").tobytes(), "codes": (p % PLACES).astype("<i4").tobytes()}])
+
+    gathered = lists.groupBy(F.floor(F.col("cell") / lots).alias("block")).agg(F.collect_list(F.struct("cell", "scores", "places")).alias("lists"))
+    wanted = gathered.join(queries, "block").mapInPandas(merge, "page long, q_ids binary, q_data binary, who binary, codes binary")
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                ids, data = from_block(row.ids, row.data, row.dim)
-                q_ids, q = from_block(row.q_ids, row.q_data, row.q_dim)
-                codes, norms = np.frombuffer(row.codes, np.uint8).reshape(len(ids), -1), np.frombuffer(row.norms, "<f8")
-                near = shortlist(q, model, codes, norms, max(rerank, 2 * k))
-                out = []
-                for i, at in enumerate(map(np.flatnonzero, near)):
-                    d = np.sqrt(((data[at] - q[i]) ** 2).sum(axis=1))
-                    d[ids[at] == q_ids[i]] = np.inf
-                    pick = np.lexsort((ids[at], d))[:k]
-                    pick = pick[np.isfinite(d[pick])]
-                    out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[at][pick], "score": d[pick]}))
-                yield pd.concat(out)
-
-    found = meet(pages, queries, n_pages, n_blocks).mapInPandas(search, "query_id long, vec_id long, score double")
-    return best(found, k, descending=False)
+                ids, begin, data = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.begin, "<i8"), matrix_of(row.data, dim)
+                kind = np.unique(np.frombuffer(row.own_codes, np.uint8).reshape(-1, books), axis=0, return_inverse=True)[1].reshape(-1)
+                by_kind = np.argsort(kind, kind="stable")
+                at = np.concatenate([[0], np.cumsum(np.bincount(kind))])
+                q_ids, q = np.frombuffer(row.q_ids, "<i8"), matrix_of(row.q_data, dim)
+                pair, entry = expand(np.frombuffer(row.codes, "<i4").astype(np.int64), at)
+                who, entry = np.frombuffer(row.who, "<i4")[pair], by_kind[entry]
+                near = np.concatenate([np.sqrt(((data[entry[i : i + 65_536]] - q[who[i : i + 65_536]]) ** 2).sum(axis=1)) for i in range(0, len(who), 65_536)])
+                pair, flat = expand(entry, begin)
+                other = ids[flat] != q_ids[who[pair]]
+                who, score, found, _ = first_of_each(who[pair][other], near[pair][other], ids[flat][other], k)
+                yield pd.DataFrame({"query_id": q_ids[who], "vec_id": found, "score": score})
+
+    beside = wanted.join(index.select("page", "ids", "begin", "data", F.col("codes").alias("own_codes")), "page")
+    return best(beside.mapInPandas(exact, "query_id long, vec_id long, score double"), k, F.asc("score"))

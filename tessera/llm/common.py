@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def small_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Arrow batches of whole texts: few rows each, so that a batch of long texts fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pd.DataFrame], rows: int = 400) -> Iterator[pd.DataFrame]:
+    """Batches of whole texts in parts of few rows, so that what is made of a part fits a worker; the session's own batch size stays."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
 
 
 def is_held_out(doc_id: Column) -> Column:

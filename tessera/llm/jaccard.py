@@ -9,11 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.graph.components import connected_components
-from tessera.llm.common import small_batches
+from tessera.llm.common import slices
 from tessera.session import discard, keep
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -110,7 +109,7 @@ def _frequent(docs: DataFrame, k: int, most: int) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(1 << HEAVY_BITS, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             if len(batch):
                 seen += np.bincount(np.concatenate([shingles(t, k) >> np.uint64(64 - HEAVY_BITS) for t in batch["text"]]).astype(np.int64), minlength=len(seen))
         mean = seen.mean()
@@ -127,7 +126,7 @@ def _described(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> Data
     """Per row: set size, a 128-bit name of the set, its prefix, rarest shingles first, and its signature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, tie, text in zip(batch["doc_id"], batch["tie"], batch["text"]):
                 s = shingles(text, k)
@@ -229,8 +228,8 @@ def _banded(rows: DataFrame, group: str, percent: int, chunk: int) -> DataFrame:
     ratio = math.log(100 / percent) * (1 + 1e-9)
     band = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
     placed = rows.select(group, "vid", F.explode(F.array(band, band + 1)).alias("band"), band.alias("own"))
-    cell = W.partitionBy(group, "band")
-    counted = placed.select(group, "band", "vid", F.count("*").over(cell).alias("size"), F.max(F.col("own") == F.col("band")).over(cell).alias("homes")).where("homes AND size > 1")
+    cells = placed.groupBy(group, "band").agg(F.count("*").alias("size"), F.max(F.col("own") == F.col("band")).alias("homes")).where("homes AND size > 1")
+    counted = placed.join(cells.drop("homes"), [group, "band"])
     cut = counted.withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int"))
     # a chunk meets every other one; it is alone with itself only where it is the only one
     other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: o != F.col("chunk")))
@@ -258,12 +257,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: in
     Texts without words have an empty set and link with nothing, themselves included; rows with a null doc_id get a
     null component and link nothing; repeated rows are one class; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
     heavy = _frequent(docs, k, most=1 << 16)
     described = keep(_described(docs, k, percent, heavy), "sets")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
 
     named = described.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tie")).alias("least"), F.first(F.struct("n", "prefix", "bits")).alias("first"))
     classes = keep(named.select(F.monotonically_increasing_id().alias("vid"), "k1", "k2", "least.*", "first.*"), "classes")
@@ -271,7 +267,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: in
     discard(described)
 
     posted = classes.select("vid", "n", F.explode("prefix").alias("tile"))
-    shared = posted.withColumn("size", F.count("*").over(W.partitionBy("tile"))).where("size > 1").select("tile", "vid", "n")
+    often = posted.groupBy("tile").agg(F.count("*").alias("size")).where("size > 1")
+    shared = posted.join(often.select("tile"), "tile")
     tiles = keep(_banded(shared, "tile", percent, chunk), "tiles")
     keys = ["tile", "band", "ci", "cj"]
     signed = tiles.join(classes.select("vid", "n", "bits"), "vid").repartition(*keys).sortWithinPartitions(*keys)
@@ -284,10 +281,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: in
     texts = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"]).select("vid", "text")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pd.DataFrame({"vid": batch["vid"], "items": [shingles(t, k).tobytes() for t in batch["text"]]})
 
-    small_batches(spark)
     sets = keep(texts.mapInPandas(make, "vid long, items binary"), "items")
     dealt = _banded(families.join(classes.select("vid", "n"), "vid"), "family", percent, chunk // 2)
     keys = ["family", "band", "ci", "cj"]

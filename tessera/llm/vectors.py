@@ -1,4 +1,4 @@
-"""Vectors in blocks: what the two searches share."""
+"""Vectors in pages and blocks: what the two searches share."""
 
 from __future__ import annotations
 
@@ -6,14 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
-
-PAGE = "ids binary, data binary, dim int"
-
 
 def usable(vectors: DataFrame, zero: bool = True) -> DataFrame:
     """vec_id and vec (doubles) of rows whose id is not null and whose components are all finite; with ``zero`` false, not all zero."""
@@ -35,13 +31,43 @@ def matrix(vecs: pd.Series, dim: int) -> np.ndarray:
     return out
 
 
-def as_block(ids: np.ndarray, data: np.ndarray) -> dict:
-    return {"ids": ids.astype("<i8").tobytes(), "data": np.ascontiguousarray(data, "<f8").tobytes(), "dim": data.shape[1]}
+def matrix_of(data: bytes, dim: int, kind: str = "<f8") -> np.ndarray:
+    return np.frombuffer(data, kind).reshape(-1, dim)
+
+
+def smallest_ids(ids: np.ndarray, most: int) -> np.ndarray:
+    """Of the ids that share a vector those that any query can need: the ``most`` + 1 smallest, since a query's own falls out, each at most ``most`` times."""
+    ids = np.sort(ids)
+    new = np.concatenate([[True], ids[1:] != ids[:-1]])
+    kind = np.cumsum(new) - 1
+    again = np.arange(len(ids)) - np.flatnonzero(new)[kind]
+    return ids[(kind <= most) & (again < most)]
+
+
+def merge_copies(data: np.ndarray, ids: list[np.ndarray], most: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct rows of ``data``, in a fixed order, and the ids each stands for."""
+    kinds, kind = np.unique(data + 0.0, axis=0, return_inverse=True)
+    kind = kind.reshape(-1)
+    size = np.array([len(x) for x in ids])
+    owner, flat = np.repeat(kind, size), np.concatenate(ids) if len(ids) else np.zeros(0, np.int64)
+    order = np.lexsort((flat, owner))
+    cuts = np.searchsorted(owner[order], np.arange(1, len(kinds)))
+    return kinds, [smallest_ids(part, most) for part in np.split(flat[order], cuts)]
+
+
+def distinct_vectors(rows: DataFrame, dim: int, most: int, cell: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """data (doubles), ids and cell: the distinct vectors of each batch with the ids that matter, so that copies are folded before any shuffle.
+
+    A vector that is a third of all rows leaves one row per batch; ``merge_copies`` folds those where a page is built.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                data, ids = merge_copies(matrix(batch["vec"], dim), [np.array([i]) for i in batch["vec_id"].to_numpy(np.int64)], most)
+                yield pd.DataFrame({"data": [x.tobytes() for x in data], "ids": ids, "cell": cell(data) if cell else 0})
 
-def from_block(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    found = np.frombuffer(ids, "<i8")
-    return found, np.frombuffer(data, "<f8").reshape(len(found), dim)
+    return rows.select("vec_id", "vec").mapInPandas(run, "data binary, ids array<long>, cell long")
 
 
 def runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -57,41 +83,64 @@ def runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
-def blocks(rows: DataFrame, key: str, dim: int, build: Callable[[np.ndarray, np.ndarray], dict] = as_block, schema: str = PAGE) -> DataFrame:
-    """One row per value of ``key`` with what ``build`` makes of its ids and vectors, ordered by id."""
+def pages(rows: DataFrame, dim: int, most: int, build: Callable[[int, np.ndarray, np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
+    """One row per value of ``page`` with what ``build`` makes of its number, vectors, flat ids and where each vector's ids begin."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in runs(batches, "page"):
+            data, ids = merge_copies(np.frombuffer(b"".join(part["data"]), "<f8").reshape(len(part), dim), [np.asarray(x, np.int64) for x in part["ids"]], most)
+            begin = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            number = int(part["page"].iloc[0])
+            yield pd.DataFrame([{"page": number, **build(number, data, np.concatenate(ids), begin)}])
+
+    return rows.select("page", "data", "ids").repartition("page").sortWithinPartitions("page").mapInPandas(run, f"page long, {schema}")
+
+
+def blocks(asked: DataFrame, dim: int) -> DataFrame:
+    """block, ids, data: the queries of each block as one row, by id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in runs(batches, key):
-            ids, data = part["vec_id"].to_numpy(np.int64), matrix(part["vec"], dim)
-            order = np.lexsort((*data.T[::-1], ids))
-            yield pd.DataFrame([{key: part[key].iloc[0], **build(ids[order], data[order])}])
+        for part in runs(batches, "block"):
+            part = part.sort_values("vec_id")
+            yield pd.DataFrame([{"block": part["block"].iloc[0], "ids": part["vec_id"].to_numpy("<i8").tobytes(), "data": matrix(part["vec"], dim).tobytes()}])
+
+    return asked.select("block", "vec_id", "vec").repartition("block").sortWithinPartitions("block").mapInPandas(run, "block long, ids binary, data binary")
+
 
-    return rows.select(key, "vec_id", "vec").repartition(key).sortWithinPartitions(key).mapInPandas(run, f"{key} long, {schema}")
+def lots_of(n_pages: int) -> int:
+    """How many groups of pages a block of queries meets, each in a task of its own."""
+    return max(min(n_pages, 8), -(-n_pages // 65_536))
 
 
-def meet(pages: DataFrame, queries: DataFrame, n_pages: int, n_blocks: int) -> DataFrame:
-    """Every page beside every block of queries, dealt by both, a block's rows together.
+def in_cells(queries: DataFrame, pages: DataFrame, columns: list[str], lots: int) -> DataFrame:
+    """Rows of a cell (block, lot) one after the other: first its queries (page null), then its pages by ``turn``.
 
-    ``pages`` has page, ``queries`` has block; columns of the latter get the prefix q_.
+    So that a block is sent to a task once, not beside every page. ``pages`` has block, page, turn and ``columns``.
     """
-    groups = min(n_pages, 32)
-    named = queries.select("block", *(F.col(c).alias(f"q_{c}") for c in queries.columns if c != "block"))
-    left = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("lot", F.pmod("page", F.lit(groups)))
-    right = named.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    small_batches(pages.sparkSession, 8)
-    both = left.withColumn("cell", (F.col("block") * groups + F.col("lot")).cast("long")).drop("block", "lot").join(right.withColumn("cell", (F.col("block") * groups + F.col("lot")).cast("long")).drop("lot").hint("merge"), "cell")
-    return both.sortWithinPartitions("cell", "page")
+    empty = [F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in ["page", *columns]]
+    first = queries.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).select((F.col("block") * lots + F.col("lot")).alias("cell"), F.lit(float("-inf")).alias("turn"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), *empty)
+    rest = pages.select((F.col("block") * lots + F.pmod("page", F.lit(lots))).alias("cell"), F.col("turn").cast("double").alias("turn"), F.lit(None).cast("binary").alias("q_ids"), F.lit(None).cast("binary").alias("q_data"), "page", *columns)
+    return first.unionByName(rest).repartition("cell").sortWithinPartitions("cell", "turn", "page")
 
 
-def best(found: DataFrame, k: int, descending: bool) -> DataFrame:
+def best(found: DataFrame, k: int, order: Column) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best, ties to the smaller vec_id."""
-    by = F.desc("score") if descending else F.asc("score")
-    w = W.partitionBy("query_id").orderBy(by, "vec_id")
+    w = W.partitionBy("query_id").orderBy(order, "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def merged(scores: np.ndarray, ids: np.ndarray, more: np.ndarray, more_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the k highest scores, ties to the smaller id, of two sets of columns."""
-    s, i = np.concatenate([scores, more], axis=1), np.concatenate([ids, np.broadcast_to(more_ids, more.shape)], axis=1)
-    order = np.lexsort((i, -s), axis=1)[:, :k]
-    return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+def first_of_each(who: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k lowest scores of each ``who``, ties to the smaller id, sorted; and the rank of each."""
+    order = np.lexsort((ids, score, who))
+    who, score, ids = who[order], score[order], ids[order]
+    new = np.concatenate([[True], who[1:] != who[:-1]]) if len(who) else np.zeros(0, bool)
+    rank = np.arange(len(who)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(who) else np.zeros(0, np.int64)
+    kept = rank < k
+    return who[kept], score[kept], ids[kept], rank[kept]
+
+
+def expand(rows: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For vectors ``rows``: the position in ``rows`` and in the flat ids of every id they stand for."""
+    size = begin[rows + 1] - begin[rows]
+    which = np.repeat(np.arange(len(rows)), size)
+    return which, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[rows], size)
