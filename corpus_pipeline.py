@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
 from tessera.llm.jaccard import near_duplicates
 from tessera.llm.langid import UNKNOWN, fit, predicted
 from tessera.llm.mixing import mix
@@ -32,7 +31,6 @@ def _free(docs: DataFrame, name: str) -> str:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in none of the languages learned from the rest, go."""
     model = fit(docs)
-    small_batches(spark)
     name = _free(docs, "language")
     if not model.langs:  # nothing to learn from: nothing to judge by
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -56,7 +54,6 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets, also those under layers of encoding, are replaced in the text; n_chars follows."""
-    small_batches(spark)
     clean = docs.withColumn("text", redacted(F.col("text")))
     return (clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean).select(*docs.columns)
 
