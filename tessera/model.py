@@ -39,7 +39,7 @@ ABOUT = _table("memory_id STRING, symbol_id STRING, weight DOUBLE, created_at BI
 CALLS = _table("src STRING, dst STRING, name STRING, line INT, confidence STRING")
 INHERITS = _table("src STRING, dst STRING, confidence STRING")
 IMPORTS = _table("src STRING, dst STRING, module STRING")
-PENDING_CALL = _table("id STRING, file_path STRING, from_symbol STRING, name STRING, receiver STRING, line INT, kind STRING, reason STRING")
+PENDING_CALL = _table("id STRING, file_path STRING, from_symbol STRING, name STRING, receiver STRING, receiver_type STRING, line INT, kind STRING, reason STRING")
 POSTINGS = _table("term STRING, node_id STRING, tf INT, doc_len INT")
 FILE_STAMP = _table("path STRING, stamp STRING")
 HUNK = _table("file STRING, status STRING, old_start INT, old_lines INT, new_start INT, new_lines INT")
@@ -50,7 +50,7 @@ JOURNAL = T.StructType([*_table("kind STRING, at BIGINT").fields, T.StructField(
 
 #: Recorded tables are what people wrote; derived ones can be rebuilt from files and may be dropped.
 RECORDED = ("memory", "memory_edge", "about")
-DERIVED = ("symbol", "file", "calls", "inherits", "imports", "pending_call", "postings", "file_stamp")
+DERIVED = ("symbol", "file", "calls", "inherits", "imports", "pending_call", "postings", "file_stamp", "site", "import_site", "base_site")
 
 
 def parse_dimensions(text: str) -> int:

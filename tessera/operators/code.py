@@ -130,7 +130,7 @@ def reopen_calls(calls: DataFrame, symbol: DataFrame, gone: DataFrame) -> tuple[
     left = calls.join(dead.withColumnRenamed("id", "dst"), "dst", "left_anti").join(dead.withColumnRenamed("id", "src"), "src", "left_anti")
     where = symbol.select(F.col("id").alias("src"), "file_path")
     pending = into.join(where, "src").select(
-        F.concat_ws(":", "src", "name", F.col("line").cast("string")).alias("id"), "file_path", F.col("src").alias("from_symbol"), "name", F.lit(None).cast("string").alias("receiver"), "line", F.lit("call").alias("kind"), F.lit("external").alias("reason")
+        F.concat_ws(":", "src", "name", F.col("line").cast("string")).alias("id"), "file_path", F.col("src").alias("from_symbol"), "name", F.lit(None).cast("string").alias("receiver"), F.lit(None).cast("string").alias("receiver_type"), "line", F.lit("call").alias("kind"), F.lit("external").alias("reason")
     )
     return left.select(*calls.columns), pending
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import mermaid_quote, module_of, qualified_name
 from tessera.operators.retrieval import tiered_budget
+from tessera.session import replace_text
 
 NODE_BUDGET, LIST_BUDGET, PREVIEW, JSON_BYTES = 3000, 2000, 600, 24_000
 
@@ -33,8 +34,7 @@ def viewer_html(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """A page with the payload inside; the budget bounds what comes to the driver."""
     payload = json.dumps({"nodes": [r.asDict() for r in nodes.collect()], "edges": [r.asDict() for r in edges.limit(10 * NODE_BUDGET).collect()]}, default=str).replace("</", "<\\/")
     page = f'<!doctype html><meta charset="utf-8"><title>memory</title><pre id="out"></pre><script type="application/json" id="data">{payload}</script><script>const d=JSON.parse(document.getElementById("data").textContent);document.getElementById("out").textContent=d.nodes.map(n=>n.layer+"\\t"+n.title).join("\\n")</script>'
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(page)
+    replace_text(nodes.sparkSession, path, page)
 
 
 def wiki_pages(memory: DataFrame, symbol: DataFrame, flows: DataFrame, cycles: DataFrame, routes: DataFrame, clusters: DataFrame, per_page: int = 200) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,11 @@ from pyspark.sql import functions as F
 
 from tessera.model import DERIVED, SCHEMA_VERSION, TOKENIZER_VERSION
 from tessera.operators.memory import without_links
-from tessera.session import read_text, replace_text
+from tessera.session import create_text, delete_file, read_text, replace_text
+
+
+class Conflict(RuntimeError):
+    """Another writer was first."""
 
 
 class Store:
@@ -34,35 +37,39 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self.meta()['tables'][name]}")
 
-    def commit(self, tables: dict[str, DataFrame], drop: tuple[str, ...] = (), **facts) -> int:
-        """Write tables as the next snapshot and point to it; returns its write_seq."""
+    def commit(self, tables: dict[str, DataFrame], drop: tuple[str, ...] = (), since: int | None = None, **facts) -> int:
+        """Write tables as the next snapshot and point to it; returns its write_seq.
+
+        Each write_seq is claimed by a file that only one writer can make, before CURRENT moves: of two writers that started from the same
+        snapshot (``since``, or the one found now) the later one gets a Conflict, and nothing of either is lost unseen.
+        """
         meta = self.meta()
+        if since is not None and since != meta["write_seq"]:
+            raise Conflict(f"the store is at {meta['write_seq']}, not {since}")
         seq, at = meta["write_seq"] + 1, dict(meta["tables"])
         for name, df in tables.items():
             at[name] = f"v{seq}/{name}-{uuid.uuid4().hex[:8]}"
             df.write.parquet(f"{self.root}/{at[name]}")
         for name in drop:
             at.pop(name, None)
+        if not create_text(self.spark, f"{self.root}/claims/{seq}", json.dumps(at)):
+            raise Conflict(f"another writer made snapshot {seq}")
         replace_text(self.spark, f"{self.root}/CURRENT", json.dumps({**meta, **facts, "tables": at, "write_seq": seq}, indent=1))
         return seq
 
+    def release(self, seq: int) -> None:
+        """Give up the claim of a writer that died before its snapshot counted."""
+        if seq > self.meta()["write_seq"]:
+            delete_file(self.spark, f"{self.root}/claims/{seq}")
+
     def rebuild(self) -> int:
         """Forget what can be made again from files; what people recorded stays."""
         return self.commit({}, drop=DERIVED)
 
 
-def write_json(path: str, value: object, attempts: int = 5) -> None:
-    """Write beside and rename, so that a reader sees the old or the new, never half."""
-    beside = f"{path}.{uuid.uuid4().hex[:8]}"
-    with open(beside, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=1)
-    for left in reversed(range(attempts)):
-        try:
-            os.replace(beside, path)
-            return
-        except OSError:
-            if not left:
-                raise
+def write_json(spark: SparkSession, path: str, value: object) -> None:
+    """A small file on any file system, written beside and renamed, so that a reader sees the old or the new, never half."""
+    replace_text(spark, path, json.dumps(value, indent=1))
 
 
 def upsert(memory: DataFrame, delta: DataFrame, now_ms: int) -> DataFrame:
@@ -124,6 +131,33 @@ def merge_journal(memory: DataFrame, edges: DataFrame, entries: DataFrame) -> tu
     return merged, edges.unionByName(new.select("src", "dst", "type", F.coalesce("weight", F.lit(1.0)).alias("weight"), "created_at", F.lit(None).cast("string").alias("evidence_ref")).select(*edges.columns)), dropped
 
 
-def capabilities(**features: tuple[str, str | None]) -> dict:
-    """What a store can do, as recorded when it is made: feature -> status and reason."""
-    return {name: {"status": status, "reason": reason} for name, (status, reason) in sorted(features.items())}
+def capabilities(spark: SparkSession, root: str) -> dict:
+    """What a store at ``root`` can do here, by trying: feature -> status (ok or unavailable) and reason."""
+    place = f"{root.rstrip('/')}/probe-{uuid.uuid4().hex[:8]}"
+
+    def rename() -> None:
+        replace_text(spark, f"{place}/a", "1")
+        replace_text(spark, f"{place}/a", "2")
+        assert read_text(spark, f"{place}/a") == "2", "a reader saw the old file"
+
+    def claim() -> None:
+        assert create_text(spark, f"{place}/b", "1") and not create_text(spark, f"{place}/b", "2"), "two writers made one file"
+
+    def tables() -> None:
+        spark.range(3).write.parquet(f"{place}/t")
+        assert spark.read.parquet(f"{place}/t").count() == 3, "rows were lost"
+
+    def arrow() -> None:
+        assert spark.range(3).mapInPandas(lambda it: it, "id long").count() == 3, "rows were lost"
+
+    def recursion() -> None:
+        assert spark.sql("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT * FROM r").count() == 3, "rows were lost"
+
+    found = {}
+    for name, probe in (("atomic replace", rename), ("write lock", claim), ("tables", tables), ("python workers", arrow), ("recursive SQL", recursion)):
+        try:
+            probe()
+            found[name] = {"status": "ok", "reason": None}
+        except Exception as e:  # a probe may fail in any way; what it says is the answer
+            found[name] = {"status": "unavailable", "reason": str(e).split("\n")[0][:200]}
+    return found

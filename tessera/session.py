@@ -30,10 +30,14 @@ def build_session(app: str = "tessera", cores: str = "*", **conf: str) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-machine tests) is a temporary folder made and set.
+    Only where that is unset and the session is local (tests) is a temporary folder made and set; on a cluster it is an error, since
+    every executor would write to a disk of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"tessera-shared-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -112,5 +116,27 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(files.makeQualified(beside), where, how)
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file that must not be there yet; False if it is."""
+    where, files = _file_system(spark, path)
+    files.mkdirs(where.getParent())
+    try:
+        stream = files.create(where, False)
+    except Exception as e:
+        if files.exists(where):
+            return False
+        raise e
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    return True
+
+
+def delete_file(spark: SparkSession, path: str) -> None:
+    where, files = _file_system(spark, path)
+    files.delete(where, False)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -90,7 +91,7 @@ def markdown_sections(text: str) -> list[tuple[list[str], int, int]]:
 
 
 def chunk(path: str, text: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> list[dict]:
-    """Chunks with headings, lines and mode: WHOLE, MARKDOWN, PYTHON, REGEX or CHARACTER."""
+    """Chunks with headings, lines and mode: WHOLE, MARKDOWN, COMPONENT, PYTHON, REGEX or CHARACTER."""
     if not text.strip():
         return []
     language = LANGUAGES.get(path.rsplit(".", 1)[-1].lower(), "unknown")
@@ -98,7 +99,9 @@ def chunk(path: str, text: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP)
     if len(text) <= size:
         return [{"headings": [], "first": 1, "last": len(rows), "text": text, "mode": "WHOLE"}]
     parts: list[tuple[list[str], int, int, str]] = []
-    if language == "markdown":
+    if language == "vue":
+        parts = [([name], a, b, "COMPONENT") for name, a, b in component_blocks(text)]
+    elif language == "markdown":
         parts = [(h, a, b, "MARKDOWN") for h, a, b in markdown_sections(text)]
     else:
         tops = sorted({d["start_line"] for d in declarations(path, text) if "." not in d["qualified"]})
@@ -155,9 +158,11 @@ def _python(text: str) -> tuple[list[dict], list[dict], list[dict], list[dict]]:
 
 def declarations(path: str, text: str) -> list[dict]:
     """name, qualified, kind, start_line, end_line; of an overload the first keeps its lines."""
-    language = LANGUAGES.get(path.rsplit(".", 1)[-1].lower(), "unknown")
+    language = _language(path)
     if language == "python":
         rows = _python(text)[0]
+    elif language == "vue":
+        rows = _by_lines("typescript", script_of(text))
     else:
         rows = _by_lines(language, text)
     seen: dict[str, dict] = {}
@@ -260,37 +265,187 @@ def symbols_of(files: DataFrame) -> DataFrame:
 
 
 def call_sites_of(files: DataFrame) -> DataFrame:
-    """Call sites of Python files."""
+    """Call sites: exact for Python, by tokens for the languages of ``BRACES``."""
 
     def make(path: str, text: str) -> list[tuple]:
-        if LANGUAGES.get(path.rsplit(".", 1)[-1].lower()) != "python":
-            return []
-        return [(f"{path}:{c['line']}:{i}", path, f"Symbol:{path}:{c['caller']}" if c["caller"] else None, c["name"], c["receiver"], None, c["line"], c["kind"]) for i, c in enumerate(_python(text)[1])]
+        return [(f"{path}:{c['line']}:{i}", path, f"Symbol:{path}:{c['caller']}" if c["caller"] else None, c["name"], c["receiver"], c.get("type"), c["line"], c["kind"]) for i, c in enumerate(relations_in(path, text).calls)]
 
     return _mapped(files, SITES, make)
 
 
 def imports_of(files: DataFrame) -> DataFrame:
-    """src, module, path (where the module would lie) of Python files."""
+    """src, module, path (where the module would lie)."""
+    return _mapped(files, "src string, module string, path string", lambda path, text: [(path, m, _module_path(path, m)) for m in relations_in(path, text).imports])
+
+
+def bases_of(files: DataFrame) -> DataFrame:
+    """src, base: what types name as their bases."""
+    return _mapped(files, "src string, base string", lambda path, text: [(f"Symbol:{path}:{q}", base) for q, base in relations_in(path, text).bases])
+
+
+def containers_of(files: DataFrame) -> DataFrame:
+    """path, container (its namespace or package, or null), uses (the namespaces it opens, its own among them)."""
 
     def make(path: str, text: str) -> list[tuple]:
-        if LANGUAGES.get(path.rsplit(".", 1)[-1].lower()) != "python":
-            return []
-        folder = path.split("/")[:-1]
-        out = []
-        for m in _python(text)[2]:
-            dots = len(m["module"]) - len(m["module"].lstrip("."))
-            base = folder[: len(folder) - dots + 1] if dots else []
-            out.append((path, m["module"], "/".join([*base, *[p for p in m["module"].lstrip(".").split(".") if p]])))
-        return out
+        found = relations_in(path, text)
+        return [(path, found.container, sorted({*found.uses, *([found.container] if found.container else [])}))]
+
+    return _mapped(files, "path string, container string, uses array<string>", make)
+
+
+def _module_path(path: str, module: str) -> str:
+    """The path that a module's name stands for: relative to the file where it says so, else from the root."""
+    folder = path.split("/")[:-1]
+    if _language(path) == "python":
+        dots = len(module) - len(module.lstrip("."))
+        base = folder[: len(folder) - dots + 1] if dots else []
+        return "/".join([*base, *[p for p in module.lstrip(".").split(".") if p]])
+    if module.startswith("."):
+        for part in module.split("/"):
+            folder = folder[:-1] if part == ".." else folder if part in (".", "") else [*folder, part]
+        return "/".join(folder)
+    return module if "/" in module else module.replace(".", "/")
+
+
+@dataclass
+class Relations:
+    """What a file says about others: calls (caller, name, receiver, type, line, kind), modules, (type, base) pairs, its namespace and those it opens."""
+
+    calls: list[dict] = field(default_factory=list)
+    imports: list[str] = field(default_factory=list)
+    bases: list[tuple[str, str]] = field(default_factory=list)
+    container: str | None = None
+    uses: list[str] = field(default_factory=list)
+
+
+#: Languages with braces whose calls, imports and bases are read by tokens.
+BRACES = frozenset("typescript javascript java go csharp kotlin scala swift rust php dart cpp c vue".split())
+#: How a module is named, per language; group 1 is the name.
+IMPORT_RULES = (
+    ("typescript javascript vue", r"""^\s*(?:import|export)\b[^'"`;]*?\bfrom\s*['"]([^'"]+)['"]"""),
+    ("typescript javascript vue", r"""^\s*import\s*['"]([^'"]+)['"]"""),
+    ("typescript javascript vue", r"""\b(?:require|import)\s*\(\s*['"]([^'"]+)['"]\s*\)"""),
+    ("java kotlin scala", r"^\s*import\s+(?:static\s+)?([A-Za-z_][\w.]*[A-Za-z0-9_])\s*;?\s*$"),
+    ("go", r"""^\s*(?:import\s+)?(?:[A-Za-z_.]\w*\s+)?"([^"\s]+)"\s*$"""),
+    ("dart php", r"""^\s*(?:import|require|require_once|include)\s*\(?\s*['"]([^'"]+)['"]"""),
+    ("c cpp", r"""^\s*#\s*include\s*"([^"]+)\""""),
+    ("rust", r"^\s*(?:pub\s+)?mod\s+([a-z_]\w*)\s*;"),
+)
+CONTAINER_RULES = (("java kotlin scala", r"^\s*package\s+([A-Za-z_][\w.]*)"), ("csharp", r"^\s*namespace\s+([A-Za-z_][\w.]*)"), ("php", r"^\s*namespace\s+([A-Za-z_][\w\\]*)"), ("go", r"^package\s+([A-Za-z_]\w*)"))
+USE_RULES = (("csharp", r"^\s*(?:global\s+)?using\s+(?:static\s+)?([A-Za-z_][\w.]*)\s*;"), ("java kotlin scala", r"^\s*import\s+(?:static\s+)?([A-Za-z_][\w.]*)\.[*_]\s*;?"), ("php", r"^\s*use\s+([A-Za-z_][\w\\]*)"))
+_NOT_CALLS = frozenset("if for while switch catch return function func fn typeof sizeof nameof await yield else do try with when foreach using lock fixed defer go select throw throws super import require new delete in is as of and or not constructor".split())
+_CALL = re.compile(r"(?:\b(new)\s+)?(?:\b([A-Za-z_$][\w$]*)\s*(?:\?\.|\.|::|->)\s*)?([A-Za-z_$][\w$]*)\s*(?:<[\w\s,.\[\]?]*>)?\(")
+_TYPED = re.compile(r"\b(?:(?:const|let|var|val|final)\s+)?([A-Za-z_$][\w$]*)\s*(?::\s*([A-Z][\w]*)|(?::=|=)\s*(?:new\s+|&)?([A-Z]\w*)\s*[({])")
+_DECLARED = re.compile(r"\b([A-Z]\w*)(?:<[^<>]*>)?\s+([a-z_]\w*)\s*(?=[=;,)])")
+_HEIRS = re.compile(r"\b(?:class|interface|struct|record|object|trait)\s+([A-Za-z_$][\w$]*)(?:<[^{]*?>)?(?:\s*\([^)]*\))?([^{;]*)")
+_MASK = re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`""", re.S)
 
-    return _mapped(files, "src string, module string, path string", make)
 
+def _language(path: str) -> str:
+    return LANGUAGES.get(path.rsplit(".", 1)[-1].lower(), "unknown")
 
-def bases_of(files: DataFrame) -> DataFrame:
-    """src, base: the classes that Python classes name as bases."""
-    make = lambda path, text: [(f"Symbol:{path}:{h['qualified']}", h["base"]) for h in _python(text)[3]] if path.endswith(".py") else []
-    return _mapped(files, "src string, base string", make)
+
+def _rules(rules: tuple, language: str) -> list[re.Pattern]:
+    return [re.compile(p, re.M) for names, p in rules if language in names.split()]
+
+
+def masked(text: str) -> str:
+    """The text with comments and what quotes hold as spaces, every line and column in its place."""
+    return _MASK.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+
+
+def relations_in(path: str, text: str) -> Relations:
+    """Relations of a file; none for a language that is not read."""
+    language = _language(path)
+    if language == "python":
+        _, calls, imports, heirs = _python(text)
+        return Relations(calls, [i["module"] for i in imports], [(h["qualified"], h["base"]) for h in heirs])
+    if language not in BRACES:
+        return Relations()
+    code = script_of(text) if language == "vue" else text
+    plain = masked(code)
+    first = lambda rules: next((m[1] for r in _rules(rules, language) for m in r.finditer(plain)), None)
+    imports = list(dict.fromkeys(m[1] for r in _rules(IMPORT_RULES, language) for m in r.finditer(code)))
+    uses = list(dict.fromkeys(m[1] for r in _rules(USE_RULES, language) for m in r.finditer(plain)))
+    found = declarations(path, text)
+    return Relations(_calls(plain, found), imports, _bases(plain, found), first(CONTAINER_RULES), uses)
+
+
+def _around(found: list[dict], line: int) -> str | None:
+    """The innermost declaration of a line."""
+    inside = [d for d in found if d["start_line"] <= line <= d["end_line"]]
+    return min(inside, key=lambda d: (d["end_line"] - d["start_line"], d["qualified"]))["qualified"] if inside else None
+
+
+def _calls(plain: str, found: list[dict]) -> list[dict]:
+    heads = {(d["start_line"], d["name"]) for d in found}
+    types = {m[1]: m[2] or m[3] for m in _TYPED.finditer(plain)} | {m[2]: m[1] for m in _DECLARED.finditer(plain)}
+    out = []
+    for number, row in enumerate(plain.split("\n"), 1):
+        for m in _CALL.finditer(row):
+            name, receiver = m[3], m[2]
+            if (name in _NOT_CALLS and not receiver) or (number, name) in heads:
+                continue
+            receiver = None if receiver in ("this", "self", "base", "super", "return", "await") else receiver
+            owner = _around(found, number)
+            own = owner.rsplit(".", 1)[0] if owner and "." in owner and m[2] in ("this", "self") else types.get(receiver)
+            out.append({"caller": owner, "name": name, "receiver": receiver, "type": own, "line": number, "kind": "new" if m[1] else "call"})
+    return out
+
+
+def _bases(plain: str, found: list[dict]) -> list[tuple[str, str]]:
+    out = []
+    for m in _HEIRS.finditer(plain):
+        line = plain.count("\n", 0, m.start(1)) + 1
+        own = next((d["qualified"] for d in found if d["name"] == m[1] and abs(d["start_line"] - line) <= 1), None)
+        tail = re.sub(r"<[^<>]*>|\([^)]*\)", "", m[2])
+        if own and (named := re.match(r"\s*(?::|extends\b|implements\b|<)(.*)", tail, re.S)):
+            out += [(own, b.rsplit(".", 1)[-1]) for b in re.findall(r"[A-Za-z_$][\w$.]*", re.sub(r"\b(?:extends|implements|with|where\b.*)", ",", named[1])) if b[0].isalpha() or b[0] in "_$"]
+    return list(dict.fromkeys(out))
+
+
+def script_of(text: str) -> str:
+    """The script blocks of a single-file component, every line in its place; all else is blank."""
+    out, at = [], 0
+    for m in re.finditer(r"<script\b[^>]*>(.*?)</script>", text, re.S | re.I):
+        out += [re.sub(r"[^\n]", "", text[at : m.start(1)]), m[1]]
+        at = m.end(1)
+    return "".join([*out, re.sub(r"[^\n]", "", text[at:])])
+
+
+def component_blocks(text: str) -> list[tuple[str, int, int]]:
+    """(name, first, last line) of the top-level blocks of a single-file component: template, script, style and custom ones."""
+    out, at = [], 0
+    while m := re.compile(r"^<([A-Za-z][\w-]*)\b[^>]*>", re.M).search(text, at):
+        end = re.compile(rf"^</{re.escape(m[1])}\s*>", re.M).search(text, m.end())
+        stop = end.end() if end else m.end()
+        out.append((m[1].lower(), text.count("\n", 0, m.start()) + 1, text.count("\n", 0, max(m.start(), stop - 1)) + 1))
+        at = stop
+    return out
+
+
+def dependences(path: str, text: str, first: int, last: int) -> list[dict]:
+    """line, defines, uses, controlled_by of the statements of a declaration: exact for Python, line by line for languages with braces."""
+    if _language(path) == "python":
+        return python_dependences(text, first, last)
+    if _language(path) not in BRACES:
+        return []
+    out, stack, depth = [], [], 0
+    word = re.compile(r"(?<![.\w$])[A-Za-z_$][\w$]*(?!\s*\()")
+    for number, row in enumerate(masked(text).split("\n"), 1):
+        if number > last:
+            break
+        while stack and (depth < stack[-1][1] or (depth == stack[-1][1] and row.strip().startswith("}"))):
+            stack.pop()
+        if number >= first and row.strip(" \t{}();"):
+            target = re.match(r"\s*(?:(?:const|let|var|val|final|[A-Z][\w<>\[\]]*|int|long|double|bool|boolean|string|float|char)\s+)?([A-Za-z_$][\w$]*)\s*(?::[^=]+)?(?::=|[-+*/%|&^]?=(?!=))", row)
+            names = [w for w in word.findall(row[target.end() :] if target else row) if w not in _NOT_CALLS and w not in ("const", "let", "var", "val", "final", "int", "long", "double", "bool", "string", "true", "false", "null", "nil")]
+            out.append({"line": number, "defines": [target[1]] if target else [], "uses": sorted(set(names)), "controlled_by": stack[-1][0] if stack else None})
+        opened = row.count("{") - row.count("}")
+        if opened > 0 and re.match(r"\s*\}?\s*(?:else\s+)?(?:if|for|while|switch|else|foreach)\b", row):
+            stack.append((number, depth + 1))
+        depth += opened
+    return out
 
 
 def dense_files(chunks: DataFrame, files: DataFrame) -> DataFrame:

@@ -5,14 +5,18 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.paths import unify
 from tessera.model import CHUNKER_VERSION, HUNK, JOURNAL
+from tessera.session import keep, read_text
 
 # Fixed values.
 PROJECT_DOT_DIRS = ".github .gitlab .husky .circleci .devcontainer .buildkite .claude".split()
@@ -62,33 +66,74 @@ def ignored(paths: DataFrame, rules: list[tuple[int, bool, str]]) -> DataFrame:
     return paths.withColumn("ignored", verdict)
 
 
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path (under the root), size, at (whole path) of every file, whatever its name begins with.
+
+    The Hadoop file system lists; Spark's own readers hide names that begin with _ or a dot. Only names and sizes pass the driver.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(root if "://" in root else "file://" + os.path.abspath(root))
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base, found = system.makeQualified(where).toString().rstrip("/") + "/", []
+    if system.exists(where):
+        files = system.listFiles(where, True)
+        while files.hasNext():
+            one = files.next()
+            at = one.getPath().toString()
+            found.append((at.removeprefix(base), one.getLen(), at))
+    return spark.createDataFrame(found, "path string, size long, at string")
+
+
+def contents(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """``rows`` (at and more) with content, read on the executors, file by file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for i in range(len(batch)):  # one file at a time: sizes differ by orders of magnitude
+                part = batch.iloc[i : i + 1]
+                at = part["at"].iloc[0]
+                system, path = (fs.LocalFileSystem(), re.sub("^file:/+", "/", at)) if at.startswith("file:") else fs.FileSystem.from_uri(at)
+                with system.open_input_stream(path) as f:
+                    yield part.assign(content=[f.read()])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("content", T.BinaryType())])
+    return rows.repartition(spark.sparkContext.defaultParallelism * 4).mapInPandas(run, schema)
+
+
 def walk(spark: SparkSession, root: str, rules: list[tuple[int, bool, str]] | None = None, named: list[str] | None = None) -> DataFrame:
-    """path, content, size, reason of every file under ``root``; reason is null for files to read.
+    """path, size, reason, content of every file under ``root``; reason is null for files to read, content for the others.
 
-    The first reason that fits stands: skipped folder, ignored, only when named, binary, secret or lock, not text, too large.
-    Files in ``named`` are read whatever the rules say, unless they are not text.
+    The first reason that fits stands: skipped folder, ignored, only when named, binary, secret or lock, too large, not text.
+    All but the last are told from path and size, and such files are never opened. Files in ``named`` are read whatever the rules
+    say, unless they are not text.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = "file:" + os.path.abspath(root).rstrip("/") + "/" if "://" not in root else root.rstrip("/") + "/"
-    path = F.regexp_replace("path", "^" + re.escape(base).replace("/", "/") + "|^file:/*" + re.escape(base.removeprefix("file:").lstrip("/")), "")
-    rows = raw.select(path.alias("path"), F.col("length").alias("size"), "content")
-    return classify(ignored(rows, rules or []), named or [])
+    told = classify(ignored(listed(spark, root), rules or []), named or [])
+    read = contents(spark, told.where("reason IS NULL"))
+    text = read.withColumn("reason", F.when(_not_text(F.col("content")), "not text"))
+    out = text.withColumn("content", F.when(F.col("reason").isNull(), F.col("content")))
+    return out.unionByName(told.where("reason IS NOT NULL").withColumn("content", F.lit(None).cast("binary"))).select("path", "size", "reason", "content")
+
+
+def _not_text(content: Column) -> Column:
+    return F.hex(F.substring(content, 1, SNIFF_BYTES)).rlike("^(?:..)*?00")
 
 
 def classify(rows: DataFrame, named: list[str]) -> DataFrame:
-    """The reason column for path, size, content, ignored."""
+    """The reason column for path, size and ignored (and content, where it is there)."""
     parts = F.split("path", "/")
     dirs, name = F.slice(parts, F.lit(1), F.size(parts) - 1), F.lower(F.element_at(parts, -1))
     skipped_dir = F.exists(dirs, lambda d: d.isin(SKIP_DIRS) | (d.startswith(".") & ~d.isin(PROJECT_DOT_DIRS)))
-    nul = F.hex(F.substring("content", 1, SNIFF_BYTES)).rlike("^(?:..)*?00")
+    nul = _not_text(F.col("content")) if "content" in rows.columns else F.lit(False)
     reason = (
         F.when(skipped_dir, "skipped folder")
         .when(F.col("ignored"), "ignored")
         .when(name.rlike("(" + _any_of(NAMED_ONLY) + ")$"), "only when named")
         .when(name.rlike("(" + _any_of(BINARY) + ")$"), "binary")
         .when(name.isin([n.lower() for n in NEVER_NAMES]) | name.rlike("(" + _any_of(NEVER) + ")$"), "secret or lock")
-        .when(nul, "not text")
         .when(F.col("size") > MAX_BYTES, "too large")
+        .when(nul, "not text")
     )
     return rows.withColumn("reason", F.when(F.col("path").isin(named), F.when(nul, "not text")).otherwise(reason)).drop("ignored")
 
@@ -174,10 +219,9 @@ def bad_lines(spark: SparkSession, path: str) -> int:
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A registry or group file; a missing or broken one is empty."""
     try:
-        with open(path, encoding="utf-8") as f:
-            rows = json.load(f)
+        rows = json.loads(read_text(spark, path) or "[]")
         return spark.createDataFrame(rows if isinstance(rows, list) else [], schema)
-    except (OSError, ValueError, TypeError):
+    except (ValueError, TypeError):
         return spark.createDataFrame([], schema)
 
 
@@ -186,8 +230,10 @@ QUESTION = "id string, kind string, ask string, also string, expect array<string
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """An evaluation set: {questions: [...]} or a bare array."""
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
+    text = read_text(spark, path)
+    if text is None:
+        raise FileNotFoundError(path)
+    data = json.loads(text)
     rows = data.get("questions", []) if isinstance(data, dict) else data
     keys = [c.split()[0] for c in QUESTION.split(", ")]
     return spark.createDataFrame([tuple(r.get(k) for k in keys) for r in rows], QUESTION)
@@ -206,11 +252,52 @@ def harvest_questions(messages: DataFrame, least: int = 12, most: int = 300) ->
     return rows.where(F.length("question").between(least, most)).distinct()
 
 
+REGISTRY = "name string, root string, commit string"
+GROUP = "name string, members array<string>"
+
+
 def freshness(registry: DataFrame, heads: DataFrame) -> DataFrame:
     """Registered projects with fresh, stale or unknown, by the commit each was read at."""
     state = F.when(F.col("head").isNull() | F.col("commit").isNull(), "unknown").when(F.col("head") == F.col("commit"), "fresh").otherwise("stale")
     return registry.join(heads, "name", "left").withColumn("freshness", state)
 
 
+def register(registry: DataFrame, projects: DataFrame) -> DataFrame:
+    """The registry with projects added; one that is known gets its new root and commit."""
+    return registry.join(projects.select("name"), "name", "left_anti").select(*projects.columns).unionByName(projects.dropDuplicates(["name"]))
+
+
+def unregister(registry: DataFrame, groups: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Registry and groups without the projects of ``gone``; a group that loses its last member goes too."""
+    left = registry.join(gone.select("name"), "name", "left_anti")
+    member = groups.select("name", F.explode("members").alias("member")).join(gone.select(F.col("name").alias("member")), "member", "left_anti")
+    return left, member.groupBy("name").agg(F.array_sort(F.collect_set("member")).alias("members"))
+
+
+def set_group(groups: DataFrame, registry: DataFrame, name: str, members: list[str]) -> tuple[DataFrame, list[str]]:
+    """Groups with ``name`` made of the members that are registered, and the names that aren't."""
+    spark = groups.sparkSession
+    asked = spark.createDataFrame([(m,) for m in members], "name string")
+    known = [r.name for r in asked.join(registry.select("name"), "name", "left_semi").distinct().orderBy("name").collect()]
+    rest = groups.where(F.col("name") != name)
+    return (rest.unionByName(spark.createDataFrame([(name, known)], GROUP)) if known else rest), sorted(set(members) - set(known))
+
+
+def list_projects(registry: DataFrame, heads: DataFrame, groups: DataFrame) -> DataFrame:
+    """name, root, freshness, groups of every project."""
+    of = groups.select(F.col("name").alias("in_group"), F.explode("members").alias("name")).groupBy("name").agg(F.array_sort(F.collect_set("in_group")).alias("groups"))
+    return freshness(registry, heads).join(of, "name", "left").select("name", "root", "freshness", F.coalesce("groups", F.array().cast("array<string>")).alias("groups"))
+
+
+def per_project(rows: DataFrame, work: Callable[[DataFrame], DataFrame], projects: list[str], at_once: int = 8) -> DataFrame:
+    """``work`` for each project's rows (column project), at most ``at_once`` jobs side by side; results are kept tables, put together."""
+    with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+        done = list(pool.map(lambda p: keep(work(rows.where(F.col("project") == p)).withColumn("project", F.lit(p)), "project"), projects))
+    out = done[0]
+    for df in done[1:]:
+        out = out.unionByName(df)
+    return out
+
+
 def canonical(df: DataFrame, col: str = "path") -> DataFrame:
     return df.withColumn(col, unify(F.col(col)))

@@ -415,7 +415,7 @@ def test_ingest_twice(spark, tmp_path):
     ingest_into(store, files([("a.py", a)]), 30)
     assert store.read("calls").count() == 0 and store.read("memory").where("superseded_at = 30").count() == 1
     assert [r.reason for r in store.read("pending_call").collect()] == ["external"]
-    assert store.rebuild() == 4 and not store.has("symbol") and store.has("memory")
+    assert store.rebuild() == 3 and not store.has("symbol") and store.has("memory")
 
 
 def test_ingest_report_and_redaction(spark):
