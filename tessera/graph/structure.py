@@ -5,36 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import keep
+from tessera.session import discard, keep
 
 
-def _reach_min(edges: DataFrame, nodes: DataFrame, max_rounds: int) -> DataFrame:
-    """node, low: the smallest node that reaches each node, itself included."""
+def _reach_min(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, low: the smallest node that reaches each node, itself included.
+
+    Each round takes the least of a node's own, its predecessors', and that of the node its own is named by: whoever reaches that one
+    reaches this one too, so that along a chain the distance covered doubles. It ends when nothing moves.
+    """
     low = keep(nodes.select("node", F.col("node").alias("low")), "low")
-    for _ in range(max_rounds):
+    while True:
         pushed = edges.join(low, edges["src"] == low["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("low").alias("new"))
-        new = keep(low.join(pushed, "node", "left").select("node", F.least("low", F.coalesce("new", "low")).alias("low"), (F.col("new") < F.col("low")).alias("moved")), "low")
-        low = new.select("node", "low")
-        if new.where("moved").isEmpty():
-            break
-    return low
+        jumped = low.select("node", F.col("low").alias("at")).join(low.select(F.col("node").alias("at"), F.col("low").alias("far")), "at").select("node", "far")
+        both = low.join(pushed, "node", "left").join(jumped, "node", "left")
+        least = F.least("low", F.coalesce("new", "low"), F.coalesce("far", "low"))
+        new = keep(both.select("node", least.alias("low"), (least < F.col("low")).alias("moved")), "low")
+        discard(low)
+        low, done = new, new.where("moved").isEmpty()
+        if done:
+            return low
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """node, component of nodes on a cycle: trimming, then forward and backward colours until none is left.
 
-    Nodes without an edge in or out of the rest can't be on a cycle and are trimmed. A node is in the component of its
+    Every loop runs until nothing changes. Nodes without an edge in or out of the rest can't be on a cycle and are trimmed. A node is in the component of its
     colour if the colour reaches it and it reaches the colour's root inside the colour.
     """
     rest = keep(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "rest")
     loops = rest.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     rest = keep(rest.where("src <> dst"), "rest")
     found = []
-    for _ in range(max_rounds):
+    while True:
         before = -1
         while True:
             inner = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            rest = keep(inner, "rest")
+            old, rest = rest, keep(inner, "rest")
+            discard(old)
             n = rest.count()
             if n in (0, before):
                 break
@@ -42,17 +50,18 @@ def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         if not before or rest.isEmpty():
             break
         nodes = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
-        colour = _reach_min(rest, nodes, max_rounds)
+        colour = _reach_min(rest, nodes)
         a, b = colour.select(F.col("node").alias("src"), F.col("low").alias("c")), colour.select(F.col("node").alias("dst"), F.col("low").alias("d"))
         inside = keep(rest.join(a, "src").join(b, "dst").where("c = d").select("src", "dst", "c"), "inside")
         back = keep(colour.where("node = low").select("node", F.col("low").alias("c")), "back")
         frontier = back
-        for _ in range(max_rounds):
+        while True:
             up = inside.join(frontier, (inside["dst"] == frontier["node"]) & (inside["c"] == frontier["c"])).select(F.col("src").alias("node"), inside["c"].alias("c")).distinct()
             frontier = keep(up.join(back, ["node", "c"], "left_anti"), "back")
             if frontier.isEmpty():
                 break
-            back = keep(back.unionByName(frontier), "back")
+            before, back = back, keep(back.unionByName(frontier), "back")
+            discard(before)
         part = back.select("node", F.col("c").alias("component"))
         found.append(part)
         gone = part.select("node")
@@ -69,7 +78,7 @@ def communities(edges: DataFrame, rounds: int = 6, sweeps: int = 2) -> DataFrame
 
     In each round every node weighs the communities of its neighbours by the modularity gained by moving there; only
     nodes of one hashed half move, in turn, so that neighbours don't swap for ever. After ``rounds`` the communities
-    become nodes and a second sweep runs. Deterministic: ties go to the smaller community, which is named by a node.
+    become nodes and a second sweep runs. Deterministic: ties go to the smaller community, which in the end is named by its smallest node.
     """
     base = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (F.col("weight") if "weight" in edges.columns else F.lit(1.0)).alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
     graph = keep(base.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(base.select("b", "a", "w")), "louvain")
@@ -96,7 +105,8 @@ def communities(edges: DataFrame, rounds: int = 6, sweeps: int = 2) -> DataFrame
         members = keep(members.join(step, "community", "left").select("node", F.coalesce("next", "community").alias("community")), "members")
         a, b = label.select(F.col("node").alias("src"), F.col("community").alias("ca")), label.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
         graph = keep(graph.join(a, "src").join(b, "dst").groupBy(F.col("ca").alias("src"), F.col("cb").alias("dst")).agg(F.sum("w").alias("w")), "louvain")
-    return members
+    least = members.groupBy("community").agg(F.min("node").alias("least"))
+    return members.join(least, "community").select("node", F.col("least").alias("community"))
 
 
 def modularity(edges: DataFrame, members: DataFrame) -> float:

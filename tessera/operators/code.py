@@ -43,7 +43,11 @@ def resolve_targets(asked: DataFrame, symbol: DataFrame, calls: DataFrame, inher
     s = symbol.select("id", F.col("name").alias("s_name"), "file_path", qualified_name(F.col("id")).alias("qualified"))
     a = asked.select("query_id", "name", "uid", "file")
     low, tail = F.lower("name"), F.lower("s_name")
-    pairs = s.join(F.broadcast(a), (low == tail) | (F.col("uid") == F.col("id")) | low.endswith(F.concat(F.lit("."), tail)) | low.endswith(F.concat(F.lit(":"), tail)))
+    # what could fit shares a key: the id, or the last part of the name in lower case
+    last = F.regexp_replace(low, r"^.*[.:]", "")
+    keyed = a.withColumn("key", F.explode(F.array_distinct(F.filter(F.array(F.concat(F.lit("u "), "uid"), F.concat(F.lit("n "), low), F.concat(F.lit("n "), last)), lambda k: k.isNotNull()))))
+    held = s.withColumn("key", F.explode(F.array(F.concat(F.lit("u "), "id"), F.concat(F.lit("n "), tail))))
+    pairs = held.join(keyed, "key").drop("key").distinct()
     given = F.coalesce("name", F.lit(""))
     way = (
         F.when(F.col("uid") == F.col("id"), 0)
@@ -58,7 +62,11 @@ def resolve_targets(asked: DataFrame, symbol: DataFrame, calls: DataFrame, inher
     order = W.partitionBy("query_id").orderBy(is_test_path(F.col("file_path")).cast("int"), F.desc(F.coalesce("degree", F.lit(0))), "file_path", "id")
     found = linked.withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy("query_id"))).select("query_id", F.when(F.col("n") == 1, "ok").otherwise("ambiguous").alias("status"), "id", "rank")
     missing = a.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    hit = s.join(F.broadcast(missing), tail.contains(low)).select("query_id", "id", F.col("s_name").alias("hit"))
+    # a name that contains another holds its first three letters somewhere
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(tail)), lambda i: F.substring(tail, i, F.lit(3))))
+    short = F.flatten(F.transform(grams, lambda g: F.array(g, F.substring(g, 1, 2), F.substring(g, 1, 1))))
+    held = s.where(F.length("s_name") > 0).withColumn("key", F.explode(F.array_distinct(short)))
+    hit = held.join(missing.withColumn("key", F.substring(low, 1, 3)), "key").where(tail.contains(low)).select("query_id", "id", F.col("s_name").alias("hit")).distinct()
     like = missing.select("query_id").join(hit, "query_id", "left").withColumn("status", F.lit("not_found"))
     hints = like.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("hit", "id"))).where(F.col("rank") <= suggestions).select("query_id", "status", "id", "rank")
     return found.unionByName(hints)
@@ -237,8 +245,13 @@ def entry_points(symbol: DataFrame, calls: DataFrame, include_tests: bool = Fals
 
 
 def flows(symbol: DataFrame, calls: DataFrame, *, max_depth: int = 6, max_steps: int = 60, max_flows: int = 400, include_tests: bool = False) -> DataFrame:
-    """process_id, symbol_id, depth, via, step, truncated: what each entry point sets off, as one keyed search."""
-    entries = entry_points(symbol, calls, include_tests).limit(max_flows)
+    """process_id, symbol_id, depth, via, step, truncated, omitted: what each entry point sets off, as one keyed search.
+
+    The busiest ``max_flows`` entry points are followed; omitted is how many more there are.
+    """
+    every = entry_points(symbol, calls, include_tests)
+    entries = every.limit(max_flows)
+    more = every.agg(F.greatest(F.lit(0), F.count("*") - max_flows).alias("omitted"))
     member = containment(symbol).select(F.col("parent").alias("src"), F.col("child").alias("dst"), F.lit(1.0).alias("confidence"), F.lit("MEMBER").alias("via"))
     edges = calls.select("src", "dst", confidence_value(F.col("confidence")).alias("confidence"), F.lit("CALLS").alias("via")).unionByName(member)
     if not include_tests:
@@ -246,7 +259,7 @@ def flows(symbol: DataFrame, calls: DataFrame, *, max_depth: int = 6, max_steps:
     found = breadth_first(edges, entries.select(F.col("id").alias("source"), F.col("id").alias("node")), max_depth).where("depth > 0")
     step = F.row_number().over(W.partitionBy("source").orderBy("depth", F.desc("confidence"), "node"))
     cut = F.count("*").over(W.partitionBy("source")) > max_steps
-    return found.withColumn("step", step).withColumn("truncated", cut).where(F.col("step") <= max_steps).select(F.regexp_replace("source", "^Symbol:", "Process:").alias("process_id"), F.col("node").alias("symbol_id"), "depth", "via", "step", "truncated")
+    return found.withColumn("step", step).withColumn("truncated", cut).where(F.col("step") <= max_steps).crossJoin(F.broadcast(more)).select(F.regexp_replace("source", "^Symbol:", "Process:").alias("process_id"), F.col("node").alias("symbol_id"), "depth", "via", "step", "truncated", "omitted")
 
 
 def flows_of(found: DataFrame, ids: DataFrame) -> DataFrame:
@@ -269,7 +282,11 @@ def query(questions: DataFrame, symbol: DataFrame, found: DataFrame, about: Data
     rows = symbol if include_tests else symbol.where(~is_test_path(F.col("file_path")))
     words = lambda c: tokenize(F.regexp_replace(c, r"[_./\\-]+", " "))
     q = questions.select("query_id", F.array_distinct(words(F.col("text"))).alias("terms"))
-    scored = rows.select("id", words(F.col("name")).alias("in_name"), words(F.col("file_path")).alias("in_path")).crossJoin(F.broadcast(q))
+    # a word that scores begins like one of the question: both have its first two letters as a key
+    heads = lambda c: F.array_distinct(F.transform(c, lambda w: F.substring(w, 1, 2)))
+    named = rows.select("id", words(F.col("name")).alias("in_name"), words(F.col("file_path")).alias("in_path"))
+    pairs = named.withColumn("key", F.explode(heads(F.concat("in_name", "in_path")))).join(q.withColumn("key", F.explode(heads(F.col("terms")))), "key")
+    scored = pairs.dropDuplicates(["query_id", "id"])
     hits = top(scored.select("query_id", "id", word_score(F.col("terms"), F.col("in_name"), F.col("in_path")).alias("score")).where("score > 0"), "query_id", max(1, min(200, limit)), F.desc("score"), F.asc("id"))
     entry = found.select("process_id", F.regexp_replace("process_id", "^Process:", "Symbol:").alias("id"), F.lit(0).alias("depth")).distinct()
     part = found.select("process_id", F.col("symbol_id").alias("id"), "depth").unionByName(entry)
@@ -380,7 +397,8 @@ def rename_text_only(target: DataFrame, symbol: DataFrame, line: DataFrame, edit
     """target, file_path, line, column, reason: other whole-word occurrences, reported and never changed."""
     t = target.select(F.col("id").alias("target")).join(symbol.select(F.col("id").alias("target"), "name"), "target")
     rivals = t.join(symbol.select("name", F.col("id").alias("other"), "file_path"), "name").where("other <> target").select("target", "file_path", F.lit(True).alias("rival")).distinct()
-    found = line.crossJoin(F.broadcast(t)).where(F.contains("text", "name")).select("target", "file_path", "line", "text", F.explode(_columns(F.col("text"), F.col("name"))).alias("column"))
+    words = line.withColumn("name", F.explode(F.array_distinct(F.split("text", r"[^A-Za-z0-9_$]+"))))
+    found = words.join(t, "name").select("target", "file_path", "line", "text", F.explode(_columns(F.col("text"), F.col("name"))).alias("column"))
     rest = found.join(edits.select("target", "file_path", "line", "column"), ["target", "file_path", "line", "column"], "left_anti").join(rivals, ["target", "file_path"], "left")
     before = F.expr("substring(text, 1, column - 1)")
     quoted = (F.regexp_count(before, F.lit("['\"`]")) % 2) == 1

@@ -125,7 +125,10 @@ def changes(files: DataFrame, memory: DataFrame, about: DataFrame, symbol: DataF
     Artifacts give way where there is reasoning on the same file; ``per_file`` rows per file and way.
     """
     rows = live(memory).select(F.col("id").alias("memory_id"), "layer", "importance", "file_path", "source_ref")
-    direct = files.join(rows, (F.col("path") == F.col("file_path")) | F.col("source_ref").startswith(F.concat(F.col("path"), F.lit("#")))).select("path", "memory_id", "layer", "importance", F.lit("anchor").alias("via"))
+    parts = F.split("source_ref", "#")
+    refs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "#"))
+    places = F.array_distinct(F.filter(F.concat(F.array("file_path"), F.when(F.contains("source_ref", F.lit("#")), refs).otherwise(F.array().cast("array<string>"))), lambda p: p.isNotNull()))
+    direct = files.join(rows.withColumn("path", F.explode(places)), "path").select("path", "memory_id", "layer", "importance", F.lit("anchor").alias("via"))
     into = symbol.join(files, symbol["file_path"] == files["path"]).select("path", F.col("id").alias("dst"))
     onto = into.join(calls.select("src", "dst"), "dst").select("path", F.col("src").alias("symbol_id")).distinct().join(about.select("memory_id", "symbol_id"), "symbol_id").join(rows.drop("file_path", "source_ref"), "memory_id").select("path", "memory_id", "layer", "importance", F.lit("call").alias("via"))
     both = direct.unionByName(onto).distinct()

@@ -41,8 +41,8 @@ def wiki_pages(memory: DataFrame, symbol: DataFrame, flows: DataFrame, cycles: D
     """path, body: six pages derived from the tables, each line in a fixed order."""
 
     def page(name: str, title: str, lines: DataFrame) -> DataFrame:
-        kept = lines.withColumn("n", F.row_number().over(W.orderBy("line"))).where(F.col("n") <= per_page)
-        return kept.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("lines")).select(F.lit(name).alias("path"), F.concat(F.lit(f"# {title}\n\n"), "lines").alias("body"))
+        kept = lines.where("line IS NOT NULL").orderBy("line").limit(per_page)
+        return kept.agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines")).select(F.lit(name).alias("path"), F.concat(F.lit(f"# {title}\n\n"), "lines").alias("body"))
 
     live = memory.where("superseded_at IS NULL")
     parts = [

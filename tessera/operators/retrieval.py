@@ -14,11 +14,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import canonical_path, is_path
-from tessera.functions.scores import clamp_distance, cosine, decay, wilson
+from tessera.functions.scores import clamp_distance, decay, wilson
 from tessera.functions.text import snippet, tokenize
 from tessera.model import DAY_MS
 from tessera.operators.index import bm25, for_questions, query_terms, term_overlap, top
 from tessera.result import Result, report
+from tessera.session import keep
 
 RRF_K = 60
 
@@ -34,37 +35,46 @@ def same_space(memory: DataFrame, model: str, dims: int, provider: str) -> DataF
     return memory.where((F.col("embedding_model") == model) & (F.col("embedding_dims") == dims) & (F.col("embedding_provider") == provider))
 
 
-def semantic_top(vectors: DataFrame, queries: DataFrame, limit: int = 20, max_distance: float | None = None, id_col: str = "id", most_queries: int = 4096) -> DataFrame:
+def semantic_top(vectors: DataFrame, queries: DataFrame, limit: int = 20, max_distance: float | None = None, id_col: str = "id", block: int = 4096) -> DataFrame:
     """query_id, node_id, similarity, distance, rank by exact cosine, within a distance, ties to the smaller id.
 
-    A batch of at most ``most_queries`` questions goes to the workers as a matrix; each batch of vectors is one product with it and sends its
-    ``limit`` best per question. A larger batch, or one of mixed widths, is joined to the vectors instead. Vectors of another width never match.
+    Questions go to the workers as matrices of one width and at most ``block`` rows; each batch of vectors is one product with it and sends its
+    ``limit`` best per question. More questions are more such passes, each kept before the next, so that only one matrix is held at a time.
+    Vectors of another width never match.
     """
     bound = clamp_distance(max_distance)
     node_type, query_type = dict(vectors.dtypes)[id_col], dict(queries.dtypes)["query_id"]
-    asked = queries.select("query_id", "embedding").where("embedding IS NOT NULL").limit(most_queries + 1).collect()
-    widths = {len(r.embedding) for r in asked}
-    if len(asked) > most_queries or len(widths) != 1:
-        q = queries.select("query_id", F.col("embedding").alias("q"))
-        near = vectors.select(F.col(id_col).alias("node_id"), "embedding").join(q, F.size("embedding") == F.size("q")).withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("q")), 5)).drop("embedding", "q")
-    else:
-        names, width = [r.query_id for r in asked], widths.pop()
-        matrix = _unit(np.array([r.embedding for r in asked], dtype=np.float64))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x, ids = _unit(np.array(batch["embedding"].tolist(), dtype=np.float64)), batch["node_id"].to_numpy()
-                s = np.round(x @ matrix.T, 5)
-                order = np.lexsort((np.broadcast_to(ids[:, None], s.shape), -s), axis=0)[:limit]
-                k = np.broadcast_to(np.arange(len(names)), order.shape)
-                yield pd.DataFrame({"query_id": [names[j] for j in k.ravel()], "node_id": ids[order.ravel()], "similarity": s[order, k].ravel()})
-
-        sized = vectors.select(F.col(id_col).alias("node_id"), "embedding").where(F.size("embedding") == width)
-        near = sized.mapInPandas(run, f"query_id {query_type}, node_id {node_type}, similarity double")
-    near = near.withColumn("distance", F.round(1 - F.col("similarity"), 5)).where(F.col("distance") <= bound)
-    return top(near.select("query_id", "node_id", "similarity", "distance"), "query_id", limit, F.asc("distance"), F.asc("node_id"))
+    asked = queries.select("query_id", "embedding").where("embedding IS NOT NULL")
+    sizes = sorted((r.w, r.n) for r in asked.groupBy(F.size("embedding").alias("w")).agg(F.count("*").alias("n")).collect())
+    sized = vectors.select(F.col(id_col).alias("node_id"), "embedding")
+    schema = f"query_id {query_type}, node_id {node_type}, similarity double, distance double, rank int"
+    parts = [(w, -(-n // block), i) for w, n in sizes for i in range(-(-n // block))]
+    out = vectors.sparkSession.createDataFrame([], schema)
+    for width, of, i in parts:
+        some = asked.where((F.size("embedding") == width) & (F.pmod(F.xxhash64("query_id"), F.lit(of)) == i)).collect()
+        near = _products(sized.where(F.size("embedding") == width), [r.query_id for r in some], _unit(np.array([r.embedding for r in some], dtype=np.float64).reshape(len(some), width)), limit, f"query_id {query_type}, node_id {node_type}, similarity double")
+        near = near.withColumn("distance", F.round(1 - F.col("similarity"), 5)).where(F.col("distance") <= bound)
+        part = top(near.select("query_id", "node_id", "similarity", "distance"), "query_id", limit, F.asc("distance"), F.asc("node_id"))
+        if len(parts) == 1:
+            return part
+        out = out.unionByName(keep(part, "similar"))
+    return out
+
+
+def _products(vectors: DataFrame, names: list, matrix: np.ndarray, limit: int, schema: str) -> DataFrame:
+    """Each batch's ``limit`` most similar vectors to each row of a matrix."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, ids = _unit(np.array(batch["embedding"].tolist(), dtype=np.float64)), batch["node_id"].to_numpy()
+            s = np.round(x @ matrix.T, 5)
+            order = np.lexsort((np.broadcast_to(ids[:, None], s.shape), -s), axis=0)[:limit]
+            k = np.broadcast_to(np.arange(len(names)), order.shape)
+            yield pd.DataFrame({"query_id": [names[j] for j in k.ravel()], "node_id": ids[order.ravel()], "similarity": s[order, k].ravel()})
+
+    return vectors.mapInPandas(run, schema)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -83,7 +83,7 @@ go AS (SELECT src, dst, confidence FROM calls WHERE dst NOT IN (SELECT id FROM s
 flow AS (SELECT process_id, symbol_id, depth, CAST(step AS INT) AS step, truncated FROM steps WHERE step <= 60)"""
 
 
-@query(f"WITH {FLOW_SQL} SELECT * FROM flow")
+@query(f"WITH {FLOW_SQL} SELECT flow.*, (SELECT greatest(0, count(*) - 400) FROM entry) AS omitted FROM flow")
 def flows(spark, sf_dir):
     g = code_graph(spark, sf_dir)
     return code.flows(g["symbol"], g["calls"]).drop("via")
@@ -204,12 +204,6 @@ def check_isolated(spark, sf_dir):
     return code.check(g["symbol"], g["calls"], g["inherits"], g["imports"]).where("kind = 'isolated'").select("subject")
 
 
-@query()
-def code_clusters(spark, sf_dir):
-    g = code_graph(spark, sf_dir)
-    return code.code_clusters(g["symbol"], g["calls"], g["inherits"])
-
-
 @query(f"""WITH {CODE_SQL}, m AS (SELECT id, array_to_string(list_slice(string_split(file_path, '/'), 1, 2), '/') AS module FROM symbol)
 SELECT a.module AS from_module, b.module AS to_module, count(*) AS calls FROM calls c JOIN m a ON a.id = c.src JOIN m b ON b.id = c.dst WHERE a.module <> b.module GROUP BY 1, 2""")
 def crossing_counts(spark, sf_dir):

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tessera.functions.scores import cosine
 from tessera.functions.text import token_set
 from tessera.graph.components import connected_components
 from tessera.graph.frontier import search as breadth_first
@@ -37,14 +36,15 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY hops, score
 neighbors_bfs_d1, neighbors_bfs_d2, neighbors_bfs_d4 = (_neighbors(d) for d in (1, 2, 4))
 
 KNN_SQL = """cos AS (SELECT q.vec_id AS a, e.vec_id AS b, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 5) AS s
-  FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id), kr AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn FROM cos), knn AS (SELECT a AS src, b AS dst FROM kr WHERE rn <= 3)"""
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id), kr AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn FROM cos), knn AS (SELECT a AS src, b AS dst FROM kr WHERE rn <= 3)"""
 
 
 def _knn(spark, sf_dir):
+    """The three nearest of all vectors, from each."""
     e = table(spark, sf_dir, "embeddings")
-    pairs = e.alias("q").join(e.alias("e"), (F.col("q.label") == F.col("e.label")) & (F.col("q.vec_id") != F.col("e.vec_id"))).select(F.col("q.vec_id").alias("src"), F.col("e.vec_id").alias("dst"), F.round(cosine(F.col("q.embedding"), F.col("e.embedding")), 5).alias("s"))
-    w = F.row_number().over(retrieval.W.partitionBy("src").orderBy(F.desc("s"), "dst"))
-    return pairs.withColumn("rn", w).where("rn <= 3").select("src", "dst")
+    near = retrieval.semantic_top(e, e.select(F.col("vec_id").alias("query_id"), "embedding"), 4, 2.0, id_col="vec_id").where("query_id <> node_id")
+    w = F.row_number().over(retrieval.W.partitionBy("query_id").orderBy("rank"))
+    return near.withColumn("rn", w).where("rn <= 3").select(F.col("query_id").alias("src"), F.col("node_id").alias("dst"))
 
 
 @query(f"""WITH {KNN_SQL}, seeds AS (SELECT label AS query_id, vec_id AS node_id FROM embeddings WHERE embedding[1] > 0), both_ways AS (SELECT src, dst FROM knn UNION ALL SELECT dst, src FROM knn),
@@ -95,9 +95,9 @@ def prune_candidates(spark, sf_dir):
     return memory.prune_candidates(rows, F.lit(now), _links(spark, sf_dir), layer=None, max_weight=3).select("id", "weight")
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def customers_without_orders(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst"))
+    orders = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst"))
     return memory.without_links(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), orders)
 
 
@@ -137,20 +137,25 @@ def strong_components_trans(spark, sf_dir):
     return parts.join(least, "component").select("node", F.col("least").alias("component"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT doc_id AS a, min(doc_id) OVER (PARTITION BY left(text, 24)) AS b FROM documents UNION SELECT DISTINCT doc_id, min(doc_id) OVER (PARTITION BY right(text, 24)) FROM documents),
+@query("""WITH RECURSIVE w AS (SELECT DISTINCT doc_id, unnest(string_split(text, '. ')) AS s FROM documents), e AS (SELECT DISTINCT doc_id AS a, min(doc_id) OVER (PARTITION BY s) AS b FROM w WHERE length(s) >= 60),
 both_ways AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a)
 SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a""")
 def components(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 24).alias("head"), F.expr("right(text, 24)").alias("tail"))
-    ends = [d.select("doc_id", F.min("doc_id").over(retrieval.W.partitionBy(c)).alias("dst")) for c in ("head", "tail")]
-    return connected_components(ends[0].unionByName(ends[1]).withColumnRenamed("doc_id", "src"))
+    """Documents that share a sentence of at least 60 characters, wherever it stands, and those they lead to."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", r"\. "))).alias("s")).where(F.length("s") >= 60)
+    d = d.select("doc_id", F.xxhash64("s").alias("h"))
+    least = d.groupBy("h").agg(F.min("doc_id").alias("dst"))
+    return connected_components(d.join(least, "h").select(F.col("doc_id").alias("src"), "dst"))
 
 
-@query()
+@query(f"WITH {KNN_SQL}, n AS (SELECT src AS node FROM knn UNION SELECT dst FROM knn) SELECT count(*) AS nodes, true AS once, true AS named_by_member, true AS better_than_chance FROM n")
 def communities_knn(spark, sf_dir):
+    """What holds of any good answer: every node is in one community, each is named by a member, and links inside are far above chance."""
     edges = keep(_knn(spark, sf_dir), "knn")
-    found = communities(edges)
-    return found.groupBy("community").agg(F.count("*").alias("size")).withColumn("modularity", F.lit(round(modularity(edges, found), 6)))
+    found = keep(communities(edges), "communities")
+    strangers = found.select("community").distinct().join(found.select(F.col("node").alias("community"), F.col("community").alias("own")).where("own = community"), "community", "left_anti")
+    told = found.agg(F.count("*").alias("nodes"), F.count_distinct("node").alias("own"))
+    return told.select("nodes", (F.col("nodes") == F.col("own")).alias("once"), F.lit(strangers.isEmpty()).alias("named_by_member"), F.lit(modularity(edges, found) > 0.3).alias("better_than_chance"))
 
 
 @query(f"""WITH {SUPPLY_SQL}, seeds AS (SELECT 's' || s_suppkey AS source, 's' || s_suppkey AS node FROM supplier WHERE s_nationkey = 5), {levels_sql('both_ways', 'seeds', 3)} SELECT source, node, CAST(depth AS INT) AS depth, parent FROM found""")

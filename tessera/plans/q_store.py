@@ -11,7 +11,6 @@ from tessera.operators import reports
 from tessera.operators.memory import add_edges
 from tessera.operators.sqlguard import read_only_sql
 from tessera.plans.catalogue import query, sql_values, values
-from tessera.plans.ingest import ingest
 from tessera.plans.store import Store, merge_journal, upsert
 from tessera.session import shared_dir, table
 from tessera.sources.files import changed_files, classify, ignore_patterns, ignored, stamps, vanished
@@ -147,14 +146,6 @@ def route_normal_forms(spark, sf_dir):
     return values(spark, [(r,) for r in ROUTES], "path string").select("path", normalise_path(F.col("path")).alias("normal"))
 
 
-PYTHON = "import b\nclass A(Base):\n    def run(self):\n        return helper(1)\n\ndef helper(x):\n    return A()\n"
-
-
-@query("SELECT * FROM (VALUES ('Symbol:a.py:A.run', 'Symbol:a.py:helper', 'file'), ('Symbol:a.py:helper', 'Symbol:a.py:A', 'file')) t(src, dst, confidence)")
-def ingest_calls(spark, sf_dir):
-    return ingest(values(spark, [("a.py", PYTHON)], "path string, text string"), 1).calls.select("src", "dst", "confidence")
-
-
 @query("SELECT count(*) AS rows, 2 AS write_seq, true AS same FROM documents")
 def snapshot_store(spark, sf_dir):
     """Two commits; the second names the unchanged table again."""

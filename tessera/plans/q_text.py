@@ -142,12 +142,18 @@ def chunk_character(spark, sf_dir):
     return df.select("doc_id", "chunk", F.col("c.start").cast("int").alias("start"), F.col("c.end").cast("int").alias("end"), F.md5(F.expr("substring(text, c.start + 1, 1200)").cast("binary")).alias("hash"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT page_id || '.md' AS path, '# ' || url || chr(10) || chr(10) || regexp_replace(regexp_replace(html, '<h[1-6][^>]*>', chr(10) || '## ', 'g'), '<[^>]+>', chr(10), 'g') AS text FROM pages), l AS (SELECT path, unnest(string_split(text, chr(10))) AS row FROM t)
+SELECT path, count(*) AS lines, CAST(0 AS BIGINT) AS lost, true AS by_headings FROM l WHERE trim(regexp_replace(row, '\s', ' ', 'g')) <> '' GROUP BY 1""")
 def chunk_markdown(spark, sf_dir):
+    """No line that says something is in no chunk, and sections are cut by headings."""
     pages = table(spark, sf_dir, "pages")
     text = F.concat(F.lit("# "), F.col("url"), F.lit("\n\n"), F.regexp_replace(F.regexp_replace("html", "<h[1-6][^>]*>", "\n## "), "<[^>]+>", "\n"))
     files = pages.select(F.concat("page_id", F.lit(".md")).alias("path"), text.alias("text"))
-    return chunks_of(files).groupBy("path", "mode").agg(F.count("*").alias("chunks"), F.max(F.size("headings")).alias("deepest"))
+    seen = chunks_of(files).select("path", "mode", F.explode(F.sequence("first", "last")).alias("line")).groupBy("path").agg(F.count_distinct("line").alias("covered"), F.count_if(F.col("mode").isin("WHOLE", "MARKDOWN")).alias("known"), F.count("*").alias("n"))
+    rows = files.select("path", F.posexplode(F.split("text", "\n")).alias("n", "row")).where(F.trim(F.regexp_replace("row", r"\s", " ")) != "").select("path", (F.col("n") + 1).alias("line"))
+    held = chunks_of(files).select("path", F.explode(F.sequence("first", "last")).alias("line")).distinct()
+    lost = rows.join(held, ["path", "line"], "left_anti").groupBy("path").agg(F.count("*").alias("lost"))
+    return rows.groupBy("path").agg(F.count("*").alias("lines")).join(seen, "path").join(lost, "path", "left").select("path", "lines", F.coalesce("lost", F.lit(0)).alias("lost"), (F.col("known") == F.col("n")).alias("by_headings"))
 
 
 EMBED_SQL = f"""{DOC_TERMS}, tf AS (SELECT node_id, term, count(*) AS n FROM terms GROUP BY 1, 2),
@@ -288,7 +294,10 @@ def jaccard_values(spark, sf_dir):
     return values(spark, PAIRS, "a string, b string").select("a", "b", F.round(jaccard(words("a"), words("b")), 6).alias("jaccard"))
 
 
-@query()
+@query(rf"""WITH {BM25_SQL}, h AS (SELECT query_id, node_id FROM ranked WHERE rank <= 3), f AS (SELECT query_id, node_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM h JOIN documents ON doc_id = node_id),
+o AS (SELECT DISTINCT node_id AS query_id, term, instr(strip_accents(lower(text)), strip_accents(left(term, 3))) AS at_word FROM asked_all JOIN questions ON query_id = node_id WHERE length(term) > 2),
+p AS (SELECT f.query_id, f.node_id, any_value(t) AS t, min(CASE WHEN instr(lower(t), term) > 0 THEN struct_pack(n := n, pos := instr(lower(t), term)) END).pos AS pos FROM f LEFT JOIN (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY at_word, length(term) DESC, term) AS n FROM o) o ON o.query_id = f.query_id GROUP BY 1, 2),
+c AS (SELECT *, greatest(0, coalesce(pos, 1) - 1 - 73) AS a FROM p) SELECT query_id, node_id, CASE WHEN length(t) <= 220 THEN t ELSE CASE WHEN a > 0 THEN '…' ELSE '' END || substring(t, a + 1, 220) || CASE WHEN a + 220 < length(t) THEN '…' ELSE '' END END AS snippet FROM c""")
 def snippets(spark, sf_dir):
     hits = _bm25(spark, sf_dir, 3)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text")

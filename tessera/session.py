@@ -133,6 +133,11 @@ def create_text(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _file_system(spark, path if "://" in path or ":/" in path else "file://" + path)
+    return files.exists(where)
+
+
 def delete_file(spark: SparkSession, path: str) -> None:
     where, files = _file_system(spark, path)
     files.delete(where, False)

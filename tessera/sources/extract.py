@@ -431,7 +431,7 @@ def dependences(path: str, text: str, first: int, last: int) -> list[dict]:
     if _language(path) not in BRACES:
         return []
     out, stack, depth = [], [], 0
-    word = re.compile(r"(?<![.\w$])[A-Za-z_$][\w$]*(?!\s*\()")
+    word = re.compile(r"(?<![.\w$])[A-Za-z_$][\w$]*\b(?!\s*\()")
     for number, row in enumerate(masked(text).split("\n"), 1):
         if number > last:
             break

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.paths import unify
 from tessera.model import CHUNKER_VERSION, HUNK, JOURNAL
-from tessera.session import keep, read_text
+from tessera.session import exists, keep, read_text
 
 # Fixed values.
 PROJECT_DOT_DIRS = ".github .gitlab .husky .circleci .devcontainer .buildkite .claude".split()
@@ -138,11 +138,11 @@ def classify(rows: DataFrame, named: list[str]) -> DataFrame:
     return rows.withColumn("reason", F.when(F.col("path").isin(named), F.when(nul, "not text")).otherwise(reason)).drop("ignored")
 
 
-def resolve_target(root: str, target: str) -> str:
+def resolve_target(spark: SparkSession, root: str, target: str) -> str:
     """A path under the root, else under the working folder; an error names both."""
-    tried = [os.path.join(root, target), os.path.abspath(target)]
+    tried = [f"{root.rstrip('/')}/{target}", os.path.abspath(target)]
     for path in tried:
-        if os.path.exists(path):
+        if exists(spark, path):
             return path
     raise FileNotFoundError(f"neither {tried[0]} nor {tried[1]} exists")
 
@@ -248,7 +248,7 @@ def phrasings(questions: DataFrame) -> DataFrame:
 def harvest_questions(messages: DataFrame, least: int = 12, most: int = 300) -> DataFrame:
     """Questions that people asked in transcripts (role, text), once each."""
     asked = F.explode(F.regexp_extract_all("text", F.lit(r"([^.!?\n]+\?)"), F.lit(1)))
-    rows = messages.where("role = 'user'").select(F.trim(asked).alias("question"))
+    rows = messages.where("role = 'user'").select(asked.alias("question")).select(F.trim("question").alias("question"))
     return rows.where(F.length("question").between(least, most)).distinct()
 
 
