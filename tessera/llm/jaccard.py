@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,11 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def bitmap_of_size(n: int) -> bytes:
+    """An empty signature as wide as that of a set of n shingles."""
+    return bytes(max(128, 1 << (2 * n - 1).bit_length()) // 8)
+
+
 def folded(bits: bytes, width: int) -> np.ndarray:
     """The signature of the same set at a smaller width."""
     return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(-1, width // 8), axis=0)
@@ -168,12 +174,45 @@ def _forest(count: int, near) -> list[tuple[int, int]]:
     return out
 
 
+def _bands(percent: int) -> float:
+    """The logarithm of the ratio that sizes of one band stay within; sets that link are in one band or in neighbouring ones."""
+    return math.log(100 / percent) * (1 + 1e-9)
+
+
+def _joined(count: int, pairs: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A forest of the graph of ``pairs`` over ``count`` nodes, and the root of each node."""
+    root, out = list(range(count)), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in pairs.tolist():
+        a, b = find(i), find(j)
+        if a != b:
+            root[b] = a
+            out.append((i, j))
+    return out, np.array([find(i) for i in range(count)], np.int64)
+
+
+def _signatures(items: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of sets of at least 8 bits a member of the largest."""
+    wide = 1 << max(7, int(8 * max(map(len, items)) - 1).bit_length())
+    bits = np.zeros((len(items), wide // 64), np.uint64)
+    for i, x in enumerate(items):
+        at = (x & np.uint64(wide - 1)).astype(np.int64)
+        np.bitwise_or.at(bits[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return bits
+
+
 def _weak_edges(tiles: DataFrame, percent: int) -> DataFrame:
-    """Per tile, a forest over the pairs that sizes and bitmaps let link: never more edges than rows."""
+    """Per tile and band, a forest over the pairs that sizes and bitmaps let link: never more edges than rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list = []
-        for g in _groups(batches, ["tile", "band", "ci", "cj"]):
+        for g in _groups(batches, ["group", "band"]):
             m = len(g["vid"])
             if m < 2:
                 continue
@@ -194,20 +233,44 @@ def _weak_edges(tiles: DataFrame, percent: int) -> DataFrame:
     return tiles.mapInPandas(run, "src long, dst long")
 
 
+def _weak_leaders(rows: DataFrame, percent: int) -> DataFrame:
+    """src, dst, group, band: edges of rows to leaders; rows that no leader is near have a null dst.
+
+    Differing bits, at one width for the whole band, are a metric. A row is settled if a leader is as near as linked rows can be. What it can
+    link to is then at most twice as far from that leader (with the band's largest size for the row's), so it is joined to the leader too:
+    all that can link ends connected, though more may be.
+    """
+    share, ratio = (100 - percent) / (100 + percent), _bands(percent)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(batches, ["group", "band", "chunk"]):
+            lead = g["kind"] == 0
+            if not len(lead) or lead.all():
+                continue
+            band, most = int(g["band"][0]), math.exp(ratio * (g["band"][0] + 1)) + 1
+            width = len(bitmap_of_size(max(1, int(math.exp(ratio * (band - 1)) - 1e-6))))
+            bits, n = np.stack([folded(x, width) for x in g["bits"]]), g["n"].astype(np.float64)
+            a, b = np.flatnonzero(lead), np.flatnonzero(~lead)
+            apart = np.stack([np.bitwise_count(bits[b] ^ bits[i]).sum(axis=1) for i in a]) if len(a) else np.zeros((0, len(b)))
+            settled = (apart <= share * (n[a][:, None] + n[b])).any(axis=0) if len(a) else np.zeros(len(b), bool)
+            i, j = np.nonzero(apart <= share * (2 * most + n[a][:, None] + n[b]))
+            edges, _ = _joined(len(lead), np.column_stack([a[i], b[j]]))
+            vid = g["vid"]
+            src, dst = [vid[x] for x, _ in edges] + vid[b[~settled]].tolist(), [vid[y] for _, y in edges] + [None] * int((~settled).sum())
+            yield pd.DataFrame({"src": src, "dst": pd.array(dst, dtype="Int64"), "group": g["group"][0], "band": g["band"][0]})
+
+    return rows.mapInPandas(run, "src long, dst long, group long, band int")
+
+
 def _exact_links(blocks: DataFrame, percent: int) -> DataFrame:
-    """Per block of a family, a forest over its true links: bitmaps wide enough to leave few candidates, then sorted arrays."""
+    """Per family and band, a forest over its true links: bitmaps wide enough to leave few candidates, then sorted arrays."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["family", "band", "ci", "cj"]):
+        for g in _groups(batches, ["group", "band"]):
             if len(g["vid"]) < 2:
                 continue
             items = [np.frombuffer(x, np.uint64) for x in g["items"]]
-            n = np.array([len(x) for x in items])
-            wide = 1 << max(7, int(8 * n.max() - 1).bit_length())
-            bits = np.zeros((len(items), wide // 64), np.uint64)
-            for i, x in enumerate(items):
-                at = (x & np.uint64(wide - 1)).astype(np.int64)
-                np.bitwise_or.at(bits[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+            n, bits = np.array([len(x) for x in items]), _signatures(items)
 
             def near(i: int, rest: np.ndarray) -> np.ndarray:
                 found = _may_link_row(bits, n, i, rest, percent)
@@ -220,23 +283,128 @@ def _exact_links(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.mapInPandas(run, "src long, dst long")
 
 
-def _banded(rows: DataFrame, group: str, percent: int, chunk: int) -> DataFrame:
-    """Rows (group, vid, n) dealt to size bands and, where a band is populous, to pairs of its chunks: group, band, ci, cj, vid.
+def _exact_leaders(rows: DataFrame, percent: int) -> DataFrame:
+    """src, dst, gap, what, group, band: true links of rows to leaders, and what they leave open.
+
+    ``what`` is link (an edge of a forest), home (a row and its nearest linked leader, gap being their distance), guest (a row, and a leader
+    of another component here, that lie at most twice the distance of a link apart) or none (a row that no leader links). Distances are
+    Jaccard's, a metric: whatever links to a leader's row is the leader's guest, so only guests have to be compared with its rows.
+    """
+    wide = max(1, 2 * percent - 100)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(batches, ["group", "band", "chunk"]):
+            lead = g["kind"] == 0
+            if not len(lead) or lead.all():
+                continue
+            items = [np.frombuffer(x, np.uint64) for x in g["items"]]
+            n, bits, vid = np.array([len(x) for x in items]), _signatures(items), g["vid"]
+            a, b = np.flatnonzero(lead), np.flatnonzero(~lead)
+            linked, guests, home = [], [], {}
+            for i in a:
+                for j in _may_link_row(bits, n, i, b, wide):
+                    both = len(items[i]) if vid[i] == vid[j] else overlap(items[i], items[j])
+                    gap = 1 - both / (n[i] + n[j] - both)
+                    if is_link(n[i], n[j], both, percent):
+                        linked.append((i, j))
+                        if j not in home or (gap, vid[i]) < home[j]:
+                            home[j] = (gap, vid[i])
+                    else:
+                        guests.append((i, j, gap))
+            edges, root = _joined(len(lead), np.array(linked, np.int64).reshape(-1, 2))
+            out = [(vid[j], vid[i], 0.0, "link") for i, j in edges if vid[i] != vid[j]] + [(vid[j], r, gap, "home") for j, (gap, r) in home.items()]
+            out += [(vid[j], vid[i], gap, "guest") for i, j, gap in guests if root[i] != root[j]] + [(vid[j], vid[j], 0.0, "none") for j in b if j not in home]
+            yield pd.DataFrame(out, columns=["src", "dst", "gap", "what"]).assign(group=g["group"][0], band=g["band"][0])
+
+    return rows.mapInPandas(run, "src long, dst long, gap double, what string, group long, band int")
+
+
+def _exact_guests(rows: DataFrame, percent: int) -> DataFrame:
+    """src, dst: a link of a guest to one of a leader's rows, where there is one. Rows nearer to the leader than the guest's distance less a link's can't."""
+    reach = 1 - percent / 100 + 1e-9
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(batches, ["leader", "part", "lot"]):
+            member = g["kind"] == 0
+            if member.all() or not member.any():
+                continue
+            items = [np.frombuffer(x, np.uint64) for x in g["items"]]
+            n, bits, gap = np.array([len(x) for x in items]), _signatures(items), g["gap"]
+            out, inside = [], np.flatnonzero(member)
+            for x in np.flatnonzero(~member):
+                for y in _may_link_row(bits, n, x, inside[gap[inside] >= gap[x] - reach], percent):
+                    if is_link(n[x], n[y], overlap(items[x], items[y]), percent):
+                        out.append((g["vid"][x], g["vid"][y]))
+                        break
+            if out:
+                yield pd.DataFrame(out, columns=["src", "dst"])
+
+    return rows.mapInPandas(run, "src long, dst long")
+
+
+def _banded(rows: DataFrame, group: str, percent: int) -> DataFrame:
+    """Rows (group, vid, n) dealt to size bands: group, band, vid, size of the cell.
 
     Sizes that can link are in the same band or neighbouring ones: a row is at home in its band and a guest in the next.
     """
-    ratio = math.log(100 / percent) * (1 + 1e-9)
-    band = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
-    placed = rows.select(group, "vid", F.explode(F.array(band, band + 1)).alias("band"), band.alias("own"))
-    cells = placed.groupBy(group, "band").agg(F.count("*").alias("size"), F.max(F.col("own") == F.col("band")).alias("homes")).where("homes AND size > 1")
-    counted = placed.join(cells.drop("homes"), [group, "band"])
-    cut = counted.withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int"))
-    # a chunk meets every other one; it is alone with itself only where it is the only one
-    other = F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: o != F.col("chunk")))
-    return cut.withColumn("other", F.explode(other)).select(group, "band", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "vid")
-
-
-def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: int = 1024) -> DataFrame:
+    band = F.floor(F.log(F.col("n").cast("double")) / _bands(percent)).cast("int")
+    placed = rows.select(F.col(group).alias("group"), "vid", F.explode(F.array(band, band + 1)).alias("band"), band.alias("own"))
+    cells = placed.groupBy("group", "band").agg(F.count("*").alias("size"), F.max(F.col("own") == F.col("band")).alias("homes")).where("homes AND size > 1")
+    return placed.drop("own").join(cells.drop("homes"), ["group", "band"])
+
+
+def _beside_leaders(rows: DataFrame, what: DataFrame, wanted: int, chunk: int, turn: int) -> DataFrame:
+    """Rows of populous cells dealt by hash to chunks, each chunk led by about ``wanted`` rows of its cell; joined to ``what`` (vid and more)."""
+    chunks = F.ceil(F.col("size") / chunk).cast("int")
+    pick = F.xxhash64("vid", F.lit(turn))
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("vid", F.lit(-1 - turn)), chunks).cast("int")).withColumn("kind", F.lit(1))
+    lead = rows.where(F.pmod(pick, F.col("size")) < wanted).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("kind", F.lit(0))
+    keys = ["group", "band", "chunk"]
+    both = dealt.unionByName(lead).select(*keys, "kind", "vid").join(what, "vid")
+    return both.repartition(*keys).sortWithinPartitions(*keys, "kind", "vid")
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """group, band, vid with the size of each cell, of cells that have more than one row."""
+    return rows.join(rows.groupBy("group", "band").agg(F.count("*").alias("size")).where("size > 1"), ["group", "band"])
+
+
+def _together(cells: DataFrame, what: DataFrame) -> DataFrame:
+    """The rows of each cell one after the other, with ``what`` is known of them."""
+    return cells.select("group", "band", "vid").join(what, "vid").repartition("group", "band").sortWithinPartitions("group", "band", "vid")
+
+
+def _rounds(cells: DataFrame, chunk: int, leaders: int, whole, led) -> list[DataFrame]:
+    """Kept edges of all cells: ``whole`` compares the rows of a small cell; of a populous one ``led`` compares them with a few leaders, and
+    gives edges and the rows (group, band, vid) that no leader settles, which go on. Each round has four times the leaders."""
+    out, now, turn = [], cells, 0
+    while True:
+        out.append(keep(whole(now.where(F.col("size") <= chunk)), "edges"))
+        large = now.where(F.col("size") > chunk)
+        if large.isEmpty():
+            return out
+        edges, rest = led(large, leaders * 4**turn, turn)
+        out += edges
+        now, turn = keep(_sized(rest.distinct()), "cells"), turn + 1
+
+
+def _guest_links(told: DataFrame, found: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Links between guests that no link has yet connected with a leader, and the leader's rows; both dealt to pieces of about ``chunk``."""
+    part = keep(connected_components(found), "parts")
+    own, other = part.select(F.col("node").alias("src"), F.col("component").alias("c1")), part.select(F.col("node").alias("dst"), F.col("component").alias("c2"))
+    open_ = told.where("what = 'guest'").join(own, "src", "left").join(other, "dst", "left").where("coalesce(c1, src) <> coalesce(c2, dst)")
+    guest = keep(open_.select(F.col("dst").alias("leader"), F.col("src").alias("vid"), "gap").dropDuplicates(["leader", "vid"]), "guest")
+    home = told.where("what = 'home'").select(F.col("dst").alias("leader"), F.col("src").alias("vid"), "gap").dropDuplicates(["leader", "vid"])
+    pieces = lambda df, name: df.groupBy("leader").agg(F.ceil(F.count("*") / chunk).cast("int").alias(name))
+    plan = pieces(guest, "lots").join(pieces(home, "parts"), "leader")
+    deal = lambda df, own_name, own_n, far, far_n: df.join(plan, "leader").withColumn(own_name, F.pmod(F.xxhash64("vid"), F.col(own_n)).cast("int")).withColumn(far, F.explode(F.sequence(F.lit(0), F.col(far_n) - 1)))
+    rows = deal(home, "part", "parts", "lot", "lots").withColumn("kind", F.lit(0)).unionByName(deal(guest, "lot", "lots", "part", "parts").withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    keys = ["leader", "part", "lot"]
+    beside = rows.select(*keys, "kind", "vid", "gap").join(sets, "vid").repartition(*keys).sortWithinPartitions(*keys, "kind", "vid")
+    return _exact_guests(beside, percent)
+
+
+def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: int = 1024, leaders: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id (and tie, a hash of the text, and group) of every row.
 
     Rows link when their shingle sets have a Jaccard similarity of at least ``percent`` / 100; the component is the
@@ -245,10 +413,13 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: in
     1. Rows with the same set are one class.
     2. A class emits its prefix, the rarest of its shingles in an order that puts frequent ones last. Two sets that
        link share a shingle of both prefixes, so tiles of one shingle hold every link.
-    3. A tile is split into size bands, and where large into pairs of chunks. In it, bitmap signatures bound overlaps from
-       above; a forest that connects what may link goes on, of fewer edges than rows.
-    4. The components of these edges are families; all links lie within one. Families are split into bands and chunk pairs
-       again, and their sets intersected as sorted arrays where wider bitmaps still allow a link; a forest of the true links goes on.
+    3. A tile is split into size bands. In a cell of at most ``chunk`` rows, bitmap signatures bound overlaps from
+       above, and a forest that connects what may link goes on, of fewer edges than rows. In a larger cell, rows are compared with
+       some leaders only: differing bits are a metric, so rows near a leader need no comparison with each other.
+    4. The components of these edges are families; all links lie within one. Families are split into bands again, and their sets
+       intersected as sorted arrays where wider bitmaps still allow a link; a forest of the true links goes on. In large cells
+       leaders serve again, now by the Jaccard distance; rows that lie near a leader but in another component are compared
+       with the leader's rows. Work is rows times leaders, not rows squared.
     5. The components of those are the result.
 
     Where a doc_id has several texts, two components can have the same smallest doc_id; ``group`` tells them apart, and is
@@ -269,14 +440,17 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: in
     posted = classes.select("vid", "n", F.explode("prefix").alias("tile"))
     often = posted.groupBy("tile").agg(F.count("*").alias("size")).where("size > 1")
     shared = posted.join(often.select("tile"), "tile")
-    tiles = keep(_banded(shared, "tile", percent, chunk), "tiles")
-    keys = ["tile", "band", "ci", "cj"]
-    signed = tiles.join(classes.select("vid", "n", "bits"), "vid").repartition(*keys).sortWithinPartitions(*keys)
-    weak = keep(_weak_edges(signed, percent), "weak")
+    tiles = keep(_banded(shared, "tile", percent), "tiles")
+    signed = classes.select("vid", "n", "bits")
+
+    def weak_led(large: DataFrame, wanted: int, turn: int) -> tuple[list[DataFrame], DataFrame]:
+        told = keep(_weak_leaders(_beside_leaders(large, signed, wanted, chunk, turn), percent), "weak")
+        return [told.where("dst IS NOT NULL").select("src", "dst")], told.where("dst IS NULL").select("group", "band", F.col("src").alias("vid"))
+
+    weak = reduce(DataFrame.unionByName, _rounds(tiles, chunk, leaders, lambda cells: _weak_edges(_together(cells, signed), percent), weak_led))
     discard(tiles)
 
     families = keep(connected_components(weak).select(F.col("node").alias("vid"), F.col("component").alias("family")), "families")
-    discard(weak)
     wanted = classes.select("vid", "doc_id", "tie").join(families.select("vid"), "vid")
     texts = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"]).select("vid", "text")
 
@@ -285,11 +459,15 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: in
             yield pd.DataFrame({"vid": batch["vid"], "items": [shingles(t, k).tobytes() for t in batch["text"]]})
 
     sets = keep(texts.mapInPandas(make, "vid long, items binary"), "items")
-    dealt = _banded(families.join(classes.select("vid", "n"), "vid"), "family", percent, chunk // 2)
-    keys = ["family", "band", "ci", "cj"]
-    blocks = dealt.join(sets, "vid").repartition(*keys).sortWithinPartitions(*keys)
-    links = keep(_exact_links(blocks, percent), "links")
-    discard(sets, families)
+
+    def exact_led(large: DataFrame, wanted: int, turn: int) -> tuple[list[DataFrame], DataFrame]:
+        told = keep(_exact_leaders(_beside_leaders(large, sets, wanted, chunk // 2, turn), percent), "told")
+        found = told.where("what = 'link'").select("src", "dst")
+        return [found, keep(_guest_links(told, found, sets, percent, chunk // 2), "guests")], told.where("what = 'none'").select("group", "band", F.col("src").alias("vid"))
+
+    cells = keep(_banded(families.join(classes.select("vid", "n"), "vid"), "family", percent), "cells")
+    links = reduce(DataFrame.unionByName, _rounds(cells, chunk // 2, leaders, lambda c: _exact_links(_together(c, sets), percent), exact_led))
+    discard(cells, families, sets)
 
     final = connected_components(links)
     names = classes.select("vid", "k1", "k2", "doc_id").join(final.withColumnRenamed("node", "vid"), "vid")

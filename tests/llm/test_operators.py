@@ -233,9 +233,24 @@ def near_copies():
     return out
 
 
-def test_components_equal_all_pairs(spark):
+@pytest.mark.parametrize("chunk,leaders", [(1024, 64), (16, 64), (8, 2)])
+def test_components_equal_all_pairs(spark, chunk, leaders):
+    """In whole cells, and in cells so small that most rows meet leaders only."""
     rows = near_copies()
-    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), chunk=16)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk, leaders=leaders)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_components(rows)
+
+
+def test_long_chains_of_near_copies(spark):
+    """Each row links to its neighbours only, so a family's ends are far from each other and from any leader."""
+    rng = np.random.default_rng(14)
+    words, rows = [f"w{i}" for i in rng.integers(0, 10**6, 160)], []
+    for i in range(90):
+        rows.append((i, " ".join(words)))
+        words[int(rng.integers(0, 160))] = f"x{i}"
+        if i % 3 == 0:
+            words[int(rng.integers(0, 160))] = f"y{i}"
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), chunk=8, leaders=3)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_components(rows)
 
 
