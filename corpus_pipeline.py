@@ -29,7 +29,11 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in none of the languages learned from the rest, go."""
+    """Documents without a letter, or in none of the languages learned from the rest, go.
+
+    Null and empty texts have no letter. With nothing to learn from (an empty table, no ``lang``), nothing else goes. Repeated rows are judged alike
+    and stay repeated; rows with a null id are judged, never learned from; a column named like the judgement's is left as it is.
+    """
     model = fit(docs)
     name = _free(docs, "language")
     if not model.langs:  # nothing to learn from: nothing to judge by
@@ -53,7 +57,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets, also those under layers of encoding, are replaced in the text; n_chars follows."""
+    """Secrets, also those under layers of encoding, are replaced in the text; n_chars follows.
+
+    No row goes. Null and empty texts stay as they are (n_chars of a null text is null), repeated rows stay repeated, very long texts are read whole,
+    an empty table stays empty, and other columns, whatever their names, are untouched.
+    """
     clean = docs.withColumn("text", redacted(F.col("text")))
     return (clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean).select(*docs.columns)
 
@@ -61,7 +69,8 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the mix takes nothing go; one that it takes n times over is there n times.
 
-    A document that a block cuts stays whole.
+    A document that a block cuts stays whole. Null and empty texts hold no words, so they go; a null source is a source of its own; repeated
+    rows count each; an empty table stays empty; other columns, whatever their names, travel along.
     """
     taken = mix(docs, carry=True).where("taken > 0")
     copies = F.greatest(F.lit(1), F.floor(F.col("taken") / F.col("size")).cast("int"))
@@ -69,7 +78,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
+    """The pieces of the training sequences.
+
+    A null or empty text is its end id alone; repeated rows and null ids are packed like others; an empty table gives no piece; other
+    columns are ignored.
+    """
     return pack(docs, tokenizer_path())
 
 

@@ -2,10 +2,16 @@
 
 import random
 import re
+import zlib
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tessera.llm.mixing import mix
+from tessera.llm.queries import tokenizer_path
 from tessera.llm.secrets import redact_text, scan
 from tests.llm.test_operators import plain_set
 
@@ -52,13 +58,24 @@ def test_each_stage_on_its_own_input(spark, sf):
             assert {(r.doc_id, r.text) for r in after} == {(r.doc_id, redact_text(r.text)) for r in before}
             assert not any(scan(r.text)[1] for r in after) and all(r.n_chars == len(r.text) for r in after)
         elif name == "mixing":
-            have = {r.doc_id: r for r in before}
+            have, taken = {r.doc_id: r for r in before}, {r.doc_id: (r.taken, r["size"]) for r in mix(spark.createDataFrame(before, docs.schema)).collect()}
             assert all(r == have[r.doc_id] for r in after)
-            assert max(now.groupBy("doc_id").count().select(F.max("count")).first()[0], 1) <= 3
+            assert Counter(r.doc_id for r in after) == {d: max(1, t // n) for d, (t, n) in taken.items() if t}
         else:
             pieces = out.collect()
-            assert {p.doc_id for p in pieces} == {r.doc_id for r in before}
-            assert sum(p.length for p in pieces if p.start == 0) <= sum(p.doc_tokens for p in pieces if p.start == 0)
+            encode, want, got = Tokenizer.from_file(tokenizer_path()), Counter(), Counter()
+            for r in before:
+                ids = [*encode.encode(r.text or "", add_special_tokens=False).ids, 1]
+                want.update((r.doc_id, i, t) for i, t in enumerate(ids))
+            texts = {r.doc_id: [*encode.encode(r.text or "", add_special_tokens=False).ids, 1] for r in before}
+            for p in pieces:
+                ids = texts[p.doc_id][p.start : p.start + p.length]
+                assert zlib.crc32(np.array(ids, "<u4").tobytes()) == p.ids_crc32 and p.doc_tokens == len(texts[p.doc_id])
+                got.update((p.doc_id, p.start + i, t) for i, t in enumerate(ids))
+            assert got == want
+            for s in {p.sequence_id for p in pieces}:
+                own = sorted((p.offset, p.length) for p in pieces if p.sequence_id == s)
+                assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 2048
 
 
 def test_run_repeats_and_takes_an_empty_table(spark, sf, tmp_path):
@@ -93,3 +110,17 @@ def test_components_of_one_repeated_id_each_keep_a_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted((r.doc_id, r.text or "") for r in out) == sorted([(1, one), (1, two), (4, three), (5, ""), (5, "")])
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls everywhere, repeats, a very long text, no rows at all, and columns named like the stages' own."""
+    rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "", "en", "a", 0), (2, "the ing and thre " * 30_000, "en", "a", None), (3, "the ing and thre", "en", None, 16), (3, "the ing and thre", "en", None, 16), (4, "die und ein der", None, "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("language", "tie", "taken", "size", "doc", "shard", "kind", "group"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    counts = {"language": 4, "near_duplicates": 6, "secrets": 7}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        assert name == "packing" or out.columns == docs.columns
+        assert out.count() == counts.get(name, out.count()), name
+        assert stage(spark, docs.limit(0), "").count() == 0

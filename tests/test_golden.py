@@ -374,6 +374,30 @@ def test_surface(spark):
     assert [(r.name, r.style) for r in surface.tool_map(line).collect()] == [("lookup", "python-decorator")]
 
 
+def test_words_end_at_letters_beyond_ascii(spark):
+    """A pattern's words are ASCII ones: a letter with a mark beside them is no part of the word."""
+    rows = [("a.ts", 1, "éeval(x)"), ("a.ts", 2, "reval(x)"), ("a.ts", 3, "éapp.get('/x', h)"), ("a.ts", 4, "app.get('/y\", h)"), ("a.ts", 5, "xapp.get('/z', h)")]
+    line = spark.createDataFrame(rows, "file_path string, line int, text string")
+    symbol = spark.createDataFrame([("S:a.ts:f", "f", "a.ts", "function", 1, 9)], "id string, name string, file_path string, kind string, start_line int, end_line int")
+    assert [(r.line, r.marker) for r in surface.markers(line, symbol).where("role = 'sink'").collect()] == [(1, "eval")]
+    assert [(r.line, r.path) for r in surface.route_map(line, symbol).collect()] == [(3, "/x")]
+
+
+def test_hidden_and_underscored_names_are_walked(spark, tmp_path):
+    for name in ("src/a.py", "src/__init__.py", "src/_util.py", ".github/ci.yml", ".npmrc", "_x/.keep me.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    got = {r.path: (r.reason, r.content and bytes(r.content)) for r in walk(spark, str(tmp_path)).collect()}
+    assert got == {"src/a.py": (None, b"x"), "src/__init__.py": (None, b"x"), "src/_util.py": (None, b"x"), ".github/ci.yml": (None, b"x"), ".npmrc": ("secret or lock", None), "_x/.keep me.txt": (None, b"x")}
+    assert walk(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_a_long_cycle_is_found(spark):
+    """Longer than any number of rounds there was."""
+    ring = spark.range(1000).select(F.col("id").alias("src"), ((F.col("id") + 1) % 1000).alias("dst"))
+    assert strong_components(ring).groupBy("component").count().collect()[0]["count"] == 1000
+
+
 # --- sources, store, stream ----------------------------------------------------------------------
 
 
