@@ -439,8 +439,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: in
 
     posted = classes.select("vid", "n", F.explode("prefix").alias("tile"))
     often = posted.groupBy("tile").agg(F.count("*").alias("size")).where("size > 1")
-    shared = posted.join(often.select("tile"), "tile")
+    shared = keep(posted.join(often.select("tile"), "tile"), "shared")
     tiles = keep(_banded(shared, "tile", percent), "tiles")
+    discard(shared)
     signed = classes.select("vid", "n", "bits")
 
     def weak_led(large: DataFrame, wanted: int, turn: int) -> tuple[list[DataFrame], DataFrame]:
