@@ -11,9 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame, zero: bool = True) -> DataFrame:
-    """vec_id and vec (doubles) of rows whose id is not null and whose components are all finite; with ``zero`` false, not all zero."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
+def usable(vectors: DataFrame, zero: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, vec (doubles) and the columns ``also`` of rows whose id is not null and whose components are all finite; with ``zero`` false, not all zero."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"), *also)
     rows = rows.where("vec_id IS NOT NULL AND vec IS NOT NULL AND forall(vec, x -> x IS NOT NULL AND abs(x) < double('Infinity'))")
     return rows if zero else rows.where("exists(vec, x -> x <> 0)")
 
