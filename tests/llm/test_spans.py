@@ -252,7 +252,7 @@ def test_binary_layers_are_read(wrap, data):
 
 
 MEMORY = """
-import base64, resource, sys, time, zlib
+import base64, sys, time, zlib
 from tessera.llm.secrets import scan
 line, pack = b"2026-01-01 an ordinary line of a log, with words.\\n" * 20, zlib.compressobj()
 data = b"".join(pack.compress(line) for _ in range((1 << 26) // len(line))) + pack.compress(b"password=hunter2222\\n") + pack.compress(line) + pack.flush()
@@ -262,7 +262,7 @@ began = time.time()
 for text in ("%" + "25" * 100_000, "%" + "5Cu0025" * 30_000 + "41", "\\\\" + "u005c" * 40_000 + "u0041", "\\\\u{5c}" + "x5cu00255C" * 20_000):
     scan(text)
 assert time.time() - began < 20
-print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+print(next(int(line.split()[1]) for line in open("/proc/self/status") if line.startswith("VmHWM")) // 1024)
 """
 
 
