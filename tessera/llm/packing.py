@@ -49,7 +49,10 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is not None:
-            return self.fast.encode_to_numpy(text, allowed_special="all")
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # it gives up on about a million characters of white space on end
+                pass
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
