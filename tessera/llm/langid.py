@@ -145,7 +145,8 @@ def fit(docs: DataFrame, *, sample_docs: int = 6000, least_docs: int = 20) -> La
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"bin": np.append(at, -1), "n": np.append(seen[at], total)})
 
-    counted = rows.groupBy("lang").count().collect()
+    # of repeated rows one counts, so that the sample is of the size meant whatever is repeated
+    counted = rows.select("lang", F.xxhash64("doc_id", "text")).distinct().groupBy("lang").count().collect()
     langs = sorted(r.lang for r in counted)
     df = rows.select("text").mapInPandas(frequencies, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros(BINS + 1)
@@ -157,7 +158,7 @@ def fit(docs: DataFrame, *, sample_docs: int = 6000, least_docs: int = 20) -> La
     share = {r.lang: min(1.0, max(least_docs, sample_docs / len(langs)) / r["count"]) for r in counted}
     lookup = docs.sparkSession.createDataFrame(sorted(share.items()), "lang string, share double")
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.join(F.broadcast(lookup), "lang").where(place < F.col("share")).select("lang", "text", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(5)).alias("fold"))
+    picked = rows.join(F.broadcast(lookup), "lang").where(place < F.col("share")).dropDuplicates(["lang", "doc_id", "text"]).select("lang", "text", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(5)).alias("fold"))
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

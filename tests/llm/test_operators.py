@@ -187,13 +187,26 @@ def test_every_id_lies_in_one_piece(spark, sf, odd):
     assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 3_000_000, "\n" * 3_000_000, "a" + " " * 3_000_000 + "b", "word " * 10 + "\t " * 1_500_000 + "<|endoftext|> z"], ids=["spaces", "newlines", "between", "mixed"])
+def test_very_long_white_space(text):
+    encode = packing.Encoder(tokenizer_path())
+    assert encode(text).tolist() == encode.slow.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_white_space_is_packed(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 1_500_000 + "b"), (2, "c")], "doc_id long, text string")
+    rows = packing.pack(docs, tokenizer_path()).collect()
+    want = len(packing.Encoder(tokenizer_path()).slow.encode("a" + " " * 1_500_000 + "b", add_special_tokens=False).ids) + 1
+    assert sum(r.length for r in rows if r.doc_id == 1) == want
+
+
 # --- n-gram Jaccard ----------------------------------------------------------------------------
 
 
-def plain_set(text):
+def plain_set(text, k=4):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")
     words = [w for w in words if w]
-    return {tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))} if words else set()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
 def plain_components(rows):
@@ -299,6 +312,18 @@ def test_every_language_is_learned(spark):
     assert right >= 0.9 * len(rows[::7])
 
 
+def test_repeated_rows_leave_the_sample_whole(spark, monkeypatch):
+    """20,000 copies of one row: the others are sampled as if it were there once, whatever its hash."""
+    sizes = []
+    monkeypatch.setattr(langid, "train_ftrl", lambda model, data: sizes.append(len(data)))
+    monkeypatch.setattr(langid, "calibrate", lambda model, data: sizes.append(len(data)))
+    rows = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of row "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    for copied in (1, 2, 3, 4):
+        copies = rows.where(F.col("doc_id") == copied).crossJoin(spark.range(20_000).select()) if copied else rows
+        langid.fit(rows.union(copies.select("doc_id", "text", "lang")), sample_docs=500)
+        assert 400 <= sizes.pop() + sizes.pop() <= 600
+
+
 def test_long_texts_are_described_alike_in_training():
     at, counts = langid.grams("ab" * 100_000)
     assert counts.max() > 65_535

@@ -17,7 +17,8 @@ from tests.llm.test_operators import plain_set
 
 
 def keep_one_of_each_group(rows):
-    sets = {r.doc_id: plain_set(r.text) for r in rows}
+    """By the stage's own measure: five words and 80 percent."""
+    sets = {r.doc_id: plain_set(r.text, 5) for r in rows}
     root = {r.doc_id: r.doc_id for r in rows}
 
     def find(i):
@@ -29,7 +30,7 @@ def keep_one_of_each_group(rows):
     for n, i in enumerate(ids):
         for j in ids[:n]:
             a, b = sets[i], sets[j]
-            if a and min(len(a), len(b)) * 100 >= 85 * max(len(a), len(b)) and 100 * len(a & b) >= 85 * len(a | b):
+            if a and min(len(a), len(b)) * 100 >= 80 * max(len(a), len(b)) and 100 * len(a & b) >= 80 * len(a | b):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return {i for i in ids if find(i) == i}
