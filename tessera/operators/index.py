@@ -11,6 +11,10 @@ from tessera.functions.text import term_counts, tokenize
 from tessera.session import keep, spread
 
 
+#: Questions' terms that are sent to the workers as a list.
+MOST_TERMS = 4096
+
+
 def terms_of(docs: DataFrame, id_col: str = "id", text_col: str = "text", only: list[str] | None = None) -> DataFrame:
     """node_id, doc_len, terms and tfs: the one place where texts are tokenised, one row per document.
 
@@ -34,11 +38,11 @@ def corpus_stats(terms: DataFrame) -> DataFrame:
 def for_questions(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Postings of the questions' terms and the corpus statistics, from one reading of the texts.
 
-    The distinct terms of a batch of questions go to the workers; what comes back is a few numbers per document, kept as a
-    table so that frequencies and scores don't read the texts again.
+    The distinct terms of a small batch of questions go to the workers (with more than ``MOST_TERMS`` all terms are counted, to the same end); what comes
+    back is a few numbers per document, kept as a table so that frequencies and scores don't read the texts again.
     """
-    asked = [r.term for r in query_terms(queries).select("term").distinct().collect()]
-    terms = keep(terms_of(docs, id_col, text_col, asked), "terms")
+    asked = [r.term for r in query_terms(queries).select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    terms = keep(terms_of(docs, id_col, text_col, asked if len(asked) <= MOST_TERMS else None), "terms")
     return postings(terms), corpus_stats(terms)
 
 
@@ -54,20 +58,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(post: DataFrame, stats: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """query_id, node_id, score, matched, rank: the best documents of each query, ties to the smaller id.
 
-    A batch of queries is one program; its terms are few and broadcast, postings are read once, and each
+    A batch of queries is one program: postings are read once, how its terms meet them is the planner's choice, and each
     query's top is cut on every partition before ranks are given.
     """
-    asked = F.broadcast(query_terms(queries))
+    asked = query_terms(queries)
     hits = post.join(asked, "term")
     seen = hits.groupBy("query_id", "term").agg(F.count("*").alias("df"))
     weight = F.round(idf(F.col("doc_count"), F.col("df")) * bm25_weight(F.col("tf"), F.col("doc_len"), F.col("total_length") / F.col("doc_count")), 9)
-    scored = hits.join(F.broadcast(seen), ["query_id", "term"]).crossJoin(F.broadcast(stats)).groupBy("query_id", "node_id").agg(F.round(F.sum(weight), 6).alias("score"), F.array_sort(F.collect_set("term")).alias("matched"))
+    scored = hits.join(seen, ["query_id", "term"]).crossJoin(F.broadcast(stats)).groupBy("query_id", "node_id").agg(F.round(F.sum(weight), 6).alias("score"), F.array_sort(F.collect_set("term")).alias("matched"))
     return top(scored, "query_id", limit, F.desc("score"), F.asc("node_id"))
 
 
 def term_overlap(post: DataFrame, queries: DataFrame, limit: int = 60) -> DataFrame:
     """query_id, node_id, overlap, rank: documents by how many distinct terms they share with the query."""
-    shared = post.join(F.broadcast(query_terms(queries)), "term").groupBy("query_id", "node_id").agg(F.count("*").alias("overlap"))
+    shared = post.join(query_terms(queries), "term").groupBy("query_id", "node_id").agg(F.count("*").alias("overlap"))
     return top(shared, "query_id", limit, F.desc("overlap"), F.asc("node_id"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessera.functions.embed import hash_embedding
 from tessera.functions.scores import jaccard
 from tessera.functions.text import content_hash, fold, looks_redacted, node_id, redact, redaction_counts, snippet, split_identifier, tokenize
-from tessera.operators import index, retrieval
+from tessera.operators import index, retrieval, stored
 from tessera.plans.catalogue import QUESTIONS, QUESTIONS_SQL, query, sql_values, terms_sql, values
 from tessera.result import report
 from tessera.session import table
@@ -83,6 +83,36 @@ def bm25_persisted_vs_rebuilt(spark, sf_dir):
     return both.agg(F.count_if(F.col("a").isNull() | F.col("b").isNull()).cast("int").alias("only_one_side"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"))
 
 
+def _stored(spark, docs):
+    """Added in two parts, of which the second replaces some of the first."""
+    out = stored.temporary_index(spark, buckets=8)
+    stored.add_documents(out, docs.where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("before "), "text")).otherwise(F.col("text"))), "doc_id", segment_docs=64)
+    stored.replace_documents(out, docs.where("doc_id % 5 < 2"), "doc_id", segment_docs=64)
+    return out
+
+
+@query(f"WITH {BM25_SQL} SELECT query_id, node_id, score, CAST(rank AS INT) AS rank, array_to_string(matched, ' ') AS matched FROM ranked WHERE rank <= 10")
+def bm25_stored(spark, sf_dir):
+    return stored.search(_stored(spark, table(spark, sf_dir, "documents")), _questions(spark), 10).withColumn("matched", F.array_join("matched", " "))
+
+
+@query(f"WITH {BM25_SQL.replace('FROM documents', "FROM (SELECT * FROM documents WHERE lang <> 'fr')")} SELECT query_id, node_id, score, CAST(rank AS INT) AS rank, array_to_string(matched, ' ') AS matched FROM ranked WHERE rank <= 10")
+def bm25_stored_after_removal(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = _stored(spark, docs)
+    stored.remove_documents(held, docs.where("lang IS NULL OR lang = 'fr'"), "doc_id")
+    return stored.search(held, _questions(spark), 10).withColumn("matched", F.array_join("matched", " "))
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT term, count(*) AS df, max(tf) AS max_tf, min(doc_len) AS min_len, md5(string_agg(node_id || ':' || tf || ':' || doc_len, ' ' ORDER BY node_id)) AS held FROM post GROUP BY term")
+def stored_blocks(spark, sf_dir):
+    docs, held = table(spark, sf_dir, "documents"), stored.temporary_index(spark, buckets=8)
+    stored.add_documents(held, docs, "doc_id", segment_docs=64)
+    entries = F.flatten(F.array_sort(F.collect_list(F.transform(F.arrays_zip("ids", "tfs", "lens"), lambda e: e))))
+    text = F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat_ws(":", e["ids"], e["tfs"], e["lens"])), " ")
+    return held.table("blocks").groupBy("term").agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"), F.md5(text).alias("held"))
+
+
 OVERLAP_SQL = f"""{QUESTIONS_SQL}, {QUERY_TERMS}, asked AS (SELECT DISTINCT node_id AS query_id, term FROM asked_all), {DOC_TERMS},
 shared AS (SELECT query_id, t.node_id, count(*) AS overlap FROM (SELECT DISTINCT node_id, term FROM terms) t JOIN asked USING (term) GROUP BY query_id, t.node_id),
 overlapped AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, node_id) AS rank FROM shared)"""
