@@ -222,7 +222,7 @@ def trace(pairs: DataFrame, symbol: DataFrame, calls: DataFrame, *, max_depth: i
     if not include_tests:
         edges = edges.join(_tests(symbol).withColumnRenamed("id", "src"), "src", "left_anti").select("src", "dst", "confidence", "via")
     asked = pairs.select("source", "target").distinct()
-    found = breadth_first(edges, asked.select("source", F.col("source").alias("node")), depth)
+    found = breadth_first(edges, asked.select("source", F.col("source").alias("node")), depth, stop_at=asked.select("source", F.col("target").alias("node")))
     hit = found.join(asked.withColumnRenamed("target", "node"), ["source", "node"], "left_semi")
     ways = path_to(found, hit.select("source", "node"), depth)
     last = found.groupBy("source").agg(F.max(F.struct("depth", F.col("node"))).alias("far"))
