@@ -14,6 +14,7 @@ from tessera.graph.frontier import search as breadth_first
 from tessera.graph.structure import communities, strong_components
 from tessera.operators.index import top
 from tessera.operators.memory import without_links
+from tessera.operators.spans import overlapping
 
 
 def containment(symbol: DataFrame) -> DataFrame:
@@ -72,46 +73,60 @@ def resolve_targets(asked: DataFrame, symbol: DataFrame, calls: DataFrame, inher
     return found.unionByName(hints)
 
 
+def _summary(rows: DataFrame, *keys: Column) -> DataFrame:
+    """For each key how many declarations there are, of any kind, callable and constructible, and the largest id of each."""
+    of = {"all": F.lit(True), "call": F.col("callable"), "new": F.col("constructible")}
+    counts = [a for k, test in of.items() for a in (F.count_if(test).alias(f"n_{k}"), F.max(F.when(test, F.col("id"))).alias(f"id_{k}"))]
+    return rows.groupBy(*keys).agg(*counts)
+
+
+def _merged(summaries: DataFrame, *keys: str) -> DataFrame:
+    """Summaries of several places added up."""
+    return summaries.groupBy(*keys).agg(*(a for k in ("all", "call", "new") for a in (F.sum(f"n_{k}").alias(f"n_{k}"), F.max(f"id_{k}").alias(f"id_{k}"))))
+
+
 def choose(sites: DataFrame, symbol: DataFrame, imports: DataFrame, visible: DataFrame | None = None) -> DataFrame:
-    """call_id, id, confidence, reason: the declaration that each call site means, by one join and one aggregate.
+    """call_id, id, confidence, reason: the declaration that each call site means.
 
-    ``sites`` has call_id, file_path, name, kind (call or new), receiver, receiver_type. Candidates share the name; those of a
+    ``sites`` has call_id (unique), file_path, name, kind (call or new), receiver, receiver_type. Candidates share the name; those of a
     fitting kind count if there are any. The first rule that leaves exactly one wins: the receiver's type, the same file, the receiver's
     name as owner, an imported file, a visible container (``visible``: file_path, container), being the only one. Else the reason is
     external (no candidate) or ambiguous.
+
+    Rules ask only how many candidates there are and, if it is one, which. So declarations are counted by name, by name and file, and by name and owner; a site
+    looks its counts up, one row for each rule, and never meets the candidates. Imports and visible containers add up the counts of their
+    places for the (file, name) pairs that are asked for.
     """
     owner = F.regexp_extract(qualified_name(F.col("id")), r"([^.]*)\.[^.]*$", 1)
-    s = symbol.select("id", "name", F.col("file_path").alias("where"), "kind", owner.alias("owner"), parent_id(F.col("id")).alias("container")).distinct()
-    c = sites.withColumnRenamed("kind", "use").join(s, "name", "left")
-    c = c.join(imports.select(F.col("src").alias("file_path"), F.col("dst").alias("where"), F.lit(True).alias("imported")).distinct(), ["file_path", "where"], "left")
-    if visible is not None:
-        seen = visible.select("file_path", F.col("container").alias("owner"), F.lit(True).alias("visible")).distinct()
-        c = c.join(seen, ["file_path", "owner"], "left")
-    else:
-        c = c.withColumn("visible", F.lit(None).cast("boolean"))
-    fits = F.when(F.col("use") == "new", F.col("kind").rlike(CONSTRUCTIBLE_KIND)).otherwise(F.col("kind").rlike(CALLABLE_KIND))
-    c = c.withColumn("fits", F.coalesce(fits, F.lit(False)))
-    rules = {
-        "type": F.col("receiver_type").isNotNull() & (F.col("owner") == F.col("receiver_type")),
-        "file": F.col("where") == F.col("file_path"),
-        "receiver": F.col("receiver").isNotNull() & (F.col("owner") == F.col("receiver")),
-        "import": F.coalesce("imported", F.lit(False)),
-        "visible": F.coalesce("visible", F.lit(False)),
-        "unique": F.lit(True),
+    s = symbol.where("id IS NOT NULL AND name IS NOT NULL").select("id", "name", F.col("file_path").alias("where"), F.coalesce(F.col("kind").rlike(CALLABLE_KIND), F.lit(False)).alias("callable"), F.coalesce(F.col("kind").rlike(CONSTRUCTIBLE_KIND), F.lit(False)).alias("constructible"), owner.alias("owner")).distinct()
+    by_file, by_owner = _summary(s, F.col("name"), F.col("where")), _summary(s, F.col("name"), F.col("owner"))
+    asked = sites.select("file_path", "name").distinct()
+    near = imports.select(F.col("src").alias("file_path"), F.col("dst").alias("where")).distinct()
+    lookups = {
+        "type": (by_owner.withColumnRenamed("owner", "receiver_type"), ["name", "receiver_type"]),
+        "file": (by_file.withColumnRenamed("where", "file_path"), ["name", "file_path"]),
+        "receiver": (by_owner.withColumnRenamed("owner", "receiver"), ["name", "receiver"]),
+        "import": (_merged(asked.join(near, "file_path").join(by_file, ["name", "where"]), "name", "file_path"), ["name", "file_path"]),
+        "unique": (_summary(s, F.col("name")), ["name"]),
     }
-    aggs = [F.count_if("fits").alias("n_fit"), F.count("id").alias("n_all")]
-    for name, test in rules.items():
-        for suffix, extra in (("fit", F.col("fits")), ("all", F.col("id").isNotNull())):
-            hit = F.coalesce(test, F.lit(False)) & extra
-            aggs += [F.count_if(hit).alias(f"n_{name}_{suffix}"), F.max(F.when(hit, F.col("id"))).alias(f"id_{name}_{suffix}")]
-    told = c.groupBy("call_id").agg(*aggs)
-    pick = lambda name, what: F.when(F.col("n_fit") > 0, F.col(f"{what}_{name}_fit")).otherwise(F.col(f"{what}_{name}_all"))
+    if visible is not None:
+        seen = visible.select("file_path", F.col("container").alias("owner")).distinct()
+        lookups["visible"] = (_merged(asked.join(seen, "file_path").join(by_owner, ["name", "owner"]), "name", "file_path"), ["name", "file_path"])
+    c = sites.select("call_id", "file_path", "name", F.col("kind").alias("use"), "receiver", "receiver_type")
+    for rule, (counts, keys) in lookups.items():
+        c = c.join(counts.select(*keys, F.struct(*(x for x in counts.columns if x not in keys)).alias(f"of_{rule}")), keys, "left")
+    new = F.col("use") == "new"
+    fitting = F.coalesce(F.when(new, F.col("of_unique.n_new")).otherwise(F.col("of_unique.n_call")), F.lit(0)) > 0
+
+    def pick(rule: str, what: str) -> Column:
+        return F.when(fitting, F.when(new, F.col(f"of_{rule}.{what}_new")).otherwise(F.col(f"of_{rule}.{what}_call"))).otherwise(F.col(f"of_{rule}.{what}_all"))
+
     chosen, label = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name in reversed(rules):
-        one = pick(name, "n") == 1
-        chosen = F.when(one, pick(name, "id")).otherwise(chosen)
-        label = F.when(one, F.lit("import" if name == "visible" else name)).otherwise(label)
-    return told.select("call_id", chosen.alias("id"), label.alias("confidence"), F.when(F.col("n_all") == 0, "external").when(chosen.isNull(), "ambiguous").alias("reason"))
+    for rule in reversed([r for r in ("type", "file", "receiver", "import", "visible", "unique") if r in lookups]):
+        one = pick(rule, "n") == 1
+        chosen = F.when(one, pick(rule, "id")).otherwise(chosen)
+        label = F.when(one, F.lit("import" if rule == "visible" else rule)).otherwise(label)
+    return c.select("call_id", chosen.alias("id"), label.alias("confidence"), F.when(F.coalesce("of_unique.n_all", F.lit(0)) == 0, "external").when(chosen.isNull(), "ambiguous").alias("reason"))
 
 
 #: Suffixes tried on an imported path, nearest to the text first (fixed values).
@@ -301,16 +316,17 @@ def query(questions: DataFrame, symbol: DataFrame, found: DataFrame, about: Data
 # --- changes -----------------------------------------------------------------------------------
 
 
-def _touches() -> Column:
-    """The old side of a hunk overlaps a symbol; a pure insertion touches the line that it follows."""
+def _touched(hunks: DataFrame, symbol: DataFrame) -> DataFrame:
+    """Hunks with the symbols that their old side overlaps; a pure insertion touches the line that it follows."""
     last = F.when(F.col("old_lines") == 0, F.col("old_start")).otherwise(F.col("old_start") + F.col("old_lines") - 1)
-    return (F.col("start_line") <= last) & (F.col("end_line") >= F.col("old_start"))
+    s = symbol.select(F.col("file_path").alias("file"), "id", "start_line", "end_line")
+    return overlapping(hunks, s, (F.col("old_start"), last), (F.col("start_line"), F.col("end_line")), "file")
 
 
 def changed_symbols(hunks: DataFrame, symbol: DataFrame) -> DataFrame:
-    """id, file, change (modified or removed), is_test: an equi-join on the file with the overlap as residual."""
+    """id, file, change (modified or removed), is_test: hunks and symbols meet by blocks of lines."""
     h = hunks.withColumn("file_deleted", F.min((F.col("status") == "deleted").cast("int")).over(W.partitionBy("file")) == 1)
-    hit = h.join(symbol, h["file"] == symbol["file_path"]).where(_touches())
+    hit = _touched(h, symbol)
     swallowed = (F.col("old_start") <= F.col("start_line")) & (F.col("old_start") + F.col("old_lines") - 1 >= F.col("end_line")) & (F.col("new_lines") == 0)
     return hit.groupBy("id", "file").agg(F.max(swallowed | F.col("file_deleted")).alias("gone")).select("id", "file", F.when(F.col("gone"), "removed").otherwise("modified").alias("change"), is_test_path(F.col("file")).alias("is_test"))
 
@@ -318,7 +334,7 @@ def changed_symbols(hunks: DataFrame, symbol: DataFrame) -> DataFrame:
 def changed_files(hunks: DataFrame, symbol: DataFrame) -> DataFrame:
     """file, symbols, unmatched_hunks, unindexed, is_test."""
     h = hunks.withColumn("hunk", F.struct("old_start", "old_lines", "new_start", "new_lines"))
-    hit = h.join(symbol, h["file"] == symbol["file_path"]).where(_touches())
+    hit = _touched(h, symbol)
     matched = hit.groupBy("file").agg(F.count_distinct("id").alias("symbols"), F.count_distinct("hunk").alias("matched"))
     known = symbol.select(F.col("file_path").alias("file"), F.lit(True).alias("known")).distinct()
     every = h.groupBy("file").agg(F.count_distinct("hunk").alias("hunks"))

@@ -18,6 +18,7 @@ from tessera.functions.scores import clamp_distance, decay, wilson
 from tessera.functions.text import snippet, tokenize
 from tessera.model import DAY_MS
 from tessera.operators.index import bm25, for_questions, query_terms, term_overlap, top
+from tessera.operators.ranking import ranked
 from tessera.result import Result, report
 from tessera.session import keep
 
@@ -224,7 +225,8 @@ def why(memory: DataFrame, target: str, *, about: DataFrame | None = None, symbo
     else:
         anchored = rows.limit(0)
     order = F.when(F.col("layer") == "semantic", 0).when(F.col("layer") == "episodic", 1).when(F.col("layer") == "procedural", 2).otherwise(3)
-    lead = anchored.select(F.lit("0").alias("query_id"), F.col("id").alias("node_id"), "layer", "title", "source_ref", F.row_number().over(W.orderBy(order, F.desc("importance"), "id")).alias("rank")).where(F.col("rank") <= limit)
+    placed = ranked(anchored.select("id", "layer", "title", "source_ref", "importance"), [order, F.desc("importance"), F.asc("id")], "first").where(F.col("first") <= limit)
+    lead = placed.select(F.lit("0").alias("query_id"), F.col("id").alias("node_id"), "layer", "title", "source_ref", F.col("first").cast("int").alias("rank"))
     if anchor_only:
         return Result(lead.withColumn("anchored", F.lit(True)), report(spark, lead.withColumn("branch", F.lit("anchor")), ["anchor"]))
     asked = queries if queries is not None else spark.createDataFrame([("0", target)], "query_id string, text string")
@@ -256,9 +258,9 @@ def token_budget(rows: DataFrame, text: str, budget: int, by: str, order: list[s
 
 def tiered_budget(rows: DataFrame, tier: Column, order: list[Column], budget: int) -> DataFrame:
     """The first ``budget`` rows by tier and order, with how many of each tier are left out."""
-    numbered = rows.withColumn("tier", tier).withColumn("rn", F.row_number().over(W.orderBy("tier", *order)))
-    left = F.sum(F.when(F.col("rn") > budget, 1).otherwise(0)).over(W.partitionBy("tier"))
-    return numbered.withColumn("omitted", left).where(F.col("rn") <= budget)
+    numbered = ranked(rows.withColumn("tier", tier), [F.asc("tier"), *order], "rn")
+    left = numbered.groupBy("tier").agg(F.count_if(F.col("rn") > budget).alias("omitted"))
+    return numbered.where(F.col("rn") <= budget).join(left, "tier")
 
 
 def evaluate(answers: DataFrame, questions: DataFrame, top_k: int = 5) -> DataFrame:
