@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,7 @@ UNKNOWN = "und"
 GAP = 255
 FOLDED = bytes(GAP if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 PARTIAL = "lang string, phrase string, n long, section int, data binary"
+ROWS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("section", pa.int32()), ("data", pa.binary())])
 RANGES = 256
 
 
@@ -35,10 +38,11 @@ class Buckets:
             at, n = np.unique(hashes >> self.shift, return_counts=True)
             self.count[at] = np.minimum(255, self.count[at] + n)
 
-    def frame(self) -> pd.DataFrame:
+    def batch(self) -> pa.RecordBatch:
         parts = self.count.reshape(RANGES, -1)
         used = np.flatnonzero(parts.any(axis=1))
-        return pd.DataFrame({"lang": None, "phrase": None, "n": 0, "section": used, "data": [zlib.compress(parts[i].tobytes(), 1) for i in used]})
+        none = pa.nulls(len(used), pa.string())
+        return pa.record_batch([none, none, pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i], 1) for i in used], pa.binary())], ROWS)
 
 
 def bitmap(counts: DataFrame, bits: int, least: int) -> Broadcast:
@@ -106,58 +110,48 @@ class Chunk:
             out = mixed(out, self.hash[self.at[starts + k]])
         return out
 
-    def phrases(self, starts: np.ndarray, length: int, hashes: np.ndarray) -> Iterator[tuple[str, str, int]]:
+    def counts(self, codes: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+        """Rows of phrases, given by their words' numbers, and counts."""
+        words = pa.array(self.words, pa.binary()).cast(pa.string())
+        phrase = words.take(pa.array(codes[0])) if len(codes) == 1 else pc.binary_join_element_wise(*(words.take(pa.array(c)) for c in codes), " ")
+        return pa.record_batch([pa.repeat(self.lang, len(n)), phrase, pa.array(n, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ROWS)
+
+    def phrases(self, starts: np.ndarray, length: int) -> pa.RecordBatch:
         """The distinct phrases of these places with their counts; told apart by their words, not by their hashes."""
-        if not len(starts):
-            return
-        grid = np.stack([self.at[starts + k] for k in range(length)])
-        order = np.lexsort(grid)
-        grid = grid[:, order]
-        new = np.concatenate([[True], (grid[:, 1:] != grid[:, :-1]).any(axis=0)])
-        first = np.flatnonzero(new)
-        for column, n in zip(grid[:, first].T, np.diff(np.append(first, grid.shape[1]))):
-            yield self.lang, b" ".join(self.words[i] for i in column).decode("utf-8", "replace"), int(n)
-
-
-def chunks(batches: Iterator[pd.DataFrame], most: int = 1 << 22) -> Iterator[Chunk]:
+        total, codes = max(1, len(self.words)), [self.at[starts + k] for k in range(length)]
+        key = codes[0]
+        for code in codes[1:-1]:
+            key = np.unique(key * total + code, return_inverse=True)[1].reshape(-1)
+        _, first, n = np.unique(key * total + codes[-1], return_index=True, return_counts=True)
+        return self.counts([c[first] for c in codes], n)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[Chunk]:
     """Texts of a language together, about ``most`` bytes at a time; a longer text is a chunk of its own."""
     held: dict[str, list[bytes]] = defaultdict(list)
-    size: dict[str, int] = defaultdict(int)
+    size = 0
     for batch in batches:
-        for lang, text in zip(batch["lang"], batch["text"]):
-            data = text.encode("utf-8", "surrogatepass")
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())):
+            data = text.as_py()
             held[lang].append(data)
-            size[lang] += len(data)
-            if sum(size.values()) > most:
-                for key, texts in held.items():
-                    yield Chunk(key, texts)
+            size += len(data)
+            if size > most:
+                yield from (Chunk(key, texts) for key, texts in held.items())
                 held.clear()
-                size.clear()
-    for key, texts in held.items():
-        yield Chunk(key, texts)
+                size = 0
+    yield from (Chunk(key, texts) for key, texts in held.items())
 
 
-def counted(texts: DataFrame, each: Callable[[Chunk, Buckets], Iterator[tuple[str, str, int]]], bits: int, name: str) -> DataFrame:
+def counted(texts: DataFrame, each: Callable[[Chunk, Buckets], pa.RecordBatch], bits: int, name: str) -> DataFrame:
     """One reading of all texts: rows of exact partial counts, and each task's bucket counts of the next length. Kept, as both are read."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buckets, sums = Buckets(bits), {}
-
-        def frame() -> pd.DataFrame:
-            rows = pd.DataFrame([(*key, n) for key, n in sums.items()], columns=["lang", "phrase", "n"])
-            sums.clear()
-            return rows.assign(section=0, data=None)
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Buckets(bits)
         for chunk in chunks(batches):
-            for lang, phrase, n in each(chunk, buckets):
-                key = (lang, phrase)
-                sums[key] = sums.get(key, 0) + n
-            if len(sums) > 500_000:
-                yield frame()
-        yield frame()
-        yield buckets.frame()
+            yield each(chunk, buckets)
+        yield buckets.batch()
 
-    return keep(texts.mapInPandas(run, PARTIAL), name)
+    return keep(texts.mapInArrow(run, PARTIAL), name)
 
 
 def frequent(rows: DataFrame, least: int) -> DataFrame:
@@ -176,7 +170,7 @@ def marked(found: DataFrame, length: int, bits: int) -> Broadcast:
                 words = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in phrase.encode("utf-8", "surrogatepass").split(b" ")], np.uint64)
                 out[i] = words[0] if length == 1 else mixed(words[:1], words[1:2])[0]
             buckets.add(out)
-        yield buckets.frame()
+        yield buckets.batch().to_pandas()
 
     return bitmap(found.select("lang", "phrase").mapInPandas(run, PARTIAL), bits, 1)
 
@@ -194,13 +188,14 @@ def top(rows: DataFrame, most: int, lots: int = 64) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most).drop("lot")
 
 
-def mine(docs: DataFrame, *, least: int = 10, most: int = 2000, inside_percent: int = 50, bits: int = 24, hot_share: int = 1000) -> DataFrame:
+def mine(docs: DataFrame, *, least: int = 10, most: int = 2000, inside_percent: int = 50, bits: int = 26, hot_share: int = 1000) -> DataFrame:
     """Phrases of two and three words that occur at least ``least`` times in a language, by how little their parts explain them.
 
     Three readings of the texts. The first counts words, and two-word phrases in 2^bits hashed buckets. The second counts exactly those
     two-word phrases whose words are frequent and whose bucket is, and three-word phrases in buckets; the third exactly those
-    three-word phrases whose two-word parts are frequent and whose bucket is. What is broadcast are bitmaps of 2^bits bits: of buckets and of
-    hashes of frequent phrases. A bit that is set wrongly costs a count, never a result, since counts are by words. Counts are
+    three-word phrases whose two-word parts are frequent and whose bucket is. What is broadcast are bitmaps of 2^bits bits (8 MB): of buckets and of
+    hashes of frequent phrases. A bit that is set wrongly costs a count, never a result, since counts are by words; with far more phrases than
+    buckets the buckets prune little, and the frequent parts do what is left. Counts are
     added up in the tasks before they are shuffled, so a hot word is one row a task.
 
     A phrase's score is the least, over its cuts, of 10^6 a^2 / (l r), rounded down, in decimals of 38 places: exact for counts below 10^15.
@@ -214,46 +209,37 @@ def mine(docs: DataFrame, *, least: int = 10, most: int = 2000, inside_percent:
         raise ValueError("least is from 1 to 255")
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text")).where("text <> ''")
 
-    def first(chunk: Chunk, buckets: Buckets) -> Iterator[tuple[str, str, int]]:
+    def first(chunk: Chunk, buckets: Buckets) -> pa.RecordBatch:
         buckets.add(chunk.hashes(chunk.runs(2), 2))
-        words = np.bincount(chunk.at[chunk.at >= 0], minlength=len(chunk.words))
-        return ((chunk.lang, w.decode("utf-8", "replace"), int(n)) for w, n in zip(chunk.words, words))
+        return chunk.counts([np.arange(len(chunk.words))], np.bincount(chunk.at[chunk.at >= 0], minlength=len(chunk.words)))
 
     ones = counted(texts, first, bits, "words")
     words = keep(frequent(ones, least), "frequent-words")
     totals = ones.where("phrase IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     full, known = bitmap(ones, bits, least), marked(words, 1, bits)
 
-    def second(chunk: Chunk, buckets: Buckets) -> Iterator[tuple[str, str, int]]:
+    def second(chunk: Chunk, buckets: Buckets) -> pa.RecordBatch:
         often = has(known.value, bits, chunk.hash) if len(chunk.hash) else np.zeros(0, bool)
         starts = chunk.runs(2)
         starts = starts[often[chunk.at[starts]] & often[chunk.at[starts + 1]]]
-        hashes = chunk.hashes(starts, 2)
-        use = has(full.value, bits, hashes)
+        starts = starts[has(full.value, bits, chunk.hashes(starts, 2))]
         able = np.zeros(len(chunk.at) + 1, bool)
-        able[starts[use]] = True
-        longer = starts[use][able[starts[use] + 1]]
-        buckets.add(chunk.hashes(longer, 3))
-        return chunk.phrases(starts[use], 2, hashes[use])
+        able[starts] = True
+        buckets.add(chunk.hashes(starts[able[starts + 1]], 3))
+        return chunk.phrases(starts, 2)
 
     twos = counted(texts, second, bits, "pairs")
     pairs = keep(frequent(twos, least), "frequent-pairs")
     full_3, known_2 = bitmap(twos, bits, least), marked(pairs, 2, bits)
 
-    def third(chunk: Chunk) -> Iterator[tuple[str, str, int]]:
+    def third(chunk: Chunk) -> pa.RecordBatch:
         starts = chunk.runs(2)
         able = np.zeros(len(chunk.at) + 1, bool)
         able[starts[has(known_2.value, bits, chunk.hashes(starts, 2))]] = True
         starts = np.flatnonzero(able[:-1] & able[1:])
-        hashes = chunk.hashes(starts, 3)
-        use = has(full_3.value, bits, hashes)
-        return chunk.phrases(starts[use], 3, hashes[use])
-
-    def triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk in chunks(batches):
-            yield pd.DataFrame(list(third(chunk)), columns=["lang", "phrase", "n"])
+        return chunk.phrases(starts[has(full_3.value, bits, chunk.hashes(starts, 3))], 3)
 
-    threes = keep(frequent(texts.mapInPandas(triples, "lang string, phrase string, n long"), least), "frequent-triples")
+    threes = keep(frequent(texts.mapInArrow(lambda batches: map(third, chunks(batches)), PARTIAL), least), "frequent-triples")
 
     # the parts a phrase is measured by, each a row
     pair_parts = F.array(F.struct(F.lit(0).alias("place"), part(1, 1).alias("part")), F.struct(F.lit(1).alias("place"), part(2).alias("part")))

@@ -176,7 +176,7 @@ def test_buckets_are_exact_at_the_threshold(spark):
         for batch in batches:
             b = collocations.Buckets(12)
             b.add(np.repeat(h, [300, 1, 2]))
-            yield b.frame()
+            yield b.batch().to_pandas()
 
     counts = spark.range(0, 5, 1, 5).mapInPandas(run, collocations.PARTIAL)
     for least, want in ((5, [True, True, True]), (6, [True, False, True]), (11, [True, False, False]), (255, [True, False, False])):
