@@ -47,29 +47,64 @@ def neighbors(edges: DataFrame, starts: DataFrame, *, depth: int = 2, direction:
 def conflicts(memory: DataFrame, edges: DataFrame, threshold: float = 0.6) -> DataFrame:
     """a, b, kind, similarity: declared contradictions, then live semantic pairs whose titles are suspiciously alike.
 
-    Pairs come from a join on shared title terms, rarest first: two titles with a Jaccard of ``threshold`` share one of the first
-    n - ceil(threshold * n) + 1 of each, so common words join nothing.
+    This spells out every pair; where many titles are equal, ``conflict_classes`` says the same in rows by title.
     """
     declared = edges.where("type = 'CONTRADICTS'").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    linked = edges.where("type IN ('CONTRADICTS', 'SUPERSEDES')").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    titles = live(memory, ["semantic"]).select("id", token_set(F.col("title")).alias("terms")).where(F.size("terms") > 0)
-    similar = similar_pairs(titles, threshold)
-    suspected = similar.join(linked, ["a", "b"], "left_anti")
+    suspected = similar_pairs(_title_terms(memory), threshold).join(_explained(edges), ["a", "b"], "left_anti")
     return declared.select("a", "b", F.lit("declared").alias("kind"), F.lit(1.0).alias("similarity")).unionByName(suspected.select("a", "b", F.lit("suspected").alias("kind"), "similarity"))
 
 
-def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b, similarity of all pairs of id, terms whose Jaccard similarity is at least ``threshold``."""
-    df = sets.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    ordered = sets.select("id", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(df, "term").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("order"))
+def _title_terms(memory: DataFrame) -> DataFrame:
+    return live(memory, ["semantic"]).select("id", token_set(F.col("title")).alias("terms")).where(F.size("terms") > 0)
+
+
+def _explained(edges: DataFrame) -> DataFrame:
+    return edges.where("type IN ('CONTRADICTS', 'SUPERSEDES')").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
+
+
+def conflict_classes(memory: DataFrame, edges: DataFrame, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """Members (id, rep, size) and suspected links (a, b, similarity, pairs, explained) between classes of titles with the same terms.
+
+    A class is named by its smallest id; a link from a class to itself stands for the pairs inside. ``pairs`` is how many pairs of rows a link stands for, ``explained`` how
+    many of them an edge already links. So 100,000 equal titles are one link, and the pairs are those of its members less the explained.
+    """
+    members, links = similar_classes(_title_terms(memory), threshold)
+    inside = members.where("size > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"), (F.col("size") * (F.col("size") - 1) / 2).cast("long").alias("pairs")).distinct()
+    sizes = members.select("rep", "size").distinct()
+    between = links.join(sizes.select(F.col("rep").alias("a"), F.col("size").alias("n")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("size").alias("m")), "b").select("a", "b", "similarity", (F.col("n") * F.col("m")).alias("pairs"))
+    ends = _explained(edges).join(members.select(F.col("id").alias("a"), F.col("rep").alias("x")), "a").join(members.select(F.col("id").alias("b"), F.col("rep").alias("y")), "b")
+    known = ends.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("explained"))
+    return members, inside.unionByName(between).join(known, ["a", "b"], "left").withColumn("explained", F.coalesce("explained", F.lit(0)))
+
+
+def similar_classes(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Members (id, rep, size) of classes of equal sets, and a, b, similarity of the classes whose Jaccard similarity is at least ``threshold``.
+
+    Sets are compared once for each class. Two that reach the threshold share one of the first n - ceil(threshold * n) + 1 of each, rarest first, so common
+    words join nothing.
+    """
+    keyed = keep(sets.select("id", F.array_sort("terms").alias("terms"), F.sha2(F.array_join(F.array_sort("terms"), "\n"), 256).alias("key")), "sets")
+    classes = keep(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.min("terms").alias("terms")), "classes")
+    members = keyed.select("id", "key").join(classes.select("key", "rep", "size"), "key").select("id", "rep", "size")
+    df = classes.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    ordered = classes.select("rep", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(df, "term").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("order"))
     length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    prefix = ordered.select("id", "n", F.explode(F.slice("order", F.lit(1), length)).alias("p")).select("id", "n", F.col("p.term").alias("term"))
+    prefix = ordered.select("rep", "n", F.explode(F.slice("order", F.lit(1), length)).alias("p")).select("rep", "n", F.col("p.term").alias("term"))
     x, y = prefix.alias("x"), prefix.alias("y")
-    near = x.join(y, (F.col("x.term") == F.col("y.term")) & (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - 1e-9))
-    pairs = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    whole = pairs.join(sets.select(F.col("id").alias("a"), F.col("terms").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("terms").alias("t")), "b")
+    near = x.join(y, (F.col("x.term") == F.col("y.term")) & (F.col("x.rep") < F.col("y.rep")) & (F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - 1e-9))
+    pairs = near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    whole = pairs.join(classes.select(F.col("rep").alias("a"), F.col("terms").alias("s")), "a").join(classes.select(F.col("rep").alias("b"), F.col("terms").alias("t")), "b")
     value = F.size(F.array_intersect("s", "t")) / F.size(F.array_union("s", "t"))
-    return whole.where(value >= threshold).select("a", "b", F.round(value, 6).alias("similarity"))
+    return members, whole.where(value >= threshold).select("a", "b", F.round(value, 6).alias("similarity"))
+
+
+def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity of all pairs of id, terms whose Jaccard similarity is at least ``threshold``: the classes' links spelled out."""
+    members, links = similar_classes(sets, threshold)
+    x, y = members.select(F.col("id").alias("i"), F.col("rep").alias("a")), members.select(F.col("id").alias("j"), F.col("rep").alias("b"))
+    same = x.join(y, F.col("a") == F.col("b")).where("i < j").select("i", "j", F.lit(1.0).alias("similarity"))
+    cross = links.join(x, "a").join(y, "b").select("i", "j", "similarity")
+    return same.unionByName(cross).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
 
 
 def constraints(memory: DataFrame, limit: int = 10) -> DataFrame:

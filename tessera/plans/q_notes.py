@@ -234,3 +234,16 @@ def conflicts_but_linked(spark, sf_dir):
     rows = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_custkey").alias("id"), F.lit("semantic").alias("layer"), F.concat_ws(" ", F.lit("fix"), F.lower("n_name"), "c_mktsegment").alias("title"), F.lit(None).cast("long").alias("superseded_at"))
     links = rows.select((F.col("id") + 4).alias("src"), F.col("id").alias("dst"), F.lit("SUPERSEDES").alias("type"))
     return memory.conflicts(rows, links, threshold=1.0).where("kind = 'suspected'").select("a", "b")
+
+
+@query("""WITH t AS (SELECT c_custkey AS id, 'fix ' || lower(n_name) || ' ' || c_mktsegment AS title FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 4 = 0), k AS (SELECT title, min(id) AS rep, count(*) AS n FROM t GROUP BY 1),
+e AS (SELECT k.rep, count(*) AS explained FROM t x JOIN t y ON y.id = x.id + 4 AND x.title = y.title JOIN k ON k.title = x.title GROUP BY 1)
+SELECT k.rep AS a, k.rep AS b, 1.0::DOUBLE AS similarity, n * (n - 1) // 2 AS pairs, coalesce(explained, 0) AS explained, md5(string_agg(t.id::VARCHAR, ',' ORDER BY t.id)) AS members FROM k LEFT JOIN e ON e.rep = k.rep JOIN t ON t.title = k.title WHERE n > 1 GROUP BY k.rep, n, explained""")
+def conflict_classes(spark, sf_dir):
+    """Classes of equal titles, how many pairs they stand for, and how many of these an edge explains."""
+    c, n = table(spark, sf_dir, "customer").where("c_custkey % 4 = 0"), table(spark, sf_dir, "nation")
+    rows = c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_custkey").alias("id"), F.lit("semantic").alias("layer"), F.concat_ws(" ", F.lit("fix"), F.lower("n_name"), "c_mktsegment").alias("title"), F.lit(None).cast("long").alias("superseded_at"))
+    links = rows.select((F.col("id") + 4).alias("src"), F.col("id").alias("dst"), F.lit("SUPERSEDES").alias("type"))
+    members, found = memory.conflict_classes(rows, links, threshold=1.0)
+    held = members.groupBy(F.col("rep").alias("a")).agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ",")).alias("members"))
+    return found.join(held, "a")

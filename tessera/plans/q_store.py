@@ -14,7 +14,7 @@ from tessera.plans.catalogue import query, sql_values, values
 from tessera.plans.store import Store, merge_journal, upsert
 from tessera.session import shared_dir, table
 from tessera.sources.files import changed_files, classify, ignore_patterns, ignored, stamps, vanished
-from tessera.streaming.journal import read_journal_stream
+from tessera.streaming.journal import bad_lines, merge_stream, read_journal_stream, waiting_edges
 
 
 def _nodes(df, layer):
@@ -62,15 +62,32 @@ def journal_merge(spark, sf_dir):
     return count(memory, "nodes").unionByName(count(edges, "edges")).unionByName(count(dropped, "dropped"))
 
 
-@query(f"WITH {JOURNAL_SQL} SELECT count(*) AS entries, count_if(event_id % 2 = 0) AS nodes FROM e")
+@query("SELECT 'node' AS kind, epoch_us(ts::TIMESTAMP) // 1000 AS at, 'u' || user_id AS a, event_type AS b FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'edge', epoch_us(ts::TIMESTAMP) // 1000, 'u' || user_id, 'u' || (event_id % 300) FROM events WHERE event_id % 2 = 1 UNION ALL SELECT NULL, NULL, 'broken ' || event_id, NULL FROM events WHERE event_id % 97 = 0")
 def journal_stream(spark, sf_dir):
-    """The journal as a stream, run to the end of what is there; its output is a table in the shared folder."""
+    """The journal as a stream, run to the end of what is there: each entry, and each line that is none."""
     base = f"{shared_dir(spark)}/tessera/journal-{uuid.uuid4().hex}"
-    _journal(spark, sf_dir).write.json(f"{base}/in")
+    broken = table(spark, sf_dir, "events").where("event_id % 97 = 0").select(F.concat(F.lit("broken "), "event_id").alias("value"))
+    _journal(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).unionByName(broken).write.text(f"{base}/in")
     entries = read_journal_stream(spark, f"{base}/in")
     done = entries.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     done.awaitTermination()
-    return spark.read.parquet(f"{base}/out").agg(F.count("*").alias("entries"), F.count_if(F.col("kind") == "node").alias("nodes"))
+    return spark.read.parquet(f"{base}/out").select("kind", "at", F.coalesce("node.id", "edge.src", "bad_line").alias("a"), F.coalesce("node.title", "edge.dst").alias("b"))
+
+
+@query(f"""WITH {JOURNAL_SQL}, ok AS (SELECT * FROM x WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n))
+SELECT 'node' AS what, id AS a, NULL AS b FROM n UNION ALL SELECT 'edge', src, dst FROM ok UNION ALL SELECT 'waiting', src, dst FROM (SELECT * FROM x EXCEPT SELECT * FROM ok) UNION ALL SELECT 'bad', 'broken ' || event_id, NULL FROM events WHERE event_id % 97 = 0""")
+def journal_late_nodes(spark, sf_dir):
+    """All edges come first, in a batch of their own, and wait for their nodes, which come in two more."""
+    base = f"{shared_dir(spark)}/tessera/journal-{uuid.uuid4().hex}"
+    store, entries = Store(spark, f"{base}/store"), _journal(spark, sf_dir)
+    broken = table(spark, sf_dir, "events").where("event_id % 97 = 0").select(F.concat(F.lit("broken "), "event_id").alias("value"))
+    lines = entries.select(F.to_json(F.struct("*")).alias("value"), "kind", (F.col("at") % 2).alias("half"))
+    for part in (lines.where("kind = 'edge'").select("value").unionByName(broken), lines.where("kind = 'node' AND half = 0").select("value"), lines.where("kind = 'node' AND half <> 0").select("value")):
+        part.write.mode("append").text(f"{base}/in")
+        merge_stream(store, f"{base}/in", f"{base}/state")
+    none = F.lit(None).cast("string")
+    parts = [store.read("memory").select(F.lit("node").alias("what"), F.col("id").alias("a"), none.alias("b")), store.read("memory_edge").select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b")), waiting_edges(store).select(F.lit("waiting").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b")), bad_lines(store, f"{base}/state").select(F.lit("bad").alias("what"), F.col("line").alias("a"), none.alias("b"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 NEW_EDGES = [("d1", "d2", "RESOLVES"), ("d1", "d2", "RESOLVES"), ("d1", "zz", "RESOLVES"), ("d1", "d3", "LIKES"), ("yy", "d3", "CONSTRAINS")]

@@ -123,7 +123,8 @@ def merge_journal(memory: DataFrame, edges: DataFrame, entries: DataFrame) -> tu
     fresh = nodes.join(memory.select("id"), "id", "left_anti")
     full = fresh.select(*[F.col(c) if c in fresh.columns else (F.lit(0).cast("long") if c == "access_count" else F.lit(None).cast(t)).alias(c) for c, t in memory.dtypes])
     merged = memory.unionByName(full)
-    asked = entries.where("kind = 'edge'").select("edge.*", F.col("at").alias("created_at")).dropDuplicates(["src", "dst", "type"])
+    first = F.min(F.struct(F.col("at").alias("created_at"), "edge.weight")).alias("first")
+    asked = entries.where("kind = 'edge'").groupBy("edge.src", "edge.dst", "edge.type").agg(first).select("src", "dst", "type", "first.*")
     ids = merged.select("id")
     ok = asked.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     dropped = asked.join(ok.select("src", "dst", "type"), ["src", "dst", "type"], "left_anti")

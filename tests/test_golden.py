@@ -482,6 +482,28 @@ def test_journal_stream_is_idempotent(spark, tmp_path):
     assert store.read("memory_edge").schema.fieldNames() == MEMORY_EDGE.fieldNames()
 
 
+def test_journal_edges_wait_for_their_nodes(spark, tmp_path):
+    from tessera.streaming.journal import bad_lines, waiting_edges
+
+    folder = tmp_path / "journal"
+    folder.mkdir()
+    store, state = Store(spark, str(tmp_path / "store")), str(tmp_path / "cp")
+    edge = '{"kind":"edge","at":%d,"edge":{"src":"%s","dst":"%s","type":"RESOLVES","weight":0.5}}\n'
+    node = '{"kind":"node","at":%d,"node":{"id":"%s","layer":"semantic","title":"%s"}}\n'
+    (folder / "1.jsonl").write_text(edge % (5, "a", "b") + edge % (9, "a", "b") + edge % (6, "c", "a") + "not json\n" + '{"kind":"edge","at":1,"edge":{"src":"a"}}\n')
+    merge_stream(store, str(folder), state)
+    assert store.read("memory_edge").count() == 0 and sorted((r.src, r.dst, r.at) for r in waiting_edges(store).collect()) == [("a", "b", 5), ("c", "a", 6)]
+    assert sorted(r.line[:8] for r in bad_lines(store, state).collect()) == ["not json", '{"kind":']
+    (folder / "2.jsonl").write_text(node % (7, "a", "first"))
+    merge_stream(store, str(folder), state)
+    assert store.read("memory_edge").count() == 0
+    (folder / "3.jsonl").write_text(node % (8, "b", "x") + node % (9, "a", "second"))
+    merge_stream(store, str(folder), state)
+    assert [(r.src, r.dst, r.weight, r.created_at) for r in store.read("memory_edge").collect()] == [("a", "b", 0.5, 5)]
+    assert [r.src for r in waiting_edges(store).collect()] == ["c"] and {r.title for r in store.read("memory").where("id = 'a'").collect()} == {"first"}
+    assert bad_lines(store, state).count() == 2
+
+
 def test_walk(spark, tmp_path):
     for name, data in (("a.py", b"x = 1"), ("node_modules/b.js", b"x"), ("c.bin2", b"a\x00b"), ("d.svg", b"<svg/>")):
         (tmp_path / name).parent.mkdir(exist_ok=True)

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import code, ranking, spans, surface
+from tessera.operators import code, memory, ranking, spans, surface
 from tessera.session import keep
 
 # --- ranks -------------------------------------------------------------------------------------
@@ -119,3 +119,25 @@ def test_a_hot_name_makes_no_pairs(spark):
     assert {(r.confidence, r.reason): r["count"] for r in got.groupBy("confidence", "reason").count().collect()} == {("type", None): 50_000, ("file", None): 25_000, (None, "ambiguous"): 25_000}
     text = got._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"CartesianProduct|NestedLoop", text)
+
+
+# --- alike titles ------------------------------------------------------------------------------
+
+
+def test_equal_titles_are_one_class(spark):
+    """100,000 equal titles and a few alike: a link for each two classes, from which the pairs follow."""
+    rows = spark.range(100_000).select("id", F.lit("fix the login page").alias("title")).union(spark.range(100_000, 100_003).select("id", F.lit("fix the login form page"))).union(spark.range(200_000, 200_001).select("id", F.lit("unrelated words entirely")))
+    notes = rows.withColumn("layer", F.lit("semantic")).withColumn("superseded_at", F.lit(None).cast("long"))
+    edges = spark.createDataFrame([(5, 3, "SUPERSEDES"), (100_001, 7, "CONTRADICTS"), (200_000, 1, "CONTRADICTS"), (1, 2, "RESOLVES")], "src long, dst long, type string")
+    members, links = memory.conflict_classes(notes, edges)
+    assert sorted((r.a, r.b, r.pairs, r.explained) for r in links.collect()) == [(0, 0, 100_000 * 99_999 // 2, 1), (0, 100_000, 300_000, 1), (100_000, 100_000, 3, 0)]
+    assert {r.rep: r["count"] for r in members.groupBy("rep").count().collect()} == {0: 100_000, 100_000: 3, 200_000: 1}
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 1.0])
+def test_alike_pairs_equal_all_pairs(spark, threshold):
+    rng = random.Random(9)
+    sets = [(i, rng.sample("abcdefgh", rng.randint(1, 5))) for i in range(80)]
+    got = memory.similar_pairs(spark.createDataFrame(sets, "id long, terms array<string>"), threshold)
+    want = [(i, j, round(len(set(s) & set(t)) / len(set(s) | set(t)), 6)) for i, s in sets for j, t in sets if i < j and len(set(s) & set(t)) >= threshold * len(set(s) | set(t))]
+    assert sorted((r.a, r.b, r.similarity) for r in got.collect()) == want
