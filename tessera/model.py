@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCHEMA_VERSION = 7
@@ -58,3 +60,9 @@ def parse_dimensions(text: str) -> int:
     if not str(text).isascii() or not str(text).isdigit() or not 8 <= int(text) <= 8192:
         raise ValueError(f"vector width must be digits from 8 to 8192, got {text!r}")
     return int(text)
+
+
+def dimensions(text: Column) -> Column:
+    """The same for a column of texts; null where ``parse_dimensions`` refuses."""
+    digits = F.when(text.rlike(r"\A0*[0-9]{1,4}\z"), F.regexp_extract(text, r"\A0*([0-9]{1,4})\z", 1).cast("int"))
+    return F.when(digits.between(8, 8192), digits)

@@ -1,11 +1,13 @@
 """Queries: the code graph."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import code, surface
 from tessera.plans.catalogue import CODE_SQL, code_graph, levels_sql, query, sql_values, values
-from tessera.session import table
-from tessera.sources.files import lines, parse_diff
+from tessera.session import shared_dir, table
+from tessera.sources.files import lines, read_diff
 
 CRITICAL_SQL = "'auth|login|logout|session|token|password|passwd|credential|permission|role|acl|payment|billing|checkout|invoice|charge|refund|subscription|entitlement|crypto|encrypt|decrypt|secret|signature|security'"
 STRONG_SQL = """strong AS (SELECT src, dst, max(confidence) AS confidence FROM (SELECT src, dst, confidence FROM calls UNION ALL SELECT src, dst, confidence FROM inherits) x GROUP BY 1, 2)"""
@@ -198,10 +200,14 @@ def import_cycles(spark, sf_dir):
     return code.import_cycles(code_graph(spark, sf_dir)["imports"]).select(F.array_join("files", " ").alias("files"), F.size("files").cast("long").alias("n"))
 
 
-@query(f"WITH {CODE_SQL} SELECT id AS subject FROM symbol WHERE kind <> 'class' AND NOT is_test AND id NOT IN (SELECT src FROM calls UNION SELECT dst FROM calls UNION SELECT src FROM inherits UNION SELECT dst FROM inherits)")
+@query(f"""WITH {CODE_SQL}, quiet AS (SELECT id FROM symbol WHERE kind <> 'class' AND p % 31 = 5), e AS (SELECT src, dst FROM calls UNION ALL SELECT src, dst FROM inherits), held AS (SELECT * FROM e WHERE src NOT IN (SELECT id FROM quiet) AND dst NOT IN (SELECT id FROM quiet))
+SELECT id AS subject FROM symbol WHERE kind <> 'class' AND NOT is_test AND id NOT IN (SELECT src FROM held UNION SELECT dst FROM held)""")
 def check_isolated(spark, sf_dir):
+    """A graph from which the edges of every 31st declaration are taken out."""
     g = code_graph(spark, sf_dir)
-    return code.check(g["symbol"], g["calls"], g["inherits"], g["imports"]).where("kind = 'isolated'").select("subject")
+    quiet = g["symbol"].where("kind <> 'class' AND p % 31 = 5").select("id")
+    kept = {name: g[name].join(quiet.withColumnRenamed("id", "src"), "src", "left_anti").join(quiet.withColumnRenamed("id", "dst"), "dst", "left_anti") for name in ("calls", "inherits")}
+    return code.check(g["symbol"], kept["calls"], kept["inherits"], g["imports"]).where("kind = 'isolated'").select("subject")
 
 
 @query(f"""WITH {CODE_SQL}, m AS (SELECT id, array_to_string(list_slice(string_split(file_path, '/'), 1, 2), '/') AS module FROM symbol)
@@ -277,27 +283,44 @@ def taint_paths(spark, sf_dir):
     return surface.taint_of(marked, g["calls"]).select("source_id", "source_line", "sink_id", "sink_line", "depth")
 
 
-SOURCE_TEXT = [("src/app.ts", "app.get('/users/:id', handler)\nfetch(`/api/orders/${id}`)\nconst r = axios.post('/api/orders')\nrouter.delete(path, h)\nconst x = 1"), ("web/views.py", "@app.route('/a', methods=['GET', 'POST'])\ndef a():\n    return requests.get('http://host/x?y=1')\n@router.get('/b')\ndef b():\n    pass")]
+#: Two files for each supplier; # stands for the key.
+SOURCE_TEXT = [("src/app#.ts", "app.get('/users#/:id', handler)\nfetch(`/api/orders#/${id}`)\nconst r = axios.post('/api/orders#')\nrouter.delete(path, h)\nconst x = 1"), ("web/views#.py", "@app.route('/a#', methods=['GET', 'POST'])\ndef a():\n    return requests.get('http://host/x#?y=1')\n@router.get('/b')\ndef b():\n    pass")]
+
+
+def _sources(spark, sf_dir):
+    """path, text of source files, two for each supplier."""
+    texts = F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in SOURCE_TEXT))).alias("f")
+    key = F.col("s_suppkey").cast("string")
+    return table(spark, sf_dir, "supplier").select(key.alias("k"), texts).select(F.replace("f.path", F.lit("#"), F.col("k")).alias("path"), F.replace("f.text", F.lit("#"), F.col("k")).alias("text"))
+
+
+def _for_each_supplier(columns, rows):
+    """Rows told for each supplier, # in them being the key."""
+    held = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    return f"SELECT {', '.join(f'replace({c}, chr(35), s_suppkey::VARCHAR) AS {c}' if isinstance(rows[0][n], str) else c for n, c in enumerate(columns))} FROM supplier, (VALUES {held}) t({', '.join(columns)})"
 
 
-@query("""SELECT * FROM (VALUES ('GET', '/users/:id', 'express-style', 'src/app.ts', 1, 0.9), ('DELETE', NULL, 'express-style', 'src/app.ts', 4, 0.4), ('GET', '/a', 'flask', 'web/views.py', 1, 0.9), ('POST', '/a', 'flask', 'web/views.py', 1, 0.9), ('GET', '/b', 'express-style', 'web/views.py', 4, 0.9)) t(method, path, framework, file_path, line, confidence)""")
+@query(_for_each_supplier(["method", "path", "framework", "file_path", "line", "confidence"], [("GET", "/users#/:id", "express-style", "src/app#.ts", 1, 0.9), ("DELETE", None, "express-style", "src/app#.ts", 4, 0.4), ("GET", "/a#", "flask", "web/views#.py", 1, 0.9), ("POST", "/a#", "flask", "web/views#.py", 1, 0.9), ("GET", "/b", "express-style", "web/views#.py", 4, 0.9)]))
 def route_map(spark, sf_dir):
-    files = values(spark, SOURCE_TEXT, "path string, text string")
     none = spark.createDataFrame([], "id string, file_path string, start_line int, end_line int")
-    return surface.route_map(lines(files), none).select("method", "path", "framework", "file_path", "line", F.col("confidence").cast("double").alias("confidence"))
+    return surface.route_map(lines(_sources(spark, sf_dir)), none).select("method", "path", "framework", "file_path", "line", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query("""SELECT * FROM (VALUES ('GET', '/api/orders/${id}', 'src/app.ts', 2, 0.6), ('POST', '/api/orders', 'src/app.ts', 3, 0.85), ('GET', '/x', 'web/views.py', 3, 0.85)) t(method, path, file_path, line, confidence)""")
+@query(_for_each_supplier(["method", "path", "file_path", "line", "confidence"], [("GET", "/api/orders#/${id}", "src/app#.ts", 2, 0.6), ("POST", "/api/orders#", "src/app#.ts", 3, 0.85), ("GET", "/x#", "web/views#.py", 3, 0.85)]))
 def http_calls(spark, sf_dir):
-    files = values(spark, SOURCE_TEXT, "path string, text string")
     none = spark.createDataFrame([], "id string, file_path string, start_line int, end_line int")
-    return surface.http_calls(lines(files), none).select("method", "path", "file_path", "line", F.col("confidence").cast("double").alias("confidence"))
+    return surface.http_calls(lines(_sources(spark, sf_dir)), none).select("method", "path", "file_path", "line", F.col("confidence").cast("double").alias("confidence"))
 
 
-DIFF = "diff --git a/x.ts b/x.ts\n--- a/x.ts\n+++ b/x.ts\n@@ -3,2 +3,0 @@\n-a\n-b\n@@ -9 +8 @@\n-c\n+d\ndiff --git a/n.ts b/n.ts\nnew file mode 100644\n--- /dev/null\n+++ b/n.ts\n@@ -0,0 +1,4 @@\n+x"
+#: A diff for each order: a changed file with two hunks, a new file, a deleted and a renamed one.
+DIFF = "diff --git a/x#.ts b/x#.ts\n--- a/x#.ts\n+++ b/x#.ts\n@@ -#,2 +3,0 @@\n-a\n-b\n@@ -9 +# @@ f()\n-c\n+d\ndiff --git a/n#.ts b/n#.ts\nnew file mode 100644\n--- /dev/null\n+++ b/n#.ts\n@@ -0,0 +1,4 @@\n+x\ndiff --git a/g b/g\ndeleted file mode 100644\n--- a/g#.ts\n+++ /dev/null\n@@ -1,# +0,0 @@\n-x\ndiff --git a/o# b/p#\nrename from o#\nrename to p#\n--- a/o#\n+++ b/p#\n@@ -5 +5,# @@"
 
 
-@query("SELECT * FROM (VALUES ('x.ts', 'modified', 3, 2, 3, 0), ('x.ts', 'modified', 9, 1, 8, 1), ('n.ts', 'added', 0, 0, 1, 4)) t(file, status, old_start, old_lines, new_start, new_lines)")
+@query("""WITH k AS (SELECT o_orderkey AS k FROM orders) SELECT 'x' || k || '.ts' AS file, 'modified' AS status, k AS old_start, 2 AS old_lines, 3 AS new_start, 0 AS new_lines FROM k UNION ALL SELECT 'x' || k || '.ts', 'modified', 9, 1, k, 1 FROM k
+UNION ALL SELECT 'n' || k || '.ts', 'added', 0, 0, 1, 4 FROM k UNION ALL SELECT 'g' || k || '.ts', 'deleted', 1, k, 0, 0 FROM k UNION ALL SELECT 'o' || k, 'renamed', 5, 1, 5, k FROM k""")
 def diff_hunks(spark, sf_dir):
-    rows = values(spark, [("d", i, t) for i, t in enumerate(DIFF.split("\n"))], "diff_id string, line int, text string")
-    return parse_diff(rows)
+    """Diffs written as text files from orders, and read."""
+    key = F.col("o_orderkey").cast("string")
+    place = f"{shared_dir(spark)}/tessera/diffs-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "orders").select(F.replace(F.lit(DIFF), F.lit("#"), key).alias("value")).write.option("lineSep", "\x1e").text(place)
+    return read_diff(spark, place, "\x1e")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import parameters_of
 from tessera.graph.structure import communities, modularity
-from tessera.model import parse_dimensions
+from tessera.model import dimensions
 from tessera.operators import code, memory, reports, surface
 from tessera.plans.catalogue import CODE_SQL, code_graph, levels_sql, query
 from tessera.plans.ingest import ingest, ingest_into
@@ -150,16 +150,14 @@ def store_conflict(spark, sf_dir):
     return store.read("memory").groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("n"), F.lit(store.meta()["write_seq"]).alias("write_seq"), F.lit(refused).alias("refused"))
 
 
-@query("SELECT n_nationkey AS n, n_nationkey * 300 BETWEEN 8 AND 8192 AND n_nationkey % 5 <> 1 AS valid FROM nation")
+@query(r"""WITH w AS (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN p_partkey::VARCHAR WHEN 1 THEN '000' || p_partkey WHEN 2 THEN p_partkey || '00' WHEN 3 THEN p_partkey || 'x' WHEN 4 THEN '-' || p_partkey ELSE p_partkey || ' ' END AS text FROM part)
+SELECT k, text, CASE WHEN regexp_full_match(text, '[0-9]+') AND try_cast(text AS BIGINT) BETWEEN 8 AND 8192 THEN try_cast(text AS INTEGER) END AS width FROM w""")
 def vector_widths(spark, sf_dir):
-    def valid(text):
-        try:
-            return parse_dimensions(text) > 0
-        except ValueError:
-            return False
-
-    keys = sorted(r[0] for r in table(spark, sf_dir, "nation").select("n_nationkey").collect())
-    return spark.createDataFrame([(n, valid(f"{n * 300}" + ("px" if n % 5 == 1 else ""))) for n in keys], "n int, valid boolean")
+    """Widths as people write them, a row for each part."""
+    k = F.col("p_partkey").cast("string")
+    shape = F.col("p_partkey") % 6
+    text = F.when(shape == 0, k).when(shape == 1, F.concat(F.lit("000"), k)).when(shape == 2, F.concat(k, F.lit("00"))).when(shape == 3, F.concat(k, F.lit("x"))).when(shape == 4, F.concat(F.lit("-"), k)).otherwise(F.concat(k, F.lit(" ")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), text.alias("text")).select("k", "text", dimensions(F.col("text")).alias("width"))
 
 
 @query("SELECT page_id, 'a' || page_id || ' c b' || page_id AS names FROM pages")

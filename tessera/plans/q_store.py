@@ -10,10 +10,10 @@ from tessera.model import MEMORY, MEMORY_EDGE
 from tessera.operators import reports
 from tessera.operators.memory import add_edges
 from tessera.operators.sqlguard import read_only_sql
-from tessera.plans.catalogue import query, sql_values, values
+from tessera.plans.catalogue import query
 from tessera.plans.store import Store, merge_journal, upsert
 from tessera.session import shared_dir, table
-from tessera.sources.files import changed_files, classify, ignore_patterns, ignored, stamps, vanished
+from tessera.sources.files import changed_files, stamps, vanished
 from tessera.streaming.journal import bad_lines, merge_stream, read_journal_stream, waiting_edges
 
 
@@ -90,27 +90,18 @@ def journal_late_nodes(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-NEW_EDGES = [("d1", "d2", "RESOLVES"), ("d1", "d2", "RESOLVES"), ("d1", "zz", "RESOLVES"), ("d1", "d3", "LIKES"), ("yy", "d3", "CONSTRAINS")]
-
-
-@query("SELECT * FROM (VALUES ('d1', 'd2', 'RESOLVES', NULL), ('d1', 'zz', 'RESOLVES', 'no node zz'), ('d1', 'd3', 'LIKES', 'unknown type LIKES'), ('yy', 'd3', 'CONSTRAINS', 'no node yy')) t(src, dst, type, reason)")
+@query("""WITH n AS (SELECT 'c' || o_custkey AS src, 'c' || (o_orderkey % 200) AS dst, CASE WHEN o_orderkey % 7 = 0 THEN 'LIKES' ELSE 'RESOLVES' END AS type FROM orders), ids AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0),
+told AS (SELECT *, CASE WHEN type = 'LIKES' THEN 'unknown type LIKES' WHEN src NOT IN (SELECT id FROM ids) THEN 'no node ' || src WHEN dst NOT IN (SELECT id FROM ids) THEN 'no node ' || dst END AS reason FROM n)
+SELECT DISTINCT src, dst, type, NULL AS reason FROM told WHERE reason IS NULL UNION ALL SELECT * FROM told WHERE reason IS NOT NULL""")
 def edge_checks(spark, sf_dir):
-    new = values(spark, NEW_EDGES, "src string, dst string, type string").select("src", "dst", "type", F.lit(1.0).alias("weight"), F.lit(0).cast("long").alias("created_at"), F.lit(None).cast("string").alias("evidence_ref"))
-    ids = values(spark, [("d1",), ("d2",), ("d3",)], "id string")
+    """Edges from orders, between customers of whom a third are no nodes."""
+    o = table(spark, sf_dir, "orders")
+    new = o.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("c"), (F.col("o_orderkey") % 200).cast("string")).alias("dst"), F.when(F.col("o_orderkey") % 7 == 0, "LIKES").otherwise("RESOLVES").alias("type"), F.lit(1.0).alias("weight"), F.lit(0).cast("long").alias("created_at"), F.lit(None).cast("string").alias("evidence_ref"))
+    ids = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
     ok, bad = add_edges(spark.createDataFrame([], MEMORY_EDGE), new, ids)
     return ok.select("src", "dst", "type", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("src", "dst", "type", "reason"))
 
 
-PATHS = [(p, n) for p, n in (("src/a.ts", 5), ("node_modules/x.js", 5), (".github/ci.yml", 5), (".idea/w.xml", 5), ("logs/x.txt", 5), ("keep/x.txt", 5), ("doc/a.svg", 5), ("img/a.PNG", 5), (".npmrc", 5), ("a/Cargo.lock", 5), ("big.txt", 30_000_000), ("b/y.tmp", 5), ("b/keep.tmp", 5))]
-IGNORE = "# rules\nlogs/\n*.tmp\n!keep.tmp\n/rooted.txt\n"
-
-
-@query("SELECT * FROM (VALUES ('src/a.ts', NULL), ('node_modules/x.js', 'skipped folder'), ('.github/ci.yml', NULL), ('.idea/w.xml', 'skipped folder'), ('logs/x.txt', 'ignored'), ('keep/x.txt', NULL), ('doc/a.svg', 'only when named'), ('img/a.PNG', 'binary'), ('.npmrc', 'secret or lock'), ('a/Cargo.lock', 'secret or lock'), ('big.txt', 'too large'), ('b/y.tmp', 'ignored'), ('b/keep.tmp', NULL)) t(path, reason)")
-def walk_reasons(spark, sf_dir):
-    rows = values(spark, PATHS, "path string, size long").withColumn("content", F.lit("text").cast("binary"))
-    return classify(ignored(rows, ignore_patterns(IGNORE)), []).select("path", "reason")
-
-
 @query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 LIMIT 100")
 def guarded_sql(spark, sf_dir):
     return read_only_sql(spark, "SELECT o_orderpriority, count(*) AS n FROM orders_view GROUP BY 1 ORDER BY 1;", orders_view=table(spark, sf_dir, "orders"))
@@ -145,22 +136,33 @@ def viewer_nodes(spark, sf_dir):
     return reports.viewer_nodes(rows, edges, 100).select("id", "tier", "degree", "omitted")
 
 
-SAMPLES = ["src/a/b.ts", "tests/x.ts", "a/b.test.js", "pkg/test_a.py", "x_test.go", "XTests.cs", "a.ts", "src\\w\\z.ts", "a//b/./c/../d/"]
+#: Shapes of paths and routes; # stands for a part's key.
+SHAPES = ["src/a/b#.ts", "tests/x#.ts", "a/b#.test.js", "pkg/test_#.py", "x#_test.go", "X#Tests.cs", "a#.ts", "src\\w#\\z.ts", "a//b/./c#/../d/"]
+ROUTES = ["/a#/:id/", "/b/{x#}/c", "/d/<int:k#>", "/e#/${v}", "/", "/API/Users#/"]
 
 
-@query("WITH " + sql_values("s", "path", [(p,) for p in SAMPLES]) + r""" SELECT path, regexp_matches(lower(replace(path, '\', '/')), '(^|/)(tests?|__tests__|spec|specs)/|\.(test|spec)\.[a-z0-9]+$|(^|/)test_[^/]+\.py$|_test\.(go|py|rb|exs?)$|tests?\.cs$') AS is_test,
-CASE WHEN path LIKE '%/%' THEN array_to_string(list_slice(string_split(path, '/'), 1, least(2, len(string_split(path, '/')) - 1)), '/') ELSE '(root)' END AS module, CASE path WHEN 'src\w\z.ts' THEN 'src/w/z.ts' WHEN 'a//b/./c/../d/' THEN 'a/b/d' ELSE path END AS canonical FROM s""")
-def path_functions(spark, sf_dir):
-    c = F.col("path")
-    return values(spark, [(p,) for p in SAMPLES], "path string").select("path", is_test_path(c).alias("is_test"), module_of(c).alias("module"), canonical_path(c).alias("canonical"))
+def _shaped(spark, sf_dir, shapes):
+    """A row for each part, in turn of one of the shapes."""
+    given = F.element_at(F.array(*map(F.lit, shapes)), (F.col("p_partkey") % len(shapes) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.replace(given, F.lit("#"), F.col("p_partkey").cast("string")).alias("path"))
+
 
+def _shaped_sql(shapes, *more):
+    """The same, with further columns of one value for each shape."""
+    pick = lambda values: "CASE " + " ".join(f"WHEN p_partkey % {len(shapes)} = {i} THEN replace('{v}', '#', p_partkey::VARCHAR)" for i, v in enumerate(values)) + " END"
+    return f"s AS (SELECT p_partkey AS k, {pick(shapes)} AS path" + "".join(f", {pick(values)} AS {name}" for name, values in more) + " FROM part)"
 
-ROUTES = ["/a/:id/", "/b/{x}/c", "/d/<int:k>", "/e/${v}", "/", "/API/Users/"]
+
+@query("WITH " + _shaped_sql(SHAPES, ("canonical", [*SHAPES[:7], "src/w#/z.ts", "a/b/d"])) + r""" SELECT k, path, regexp_matches(lower(replace(path, '\', '/')), '(^|/)(tests?|__tests__|spec|specs)/|\.(test|spec)\.[a-z0-9]+$|(^|/)test_[^/]+\.py$|_test\.(go|py|rb|exs?)$|tests?\.cs$') AS is_test,
+CASE WHEN path LIKE '%/%' THEN array_to_string(list_slice(string_split(path, '/'), 1, least(2, len(string_split(path, '/')) - 1)), '/') ELSE '(root)' END AS module, canonical FROM s""")
+def path_functions(spark, sf_dir):
+    c = F.col("path")
+    return _shaped(spark, sf_dir, SHAPES).select("k", "path", is_test_path(c).alias("is_test"), module_of(c).alias("module"), canonical_path(c).alias("canonical"))
 
 
-@query("SELECT * FROM (VALUES ('/a/:id/', '/a/*'), ('/b/{x}/c', '/b/*/c'), ('/d/<int:k>', '/d/*'), ('/e/${v}', '/e/*'), ('/', '/'), ('/API/Users/', '/api/users')) t(path, normal)")
+@query("WITH " + _shaped_sql(ROUTES, ("normal", ["/a#/*", "/b/*/c", "/d/*", "/e#/*", "/", "/api/users#"])) + " SELECT k, path, normal FROM s")
 def route_normal_forms(spark, sf_dir):
-    return values(spark, [(r,) for r in ROUTES], "path string").select("path", normalise_path(F.col("path")).alias("normal"))
+    return _shaped(spark, sf_dir, ROUTES).select("k", "path", normalise_path(F.col("path")).alias("normal"))
 
 
 @query("SELECT count(*) AS rows, 2 AS write_seq, true AS same FROM documents")

@@ -6,7 +6,7 @@ from tessera.functions.embed import hash_embedding
 from tessera.functions.scores import jaccard
 from tessera.functions.text import content_hash, fold, looks_redacted, node_id, redact, redaction_counts, snippet, split_identifier, tokenize
 from tessera.operators import index, retrieval, stored
-from tessera.plans.catalogue import QUESTIONS, QUESTIONS_SQL, query, sql_values, terms_sql, values
+from tessera.plans.catalogue import QUESTIONS, QUESTIONS_SQL, query, terms_sql, values
 from tessera.result import report
 from tessera.session import table
 from tessera.sources.extract import character_chunks, chunks_of
@@ -315,13 +315,14 @@ def eval_recall_wilson(spark, sf_dir):
     return retrieval.evaluate(answers, asked, 5)
 
 
-PAIRS = [("a b c", "b c d"), ("", "a"), ("x y", "x y")]
-
-
-@query("WITH " + sql_values("p", "a, b", PAIRS) + """ SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0.0 ELSE round(len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))), 6) END AS jaccard FROM p""")
+@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')) AS w FROM documents)
+SELECT x.doc_id AS a, y.doc_id AS b, CASE WHEN len(x.w) = 0 OR len(y.w) = 0 THEN 0.0 ELSE round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) END AS jaccard FROM w x JOIN w y ON y.doc_id = x.doc_id + 1""")
 def jaccard_values(spark, sf_dir):
-    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    return values(spark, PAIRS, "a string, b string").select("a", "b", F.round(jaccard(words("a"), words("b")), 6).alias("jaccard"))
+    """Each document beside the next."""
+    words = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != ""))
+    w = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    pairs = w.select(F.col("doc_id").alias("a"), F.col("w").alias("s")).join(w.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("w").alias("t")), "a")
+    return pairs.select("a", "b", F.round(jaccard(F.col("s"), F.col("t")), 6).alias("jaccard"))
 
 
 @query(rf"""WITH {BM25_SQL}, h AS (SELECT query_id, node_id FROM ranked WHERE rank <= 3), f AS (SELECT query_id, node_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM h JOIN documents ON doc_id = node_id),

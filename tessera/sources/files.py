@@ -186,11 +186,13 @@ def parse_diff(rows: DataFrame) -> DataFrame:
     return named.where(t.rlike(pattern)).select("file", "status", number(1).cast("int").alias("old_start"), count(2).cast("int").alias("old_lines"), number(3).cast("int").alias("new_start"), count(4).cast("int").alias("new_lines"))
 
 
-def read_diff(spark: SparkSession, path: str) -> DataFrame:
-    """Hunks of diff files; no file is an empty frame."""
+def read_diff(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """Hunks of diff files; no file is an empty frame. With a ``separator`` a file holds many diffs, each a record of its own, however large the file."""
     if "://" not in path and not os.path.exists(path):
         return spark.createDataFrame([], HUNK)
-    raw = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("diff_id"), F.posexplode(F.split("value", "\r?\n")))
+    reader = spark.read.option("lineSep", separator) if separator else spark.read.option("wholetext", "true")
+    number = F.monotonically_increasing_id().cast("string") if separator else F.input_file_name()
+    raw = reader.text(path).select(number.alias("diff_id"), "value").select("diff_id", F.posexplode(F.split("value", "\r?\n")))
     return parse_diff(raw.select("diff_id", F.col("pos").alias("line"), F.col("col").alias("text")))
 
 
