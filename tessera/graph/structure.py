@@ -8,69 +8,56 @@ from pyspark.sql import functions as F
 from tessera.session import discard, keep
 
 
-def _reach_min(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, low: the smallest node that reaches each node, itself included.
+def _reach_least(edges: DataFrame, nodes: DataFrame, salt: int) -> DataFrame:
+    """node, low: of the nodes that reach each node, itself included, the one of the least hash, as a struct of hash and node.
 
     Each round takes the least of a node's own, its predecessors', and that of the node its own is named by: whoever reaches that one
-    reaches this one too, so that along a chain the distance covered doubles. It ends when nothing moves.
+    reaches this one too. As the order is random, the stretch of a way that a node has seen grows by a factor each round, whichever way ids run along it. It ends
+    when nothing moves.
     """
-    low = keep(nodes.select("node", F.col("node").alias("low")), "low")
+    low = keep(nodes.select("node", F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), F.col("node").alias("n")).alias("low")), "low")
     while True:
         pushed = edges.join(low, edges["src"] == low["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("low").alias("new"))
-        jumped = low.select("node", F.col("low").alias("at")).join(low.select(F.col("node").alias("at"), F.col("low").alias("far")), "at").select("node", "far")
+        jumped = low.select("node", F.col("low.n").alias("at")).join(low.select(F.col("node").alias("at"), F.col("low").alias("far")), "at").select("node", "far")
         both = low.join(pushed, "node", "left").join(jumped, "node", "left")
         least = F.least("low", F.coalesce("new", "low"), F.coalesce("far", "low"))
         new = keep(both.select("node", least.alias("low"), (least < F.col("low")).alias("moved")), "low")
         discard(low)
-        low, done = new, new.where("moved").isEmpty()
+        low, done = new.drop("moved"), new.where("moved").isEmpty()
+        low._kept_at = new._kept_at
         if done:
             return low
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """node, component of nodes on a cycle: trimming, then forward and backward colours until none is left.
+    """node, component of nodes on a cycle; a component is named by its smallest node.
 
-    Every loop runs until nothing changes. Nodes without an edge in or out of the rest can't be on a cycle and are trimmed. A node is in the component of its
-    colour if the colour reaches it and it reaches the colour's root inside the colour.
+    Every node learns which node of the least hash reaches it, and which it reaches. If they are one, the node is in that one's component and done. Else it
+    can share a component only with nodes that learned the same two, so all other edges go, and the rest is asked again in another random order. Each round splits
+    what is left, ways as well as cycles, in stretches of a part of their length: rounds, and steps in a round, grow with the logarithm of the longest way, and nothing is
+    trimmed node by node.
     """
-    rest = keep(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "rest")
-    loops = rest.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    rest = keep(rest.where("src <> dst"), "rest")
-    found = []
-    while True:
-        before = -1
-        while True:
-            inner = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            old, rest = rest, keep(inner, "rest")
-            discard(old)
-            n = rest.count()
-            if n in (0, before):
-                break
-            before = n
-        if not before or rest.isEmpty():
-            break
+    every = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    loops = every.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    rest, found, salt = keep(every.where("src <> dst"), "rest"), [], 0
+    while not rest.isEmpty():
         nodes = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
-        colour = _reach_min(rest, nodes)
-        a, b = colour.select(F.col("node").alias("src"), F.col("low").alias("c")), colour.select(F.col("node").alias("dst"), F.col("low").alias("d"))
-        inside = keep(rest.join(a, "src").join(b, "dst").where("c = d").select("src", "dst", "c"), "inside")
-        back = keep(colour.where("node = low").select("node", F.col("low").alias("c")), "back")
-        frontier = back
-        while True:
-            up = inside.join(frontier, (inside["dst"] == frontier["node"]) & (inside["c"] == frontier["c"])).select(F.col("src").alias("node"), inside["c"].alias("c")).distinct()
-            frontier = keep(up.join(back, ["node", "c"], "left_anti"), "back")
-            if frontier.isEmpty():
-                break
-            before, back = back, keep(back.unionByName(frontier), "back")
-            discard(before)
-        part = back.select("node", F.col("c").alias("component"))
-        found.append(part)
-        gone = part.select("node")
-        rest = keep(rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "rest")
-    out = loops
-    for part in found:
-        sized = part.join(part.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("node", "component")
-        out = sized.unionByName(out.join(sized.select("node"), "node", "left_anti"))
-    return out
+        ahead, back = _reach_least(rest, nodes, salt), _reach_least(rest.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes, salt)
+        both = keep(ahead.select("node", F.col("low.n").alias("f")).join(back.select("node", F.col("low.n").alias("b")), "node"), "both")
+        found.append(both.where("f = b").select("node", F.col("f").alias("root")))
+        open_ = both.where("f <> b")
+        x, y = open_.select(F.col("node").alias("src"), F.col("f").alias("xf"), F.col("b").alias("xb")), open_.select(F.col("node").alias("dst"), F.col("f").alias("yf"), F.col("b").alias("yb"))
+        old, rest = rest, keep(rest.join(x, "src").join(y, "dst").where("xf = yf AND xb = yb").select("src", "dst"), "rest")
+        discard(old, ahead, back)
+        salt += 1
+    if not found:
+        return loops
+    members = found[0]
+    for part in found[1:]:
+        members = members.unionByName(part)
+    named = members.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+    sized = members.join(named, "root").select("node", "component")
+    return sized.unionByName(loops.join(sized.select("node"), "node", "left_anti"))
 
 
 def communities(edges: DataFrame, rounds: int = 6, sweeps: int = 2) -> DataFrame:
