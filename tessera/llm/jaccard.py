@@ -22,6 +22,7 @@ _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _BYTE = np.random.default_rng(20_231).integers(0, 1 << 64, 256, dtype=np.uint64)
 _POWER = np.cumprod(np.full(256, 0xD1342543DE82EF95, dtype=np.uint64))
 HEAVY_BITS = 20
+GROUP_BYTES = 256 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -342,18 +343,34 @@ def _exact_guests(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInPandas(run, "src long, dst long")
 
 
+def _once(rows: DataFrame, keys: list[str], *facts, where: str = "size > 1") -> DataFrame:
+    """One group of ``keys`` (size and facts with it) of all those that hold the same rows, by a 128-bit name of the set of their vids; groups of one row fall away.
+
+    Copies with small changes share most of their prefixes, and each shared shingle is a group of the same rows: one of them finds all there is.
+    """
+    mark = lambda salt: F.bit_xor(F.xxhash64("vid", F.lit(salt))).alias(f"set{salt}")
+    named = rows.groupBy(*keys).agg(F.count("*").alias("size"), mark(1), mark(2), *facts).where(where)
+    return named.groupBy("set1", "set2", "size", *keys[1:]).agg(F.min(keys[0]).alias(keys[0])).drop("set1", "set2")
+
+
 def _banded(rows: DataFrame, group: str, percent: int) -> DataFrame:
-    """Rows (group, vid, n) dealt to size bands: group, band, vid, size of the cell.
+    """Rows (group, vid, n) dealt to size bands: group, band, vid, size of the cell; of cells with the same rows one stays.
 
     Sizes that can link are in the same band or neighbouring ones: a row is at home in its band and a guest in the next.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / _bands(percent)).cast("int")
     placed = rows.select(F.col(group).alias("group"), "vid", F.explode(F.array(band, band + 1)).alias("band"), band.alias("own"))
-    cells = placed.groupBy("group", "band").agg(F.count("*").alias("size"), F.max(F.col("own") == F.col("band")).alias("homes")).where("homes AND size > 1")
-    return placed.drop("own").join(cells.drop("homes"), ["group", "band"])
+    cells = _once(placed, ["group", "band"], F.max(F.col("own") == F.col("band")).alias("homes"), where="homes AND size > 1")
+    return placed.drop("own").join(cells, ["group", "band"])
+
+
+def _fits(chunk: int, percent: int):
+    """How many rows of a band one task compares at once: ``chunk``, or fewer where sets are so large that they would fill GROUP_BYTES (16 bytes a shingle)."""
+    most = F.exp(F.lit(_bands(percent)) * (F.col("band") + 1))
+    return F.least(F.lit(chunk), F.greatest(F.lit(2), F.floor(F.lit(GROUP_BYTES / 16) / most))).cast("int")
 
 
-def _beside_leaders(rows: DataFrame, what: DataFrame, wanted: int, chunk: int, turn: int) -> DataFrame:
+def _beside_leaders(rows: DataFrame, what: DataFrame, wanted: int, chunk, turn: int) -> DataFrame:
     """Rows of populous cells dealt by hash to chunks, each chunk led by about ``wanted`` rows of its cell; joined to ``what`` (vid and more)."""
     chunks = F.ceil(F.col("size") / chunk).cast("int")
     pick = F.xxhash64("vid", F.lit(turn))
@@ -374,7 +391,7 @@ def _together(cells: DataFrame, what: DataFrame) -> DataFrame:
     return cells.select("group", "band", "vid").join(what, "vid").repartition("group", "band").sortWithinPartitions("group", "band", "vid")
 
 
-def _rounds(cells: DataFrame, chunk: int, leaders: int, whole, led) -> list[DataFrame]:
+def _rounds(cells: DataFrame, chunk, leaders: int, whole, led) -> list[DataFrame]:
     """Kept edges of all cells: ``whole`` compares the rows of a small cell; of a populous one ``led`` compares them with a few leaders, and
     gives edges and the rows (group, band, vid) that no leader settles, which go on. Each round has four times the leaders."""
     out, now, turn = [], cells, 0
@@ -412,14 +429,16 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: in
 
     1. Rows with the same set are one class.
     2. A class emits its prefix, the rarest of its shingles in an order that puts frequent ones last. Two sets that
-       link share a shingle of both prefixes, so tiles of one shingle hold every link.
+       link share a shingle of both prefixes, so tiles of one shingle hold every link. Of tiles with the same classes one stays, so that
+       signatures travel once for each different set of classes.
     3. A tile is split into size bands. In a cell of at most ``chunk`` rows, bitmap signatures bound overlaps from
        above, and a forest that connects what may link goes on, of fewer edges than rows. In a larger cell, rows are compared with
        some leaders only: differing bits are a metric, so rows near a leader need no comparison with each other.
     4. The components of these edges are families; all links lie within one. Families are split into bands again, and their sets
        intersected as sorted arrays where wider bitmaps still allow a link; a forest of the true links goes on. In large cells
        leaders serve again, now by the Jaccard distance; rows that lie near a leader but in another component are compared
-       with the leader's rows. Work is rows times leaders, not rows squared.
+       with the leader's rows. Work is rows times leaders where leaders settle rows, as they do among copies; in a populous cell
+       of rows that share a rare shingle and little else each round asks four times the leaders, up to all rows of the cell, in chunks.
     5. The components of those are the result.
 
     Where a doc_id has several texts, two components can have the same smallest doc_id; ``group`` tells them apart, and is
@@ -438,17 +457,16 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: in
     discard(described)
 
     posted = classes.select("vid", "n", F.explode("prefix").alias("tile"))
-    often = posted.groupBy("tile").agg(F.count("*").alias("size")).where("size > 1")
-    shared = keep(posted.join(often.select("tile"), "tile"), "shared")
+    shared = keep(posted.join(_once(posted, ["tile"]).select("tile"), "tile"), "shared")
     tiles = keep(_banded(shared, "tile", percent), "tiles")
     discard(shared)
     signed = classes.select("vid", "n", "bits")
 
     def weak_led(large: DataFrame, wanted: int, turn: int) -> tuple[list[DataFrame], DataFrame]:
-        told = keep(_weak_leaders(_beside_leaders(large, signed, wanted, chunk, turn), percent), "weak")
+        told = keep(_weak_leaders(_beside_leaders(large, signed, wanted, _fits(chunk, percent), turn), percent), "weak")
         return [told.where("dst IS NOT NULL").select("src", "dst")], told.where("dst IS NULL").select("group", "band", F.col("src").alias("vid"))
 
-    weak = reduce(DataFrame.unionByName, _rounds(tiles, chunk, leaders, lambda cells: _weak_edges(_together(cells, signed), percent), weak_led))
+    weak = reduce(DataFrame.unionByName, _rounds(tiles, _fits(chunk, percent), leaders, lambda cells: _weak_edges(_together(cells, signed), percent), weak_led))
     discard(tiles)
 
     families = keep(connected_components(weak).select(F.col("node").alias("vid"), F.col("component").alias("family")), "families")
@@ -462,12 +480,12 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, percent: int = 85, chunk: in
     sets = keep(texts.mapInPandas(make, "vid long, items binary"), "items")
 
     def exact_led(large: DataFrame, wanted: int, turn: int) -> tuple[list[DataFrame], DataFrame]:
-        told = keep(_exact_leaders(_beside_leaders(large, sets, wanted, chunk // 2, turn), percent), "told")
+        told = keep(_exact_leaders(_beside_leaders(large, sets, wanted, _fits(chunk // 2, percent), turn), percent), "told")
         found = told.where("what = 'link'").select("src", "dst")
         return [found, keep(_guest_links(told, found, sets, percent, chunk // 2), "guests")], told.where("what = 'none'").select("group", "band", F.col("src").alias("vid"))
 
     cells = keep(_banded(families.join(classes.select("vid", "n"), "vid"), "family", percent), "cells")
-    links = reduce(DataFrame.unionByName, _rounds(cells, chunk // 2, leaders, lambda c: _exact_links(_together(c, sets), percent), exact_led))
+    links = reduce(DataFrame.unionByName, _rounds(cells, _fits(chunk // 2, percent), leaders, lambda c: _exact_links(_together(c, sets), percent), exact_led))
     discard(cells, families, sets)
 
     final = connected_components(links)
