@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.graph.components import connected_components
 from tessera.session import discard, keep
 
 
@@ -60,38 +61,79 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return sized.unionByName(loops.join(sized.select("node"), "node", "left_anti"))
 
 
-def communities(edges: DataFrame, rounds: int = 6, sweeps: int = 2) -> DataFrame:
-    """node, community: weighted modularity moves in the manner of Louvain, on all nodes at once.
+def _offers(graph: DataFrame, label: DataFrame, total: float, least: float) -> DataFrame:
+    """node, own, degree, inside (weight to its own community), target: the community where a node gains most modularity, null where it gains none."""
+    volume = label.groupBy("community").agg(F.sum("degree").alias("volume"))
+    links = graph.where("src <> dst").join(label.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("to"))
+    mine = label.select("node", F.col("community").alias("own"), "degree")
+    here = F.col("community") == F.col("own")
+    gain = F.round(F.col("to") - F.col("degree") * (F.col("volume") - F.when(here, F.col("degree")).otherwise(0.0)) / total, 9)
+    best = links.join(mine, "node").join(volume, "community").groupBy("node").agg(F.min(F.struct((-gain).alias("loss"), "community")).alias("best"), F.max(F.when(here, gain)).alias("stay"), F.sum(F.when(here, F.col("to"))).alias("inside"))
+    # alone, a node gains nothing by staying
+    stay = mine.join(volume.withColumnRenamed("community", "own"), "own").join(best, "node", "left").withColumn("stay", F.coalesce("stay", F.round(-F.col("degree") * (F.col("volume") - F.col("degree")) / total, 9)))
+    more = -F.col("best.loss") - F.col("stay")
+    return stay.select("node", "own", "degree", F.coalesce("inside", F.lit(0.0)).alias("inside"), F.when(more > least, F.col("best.community")).alias("target"), more.alias("gain"))
 
-    In each round every node weighs the communities of its neighbours by the modularity gained by moving there; only
-    nodes of one hashed half move, in turn, so that neighbours don't swap for ever. After ``rounds`` the communities
-    become nodes and a second sweep runs. Deterministic: ties go to the smaller community, which in the end is named by its smallest node.
+
+def _settled(graph: DataFrame, label: DataFrame, total: float) -> DataFrame:
+    """``label`` after moves until no node gains by moving.
+
+    Offers of one hashed half are taken at once, then those of the other. As moves that meet in a community can spoil each other, modularity is measured after each
+    round; where it did not rise, the round is undone, and of the offers only those are taken that are the best of both communities they touch:
+    these add up exactly. So modularity rises with every round that stays, and there is no limit of rounds.
+    """
+    least, last, before, turn, exact = 1e-9 * total, None, None, 0, False
+    while True:
+        told = keep(_offers(graph, label, total, least), "offers")
+        per = told.groupBy("own").agg(F.sum("degree").alias("v"), F.sum("inside").alias("i"), F.count("target").alias("n"))
+        at = per.agg(F.coalesce(F.sum("i"), F.lit(0.0)).alias("i"), F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0)).alias("vv"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+        now = at.i - at.vv / total
+        if before is not None and not exact and now <= before + least:
+            discard(told, label)
+            told, exact = last, True
+        else:
+            discard(*([last, label] if last is not None else []))
+            last, before, exact = told, now, False
+            if not at.n:
+                return told.select("node", F.col("own").alias("community"))
+        open_ = F.col("target").isNotNull()
+        if exact:
+            rank = F.struct("gain", F.xxhash64("node", F.lit(turn)).alias("h"), "node")
+            asked = told.where(open_).withColumn("rank", rank)
+            first = asked.select(F.explode(F.array("own", "target")).alias("c"), "rank").groupBy("c").agg(F.max("rank").alias("top"))
+            won = asked.join(first.select(F.col("c").alias("own"), F.col("top").alias("t1")), "own").join(first.select(F.col("c").alias("target"), F.col("top").alias("t2")), "target").where("rank = t1 AND rank = t2")
+            moved = told.join(won.select("node", F.lit(True).alias("go")), "node", "left")
+        else:
+            moved = told.withColumn("go", open_ & (F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2))
+        label = keep(moved.select("node", F.when(F.col("go"), F.col("target")).otherwise(F.col("own")).alias("community"), "degree"), "label")
+        turn += 1
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """node, community: weighted modularity moves in the manner of Louvain, on all nodes at once, until nothing gains.
+
+    At each level nodes move while modularity rises (by at least a billionth of all weight). Communities that have come apart are
+    split into their connected parts, which raises modularity too, and the parts are the nodes of the next level; the last level is the one where no node moves.
+    Every community is connected. Deterministic: ties go to the smaller community, which in the end is named by its smallest node. Null ends and
+    loops are ignored; repeated edges add their weights.
     """
-    base = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (F.col("weight") if "weight" in edges.columns else F.lit(1.0)).alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    base = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (F.col("weight") if "weight" in edges.columns else F.lit(1.0)).cast("double").alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
     graph = keep(base.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(base.select("b", "a", "w")), "louvain")
     total = graph.agg(F.sum("w").alias("t")).first().t or 1.0
     members = keep(graph.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct(), "members")
-    for _ in range(sweeps):
-        degree = keep(graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("degree")), "degree")
-        label = keep(degree.select("node", F.col("node").alias("community"), "degree"), "label")
-        for r in range(rounds):
-            volume = label.groupBy("community").agg(F.sum("degree").alias("volume"))
-            links = graph.where("src <> dst").join(label.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("to"))
-            mine = label.select("node", F.col("community").alias("own"), "degree")
-            scored = links.join(mine, "node").join(volume, "community")
-            gain = F.round(F.col("to") - F.col("degree") * (F.col("volume") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(0.0)) / total, 9)
-            best = scored.groupBy("node").agg(F.min(F.struct((-gain).alias("loss"), "community")).alias("b"), F.max(F.when(F.col("community") == F.col("own"), gain)).alias("stay"))
-            # alone, a node gains nothing by staying
-            moved = label.join(best, "node", "left").withColumn("go", (-F.col("b.loss") > F.greatest(F.coalesce("stay", F.lit(0.0)), F.lit(0.0)) + 1e-9) & (F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2))
-            label = keep(moved.select("node", F.when(F.col("go"), F.col("b.community")).otherwise(F.col("community")).alias("community"), "degree", F.coalesce("go", F.lit(False)).alias("go")), "label")
-            quiet = label.where("go").isEmpty()
-            label = label.drop("go")
-            if quiet and r % 2:
-                break
-        step = label.select(F.col("node").alias("community"), F.col("community").alias("next"))
-        members = keep(members.join(step, "community", "left").select("node", F.coalesce("next", "community").alias("community")), "members")
-        a, b = label.select(F.col("node").alias("src"), F.col("community").alias("ca")), label.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
-        graph = keep(graph.join(a, "src").join(b, "dst").groupBy(F.col("ca").alias("src"), F.col("cb").alias("dst")).agg(F.sum("w").alias("w")), "louvain")
+    while True:
+        degree = graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("degree"))
+        found = _settled(graph, keep(degree.select("node", F.col("node").alias("community"), "degree"), "label"), total)
+        a, b = found.select(F.col("node").alias("src"), F.col("community").alias("ca")), found.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
+        inside = keep(graph.where("src <> dst").join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst"), "inside")
+        if inside.isEmpty():
+            break
+        part = keep(connected_components(inside), "part")
+        label = keep(found.select("node").join(part, "node", "left").select("node", F.coalesce("component", "node").alias("next")), "label")
+        old, members = members, keep(members.join(label.select(F.col("node").alias("community"), "next"), "community").select("node", F.col("next").alias("community")), "members")
+        a, b = label.select(F.col("node").alias("src"), F.col("next").alias("ca")), label.select(F.col("node").alias("dst"), F.col("next").alias("cb"))
+        above, graph = graph, keep(graph.join(a, "src").join(b, "dst").groupBy(F.col("ca").alias("src"), F.col("cb").alias("dst")).agg(F.sum("w").alias("w")), "louvain")
+        discard(old, above, inside, part, label)
     least = members.groupBy("community").agg(F.min("node").alias("least"))
     return members.join(least, "community").select("node", F.col("least").alias("community"))
 

@@ -318,21 +318,21 @@ class Relations:
     uses: list[str] = field(default_factory=list)
 
 
-#: Languages with braces whose calls, imports and bases are read by tokens.
-BRACES = frozenset("typescript javascript java go csharp kotlin scala swift rust php dart cpp c vue".split())
+#: Languages with braces whose calls, imports and bases are read by tokens: those whose declarations are read too, without which the head of a function looks like a call.
+BRACES = frozenset("typescript javascript java go csharp kotlin rust php vue".split())
 #: How a module is named, per language; group 1 is the name.
 IMPORT_RULES = (
     ("typescript javascript vue", r"""^\s*(?:import|export)\b[^'"`;]*?\bfrom\s*['"]([^'"]+)['"]"""),
     ("typescript javascript vue", r"""^\s*import\s*['"]([^'"]+)['"]"""),
     ("typescript javascript vue", r"""\b(?:require|import)\s*\(\s*['"]([^'"]+)['"]\s*\)"""),
-    ("java kotlin scala", r"^\s*import\s+(?:static\s+)?([A-Za-z_][\w.]*[A-Za-z0-9_])\s*;?\s*$"),
+    ("java kotlin", r"^\s*import\s+(?:static\s+)?([A-Za-z_][\w.]*[A-Za-z0-9_])\s*;?\s*$"),
     ("go", r"""^\s*(?:import\s+)?(?:[A-Za-z_.]\w*\s+)?"([^"\s]+)"\s*$"""),
-    ("dart php", r"""^\s*(?:import|require|require_once|include)\s*\(?\s*['"]([^'"]+)['"]"""),
+    ("php", r"""^\s*(?:import|require|require_once|include)\s*\(?\s*['"]([^'"]+)['"]"""),
     ("c cpp", r"""^\s*#\s*include\s*"([^"]+)\""""),
     ("rust", r"^\s*(?:pub\s+)?mod\s+([a-z_]\w*)\s*;"),
 )
-CONTAINER_RULES = (("java kotlin scala", r"^\s*package\s+([A-Za-z_][\w.]*)"), ("csharp", r"^\s*namespace\s+([A-Za-z_][\w.]*)"), ("php", r"^\s*namespace\s+([A-Za-z_][\w\\]*)"), ("go", r"^package\s+([A-Za-z_]\w*)"))
-USE_RULES = (("csharp", r"^\s*(?:global\s+)?using\s+(?:static\s+)?([A-Za-z_][\w.]*)\s*;"), ("java kotlin scala", r"^\s*import\s+(?:static\s+)?([A-Za-z_][\w.]*)\.[*_]\s*;?"), ("php", r"^\s*use\s+([A-Za-z_][\w\\]*)"))
+CONTAINER_RULES = (("java kotlin", r"^\s*package\s+([A-Za-z_][\w.]*)"), ("csharp", r"^\s*namespace\s+([A-Za-z_][\w.]*)"), ("php", r"^\s*namespace\s+([A-Za-z_][\w\\]*)"), ("go", r"^package\s+([A-Za-z_]\w*)"))
+USE_RULES = (("csharp", r"^\s*(?:global\s+)?using\s+(?:static\s+)?([A-Za-z_][\w.]*)\s*;"), ("java kotlin", r"^\s*import\s+(?:static\s+)?([A-Za-z_][\w.]*)\.[*_]\s*;?"), ("php", r"^\s*use\s+([A-Za-z_][\w\\]*)"))
 _NOT_CALLS = frozenset("if for while switch catch return function func fn typeof sizeof nameof await yield else do try with when foreach using lock fixed defer go select throw throws super import require new delete in is as of and or not constructor".split())
 _CALL = re.compile(r"(?:\b(new)\s+)?(?:\b([A-Za-z_$][\w$]*)\s*(?:\?\.|\.|::|->)\s*)?([A-Za-z_$][\w$]*)\s*(?:<[\w\s,.\[\]?]*>)?\(")
 _TYPED = re.compile(r"\b(?:(?:const|let|var|val|final)\s+)?([A-Za-z_$][\w$]*)\s*(?::\s*([A-Z][\w]*)|(?::=|=)\s*(?:new\s+|&)?([A-Z]\w*)\s*[({])")
