@@ -238,3 +238,20 @@ def test_pages_far_from_a_group_are_not_copied():
     join = hardneg.Join(t.tobytes(), both[60:61].tobytes(), 8, 5, space, pivots, (np.arange(100), np.zeros(100, np.int64), both))
     reach = [hardneg.distances(space.point(part), pivots[k : k + 1])[:, 0] for k, part in enumerate((both[:50], both[50:]))]
     assert join.able(0, reach[0].min(), reach[0].max())[0] < 0 <= join.able(1, reach[1].min(), reach[1].max())[0]
+
+
+def test_additive_misses_nothing_far_from_the_origin_or_beside_far_off_rows(spark):
+    """Rows far from the origin, of very different lengths, or beside a few that are a million times longer: the ten nearest are found all the same."""
+    import numpy as np
+    from tessera.llm import additive
+
+    rng = np.random.default_rng(3)
+    g = rng.normal(size=(1500, 16))
+    shapes = [1000 + g, g * np.exp(2 * rng.normal(size=(1500, 1))), np.where(np.arange(1500)[:, None] % 300 == 1, 1e6 * g, g)]
+    for x in shapes:
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = additive.nearest_neighbours(df, F.col("vec_id") % 100 == 0, page_rows=200, sample_rows=500, rerank=20).collect()
+        for q in range(0, 1500, 100):
+            d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+            want = [i for i in np.lexsort((np.arange(1500), d)) if i != q][:10]
+            assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
