@@ -33,13 +33,17 @@ class Provider(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
-def hash_embedding(docs: DataFrame, dims: int = 384, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def hash_embedding(docs: DataFrame, dims: int = 384, id_col: str = "id", text_col: str = "text", kind: str = "float", cancelled: float = 0.0) -> DataFrame:
     """id, embedding: each term adds 1 + ln(count), signed, to two buckets that its SHA-1 picks; then the vector is normalised.
+    Its components are of ``kind``, float or double. Where all that is added cancels out, no direction is left and the buckets met are ``cancelled``
+    (Arrow gives NaN as null).
 
     Terms are counted and placed inside the document, so nothing is shuffled; a text without terms has no vector.
     """
 
-    @F.pandas_udf("array<float>")
+    number = np.float32 if kind == "float" else np.float64
+
+    @F.pandas_udf(f"array<{kind}>")
     def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         runs: dict[str, list[str]] = {}
         spots: dict[str, tuple[int, int]] = {}
@@ -63,7 +67,7 @@ def hash_embedding(docs: DataFrame, dims: int = 384, id_col: str = "id", text_co
                 both = np.bincount(np.array(at), w, 2 * dims)
                 v = both[:dims] - both[dims:]
                 norm = np.sqrt(v @ v)
-                out.append((v / norm if norm else v).astype(np.float32))
+                out.append((v / norm if norm else np.where(np.bincount(np.array(at) % dims, minlength=dims) > 0, cancelled, 0.0)).astype(number))
                 if len(spots) > 500_000:
                     spots.clear()
             yield pd.Series(out, dtype=object)
