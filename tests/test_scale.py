@@ -141,3 +141,40 @@ def test_alike_pairs_equal_all_pairs(spark, threshold):
     got = memory.similar_pairs(spark.createDataFrame(sets, "id long, terms array<string>"), threshold)
     want = [(i, j, round(len(set(s) & set(t)) / len(set(s) | set(t)), 6)) for i, s in sets for j, t in sets if i < j and len(set(s) & set(t)) >= threshold * len(set(s) | set(t))]
     assert sorted((r.a, r.b, r.similarity) for r in got.collect()) == want
+
+
+# --- what must not grow --------------------------------------------------------------------------
+
+
+def test_a_span_of_any_length_is_a_few_rows(spark):
+    rows = [("f", "all", 0, 10**13), ("f", "most", 5, 10**12), ("f", "short", 100, 120), ("g", "late", 10**12, 10**12 + 3)]
+    s = spark.createDataFrame(rows, "file_path string, id string, start_line long, end_line long")
+    p = spark.createDataFrame([("f", 3), ("f", 7), ("f", 110), ("f", 10**12 + 1), ("g", 10**12 + 4), ("g", 10**12 - 2)], "file_path string, line long")
+    assert {(r.line, r.handler) for r in spans.stab(p, s, 2).collect()} == {(3, "all"), (7, "most"), (110, "short"), (10**12 + 1, "all"), (10**12 - 2, "late")}
+
+
+def test_sources_that_reach_the_same_nodes_share_words(spark):
+    from tessera.graph.frontier import search_packed
+
+    edges = spark.createDataFrame([(f"s{i}", f"hub{i % 8}") for i in range(512)] + [(f"hub{k}", f"end{k}") for k in range(8)], "src string, dst string")
+    seeds = spark.createDataFrame([(f"s{i}", f"s{i}") for i in range(512)], "source string, node string")
+    found, _ = search_packed(edges, seeds, 2)
+    assert found.where("node LIKE 'hub%' OR node LIKE 'end%'").select("node", "word").distinct().count() <= 48
+
+
+def test_neighbours_beyond_a_full_answer_are_not_searched(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", f"b{i}") for i in range(9)] + [(f"b{i}", f"c{j}") for i in range(9) for j in range(9)], "src string, dst string").withColumns({"type": F.lit("T"), "weight": F.lit(0.5)})
+    kept = []
+    monkeypatch.setattr(memory, "keep", lambda df, name: kept.append(keep(df, name)) or kept[-1])
+    got = memory.neighbors(edges, spark.createDataFrame([("a", "a")], "source string, node string"), depth=4, limit=9).collect()
+    assert [r.node for r in sorted(got, key=lambda r: r["rank"])] == [f"b{i}" for i in range(9)] and all(len(r.via) == 1 and r.via[0]["from"] == "a" for r in got)
+    assert sum(k.count() for k in kept) == 10
+
+
+def test_hashed_embeddings_are_doubles_to_the_last_and_say_where_all_cancels(spark):
+    from tessera.functions.embed import hash_embedding
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id IN (8985, 9418)")
+    got = {r.id: r.embedding for r in hash_embedding(docs, 64, "doc_id", kind="double", cancelled=float("nan")).collect()}
+    assert [i for i, v in enumerate(got[8985]) if v != 0] == [38] and got[8985][38] is None
+    assert [round(got[9418][i], 4) for i in (43, 25, 15)] == [0.1404, 0.1404, -0.1404]
