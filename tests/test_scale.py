@@ -178,3 +178,24 @@ def test_hashed_embeddings_are_doubles_to_the_last_and_say_where_all_cancels(spa
     got = {r.id: r.embedding for r in hash_embedding(docs, 64, "doc_id", kind="double", cancelled=float("nan")).collect()}
     assert [i for i, v in enumerate(got[8985]) if v != 0] == [38] and got[8985][38] is None
     assert [round(got[9418][i], 4) for i in (43, 25, 15)] == [0.1404, 0.1404, -0.1404]
+
+
+def test_names_asked_alike_are_resolved_once(spark, monkeypatch):
+    seen, plain = [], code._resolved_once
+    monkeypatch.setattr(code, "_resolved_once", lambda asked, *rest: seen.append(asked.count()) or plain(asked, *rest))
+    s = spark.createDataFrame([(f"Symbol:f{i}.ts:go", "go", f"f{i}.ts") for i in range(20)], "id string, name string, file_path string")
+    none = spark.createDataFrame([], "src string, dst string")
+    asked = spark.createDataFrame([(f"q{i}", "go", None, None) for i in range(30)] + [("one", "go", None, "f3.ts"), ("no", "g", None, None)], "query_id string, name string, uid string, file string")
+    got = code.resolve_targets(asked, s, none, none).collect()
+    assert seen == [3] and len(got) == 30 * 20 + 1 + 5
+    assert {(r.status, r.id) for r in got if r.query_id == "one"} == {("ok", "Symbol:f3.ts:go")} and {r.status for r in got if r.query_id == "no"} == {"not_found"}
+    assert all(sorted(r["rank"] for r in got if r.query_id == f"q{i}") == list(range(1, 21)) for i in (0, 29))
+
+
+def test_a_question_goes_to_the_declarations_not_they_to_it(spark, sf):
+    from tessera.plans.catalogue import QUERIES, load_all
+
+    load_all()
+    plan = QUERIES["code_query"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "BroadcastHashJoin [key" in line]
+    assert joins and all("BuildRight" in line for line in joins)
