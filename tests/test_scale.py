@@ -199,3 +199,37 @@ def test_a_question_goes_to_the_declarations_not_they_to_it(spark, sf):
     plan = QUERIES["code_query"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.split("\n") if "BroadcastHashJoin [key" in line]
     assert joins and all("BuildRight" in line for line in joins)
+
+
+# --- namespaces --------------------------------------------------------------------------------
+
+
+def test_types_of_a_namespace_are_not_spelled_out_for_each_file(spark):
+    from tessera.plans.ingest import read_relations, visible_containers
+    from tessera.sources.extract import symbols_of
+
+    files = spark.createDataFrame([(f"m/c{k}.go", f"package p\ntype C{k} struct {{\n}}\nfunc run{k}(n int) int {{\n  return run{k // 2}(n)\n}}\n") for k in range(40)], "path string, text string")
+    visible, members = visible_containers(read_relations(files)["file"], symbols_of(files))
+    assert (visible.count(), members.count()) == (40, 40)
+
+
+def test_files_are_parsed_over_all_cores(spark):
+    from tessera.sources.extract import symbols_of
+
+    files = spark.createDataFrame([(f"c{k}.go", f"package p\nfunc run{k}(n int) int {{\n  return 1\n}}\n") for k in range(200)], "path string, text string").coalesce(1)
+    assert symbols_of(keep(files, "files")).rdd.getNumPartitions() > 1
+
+
+def test_a_name_seen_through_namespaces_is_the_one_seen_type_by_type(spark):
+    rng = random.Random(5)
+    symbols = sorted({(f"Symbol:f{rng.randrange(6)}.cs:T{t}.n{n}", f"n{n}", f"f{rng.randrange(6)}.cs", rng.choice(["method", "class"])) for t in range(8) for n in range(6) if rng.random() < 0.4})
+    opened = sorted({(f"f{f}.cs", f"s{rng.randrange(4)}") for f in range(6) for _ in range(2)})
+    members = sorted({(f"s{rng.randrange(4)}", f"T{t}") for t in range(8) for _ in range(2)})
+    visible = sorted({(f, t) for f, s in opened for u, t in members if u == s})
+    sites = [(str(i), f"f{rng.randrange(6)}.cs", f"n{rng.randrange(7)}", rng.choice(["call", "new"]), None, None) for i in range(120)]
+    make = spark.createDataFrame
+    fixed = (make(sites, "call_id string, file_path string, name string, kind string, receiver string, receiver_type string"), make(symbols, "id string, name string, file_path string, kind string"), make([], "src string, dst string"))
+    through = code.choose(*fixed, make(opened, "file_path string, container string"), make(members, "container string, owner string"))
+    plain = code.choose(*fixed, make(visible, "file_path string, container string"))
+    got, want = sorted(map(tuple, through.collect()), key=repr), sorted(map(tuple, plain.collect()), key=repr)
+    assert got == want and {c for _, _, c, _ in got} >= {"import", "file"}
