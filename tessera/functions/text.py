@@ -130,22 +130,40 @@ def tokenize(text: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, list[str]] = {}
         for batch in batches:
-            out = []
-            for value in batch:
-                terms: list[str] = []
-                for r in _RUN.findall(value) if value else ():
-                    found = known.get(r)
-                    if found is None:
-                        found = known[r] = run_terms(r)
-                    terms += found
-                out.append(terms)
-                if len(known) > 200_000:
-                    known.clear()
-            yield pd.Series(out, dtype=object)
+            for some in portions(batch):
+                out = []
+                for value in some:
+                    terms: list[str] = []
+                    for r in _RUN.findall(value) if value else ():
+                        found = known.get(r)
+                        if found is None:
+                            found = known[r] = run_terms(r)
+                        terms += found
+                    out.append(terms)
+                    if len(known) > MOST_KNOWN:
+                        known.clear()
+                yield pd.Series(out, dtype=object)
 
     return run(text.cast("string"))
 
 
+#: Runs whose terms a worker remembers, and characters of text whose terms it holds at a time: what bounds its memory, whatever the size of a batch.
+MOST_KNOWN, PORTION = 100_000, 2_000_000
+
+
+def portions(batch: pd.Series) -> Iterator[list[str | None]]:
+    """A batch in parts of about ``PORTION`` characters, in order; an empty batch is one empty part."""
+    part, chars = [], 0
+    for value in batch:
+        part.append(value)
+        chars += len(value) if value else 0
+        if chars >= PORTION or len(part) >= 4096:
+            yield part
+            part, chars = [], 0
+    if part or not len(batch):
+        yield part
+
+
 COUNTS = "doc_len int, terms array<string>, tfs array<int>"
 
 
@@ -160,8 +178,9 @@ def term_counts(text: Column, only: list[str] | None = None) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, list[str]] = {}
         for batch in batches:
-            found = [count_terms(value, known, wanted) for value in batch]
-            yield pd.DataFrame({"doc_len": [n for n, _ in found], "terms": [list(seen) for _, seen in found], "tfs": [list(seen.values()) for _, seen in found]})
+            for some in portions(batch):
+                found = [count_terms(value, known, wanted) for value in some]
+                yield pd.DataFrame({"doc_len": [n for n, _ in found], "terms": [list(seen) for _, seen in found], "tfs": [list(seen.values()) for _, seen in found]})
 
     return run(text.cast("string"))
 
@@ -170,7 +189,7 @@ def count_terms(value: str | None, known: dict[str, list[str]], wanted: frozense
     """How many terms a text has, and how often each (of ``wanted``) occurs; ``known`` keeps the terms of runs met before."""
     seen: dict[str, int] = {}
     n = 0
-    if len(known) > 500_000:
+    if len(known) > MOST_KNOWN:
         known.clear()
     for r, times in Counter(_RUN.findall(value) if value else ()).items():
         found = known.get(r)
