@@ -233,3 +233,39 @@ def test_a_name_seen_through_namespaces_is_the_one_seen_type_by_type(spark):
     plain = code.choose(*fixed, make(visible, "file_path string, container string"))
     got, want = sorted(map(tuple, through.collect()), key=repr), sorted(map(tuple, plain.collect()), key=repr)
     assert got == want and {c for _, _, c, _ in got} >= {"import", "file"}
+
+
+# --- what a worker holds -----------------------------------------------------------------------
+
+
+def test_texts_are_counted_in_portions_whatever_the_batch(spark, monkeypatch):
+    import pandas as pd
+
+    from tessera.functions import text
+
+    monkeypatch.setattr(text, "PORTION", 50)
+    batch = pd.Series(["a" * 20, None, "", "b" * 70, "c" * 10, "d" * 10])
+    parts = list(text.portions(batch))
+    assert [v for p in parts for v in p] == list(batch) and max(sum(len(v or "") for v in p[:-1]) for p in parts) < 50 and len(parts) > 1
+    assert list(text.portions(pd.Series([], dtype=object))) == [[]]
+    docs = spark.createDataFrame([(i, "word " * (i % 7) + f"own{i}") for i in range(500)], "id long, text string")
+    got = {r.id: dict(zip(r.t.terms, r.t.tfs)) for r in docs.select("id", text.term_counts(F.col("text")).alias("t")).collect()}
+    assert got == {i: {k: n for k, n in (("word", i % 7), (f"own{i}", 1)) if n} for i in range(500)}
+
+
+def test_products_in_slices_are_those_of_all(spark, monkeypatch):
+    """Ties go to the smaller id across slices, and a task sends its best once, not once a slice."""
+    import numpy as np
+
+    from tessera.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in rng.integers(-2, 3, 4)]) for i in rng.permutation(300)]
+    vectors = spark.createDataFrame(rows, "node_id long, embedding array<float>").coalesce(1)
+    matrix = retrieval._unit(np.array([v for _, v in rows[:6]]))
+    monkeypatch.setattr(retrieval, "AT_ONCE", 60)  # ten vectors at a time
+    monkeypatch.setattr(retrieval, "spread", lambda df: df)
+    got = sorted(map(tuple, retrieval._products(vectors, list("abcdef"), matrix, 5, "query_id string, node_id long, similarity double").collect()))
+    s = np.round(retrieval._unit(np.array([v for _, v in rows])) @ matrix.T, 5)
+    want = sorted((q, rows[i][0], s[i, j]) for j, q in enumerate("abcdef") for i in sorted(range(300), key=lambda i: (-s[i, j], rows[i][0]))[:5])
+    assert got == want
