@@ -62,80 +62,109 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 
 def _offers(graph: DataFrame, label: DataFrame, total: float, least: float) -> DataFrame:
-    """node, own, degree, inside (weight to its own community), target: the community where a node gains most modularity, null where it gains none."""
+    """node, own, degree, volume (of its own community), inside (weight to it), target: the community where a node gains most modularity, null where it gains none.
+
+    What meets a node is dealt by node once, and all that follows stays where it lies. Rounds are many, so no table goes through the driver in one.
+    """
     volume = label.groupBy("community").agg(F.sum("degree").alias("volume"))
-    links = graph.where("src <> dst").join(label.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("to"))
-    mine = label.select("node", F.col("community").alias("own"), "degree")
+    mine = label.join(volume.hint("shuffle_hash"), "community").select("node", "community", "degree", "volume")
+    other = mine.select(F.col("node").alias("dst"), "community", F.col("volume").alias("there"))
+    links = graph.where("src <> dst").join(other.hint("shuffle_hash"), "dst").select(F.col("src").alias("node"), "community", "there", "w").repartition("node")
+    to = links.groupBy("node", "community").agg(F.sum("w").alias("to"), F.first("there").alias("there"))
     here = F.col("community") == F.col("own")
-    gain = F.round(F.col("to") - F.col("degree") * (F.col("volume") - F.when(here, F.col("degree")).otherwise(0.0)) / total, 9)
-    best = links.join(mine, "node").join(volume, "community").groupBy("node").agg(F.min(F.struct((-gain).alias("loss"), "community")).alias("best"), F.max(F.when(here, gain)).alias("stay"), F.sum(F.when(here, F.col("to"))).alias("inside"))
+    gain = F.round(F.col("to") - F.col("degree") * (F.col("there") - F.when(here, F.col("degree")).otherwise(0.0)) / total, 9)
+    told = mine.withColumnRenamed("community", "own").join(to.hint("shuffle_hash"), "node", "left")
+    best = told.groupBy("node").agg(*(F.first(c).alias(c) for c in ("own", "degree", "volume")), F.min(F.when(F.col("to").isNotNull(), F.struct((-gain).alias("loss"), "community"))).alias("best"), F.max(F.when(here, gain)).alias("stay"), F.sum(F.when(here, F.col("to"))).alias("inside"))
     # alone, a node gains nothing by staying
-    stay = mine.join(volume.withColumnRenamed("community", "own"), "own").join(best, "node", "left").withColumn("stay", F.coalesce("stay", F.round(-F.col("degree") * (F.col("volume") - F.col("degree")) / total, 9)))
-    more = -F.col("best.loss") - F.col("stay")
-    return stay.select("node", "own", "degree", F.coalesce("inside", F.lit(0.0)).alias("inside"), F.when(more > least, F.col("best.community")).alias("target"), more.alias("gain"))
+    more = -F.col("best.loss") - F.coalesce("stay", F.round(-F.col("degree") * (F.col("volume") - F.col("degree")) / total, 9))
+    return best.select("node", "own", "degree", "volume", F.coalesce("inside", F.lit(0.0)).alias("inside"), F.when(more > least, F.col("best.community")).alias("target"), more.alias("gain"))
+
+
+#: A level is done when the rounds of both halves add less than this part of what the level has added: what is left is had sooner from the next level, whose nodes are this one's communities.
+SMALL = 0.001
 
 
-def _settled(graph: DataFrame, label: DataFrame, total: float) -> DataFrame:
-    """``label`` after moves until no node gains by moving.
+def _settled(graph: DataFrame, label: DataFrame, total: float) -> tuple[DataFrame, bool]:
+    """node, community after moves that raise modularity, and whether there was any.
 
     Offers of one hashed half are taken at once, then those of the other. As moves that meet in a community can spoil each other, modularity is measured after each
     round; where it did not rise, the round is undone, and of the offers only those are taken that are the best of both communities they touch:
-    these add up exactly. So modularity rises with every round that stays, and there is no limit of rounds.
+    these add up exactly. So modularity rises with every round that stays. A level of which nothing moves is one where no node gains.
     """
-    least, last, before, turn, exact = 1e-9 * total, None, None, 0, False
+    least, last, before, first, turn, exact, small = 1e-9 * total, None, None, None, 0, False, 0
     while True:
         told = keep(_offers(graph, label, total, least), "offers")
-        per = told.groupBy("own").agg(F.sum("degree").alias("v"), F.sum("inside").alias("i"), F.count("target").alias("n"))
-        at = per.agg(F.coalesce(F.sum("i"), F.lit(0.0)).alias("i"), F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0)).alias("vv"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+        # the squares of the communities' volumes, node by node
+        at = told.agg(F.coalesce(F.sum("inside"), F.lit(0.0)).alias("i"), F.coalesce(F.sum(F.col("degree") * F.col("volume")), F.lit(0.0)).alias("vv"), F.count("target").alias("n")).first()
         now = at.i - at.vv / total
+        first = now if first is None else first
         if before is not None and not exact and now <= before + least:
-            discard(told, label)
+            discard(told, tidy=False)
             told, exact = last, True
         else:
-            discard(*([last, label] if last is not None else []))
+            discard(*([last] if last is not None else []), tidy=False)
+            # both halves have to add little
+            small = small + 1 if before is not None and now - before < SMALL * (now - first) else 0
             last, before, exact = told, now, False
-            if not at.n:
-                return told.select("node", F.col("own").alias("community"))
+            if not at.n or small > 1:
+                return told.select("node", F.col("own").alias("community")), now > first
         open_ = F.col("target").isNotNull()
         if exact:
             rank = F.struct("gain", F.xxhash64("node", F.lit(turn)).alias("h"), "node")
             asked = told.where(open_).withColumn("rank", rank)
-            first = asked.select(F.explode(F.array("own", "target")).alias("c"), "rank").groupBy("c").agg(F.max("rank").alias("top"))
-            won = asked.join(first.select(F.col("c").alias("own"), F.col("top").alias("t1")), "own").join(first.select(F.col("c").alias("target"), F.col("top").alias("t2")), "target").where("rank = t1 AND rank = t2")
+            best = asked.select(F.explode(F.array("own", "target")).alias("c"), "rank").groupBy("c").agg(F.max("rank").alias("top"))
+            won = asked.join(best.select(F.col("c").alias("own"), F.col("top").alias("t1")), "own").join(best.select(F.col("c").alias("target"), F.col("top").alias("t2")), "target").where("rank = t1 AND rank = t2")
             moved = told.join(won.select("node", F.lit(True).alias("go")), "node", "left")
         else:
             moved = told.withColumn("go", open_ & (F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2))
-        label = keep(moved.select("node", F.when(F.col("go"), F.col("target")).otherwise(F.col("own")).alias("community"), "degree"), "label")
+        label = moved.select("node", F.when(F.col("go"), F.col("target")).otherwise(F.col("own")).alias("community"), "degree")
         turn += 1
 
 
+def _merged(graph: DataFrame, label: DataFrame) -> DataFrame:
+    """The graph of which the communities (node, next) are the nodes."""
+    a, b = label.select(F.col("node").alias("src"), F.col("next").alias("ca")), label.select(F.col("node").alias("dst"), F.col("next").alias("cb"))
+    return keep(graph.join(a.hint("shuffle_hash"), "src").join(b.hint("shuffle_hash"), "dst").groupBy(F.col("ca").alias("src"), F.col("cb").alias("dst")).agg(F.sum("w").alias("w")), "louvain")
+
+
 def communities(edges: DataFrame) -> DataFrame:
     """node, community: weighted modularity moves in the manner of Louvain, on all nodes at once, until nothing gains.
 
-    At each level nodes move while modularity rises (by at least a billionth of all weight). Communities that have come apart are
-    split into their connected parts, which raises modularity too, and the parts are the nodes of the next level; the last level is the one where no node moves.
+    At each level nodes move while modularity rises noticeably, and communities are the nodes of the next level; the last level is the one where no node gains by a move (by
+    a billionth of all weight at least), so no two communities gain by merging. Communities that have come apart are then split into their connected parts, which raises modularity too, and levels
+    are added on top of the parts, until none changes: there is no cap on levels or rounds.
     Every community is connected. Deterministic: ties go to the smaller community, which in the end is named by its smallest node. Null ends and
     loops are ignored; repeated edges add their weights.
     """
     base = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (F.col("weight") if "weight" in edges.columns else F.lit(1.0)).cast("double").alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
-    graph = keep(base.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(base.select("b", "a", "w")), "louvain")
-    total = graph.agg(F.sum("w").alias("t")).first().t or 1.0
-    members = keep(graph.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct(), "members")
+    base = keep(base, "links")
+    # numbers in the order of nodes: rounds join and sort by them, whatever nodes are named
+    named = keep(base.select(F.col("a").alias("name")).union(base.select("b")).distinct().repartitionByRange("name").sortWithinPartitions("name").select("name", F.monotonically_increasing_id().alias("node")), "names")
+    a, b = (named.select(F.col("name").alias(c), F.col("node").alias(n)).hint("shuffle_hash") for c, n in (("a", "src"), ("b", "dst")))
+    once = keep(base.join(a, "a").join(b, "b").select("src", "dst", "w"), "links")
+    whole = keep(once.union(once.select("dst", "src", "w")), "louvain")
+    discard(base, once, tidy=False)
+    total = whole.agg(F.sum("w").alias("t")).first().t or 1.0
+    graph, members = whole, keep(named.select("node", F.col("node").alias("community")), "members")
     while True:
-        degree = graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("degree"))
-        found = _settled(graph, keep(degree.select("node", F.col("node").alias("community"), "degree"), "label"), total)
-        a, b = found.select(F.col("node").alias("src"), F.col("community").alias("ca")), found.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
-        inside = keep(graph.where("src <> dst").join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst"), "inside")
-        if inside.isEmpty():
-            break
-        part = keep(connected_components(inside), "part")
-        label = keep(found.select("node").join(part, "node", "left").select("node", F.coalesce("component", "node").alias("next")), "label")
-        old, members = members, keep(members.join(label.select(F.col("node").alias("community"), "next"), "community").select("node", F.col("next").alias("community")), "members")
-        a, b = label.select(F.col("node").alias("src"), F.col("next").alias("ca")), label.select(F.col("node").alias("dst"), F.col("next").alias("cb"))
-        above, graph = graph, keep(graph.join(a, "src").join(b, "dst").groupBy(F.col("ca").alias("src"), F.col("cb").alias("dst")).agg(F.sum("w").alias("w")), "louvain")
-        discard(old, above, inside, part, label)
-    least = members.groupBy("community").agg(F.min("node").alias("least"))
-    return members.join(least, "community").select("node", F.col("least").alias("community"))
+        degree = keep(graph.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("degree")), "degree")
+        found, any_move = _settled(graph, degree.select("node", F.col("node").alias("community"), "degree"), total)
+        above, old = graph, members
+        if any_move:
+            label = found.withColumnRenamed("community", "next")
+            members = keep(members.join(label.select(F.col("node").alias("community"), "next"), "community").select("node", F.col("next").alias("community")), "members")
+            graph = _merged(graph, label)
+        else:
+            a, b = members.select(F.col("node").alias("src"), F.col("community").alias("ca")), members.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
+            part = keep(connected_components(whole.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst")), "part")
+            label = keep(members.select("node", "community").join(part, "node", "left").select("node", "community", F.coalesce("component", "node").alias("next")), "label")
+            if label.groupBy("community").agg(F.min("next").alias("x"), F.max("next").alias("y")).where("x <> y").isEmpty():
+                lead = named.select(F.col("node").alias("next"), F.col("name").alias("community"))
+                return label.select("node", "next").join(named.hint("shuffle_hash"), "node").join(lead.hint("shuffle_hash"), "next").select(F.col("name").alias("node"), "community")
+            members = label.select("node", F.col("next").alias("community"))
+            members._kept_at = label._kept_at
+            graph = _merged(whole, label)
+        discard(degree, old, *([above] if above is not whole else []))
 
 
 def modularity(edges: DataFrame, members: DataFrame) -> float:

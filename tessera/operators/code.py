@@ -15,6 +15,7 @@ from tessera.graph.structure import communities, strong_components
 from tessera.operators.index import top
 from tessera.operators.memory import without_links
 from tessera.operators.spans import overlapping
+from tessera.session import keep
 
 
 def containment(symbol: DataFrame) -> DataFrame:
@@ -481,7 +482,7 @@ def code_clusters(symbol: DataFrame, calls: DataFrame, inherits: DataFrame, *, m
     links = calls.select("src", "dst").union(inherits.select("src", "dst")).union(containment(symbol).select(F.col("parent"), F.col("child")))
     ids = rows.select("id")
     inside = links.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    found = communities(inside).join(rows.select(F.col("id").alias("node"), "file_path"), "node").join(degrees(calls, inherits).withColumnRenamed("id", "node"), "node", "left")
+    found = keep(communities(inside).join(rows.select(F.col("id").alias("node"), "file_path"), "node").join(degrees(calls, inherits).withColumnRenamed("id", "node"), "node", "left"), "clusters")
     size = found.groupBy("community").agg(F.count("*").alias("size")).where(F.col("size") >= max(2, min_size))
     folder = top(found.groupBy("community", directory_of(F.col("file_path")).alias("name")).agg(F.count("*").alias("n")), "community", 1, F.desc("n"), F.asc("name")).select("community", "name")
     lead = top(found.select("community", "node", F.coalesce("degree", F.lit(0)).alias("degree")), "community", members, F.desc("degree"), F.asc("node")).groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda x: x["node"]).alias("members"))

@@ -14,7 +14,7 @@ from tessera.plans.ingest import ingest, ingest_into
 from tessera.plans.q_code import MARK_SQL
 from tessera.plans.q_graph import _links, _memory
 from tessera.plans.store import Conflict, Store, capabilities, write_json
-from tessera.session import replace_text, shared_dir, table
+from tessera.session import keep, replace_text, shared_dir, table
 from tessera.sources import files as fs
 from tessera.sources.extract import chunks_of, dense_files, dependences, language_of, symbols_of
 
@@ -374,7 +374,7 @@ def reopened_calls(spark, sf_dir):
 def code_clusters(spark, sf_dir):
     """Every cluster is named by a folder that exists, has at least three members, and no declaration leads two."""
     g = code_graph(spark, sf_dir)
-    found = code.code_clusters(g["symbol"], g["calls"], g["inherits"])
+    found = keep(code.code_clusters(g["symbol"], g["calls"], g["inherits"]), "clusters")
     folders = g["symbol"].where("file_path NOT LIKE 'tests/%'").select(F.regexp_replace("file_path", "/[^/]*$", "").alias("name")).distinct()
     lost = found.join(folders, "name", "left_anti").count()
     told = found.agg(F.min("size").alias("least"), F.sum(F.size("members")).alias("n")).first()
@@ -385,7 +385,8 @@ def code_clusters(spark, sf_dir):
 @query("SELECT true AS members_live, true AS positive, true AS named_terms")
 def memory_clusters(spark, sf_dir):
     rows, links = _memory(spark, sf_dir), _links(spark, sf_dir)
-    found = memory.clusters(rows, links)
+    own = keep(communities(links.select("src", "dst", "weight")), "communities")
+    found = keep(memory.clusters(rows, links, found=own), "clusters")
     lead = found.select(F.explode("representatives").alias("id"))
-    good = modularity(links.select("src", "dst"), communities(links.select("src", "dst", "weight"))) > 0.3
+    good = modularity(links.select("src", "dst"), own) > 0.3
     return found.agg(F.lit(lead.join(rows, "id", "left_anti").isEmpty()).alias("members_live"), F.lit(good).alias("positive"), (F.count("*") > 0).alias("named_terms"))

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tessera.graph import structure
 from tessera.graph.structure import communities, modularity
 
 
@@ -92,3 +93,11 @@ def test_long_path_settles(spark):
     label = {r.node: r.community for r in communities(spark.createDataFrame([(a, b) for a, b in edges], "src long, dst long")).collect()}
     assert connected(edges, label) and plain_modularity(edges, label) >= plain_modularity(edges, plain_louvain(edges)) - 0.02
     assert communities(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+def test_rounds_send_no_table_through_the_driver(spark):
+    """Rounds are many: what each broadcasts adds up at the driver."""
+    graph = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (1, 2, 1.0), (2, 1, 1.0)], "src long, dst long, w double")
+    label = spark.createDataFrame([(0, 0, 1.0), (1, 1, 2.0), (2, 2, 1.0)], "node long, community long, degree double")
+    plan = structure._offers(graph, label, 4.0, 1e-9)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
