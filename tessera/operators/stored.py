@@ -59,8 +59,8 @@ def temporary_index(spark: SparkSession, **options: object) -> StoredIndex:
 
 
 def _insert(index: StoredIndex, kind: str, rows: DataFrame, *by: str) -> None:
-    """One file for each bucket, whatever the number of tasks before."""
-    rows.repartition(index.buckets, *by).write.insertInto(f"{index.name}_{kind}")
+    """Each task's rows go to the files of their buckets from where they lie; ``by`` brings those of a bucket together first, which is for few rows."""
+    (rows.repartition(index.buckets, *by) if by else rows).write.insertInto(f"{index.name}_{kind}")
 
 
 def add_documents(index: StoredIndex, docs: DataFrame, id_col: str = "id", text_col: str = "text", segment_docs: int = 1024) -> None:
@@ -70,17 +70,22 @@ def add_documents(index: StoredIndex, docs: DataFrame, id_col: str = "id", text_
     are left out, of a repeated id one row counts, a null text has no terms.
     """
     now = index.generation + 1
-    whole = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast(index.id_type).alias("node_id")).agg(F.min(text_col).alias("text"))
-    terms = keep(terms_of(whole, "node_id", "text"), "terms")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast(index.id_type).alias("node_id"), F.col(text_col).alias("text"))
+    # texts travel only where an id is repeated
+    twice = keep(rows.groupBy("node_id").agg(F.count("*").alias("n")).where("n > 1").select("node_id"), "twice")
+    if not twice.isEmpty():
+        rows = rows.join(twice, "node_id", "left_anti").unionByName(rows.join(twice, "node_id", "left_semi").groupBy("node_id").agg(F.min("text").alias("text")))
+    terms = keep(terms_of(rows, "node_id", "text"), "terms")
     segments = max(1, -(-terms.count() // segment_docs))
     segment = F.lit(now).cast("bigint") * F.lit(1 << 32) + F.pmod(F.xxhash64("node_id", F.lit(3)), F.lit(segments))
-    each = terms.select("node_id", "doc_len", segment.alias("segment"), F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("node_id", F.col("doc_len").cast("int").alias("doc_len"), "segment", F.col("p.terms").alias("term"), F.col("p.tfs").cast("int").alias("tf"))
+    # documents are dealt by segment as whole rows; a segment's blocks are then made where it lies
+    each = terms.withColumn("segment", segment).repartition("segment").select("node_id", "doc_len", "segment", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("node_id", F.col("doc_len").cast("int").alias("doc_len"), "segment", F.col("p.terms").alias("term"), F.col("p.tfs").cast("int").alias("tf"))
     held = F.array_sort(F.collect_list(F.struct("node_id", "tf", "doc_len")))
-    blocks = each.repartition(index.buckets, "term", "segment").groupBy("term", "segment").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), held.alias("h"))
-    blocks = keep(blocks.select("term", "segment", "n", "max_tf", "min_len", F.col("h.node_id").alias("ids"), F.col("h.tf").alias("tfs"), F.col("h.doc_len").alias("lens")), "blocks")
-    _insert(index, "blocks", blocks, "term", "segment")
-    _insert(index, "changes", blocks.groupBy("term").agg(F.sum("n").alias("n")).withColumn("generation", F.lit(now)), "term")
-    _insert(index, "documents", terms.select("node_id", F.col("doc_len").cast("int"), "terms", F.lit(now).alias("generation"), F.lit(True).alias("here")), "node_id")
+    blocks = each.groupBy("term", "segment").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), held.alias("h"))
+    _insert(index, "blocks", blocks.select("term", "segment", "n", "max_tf", "min_len", F.col("h.node_id").alias("ids"), F.col("h.tf").alias("tfs"), F.col("h.doc_len").alias("lens")))
+    added = index.table("blocks").where(F.col("segment") >= F.lit(now).cast("bigint") * F.lit(1 << 32)).select("term", "n")
+    _insert(index, "changes", added.groupBy("term").agg(F.sum("n").alias("n")).withColumn("generation", F.lit(now)), "term")
+    _insert(index, "documents", terms.select("node_id", F.col("doc_len").cast("int"), "terms", F.lit(now).alias("generation"), F.lit(True).alias("here")))
 
 
 def current(index: StoredIndex, *columns: str) -> DataFrame:

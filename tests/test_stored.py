@@ -109,3 +109,19 @@ def test_changes_touch_only_what_changed(spark):
     more = files() - first
     assert first <= files() and sum(n for _, n, _ in more) < 0.6 * sum(n for _, n, _ in first)
     assert held.table("blocks").where(F.shiftright("segment", 32) > 1).count() == 2
+
+
+def test_repeated_ids_count_once_and_blocks_are_written_where_they_are_made(spark):
+    """Of a repeated id the least text counts; postings are sent once, by segment, and not again to be written."""
+    docs = spark.createDataFrame([(1, "beta alpha"), (1, "alpha alpha"), (2, "alpha"), (3, None), (None, "alpha")], "id long, text string")
+    held = stored.temporary_index(spark, buckets=2)
+    sent, insert = [], stored._insert
+    try:
+        stored._insert = lambda index, kind, rows, *by: sent.append((kind, rows._jdf.queryExecution().executedPlan().toString(), by)) or insert(index, kind, rows, *by)
+        stored.add_documents(held, docs)
+    finally:
+        stored._insert = insert
+    assert {r.term: r.n for r in held.table("blocks").groupBy("term").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()} == {"alpha": 2}
+    assert {(r.node_id, r.doc_len) for r in held.table("documents").collect()} == {(1, 2), (2, 1), (3, 0)}
+    plan = next(p for kind, p, by in sent if kind == "blocks" and not by)
+    assert plan.count("Exchange hashpartitioning") == 1
