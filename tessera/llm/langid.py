@@ -81,18 +81,18 @@ class LanguageModel:
 
 
 def train_ftrl(model: LanguageModel, rows: list[tuple[np.ndarray, np.ndarray, int]], *, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002, seed: int = 11) -> None:
-    """Follow-the-regularised-leader with elastic-net penalties; weights that l1 holds at zero stay zero."""
+    """Follow-the-regularised-leader with elastic-net penalties; weights that l1 holds at zero stay zero. A row's vector is made when it is its turn, never all at once."""
     k = len(model.langs)
     z, n = np.zeros((BINS + 1, k), np.float32), np.zeros((BINS + 1, k), np.float32)
     order = np.random.default_rng(seed)
-    vectors = [(np.append(at, BINS), np.append(model.vector(at, c), 1.0), y) for at, c, y in rows]
 
     def weight(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) > l1, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2), 0.0)
 
     for _ in range(epochs):
-        for i in order.permutation(len(vectors)):
-            at, x, y = vectors[i]
+        for i in order.permutation(len(rows)):
+            at, counts, y = rows[i]
+            at, x = np.append(at, BINS), np.append(model.vector(at, counts), 1.0)
             zi, ni = z[at], n[at]
             w = weight(zi, ni)
             s = x @ w
@@ -171,7 +171,8 @@ def fit(docs: DataFrame, *, sample_docs: int = 6000, least_docs: int = 20) -> La
     got = picked.mapInPandas(sparse, "lang string, fold int, bins binary, counts binary").toPandas()
     got = got.sort_values(["lang", "fold", "bins", "counts"], ignore_index=True)
     number = {name: i for i, name in enumerate(langs)}
-    data = [(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(c, "<u4").astype(np.float64), number[lang], fold) for lang, fold, b, c in zip(got["lang"], got["fold"], got["bins"], got["counts"])]
+    # views of what was collected, 6 bytes a bin
+    data = [(np.frombuffer(b, "<u2"), np.frombuffer(c, "<u4"), number[lang], fold) for lang, fold, b, c in zip(got["lang"], got["fold"], got["bins"], got["counts"])]
     train_ftrl(model, [d[:3] for d in data if d[3]] or [d[:3] for d in data])
     calibrate(model, [d[:3] for d in data if not d[3]])
     return model
