@@ -75,12 +75,17 @@ def _products(vectors: DataFrame, names: list, matrix: np.ndarray, limit: int, s
         for batch in batches:
             for at in range(0, len(batch), rows):
                 some = batch.iloc[at : at + rows]
-                s = np.round(_unit(np.array(some["embedding"].tolist(), dtype=np.float64)) @ matrix.T, 5)
-                s[np.isnan(s)] = -np.inf
-                if len(s) > limit:
-                    least = np.maximum(least, np.partition(s, len(s) - limit, axis=0)[len(s) - limit])
-                i, k = np.nonzero(s >= least)
-                near, ids = s[i, k], some["node_id"].to_numpy()[i]
+                s = _unit(np.stack(some["embedding"].to_numpy()).astype(np.float64)) @ matrix.T
+                if np.isneginf(least).any():
+                    s[np.isnan(s)] = -np.inf
+                if best is None and len(s) > limit:
+                    least = np.maximum(least, np.round(np.partition(s, len(s) - limit, axis=0)[len(s) - limit], 5))
+                # rounding moves a similarity by less than 1e-5, so only what comes that near to the best so far is rounded
+                i, k = np.nonzero(s >= least - 1e-5)
+                near = np.round(s[i, k], 5)
+                high = near >= least[k]
+                i, k, near = i[high], k[high], near[high]
+                ids = some["node_id"].to_numpy()[i]
                 if best is not None:
                     k, near, ids = np.append(best[0], k), np.append(best[1], near), np.append(best[2], ids)
                 order = np.lexsort((ids, -near, k))
