@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tessera.operators import pairs
-from tessera.plans import q_code
+from tessera.plans import ingest, q_code, q_notes
 from tessera.plans.catalogue import code_graph
 
 
@@ -35,3 +35,9 @@ def test_pairs_of_lots_are_all_pairs(spark, monkeypatch, most):
     got = pairs.spelled_out(spark.createDataFrame(left, "k string, j int, x string"), spark.createDataFrame(right, "k string, j int, y int, z string"), ["k", "j"])
     want = [(k, j, x, y, z) for k, j, x in left for m, n, y, z in right if k == m and j == n and k and j]
     assert got.columns == ["k", "j", "x", "y", "z"] and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and len(want) > 10
+
+
+def test_links_of_notes_need_no_broadcast_and_few_copies(spark, sf):
+    """5,000 notes and 5,000 declarations of one line are one block: neither is copied to be dealt out."""
+    assert broadcasts(q_notes.span_links_of_notes(spark, sf)) == 0
+    assert min(ingest.AT_A_PLACE, ingest.NOTES_AT_A_PLACE) >= 5_000
