@@ -4,9 +4,11 @@ import random
 
 import pytest
 
+from tessera.graph import frontier
 from tessera.operators import pairs
 from tessera.plans import ingest, q_code, q_notes
 from tessera.plans.catalogue import code_graph
+from tessera.session import keep
 
 
 def broadcasts(df):
@@ -41,3 +43,27 @@ def test_links_of_notes_need_no_broadcast_and_few_copies(spark, sf):
     """5,000 notes and 5,000 declarations of one line are one block: neither is copied to be dealt out."""
     assert broadcasts(q_notes.span_links_of_notes(spark, sf)) == 0
     assert min(ingest.AT_A_PLACE, ingest.NOTES_AT_A_PLACE) >= 5_000
+
+
+def plain(g):
+    """The code graph's tables as they would come from small files: without hints, and known to be small."""
+    return {name: keep(df, name) for name, df in g.items()}
+
+
+def test_traces_broadcast_no_code(spark, sf, monkeypatch):
+    g, plans, real = plain(code_graph(spark, sf)), [], frontier.keep
+    monkeypatch.setattr(frontier, "keep", lambda df, name: plans.append((name, df)) or real(df, name))
+    monkeypatch.setattr(frontier, "FEW", 10)
+    a = g["symbol"].where("kind = 'class'").selectExpr("id source", "p div 8 q")
+    pairs = a.join(g["symbol"].selectExpr("p q", "id target").hint("merge"), "q").select("source", "target")
+    out = q_code.code.trace(pairs, g["symbol"], g["calls"], max_depth=1)
+    assert [n for n, df in [*plans, ("out", out)] if broadcasts(df)] == []
+
+
+def test_clusters_broadcast_no_code(spark, sf, monkeypatch):
+    """What communities are made from, and what is joined to them."""
+    g, asked = plain(code_graph(spark, sf)), []
+    monkeypatch.setattr(q_code.code, "communities", lambda df: asked.append(df) or g["symbol"].selectExpr("id node", "file_path community"))
+    monkeypatch.setattr(q_code.code, "keep", lambda df, name: asked.append(df) or keep(df, name))
+    q_code.code.code_clusters(g["symbol"], g["calls"], g["inherits"])
+    assert len(asked) == 2 and [broadcasts(df) for df in asked] == [0, 0]
