@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tessera.graph import frontier
-from tessera.operators import pairs
+from tessera.operators import memory, pairs
 from tessera.plans import ingest, q_code, q_notes
 from tessera.plans.catalogue import code_graph
 from tessera.session import keep
@@ -67,3 +67,10 @@ def test_clusters_broadcast_no_code(spark, sf, monkeypatch):
     monkeypatch.setattr(q_code.code, "keep", lambda df, name: asked.append(df) or keep(df, name))
     q_code.code.code_clusters(g["symbol"], g["calls"], g["inherits"])
     assert len(asked) == 2 and [broadcasts(df) for df in asked] == [0, 0]
+
+
+def test_similar_pairs_are_spelled_out_without_lists(spark):
+    """Rows meet rows: no list of a class's members is carried to each of them and taken apart again."""
+    sets = spark.range(300).selectExpr("id", "array('alike', 'words', cast(id % 3 as string)) terms")
+    df = memory.similar_pairs(sets, 0.5)
+    assert "collect_list(id" not in df._jdf.queryExecution().sparkPlan().toString() and df.count() == 300 * 299 // 2
